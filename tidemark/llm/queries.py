@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import digest_index, host_rules, token_coder
+from . import digest_index, host_rules, language, mixing, piece_bpe, token_coder
 from .common import documents
 
 
@@ -24,10 +24,25 @@ def op4_exact_dedup(spark, sf_dir):
     return digest_index.dedup_query(spark, documents(spark, sf_dir))
 
 
+def op6_language(spark, sf_dir):
+    return language.language_query(documents(spark, sf_dir))
+
+
+def op7_mixing(spark, sf_dir):
+    return mixing.mixing_query(documents(spark, sf_dir))
+
+
+def op10_pieces(spark, sf_dir):
+    return piece_bpe.piece_query(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_host_rules": op2_host_rules,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_language": op6_language,
+    "op7_mixing": op7_mixing,
+    "op10_pieces": op10_pieces,
 }
 ORACLES = {
     "op2_host_rules": host_rules.ORACLE,
