@@ -55,10 +55,15 @@ def arrow_map(
     fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: str | StructType,
 ) -> DataFrame:
-    """``mapInArrow`` over only the named columns, in batches of bounded bytes."""
+    """``mapInArrow`` over only the named columns, in batches of bounded bytes.
+
+    Batches are limited by bytes (8 MB, or one row), as texts are short or long;
+    settings that the session has changed are left alone.
+    """
     conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    for key, default, ours in (("maxRecordsPerBatch", "10000", "50000"), ("maxBytesPerBatch", "67108864b", "8388608b")):
+        if conf.get(f"spark.sql.execution.arrow.{key}", default) == default:
+            conf.set(f"spark.sql.execution.arrow.{key}", ours)
     return df.select(*columns).mapInArrow(fn, schema)
 
 

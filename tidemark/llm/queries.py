@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import digest_index, host_rules, language, mixing, piece_bpe, token_coder
+from . import digest_index, host_rules, language, mixing, parity_join, piece_bpe, token_coder
 from .common import documents
 
 
@@ -32,6 +32,10 @@ def op7_mixing(spark, sf_dir):
     return mixing.mixing_query(documents(spark, sf_dir))
 
 
+def op9_parity_join(spark, sf_dir):
+    return parity_join.near_query(documents(spark, sf_dir))
+
+
 def op10_pieces(spark, sf_dir):
     return piece_bpe.piece_query(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
@@ -42,9 +46,11 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_language": op6_language,
     "op7_mixing": op7_mixing,
+    "op9_parity_join": op9_parity_join,
     "op10_pieces": op10_pieces,
 }
 ORACLES = {
     "op2_host_rules": host_rules.ORACLE,
     "op4_exact_dedup": digest_index.ORACLE,
+    "op9_parity_join": parity_join.ORACLE,
 }
