@@ -99,8 +99,10 @@ def _layout(band: int) -> tuple[int, int]:
     slack = 0
     while True:
         words = bounds[band] + 1 + slack
-        empty = words * math.exp(-smallest / words)
-        if empty + 4 * math.sqrt(empty) + 0.5 <= slack or slack > 4 * bounds[band] + 8:
+        load = smallest / words
+        empty = words * math.exp(-load)
+        spread = math.sqrt(empty * (1 - (1 + load) * math.exp(-load)))  # of the number of empty words
+        if empty + 4 * spread + 0.5 <= slack or slack > 4 * bounds[band] + 8:
             return words, slack
         slack += 1
 
