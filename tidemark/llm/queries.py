@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import digest_index, host_rules, language, mixing, parity_join, piece_bpe, token_coder
+from . import digest_index, host_rules, language, mixing, parity_join, piece_bpe, secret_tests, token_coder
 from .common import documents
 
 
@@ -20,6 +20,10 @@ def op2_host_rules(spark, sf_dir):
     return host_rules.host_query(documents(spark, sf_dir))
 
 
+def op3_secrets(spark, sf_dir):
+    return secret_tests.secret_query(documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return digest_index.dedup_query(spark, documents(spark, sf_dir))
 
@@ -43,6 +47,7 @@ def op10_pieces(spark, sf_dir):
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_host_rules": op2_host_rules,
+    "op3_secrets": op3_secrets,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_language": op6_language,
     "op7_mixing": op7_mixing,
