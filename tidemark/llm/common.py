@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -69,3 +69,48 @@ def arrow_map(
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+#: Rows of narrow keys up to which a side is broadcast (tens of MB); beyond it both sides are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def sized_broadcast(df: DataFrame) -> DataFrame:
+    """``df`` (written rows of a few numbers) with a broadcast hint if its counted rows allow it."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def null_safe(pairs: list[tuple[str, str]]):
+    """A join condition in which nulls are equal."""
+    condition = F.lit(True)
+    for k, (left, right) in enumerate(pairs):
+        equal = F.col(left).eqNullSafe(F.col(right))
+        condition = equal if not k else condition & equal
+    return condition
+
+
+def without(docs: DataFrame, dropped: DataFrame, keys: dict) -> DataFrame:
+    """``docs`` less the rows whose keys are in ``dropped``.
+
+    ``keys`` maps a column of ``dropped`` to the expression on ``docs`` that it equals.
+    """
+    gone = dropped.select(*(F.col(name).alias(f"gone_{name}") for name in keys))
+    tagged = docs.withColumns({f"own_{name}": value for name, value in keys.items()})
+    kept = tagged.join(sized_broadcast(gone), null_safe([(f"own_{n}", f"gone_{n}") for n in keys]), "left_anti")
+    return kept.select(*docs.columns)
+
+
+def first_of_repeats(docs: DataFrame, keys: dict, repeated: DataFrame) -> DataFrame:
+    """One row of each set of rows that agree in ``keys``, where ``repeated`` lists the keys of several rows.
+
+    ``repeated`` is empty as a rule; only rows in it are numbered.
+    """
+    if repeated.isEmpty():
+        return docs
+    names = list(keys)
+    tagged = docs.withColumns({f"own_{name}": value for name, value in keys.items()})
+    some = repeated.select(*(F.col(n).alias(f"rep_{n}") for n in names)).distinct()
+    match = null_safe([(f"own_{n}", f"rep_{n}") for n in names])
+    order = Window.partitionBy(*(f"own_{n}" for n in names)).orderBy(F.xxhash64(*docs.columns))
+    ours = tagged.join(some, match, "left_semi").withColumn("own_place", F.row_number().over(order)).filter("own_place = 1")
+    return tagged.join(some, match, "left_anti").select(*docs.columns).unionByName(ours.select(*docs.columns))

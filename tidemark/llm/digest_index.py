@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, staged, text_or_empty
+from .common import SPACE_CLASS, first_of_repeats, staged, text_or_empty, without
 
 INDEX_SCHEMA = "digest binary, keep_id bigint, keep_row bigint, batch string"
 
@@ -55,7 +55,7 @@ class DigestIndex:
             docs.select(
                 F.col(id_col).cast("long").alias("doc_id"),
                 F.char_length(text).cast("long").alias("chars"),
-                F.unhex(F.sha2(F.regexp_replace(text, f"[{SPACE_CLASS}]+", "").cast("binary"), 256)).alias("digest"),
+                digest_of(text).alias("digest"),
                 F.monotonically_increasing_id().alias("row"),
             ),
             "digest-rows",
@@ -84,6 +84,22 @@ def dedup_batch(docs: DataFrame, buckets: int = 64) -> DataFrame:
     return index.add(docs)
 
 
+def digest_of(text):
+    """SHA-256 of a text without its white space."""
+    return F.unhex(F.sha2(F.regexp_replace(text, f"[{SPACE_CLASS}]+", "").cast("binary"), 256))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The documents that stay, with their columns."""
+    decided = staged(dedup_batch(docs), "dedup-decided")
+    # rows that agree in doc_id and text go down to one here; they aren't dropped by key
+    same = decided.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
+    keys = {"doc_id": F.col("doc_id").cast("long"), "digest": digest_of(text_or_empty())}
+    same = staged(same, "dedup-keys")
+    left = without(docs, same.filter("NOT kept"), keys)
+    return first_of_repeats(left, keys, same.filter("kept AND n > 1"))
+
+
 def dedup_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return dedup_batch(docs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 

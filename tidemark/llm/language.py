@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import arrow_map
 
@@ -201,7 +202,7 @@ def fit_language(docs: DataFrame, per_language: int = 300, most: int = 2400) ->
 def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """All columns of ``docs`` but with ``lang_pred`` and ``score`` added."""
     names = docs.columns
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     place = names.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -226,3 +227,9 @@ def language_query(docs: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit_language(docs))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     return arrow_map(rows, ["doc_id", "held_out", "text"], _digest_predictions(model), "doc_id bigint, held_out boolean, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
+    """The documents whose language is recognised: not ``und``, and no weaker than ``least_score``."""
+    rated = predict_language(docs, fit_language(docs))
+    return rated.filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*docs.columns)

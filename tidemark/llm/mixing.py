@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, SPACE_CLASS, staged
+from .common import SPACE_CHARS, SPACE_CLASS, null_safe, sized_broadcast, staged
 
 FAN = 64
 WEIGHTS = (5, 2, 1)
@@ -179,20 +179,17 @@ def mixing_query(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents with their copies: rows taken twice come twice, rows not taken go.
 
-    Rows that agree in doc_id, source and size share their copies in order of a
-    row number within that (small) set.
+    Rows that agree in doc_id, source and size share their copies in the order of
+    a row number within that (small) set; without such rows none is numbered.
     """
     keys = ["doc_id", "source", "size"]
-    sized = docs.withColumn("size", word_count(F.col("text"))).withColumn(
-        "nth", F.row_number().over(Window.partitionBy(*(F.col(k) for k in keys)).orderBy(F.xxhash64("text")))
-    )
-    plan = mix(document_sizes(docs)).select(
-        *(F.col(k).alias(f"mix_{k}") for k in keys), "copies"
-    )
-    plan = plan.withColumn("mix_nth", F.row_number().over(Window.partitionBy(*(f"mix_{k}" for k in keys)).orderBy(F.desc("copies"))))
-    match = [F.col(k).eqNullSafe(F.col(f"mix_{k}")) for k in (*keys, "nth")]
-    condition = match[0]
-    for m in match[1:]:
-        condition = condition & m
-    taken = sized.join(plan.filter("copies > 0"), condition)
+    plan = staged(mix(document_sizes(docs)).select(*(F.col(k).alias(f"mix_{k}") for k in keys), "copies"), "mix-plan")
+    own = {"mixed_doc_id": F.col("doc_id").cast("long"), "mixed_source": F.col("source").cast("string"), "mixed_size": word_count(F.col("text"))}
+    sized, ends = docs.withColumns(own), list(keys)
+    if not plan.groupBy(*(f"mix_{k}" for k in keys)).count().filter("count > 1").isEmpty():
+        one = Window.partitionBy(*own).orderBy(F.xxhash64("text"))
+        two = Window.partitionBy(*(f"mix_{k}" for k in keys)).orderBy(F.desc("copies"))
+        sized, plan = sized.withColumn("mixed_nth", F.row_number().over(one)), plan.withColumn("mix_nth", F.row_number().over(two))
+        ends.append("nth")
+    taken = sized.join(sized_broadcast(plan.filter("copies > 0")), null_safe([(f"mixed_{k}", f"mix_{k}") for k in ends]))
     return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)

@@ -48,13 +48,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, staged, text_or_empty
+from .common import arrow_map, first_of_repeats, sized_broadcast, staged, text_or_empty, without
 from .components import components
 
 WORDS = 5
 SHORT_WORDS = 8  # 64-bit words of the short sketch
 SHORT = [f"s{k}" for k in range(SHORT_WORDS)]
-BROADCAST_ROWS = 500_000  # doc_ids (8 MB) up to which a side is broadcast
 U64 = np.uint64
 
 
@@ -295,8 +294,7 @@ class ParityJoin:
     def _texts(self, nodes: DataFrame) -> DataFrame:
         """``node, text`` of one document of each class in ``nodes``."""
         wanted = staged(nodes.join(self.classes.select("node", "min_doc"), "node").select("node", F.col("min_doc").alias("wanted_doc")), "near-wanted")
-        few = wanted.count() <= BROADCAST_ROWS  # beyond that both sides are shuffled
-        found = self.rows.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("wanted_doc")))
+        found = self.rows.join(sized_broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("wanted_doc")))
         return found.select("node", "text")
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -365,6 +363,24 @@ class ParityJoin:
         return linked.unionAll(alone)
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents, of each group of linked ones only that with the smallest doc_id."""
+    members = staged(ParityJoin(docs).membership(), "near-members")
+    counted = members.filter("n_shingles > 0").groupBy("doc_id", "n_shingles", "component_id").agg(F.count(F.lit(1)).alias("n"))
+    counted = staged(counted, "near-counted")
+    key = {"doc_id": F.col("doc_id").cast("long")}
+    left = without(docs, counted.filter("doc_id <> component_id"), key)
+    return first_of_repeats(left, {**key, "same": F.xxhash64("text")}, _with_hash(left, counted.filter("n > 1")))
+
+
+def _with_hash(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """doc_id and text hash of the rows with a repeated doc_id."""
+    if repeated.isEmpty():
+        return repeated.select("doc_id", F.lit(0).cast("long").alias("same"))
+    ids = repeated.select(F.col("doc_id").alias("again"))
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("again")), "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("same")).distinct()
+
+
 def near_query(docs: DataFrame) -> DataFrame:
     return ParityJoin(docs).membership()
 

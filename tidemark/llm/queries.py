@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from . import digest_index, host_rules, language, mixing, parity_join, piece_bpe, secret_tests, token_coder
+from . import digest_index, extendible, host_rules, language, mixing, parity_join, piece_bpe, secret_tests, token_coder, unigram_count
 from .common import documents
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op1_token_files(spark, sf_dir):
-    return token_coder.token_file_query(spark, documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
+    return token_coder.token_file_query(spark, documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
 def op2_host_rules(spark, sf_dir):
@@ -28,6 +28,10 @@ def op4_exact_dedup(spark, sf_dir):
     return digest_index.dedup_query(spark, documents(spark, sf_dir))
 
 
+def op5_sharding(spark, sf_dir):
+    return extendible.sharding_query(documents(spark, sf_dir))
+
+
 def op6_language(spark, sf_dir):
     return language.language_query(documents(spark, sf_dir))
 
@@ -36,12 +40,16 @@ def op7_mixing(spark, sf_dir):
     return mixing.mixing_query(documents(spark, sf_dir))
 
 
+def op8_token_counts(spark, sf_dir):
+    return unigram_count.count_tokens(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_parity_join(spark, sf_dir):
     return parity_join.near_query(documents(spark, sf_dir))
 
 
 def op10_pieces(spark, sf_dir):
-    return piece_bpe.piece_query(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
+    return piece_bpe.piece_query(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
 QUERIES = {
@@ -49,13 +57,16 @@ QUERIES = {
     "op2_host_rules": op2_host_rules,
     "op3_secrets": op3_secrets,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_sharding": op5_sharding,
     "op6_language": op6_language,
     "op7_mixing": op7_mixing,
+    "op8_token_counts": op8_token_counts,
     "op9_parity_join": op9_parity_join,
     "op10_pieces": op10_pieces,
 }
 ORACLES = {
     "op2_host_rules": host_rules.ORACLE,
     "op4_exact_dedup": digest_index.ORACLE,
+    "op5_sharding": extendible.ORACLE,
     "op9_parity_join": parity_join.ORACLE,
 }
