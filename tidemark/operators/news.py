@@ -31,9 +31,9 @@ def sentiment_state(bars: DataFrame, events: DataFrame, last: int = 20, span_mos
 
     Latest sentiment (named ``sentiment_mean``), its distance to the mean of the
     last 20, an exponentially weighted mean over all events so far with span
-    ``min(10, n)``, and means of the other attributes over the last 20.  The weighted mean
-    has a fixed span from the tenth event on, so it is kept as two running sums
-    scaled by powers of the decay and needs no list of the whole past.
+    ``min(10, n)``, and means of the other attributes over the last 20.  The span is
+    fixed from the tenth event on, so weights fall below 1e-13 after 160 events and
+    the weighted mean needs no longer list than that.
     """
     attributes = ["surprise", "novelty", "relevance", "credibility"]
     base = events.select("timestamp", "asset", "sentiment", *(or_null(events, a).alias(a) for a in attributes))
