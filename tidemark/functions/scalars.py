@@ -51,48 +51,49 @@ def mean_of_known(first: Column, *others: Column) -> Column:
     return total / known
 
 
-def explain(positive_rules: list[tuple[Column, str]], negative_rules: list[tuple[Column, str]]) -> tuple[Column, Column]:
-    """Arrays of the texts whose condition holds (unknown: left out)."""
-    pick = lambda rules: F.array_compact(F.array(*(F.when(c, F.lit(t)) for c, t in rules)))
-    return pick(positive_rules), pick(negative_rules)
-
-
-def opportunity_explanation() -> tuple[Column, Column]:
-    """Reasons for and against by thresholds on the usual feature columns."""
-    c = F.col
-    plus = [
-        (c("momentum_20") > 0.02, "momentum_20"), (c("momentum_5") > 0.01, "momentum_5"), (c("relative_volume_20") > 1.5, "relative_volume_20"),
-        (c("trend_strength") > 0, "trend_strength"), (c("sentiment_shock") > 0.2, "sentiment_shock"), (c("event_surprise") > 0.2, "event_surprise"),
-    ]
-    minus = [
-        (c("momentum_20") < -0.02, "momentum_20"), (c("momentum_5") < -0.01, "momentum_5"), (c("trend_strength") < 0, "trend_strength"),
-        (c("sentiment_shock") < -0.2, "sentiment_shock"), (c("event_surprise") < -0.2, "event_surprise"),
-    ]
-    return explain(plus, minus)
-
-
-def position_size(entry: Column, stop: Column, target: Column, equity: Column, risk_percent: float = 1.0, cap_percent: float | None = None, increment: float = 1.0, minimum: float = 1.0, multiplier: Column | None = None) -> dict[str, Column]:
-    """Quantity by risk per unit, capped by value and floored to the increment; reward to risk; warnings."""
+#: Feature, what it must exceed, and the text for and against (None: no text).
+EXPLANATION_RULES = (
+    ("momentum_20", 0.02, "positive 20-bar momentum", "weak/negative 20-bar momentum"),
+    ("momentum_5", 0.01, "positive short-term momentum", "weak/negative short-term momentum"),
+    ("relative_volume_20", 1.5, "abnormal volume", None),
+    ("trend_strength", 0.0, "positive trend regime", "negative trend regime"),
+    ("sentiment_shock", 0.2, "positive sentiment shock", "negative sentiment shock"),
+    ("event_surprise", 0.2, "positive event surprise", "negative event surprise"),
+)
+
+
+def explain_opportunity(columns: list[str]) -> tuple[Column, Column]:
+    """Arrays of the texts for and against, over the rules whose feature is present; unknown values say nothing."""
+    have = [r for r in EXPLANATION_RULES if r[0] in columns]
+    plus = [F.when(F.col(name) > limit, F.lit(text)) for name, limit, text, _ in have]
+    minus = [F.when(F.col(name) <= limit, F.lit(text)) for name, limit, _, text in have if text]
+    some = lambda items: F.array_compact(F.array(*items)) if items else F.array().cast("array<string>")
+    return some(plus), some(minus)
+
+
+def position_size(entry: Column, stop: Column, target: Column, equity: Column, risk_percent: float = 1.0, cap_percent: float | None = None, increment: float | None = None, minimum: float | None = None, multiplier: Column | None = None) -> dict[str, Column]:
+    """Quantity by risk per unit, capped by value and floored to the increment, with what follows from it and warnings."""
     multiplier = F.lit(1.0) if multiplier is None else multiplier
     unit_risk = F.abs(entry - stop) * multiplier
-    raw = F.try_divide(equity * risk_percent / 100, unit_risk)
-    value_cap = F.try_divide(equity * cap_percent / 100, entry * multiplier) if cap_percent is not None else None
-    bounded = F.least(raw, value_cap) if value_cap is not None else raw
-    quantity = F.floor(bounded / increment + 1e-12) * F.lit(float(increment))
-    quantity = F.when(quantity >= minimum, quantity).otherwise(F.lit(0.0))
-    warnings = F.array_compact(
-        F.array(
-            F.when(unit_risk <= 0, F.lit("zero_risk")),
-            F.when(value_cap < raw, F.lit("capped")) if value_cap is not None else F.lit(None).cast("string"),
-            F.when(F.coalesce(bounded, F.lit(0.0)) < minimum, F.lit("below_minimum")),
-        )
-    )
+    quantity = F.try_divide(equity * risk_percent / 100, unit_risk)
+    capped = F.lit(False)
+    if cap_percent is not None:
+        most = F.try_divide(equity * cap_percent / 100, entry * multiplier)
+        capped, quantity = most < quantity, F.least(quantity, most)
+    if increment is not None:
+        quantity = F.floor(quantity / increment) * F.lit(float(increment))
+    warnings = [F.when(capped, F.lit("capped by position value")), F.when(quantity <= 0, F.lit("no feasible quantity"))]
+    if minimum is not None:
+        warnings.insert(1, F.when(quantity < minimum, F.lit("below minimum quantity")))
+    reward = F.abs(target - entry) * multiplier
     return {
-        "quantity": F.coalesce(quantity, F.lit(0.0)),
-        "unit_risk": unit_risk,
-        "risk_amount": F.coalesce(quantity, F.lit(0.0)) * unit_risk,
-        "reward_to_risk": F.try_divide(F.abs(target - entry) * multiplier, unit_risk),
-        "warnings": warnings,
+        "quantity": quantity,
+        "capital_required": quantity * entry * multiplier,
+        "risk_amount": quantity * unit_risk,
+        "risk_percent": F.try_divide(quantity * unit_risk, equity) * 100,
+        "reward_amount": quantity * reward,
+        "reward_to_risk": F.try_divide(reward, unit_risk),
+        "warnings": F.array_compact(F.array(*warnings)),
     }
 
 

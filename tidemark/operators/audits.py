@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.constants import SECURITY_TYPES
 from tidemark.functions.scalars import non_common, ticker_root
 from tidemark.operators.temporal import latest_per
 
-# Kinds of securities.
-SECURITY_TYPES = ("common_stock", "etf", "adr", "preferred", "warrant", "right", "unit", "fund", "other")
 # Columns that make a source duplicate and an economic duplicate.
 EXACT_KEYS = ("cik", "metric", "unit", "start", "end", "information_time", "tag", "accn", "val_num")
 ALIAS_KEYS = ("cik", "metric", "unit", "start", "end", "information_time", "accn")
 ECONOMIC_KEYS = ("cik", "metric", "unit", "start", "end", "information_time")
-ARCHIVE_UNIVERSE = {"rows": 750, "symbols": 5, "days": 730}
 
 
 def readiness(frame: DataFrame, min_rows: int = 750, min_symbols: int = 5, min_days: int = 730) -> DataFrame:
@@ -71,13 +69,15 @@ def histogram(frame: DataFrame, column: str, missing: str = "<missing>", top: in
 def validate_security_master(master: DataFrame) -> DataFrame:
     """Names of the violated rules and PASS or FAIL, in one row."""
     repeated = master.groupBy("symbol").count().agg(F.coalesce(F.max(F.col("count") > 1), F.lit(False)).alias("duplicate_symbols"))
-    flags = master.agg(
-        F.coalesce(F.max(~F.col("security_type").isin(*SECURITY_TYPES)), F.lit(False)).alias("unknown_type"),
-        F.coalesce(F.max(F.col("is_etf") & (F.col("security_type") != "etf")), F.lit(False)).alias("etf_flag_mismatch"),
-        F.coalesce(F.max(F.col("is_leveraged") & ~F.col("is_etf")), F.lit(False)).alias("leveraged_not_etf"),
-        F.coalesce(F.max(F.col("is_inverse") & ~F.col("is_etf")), F.lit(False)).alias("inverse_not_etf"),
-    )
-    names = ["duplicate_symbols", "unknown_type", "etf_flag_mismatch", "leveraged_not_etf", "inverse_not_etf"]
+    kind = F.col("security_type")
+    rules = {
+        "unsupported_security_type": ~F.coalesce(kind.isin(*SECURITY_TYPES), F.lit(False)),
+        "invalid_common_equity": F.col("is_common_equity") & (F.col("is_etf") | F.col("is_leveraged") | F.col("is_inverse")),
+        "leveraged_conflict": F.col("is_leveraged") & ~kind.isin("leveraged_etf", "etf"),
+        "inverse_conflict": F.col("is_inverse") & ~kind.isin("inverse_etf", "etf"),
+    }
+    flags = master.agg(*(F.coalesce(F.max(rule), F.lit(False)).alias(name) for name, rule in rules.items()))
+    names = ["duplicate_symbols", *rules]
     both = repeated.crossJoin(flags)  # single rows
     found = F.array_compact(F.array(*(F.when(F.col(n), F.lit(n)) for n in names)))
     return both.select(F.array_join(found, ",").alias("violations"), F.when(F.size(found) == 0, "PASS").otherwise("FAIL").alias("status"))

@@ -5,25 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.constants import TAG_METRICS, TAG_PRECEDENCE
 from tidemark.functions.scalars import INSTANT_METRICS, duration_kind, period_type
 from tidemark.operators.temporal import latest_per
 from tidemark.schema import days_between, require_columns
 
-# Reporting tags by metric.
-TAG_METRICS = {
-    "Revenues": "revenue", "RevenueFromContractWithCustomerExcludingAssessedTax": "revenue", "SalesRevenueNet": "revenue",
-    "NetIncomeLoss": "net_income", "EarningsPerShareDiluted": "eps_diluted",
-    "Assets": "assets", "Liabilities": "liabilities",
-    "StockholdersEquity": "equity", "StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest": "equity_including_nci",
-    "CashAndCashEquivalentsAtCarryingValue": "cash",
-    "LongTermDebtCurrent": "debt_current", "LongTermDebtNoncurrent": "debt_noncurrent", "LongTermDebt": "debt_total",
-}
-# Which tag wins at one time; tags that are not listed have 0.
-TAG_PRECEDENCE = {
-    "LongTermDebtCurrent": 30, "LongTermDebtNoncurrent": 30, "LongTermDebt": 30,
-    "RevenueFromContractWithCustomerExcludingAssessedTax": 20, "StockholdersEquity": 20,
-    "Revenues": 10, "SalesRevenueNet": 10,
-}
 IDENTITY = ["cik", "metric", "unit", "start", "end"]
 
 

@@ -7,13 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.temporal import asof_join, latest_per
 
-# Default series and their feature names.
-DEFAULT_SERIES = {
-    "EFFR": "effective_fed_funds", "DGS2": "treasury_2y", "DGS10": "treasury_10y", "CPIAUCSL": "cpi", "UNRATE": "unemployment",
-    "GDPC1": "real_gdp", "BAMLH0A0HYM2": "high_yield_spread", "VIXCLS": "vix", "DTWEXBGS": "dollar_index",
-}
-
-
 def with_availability(vintages: DataFrame) -> DataFrame:
     """Conservatively known one day after the vintage began, at midnight."""
     default = F.date_trunc("day", F.col("realtime_start") + F.expr("INTERVAL 1 DAY")).cast(vintages.schema["realtime_start"].dataType)
