@@ -18,7 +18,7 @@ SUBMISSIONS = (
 )
 GDELT_FIELDS = 61
 # Positions of the fields with a use.
-GDELT_NAMED = {0: "GlobalEventID", 26: "EventCode", 30: "GoldsteinScale", 34: "AvgTone", 59: "DATEADDED", 60: "SOURCEURL"}
+GDELT_NAMED = {0: "GLOBALEVENTID", 26: "EventCode", 30: "GoldsteinScale", 34: "AvgTone", 59: "DATEADDED", 60: "SOURCEURL"}
 
 
 def unzip(archive: str, landing: str, suffixes: tuple[str, ...] = (".json", ".txt", ".csv", ".CSV")) -> int:
@@ -89,11 +89,11 @@ def parse_events(lines: DataFrame) -> DataFrame:
     named = cells.select(*(F.get("c", F.lit(i)).alias(n) for i, n in GDELT_NAMED.items()), F.get("c", F.lit(1)).alias("_day"), *(c for c in lines.columns if c != "value"))
     return named.withColumns(
         {
-            "GLOBALEVENTID": F.col("GlobalEventID"), "event_date": F.try_to_timestamp("_day", F.lit("yyyyMMdd")).cast("date"),
+            "event_date": F.try_to_timestamp("_day", F.lit("yyyyMMdd")).cast("date"),
             "availability_time": F.coalesce(F.try_to_timestamp("DATEADDED", F.lit("yyyyMMddHHmmss")), F.try_to_timestamp("DATEADDED", F.lit("yyyyMMdd"))),
             "GoldsteinScale": F.expr("try_cast(GoldsteinScale AS DOUBLE)"), "AvgTone": F.expr("try_cast(AvgTone AS DOUBLE)"),
         }
-    ).drop("_day", "GlobalEventID")
+    ).drop("_day")
 
 
 def dedupe_events(events: DataFrame, order: list[str]) -> DataFrame:
