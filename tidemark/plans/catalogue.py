@@ -893,13 +893,13 @@ def observations_parse(spark, sf_dir):
     return feeds.parse_observations(raw).select("series_id", "timestamp", "value")
 
 
-@register("SELECT event_id::VARCHAR AS \"GLOBALEVENTID\", event_type AS \"EventCode\", value AS \"GoldsteinScale\", ts::DATE AS event_date FROM events WHERE event_id >= 0")
+@register("SELECT event_id::VARCHAR AS \"GLOBALEVENTID\", event_type AS \"EventCode\", value AS \"GoldsteinScale\", strftime(ts, '%Y-%m-%d') AS event_date FROM events WHERE event_id >= 0")
 def gdelt_dedupe(spark, sf_dir):
     e = a.table(spark, sf_dir, "events")
     fields = {0: F.col("event_id").cast("string"), 1: F.date_format("ts", "yyyyMMdd"), 26: F.col("event_type"), 30: F.col("value").cast("string"), 59: F.date_format("ts", "yyyyMMddHHmmss"), 60: F.lit("u")}
     line = F.concat_ws("\t", *(fields.get(k, F.lit("")) for k in range(feeds.GDELT_FIELDS)))
     twice = e.withColumn("file", F.explode(F.array(F.lit(1), F.lit(2)))).select(line.alias("value"), "file")
-    return feeds.dedupe_events(feeds.parse_events(twice), ["file"]).select("GLOBALEVENTID", "EventCode", "GoldsteinScale", "event_date")
+    return feeds.dedupe_events(feeds.parse_events(twice), ["file"]).select("GLOBALEVENTID", "EventCode", "GoldsteinScale", F.col("event_date").cast("string").alias("event_date"))
 
 
 # models (rows only: trees differ between engines) ------------------------------------------------------
