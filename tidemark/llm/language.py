@@ -231,5 +231,12 @@ def language_query(docs: DataFrame) -> DataFrame:
 
 def recognised(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
     """The documents whose language is recognised: not ``und``, and no weaker than ``least_score``."""
-    rated = predict_language(docs, fit_language(docs))
-    return rated.filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*docs.columns)
+    names, place = docs.columns, docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(fit_language(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, scores = shared.value.predict(batch.column(place).to_pylist())
+            yield batch.filter(pa.array([lang != "und" and score >= least_score for lang, score in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return arrow_map(docs, names, run, docs.schema)
