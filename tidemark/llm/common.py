@@ -75,9 +75,9 @@ def text_or_empty(name: str = "text"):
 BROADCAST_ROWS = 500_000
 
 
-def sized_broadcast(df: DataFrame) -> DataFrame:
+def sized_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (written rows of a few numbers) with a broadcast hint if its counted rows allow it."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def null_safe(pairs: list[tuple[str, str]]):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import sized_broadcast, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,14 +24,14 @@ def components(edges: DataFrame) -> DataFrame:
         least = staged(least, "least")
         # label of the label: one jump
         up = least.select(F.col("node").alias("up"), F.col("label").alias("up_label"))
-        jumped = staged(least.join(up, F.col("label") == F.col("up")).select("node", F.least("label", "up_label").alias("label")), "jumped")
+        jumped = staged(least.join(sized_broadcast(up), F.col("label") == F.col("up")).select("node", F.least("label", "up_label").alias("label")), "jumped")
         if labels is None:
             labels = jumped
         else:
-            old = labels.join(jumped.withColumnRenamed("label", "next").withColumnRenamed("node", "at"), F.col("label") == F.col("at"), "left")
+            old = labels.join(sized_broadcast(jumped.select(F.col("label").alias("next"), F.col("node").alias("at"))), F.col("label") == F.col("at"), "left")
             labels = staged(old.select("node", F.coalesce("next", "label").alias("label")), "labels")
-        a = jumped.select(F.col("node").alias("u"), F.col("label").alias("lu"))
-        b = jumped.select(F.col("node").alias("v"), F.col("label").alias("lv"))
+        a = sized_broadcast(jumped.select(F.col("node").alias("u"), F.col("label").alias("lu")))
+        b = sized_broadcast(jumped.select(F.col("node").alias("v"), F.col("label").alias("lv")))
         rest = links.join(a, "u").join(b, "v").filter("lu <> lv")
         links = staged(rest.select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).distinct(), "links")
         if links.isEmpty():

@@ -7,9 +7,10 @@ symmetric difference of sets of ``a`` and ``b`` shingles by ``(a + b) / 9``.
 Sketch.  Every shingle flips one bit of a sketch, so the sketch is the parity of
 the shingles at each place, equal shingles of two documents cancel in the XOR of
 their sketches, and the number of differing bits (and of differing words of
-bits) is at most the symmetric difference.  Two sketches are used.  A short one
+bits) is at most the symmetric difference.  Sketches of three widths are used.  A short one
 of 512 bits goes along with each document and rules pairs out by its Hamming
-distance.  A long one finds the pairs: its words are so wide (2**64 places) that
+distance; a wider one (more bits than shingles) does so more sharply before texts are
+read.  A long one finds the pairs: its words are so wide (2**64 places) that
 only the set bits are kept, folded to one 64-bit key by XOR.
 
 Pigeonhole.  Documents are put in size bands, each with a bound ``T`` for the
@@ -19,13 +20,20 @@ documents agree in ``slack + 1`` words at least.  A document with more than
 shows in a word that is not empty.  Documents near the top of a band also sign
 for the next band, so linked documents of any sizes meet in one.
 
+Common keys.  A key that more than ``COMMON`` classes have (a passage that many
+documents share leaves such words) is a poor witness, and mostly not needed: as equal words have
+equal keys, a linked pair keeps an agreement among its uncommon keys unless a
+document has more empty and common words than ``slack``.  Only documents over
+that budget (those in crowds of near copies) use their common keys, and among themselves.
+
 Pairs.  Documents with the same set are one class, and only classes are
 joined.  Of each group of classes with a common key, the first is paired with
 the others (as many pairs as members).  Pairs that pass the size and Hamming
 bounds are verified on the words of both whole texts.  What a group may still
 miss are links between members that aren't connected by then: two more rounds
 take other pivots, and a last one takes all remaining pairs of members in
-different components.  Components are found on the verified links.
+different components that pass the bounds; a group of uncommon keys has ``COMMON``
+members at most.  Components are found on the verified links.
 
 No group is collected into one task: groups are read as sorted streams, and
 verification deals hot pivots over salts.
@@ -41,6 +49,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +63,9 @@ from .components import components
 WORDS = 5
 SHORT_WORDS = 8  # 64-bit words of the short sketch
 SHORT = [f"s{k}" for k in range(SHORT_WORDS)]
+SKETCH_ROWS = 100_000  # rows with sketches (tens of MB) up to which they are broadcast
+CROSS_ROWS = 40  # pairs per row of the groups up to which further pivots aren't tried first
+COMMON = 32  # classes from which on a key is common
 U64 = np.uint64
 
 
@@ -110,27 +122,38 @@ def _band(size: int) -> int:
     return int(np.searchsorted(_bands()[0], size))
 
 
+def _signed_bands(n: int) -> list[int]:
+    own, upper = _band(n), _band(n * 5 // 4)
+    return ([own] if n > 4 else []) + ([upper] if n >= 4 and (upper != own or n == 4) else [])
+
+
+def _places(shingles: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the long sketch that hold shingles, and where their shingles start (both ascend)."""
+    place = ((shingles >> U64(32)) * U64(words) >> U64(32)).astype(np.int64)
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
+    return place[starts], starts
+
+
+def budget(shingles: np.ndarray) -> int:
+    """Common words that a document can spare in every band; below zero where empty words are signed too."""
+    spare = []
+    for band in _signed_bands(len(shingles)):
+        words, slack = _layout(band)
+        spare.append(slack - (words - len(_places(shingles, words)[0])))
+    return min(spare, default=0)
+
+
 def long_keys(shingles: np.ndarray) -> np.ndarray:
     """Keys of the words of the long sketch, in all bands that the document signs for."""
-    n = len(shingles)
-    if n < 4:
-        return np.zeros(0, np.int64)
     out = []
-    own, upper = _band(n), _band(n * 5 // 4)
-    for band in ([own] if n > 4 else []) + ([upper] if upper != own or n == 4 else []):
+    hashes = _mix(shingles ^ U64(0x5851F42D4C957F2D))
+    for band in _signed_bands(len(shingles)):
         words, slack = _layout(band)
-        place = ((shingles >> U64(32)) * U64(words) >> U64(32)).astype(np.int64)
         content = np.zeros(words, U64)
-        edges = np.flatnonzero(np.diff(place)) + 1  # shingles are sorted, so their places are
-        starts = np.concatenate(([0], edges))
-        at = place[starts]
-        content[at] = np.bitwise_xor.reduceat(_mix(shingles ^ U64(0x5851F42D4C957F2D)), starts)
-        filled = content != 0
-        name = _mix(np.arange(words, dtype=U64) + U64(band << 40))
-        keys = _mix(content + name)
-        if words - int(filled.sum()) <= slack:
-            keys = keys[filled]
-        out.append(keys)
+        at, starts = _places(shingles, words)
+        content[at] = np.bitwise_xor.reduceat(hashes, starts)
+        keys = _mix(content + _mix(np.arange(words, dtype=U64) + U64(band << 40)))
+        out.append(keys[at] if words - len(at) <= slack else keys)
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -151,18 +174,50 @@ def short_sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+def wide_sketch(shingles: np.ndarray) -> bytes:
+    """Parity bits, one and a half to three times as many as shingles, as bytes."""
+    bits = 1 << max(6, int(1.5 * len(shingles)).bit_length())
+    odd = (np.bincount((shingles & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """Differing bits; the longer sketch is folded by XOR, which keeps parities."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, y, bits = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(a)
+    while bits > 8 * len(b):
+        bits //= 2
+        x = x >> bits ^ x & (1 << bits) - 1
+    return (x ^ y).bit_count()
+
+
+def _near_enough(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [
+                _apart(a, b) * (100 + percent) <= (100 - percent) * (m + n)
+                for m, n, a, b in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
+            ]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _describe(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, spare, wide = [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingle_set(text, seed)
                 digest = _node(own)
                 rows.append((len(own), digest & 0xFFFFFFFFFFFFFFFF, digest >> 64, *short_sketch(own).view(np.uint64).tolist()))
+                spare.append(budget(own))
+                wide.append(wide_sketch(own))
             table = np.array(rows, np.uint64).reshape(-1, 3 + SHORT_WORDS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(np.ascontiguousarray(table[:, k]).view(np.int64)) for k in range(table.shape[1]))],
-                ["doc_id", "n", "node", "check", *SHORT],
+                [batch.column(0), *(pa.array(np.ascontiguousarray(table[:, k]).view(np.int64)) for k in range(table.shape[1])), pa.array(spare, pa.int64()), pa.array(wide, pa.binary())],
+                ["doc_id", "n", "node", "check", *SHORT, "spare", "wide"],
             )
 
     return run
@@ -193,41 +248,42 @@ def _sign(seed: int):
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key and node: those of keys with two nodes or more, with the key's first node.
+    """From rows sorted by key and node: those of keys with two nodes or more, with the key's
+    first node and whether the key is common.
 
-    Holds one batch and the last row before it, however large a group is.
+    Holds one batch and up to ``COMMON`` rows before it, however large a group is.
     """
-    last_key = last_node = first = None
-    told = True  # whether the group's first row was given already
-    for batch in batches:
-        key, node = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        if not len(key):
-            continue
-        same = np.empty(len(key), bool)
-        same[1:] = key[1:] == key[:-1]
-        same[0] = last_key is not None and key[0] == last_key
-        repeat = np.empty(len(key), bool)
-        repeat[1:] = same[1:] & (node[1:] == node[:-1])
-        repeat[0] = same[0] and node[0] == last_node
-        starts = np.flatnonzero(~same)
-        group = np.cumsum(~same) - 1  # -1: the group that came over from the batch before
-        heads = np.where(group >= 0, node[starts[np.maximum(group, 0)]] if len(starts) else first or 0, first if first is not None else 0)
-        other = same & ~repeat  # members after the first
-        wanted = other.copy()
-        with_others = np.unique(group[other])
-        early = with_others.size and with_others[0] == -1
-        wanted[starts[with_others[with_others >= 0]]] = True
-        out_key, out_node, out_first = key[wanted], node[wanted], heads[wanted]
-        if early and not told:
-            out_key, out_node, out_first = (np.concatenate(([v], a)) for v, a in ((last_key, out_key), (first, out_node), (first, out_first)))
-        if len(starts):
-            first = node[starts[-1]]
-            told = bool(with_others.size and with_others[-1] == len(starts) - 1)
-        else:
-            told = told or bool(early)
-        last_key, last_node = key[-1], node[-1]
-        if len(out_key):
-            yield pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(out_node), pa.array(out_first)], ["key", "node", "pivot"])
+    held = np.zeros((2, 0), np.int64)
+    going = None  # key, first and last node of a common group that is still being read
+    for batch in chain(batches, [None]):
+        new = held if batch is None else np.concatenate([held, np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])], axis=1)
+        held = new[:, :0]
+        out = []
+        if going is not None:
+            more = int(np.searchsorted(new[0] != going[0], True))
+            nodes = new[1, :more]
+            nodes = nodes[np.diff(nodes, prepend=going[2]) != 0]
+            out.append((np.full(len(nodes), going[0]), nodes, np.full(len(nodes), going[1]), np.ones(len(nodes), bool)))
+            going = (*going[:2], int(nodes[-1]) if len(nodes) else going[2]) if more == new.shape[1] else None
+            new = new[:, more:]
+        if new.shape[1]:
+            change = np.any(new[:, 1:] != new[:, :-1], axis=0)
+            new = new[:, np.concatenate(([True], change))]  # repeated rows go
+            starts = np.concatenate(([0], np.flatnonzero(new[0, 1:] != new[0, :-1]) + 1))
+            sizes = np.diff(np.append(starts, new.shape[1]))
+            if batch is not None:
+                last = starts[-1]
+                if sizes[-1] > COMMON:
+                    going = (int(new[0, -1]), int(new[1, last]), int(new[1, -1]))
+                else:
+                    held, new, starts, sizes = new[:, last:], new[:, :last], starts[:-1], sizes[:-1]
+            group = np.repeat(np.arange(len(starts)), sizes)
+            wanted = np.flatnonzero(sizes[group] > 1)
+            at = group[wanted]
+            out.append((new[0, wanted], new[1, wanted], new[1, starts[at]] if len(at) else new[1, :0], sizes[at] > COMMON))
+        if out and sum(len(o[0]) for o in out):
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "pivot", "common"])
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -267,9 +323,9 @@ class ParityJoin:
         self.rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
         self.percent, self.seed = percent, seed
         while True:
-            columns = "doc_id bigint, n bigint, node bigint, check bigint, " + ", ".join(f"{s} bigint" for s in SHORT)
+            columns = "doc_id bigint, n bigint, node bigint, check bigint, " + ", ".join(f"{s} bigint" for s in SHORT) + ", spare bigint, wide binary"
             self.info = staged(arrow_map(self.rows, ["doc_id", "text"], _describe(self.seed), columns), "near-info")
-            first = {c: F.first(c).alias(c) for c in ("n", *SHORT)}
+            first = {c: F.first(c).alias(c) for c in ("n", *SHORT, "spare", "wide")}  # the same in all rows of a class
             self.classes = staged(
                 self.info.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("min_doc"), F.min("check").alias("low"), F.max("check").alias("high"), *first.values()),
                 "near-classes",
@@ -280,20 +336,24 @@ class ParityJoin:
 
     def _pairs(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs ``u, v`` that the size and Hamming bounds leave."""
-        side = self.classes.select("node", "n", *SHORT)
-        a = side.select(*(F.col(c).alias(f"u_{c}") for c in side.columns))
-        b = side.select(*(F.col(c).alias(f"v_{c}") for c in side.columns))
-        ordered = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()
-        joined = ordered.join(a, F.col("u") == F.col("u_node")).join(b, F.col("v") == F.col("v_node"))
-        apart = sum((F.bit_count(F.col(f"u_{s}").bitwiseXOR(F.col(f"v_{s}"))) for s in SHORT), F.lit(0))
+        ordered = staged(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct(), "near-candidates")
+        ends = staged(ordered.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "near-ends")
+        side = staged(self.classes.select("node", "n", "wide", *SHORT).join(sized_broadcast(ends), "node", "left_semi"), "near-sides")
+        a = sized_broadcast(side.select(*(F.col(c).alias(f"u_{c}") for c in side.columns)), SKETCH_ROWS)
+        b = sized_broadcast(side.select(*(F.col(c).alias(f"v_{c}") for c in side.columns)), SKETCH_ROWS)
+        joined = ordered.join(a, F.col("u") == F.col("u_node")).join(b, F.col("v") == F.col("v_node")).filter(self._bounds("u_", "v_"))
+        return arrow_map(joined, ["u", "v", "u_n", "v_n", "u_wide", "v_wide"], _near_enough(self.percent), "u bigint, v bigint")
+
+    def _bounds(self, u: str, v: str):
+        """The size bound and the short sketch's Hamming bound between two prefixed sides."""
         p = self.percent
-        return joined.filter(
-            (100 * F.least("u_n", "v_n") >= p * F.greatest("u_n", "v_n")) & (apart * (100 + p) <= (100 - p) * (F.col("u_n") + F.col("v_n")))
-        ).select("u", "v")
+        apart = sum((F.bit_count(F.col(f"{u}{s}").bitwiseXOR(F.col(f"{v}{s}"))) for s in SHORT), F.lit(0))
+        size = 100 * F.least(f"{u}n", f"{v}n") >= p * F.greatest(f"{u}n", f"{v}n")
+        return size & (apart * (100 + p) <= (100 - p) * (F.col(f"{u}n") + F.col(f"{v}n")))
 
     def _texts(self, nodes: DataFrame) -> DataFrame:
         """``node, text`` of one document of each class in ``nodes``."""
-        wanted = staged(nodes.join(self.classes.select("node", "min_doc"), "node").select("node", F.col("min_doc").alias("wanted_doc")), "near-wanted")
+        wanted = staged(self.classes.select("node", "min_doc").join(sized_broadcast(nodes), "node").select("node", F.col("min_doc").alias("wanted_doc")), "near-wanted")
         found = self.rows.join(sized_broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("wanted_doc")))
         return found.select("node", "text")
 
@@ -303,14 +363,16 @@ class ParityJoin:
         # the end with more pairs is the pivot: its text goes along once
         degree = left.select(F.col("u").alias("node")).unionAll(left.select(F.col("v").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
         degree = staged(degree, "near-degree")
-        du, dv = (degree.select(F.col("node").alias(x), F.col("degree").alias(f"d{x}")) for x in "uv")
+        du, dv = (sized_broadcast(degree.select(F.col("node").alias(x), F.col("degree").alias(f"d{x}"))) for x in "uv")
         turned = left.join(du, "u").join(dv, "v").select(
             F.when(F.col("du") >= F.col("dv"), F.col("u")).otherwise(F.col("v")).alias("pivot"),
             F.when(F.col("du") >= F.col("dv"), F.col("v")).otherwise(F.col("u")).alias("member"),
         ).withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(64)).cast("int"))
+        turned = staged(turned, "near-turned")
         texts = staged(self._texts(degree.select("node")), "near-texts", codec="zstd")
-        members = turned.join(texts.withColumnRenamed("node", "member"), "member").select("pivot", "salt", "member", "text")
-        pivots = turned.select("pivot", "salt").distinct().join(texts.withColumnRenamed("node", "pivot"), "pivot")
+        starts = staged(turned.select("pivot", "salt").distinct(), "near-starts")
+        members = texts.withColumnRenamed("node", "member").join(sized_broadcast(turned), "member").select("pivot", "salt", "member", "text")
+        pivots = texts.withColumnRenamed("node", "pivot").join(sized_broadcast(starts), "pivot")
         pivots = pivots.select("pivot", "salt", F.lit(None).cast("long").alias("member"), "text")
         dealt = members.unionAll(pivots).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("member").asc_nulls_first())
         return staged(arrow_map(dealt, ["pivot", "salt", "member", "text"], _verify(self.seed, self.percent), "u bigint, v bigint"), "near-links")
@@ -319,38 +381,62 @@ class ParityJoin:
         """All links between classes needed for the components, and ``node, label``."""
         signed = arrow_map(self.rows, ["text"], _sign(self.seed), "key bigint, node bigint")
         dealt = signed.repartition("key").sortWithinPartitions("key", "node")
-        groups = staged(arrow_map(dealt, ["key", "node"], _groups, "key bigint, node bigint, pivot bigint"), "near-groups")
+        found = staged(arrow_map(dealt, ["key", "node"], _groups, "key bigint, node bigint, pivot bigint, common boolean"), "near-groups")
+        groups = staged(self._witnesses(found), "near-witnesses")
         tested = staged(groups.filter("node <> pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct(), "near-tested")
         links = self.links(tested)
         labels = components(links)
-        open_groups = groups.select("key", "node")
+        open_groups, most = groups.select("key", "node"), CROSS_ROWS * max(groups.count(), 1000)
         for turn in (1, 2, None):
-            named = open_groups.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+            named = open_groups.join(sized_broadcast(labels), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+            named = staged(named, "near-named")
             state = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("node", F.lit(turn or 0)).alias("h"), "node", "label")).alias("p"))
             # with two members the pair is tested; with one component nothing is missing
-            state = state.filter("low <> high AND members > 2").select("key", F.col("p.node").alias("pivot"), F.col("p.label").alias("pivot_label"))
-            named = staged(named.join(state, "key"), "near-open")
+            state = state.filter("low <> high AND members > 2").select("key", "members", F.col("p.node").alias("pivot"), F.col("p.label").alias("pivot_label"))
+            state = staged(state, "near-state")
+            if turn and (state.agg(F.sum(F.col("members") * F.col("members"))).first()[0] or 0) <= most:
+                turn = None  # few enough pairs to take them all at once
+            named = staged(named.join(sized_broadcast(state), "key"), "near-open")
             if named.isEmpty():
                 break
+            ends = staged(named.select("node").distinct(), "near-ends")
+            sketches = staged(self.classes.select("node", "n", *SHORT).join(sized_broadcast(ends), "node", "left_semi"), "near-sketches")
+            sketches = sized_broadcast(sketches, SKETCH_ROWS)
+            side = named.join(sketches, "node")
+            own = ["key", "node", "label", "n", *SHORT]
+            u = side.select(F.col("key"), *(F.col(c).alias(f"u_{c}") for c in own[1:]))
             if turn:
-                pairs = named.filter("label <> pivot_label").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
+                pivots = named.select("key", F.col("pivot").alias("node"), F.col("pivot_label").alias("label")).distinct().join(sketches, "node")
+                v = pivots.select(F.col("key"), *(F.col(c).alias(f"v_{c}") for c in own[1:]))
+                order = F.lit(True)
             else:
-                sized = named.join(self.classes.select("node", "n"), "node")
-                a = sized.select("key", F.col("node").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"))
-                b = sized.select("key", F.col("node").alias("v"), F.col("label").alias("lv"), F.col("n").alias("nv"))
-                near = (F.col("lu") != F.col("lv")) & (F.col("u") < F.col("v")) & (100 * F.least("nu", "nv") >= self.percent * F.greatest("nu", "nv"))
-                pairs = a.join(b, "key").filter(near).select("u", "v")
-            fresh = staged(pairs.distinct().join(tested, ["u", "v"], "left_anti"), "near-fresh")
+                v = side.select(F.col("key"), *(F.col(c).alias(f"v_{c}") for c in own[1:]))
+                order = F.col("u_node") < F.col("v_node")
+            met = u.alias("x").join(v.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("u_label") != F.col("v_label")) & order & self._bounds("u_", "v_"))
+            pairs = met.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")).distinct()
+            fresh = staged(pairs.join(tested, ["u", "v"], "left_anti"), "near-fresh")
             open_groups = named.select("key", "node")
-            if fresh.isEmpty():
-                continue
-            tested = tested.unionAll(fresh)
-            more = self.links(fresh)
-            if not more.isEmpty():
-                links = links.unionAll(more)
-                labels = components(links)
+            if not fresh.isEmpty():
+                tested = tested.unionAll(fresh)
+                more = self.links(fresh)
+                if not more.isEmpty():
+                    links = links.unionAll(more)
+                    labels = components(links)
+            if turn is None:
+                break
         return links, labels
 
+    def _witnesses(self, found: DataFrame) -> DataFrame:
+        """``key, node, pivot``: groups of uncommon keys, and of common keys those members that are over their budget."""
+        common = found.filter("common")
+        plain = found.filter("NOT common").select("key", "node", "pivot")
+        spent = common.groupBy("node").agg(F.count(F.lit(1)).alias("spent"))
+        spent = sized_broadcast(staged(spent, "near-spent"))
+        heavy = staged(self.classes.select("node", "spare").join(spent, "node").filter("spent > spare").select("node"), "near-heavy")
+        crowd = staged(common.select("key", "node").join(sized_broadcast(heavy), "node", "left_semi"), "near-crowd")
+        first = crowd.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).filter("pivot < other").select("key", "pivot")
+        return plain.unionAll(crowd.join(sized_broadcast(staged(first, "near-first")), "key").select("key", "node", "pivot"))
+
     def membership(self) -> DataFrame:
         """``doc_id, n_shingles, component_id`` of every document."""
         _, labels = self.run()
