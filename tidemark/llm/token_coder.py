@@ -28,7 +28,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +43,9 @@ TOTAL, BITS, LAST = np.int64(1 << TOTAL_BITS), np.uint64(TOTAL_BITS), np.uint64(
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 WORD, TOP_SHIFT = np.uint64(16), np.uint64(48)
 LEVELS = 8  # confidences 0..7
-REFRESH = 8  # steps between updates of the order-0 intervals
+REFRESH = 16  # steps between updates of the order-0 intervals
 HASH_BITS = 18
+CELL_BITS = 4
 
 
 class Mixer:
@@ -73,6 +73,20 @@ class Mixer:
         self.cum = np.zeros(self.size + 1, np.int64)
         np.cumsum(1 + self.counts * room // total, out=self.cum[1:])
         self.cum[-1] = 1 << COUNT_BITS  # what rounding leaves goes to the last id
+        self.cells = None
+
+    def find(self, target: np.ndarray) -> np.ndarray:
+        """The id whose order-0 interval holds each target: by the cell of a coarse table, then step by step."""
+        if self.cells is None:
+            edges = (self.cum + (1 << CELL_BITS) - 1) >> CELL_BITS  # first cell that begins inside or after an id's start
+            self.cells = np.repeat(np.arange(self.size), np.diff(edges))
+        x = self.cells.take(target >> CELL_BITS, mode="clip")
+        at = np.flatnonzero(self.cum[1:].take(x) <= target)
+        while len(at):
+            step = x[at] + 1
+            x[at] = step
+            at = at[self.cum[1:].take(step) <= target[at]]
+        return x
 
     def _weigh(self) -> None:
         seen = self.right.sum(axis=1)
@@ -90,8 +104,10 @@ class Mixer:
         return slot, e1, e2, g1, g2, (e2 & 7) << 4 | (e1 & 7) << 1 | (g1 == g2)
 
     def update(self, ids, one, slot, e1, e2, hit1, hit2, kind) -> None:
-        lost = np.where(hit2, 0, np.where(hit1, 1, 2))
-        self.right += np.bincount(kind * 3 + lost, minlength=self.right.size).reshape(self.right.shape) * 8
+        lost = kind * 3 + 2
+        lost -= hit1
+        lost[hit2] = kind[hit2] * 3
+        self.right += np.bincount(lost, minlength=self.right.size).reshape(self.right.shape) * 8
         over = self.right.sum(axis=1) > 1 << 18
         if over.any():
             self.right[over] = (self.right[over] >> 1) + 1
@@ -104,7 +120,7 @@ class Mixer:
             table[at] = after
         self.waiting.append(ids)
         self.steps += 1
-        if self.steps % REFRESH == 0 or self.steps < 4:
+        if self.steps % REFRESH == 0 or self.steps in (1, 2, 4, 8):
             self.counts += np.bincount(np.concatenate(self.waiting), minlength=self.size) * 32
             self.waiting.clear()
             self._spread()
@@ -220,9 +236,9 @@ def _decode_ids(n: int, size: int, lanes: int, used: np.ndarray, data: bytes) ->
         head = mixer.masses.take(kind)
         room = TOTAL - head
         target = (((value - head + 1) << COUNT_BITS) - 1) // room
-        x = np.searchsorted(mixer.cum, target, side="right") - 1
-        start = (mixer.cum.take(x, mode="clip") * room >> COUNT_BITS) + head
-        stop = (mixer.cum[1:].take(x, mode="clip") * room >> COUNT_BITS) + head
+        x = mixer.find(np.maximum(target, 0))
+        start = (mixer.cum.take(x) * room >> COUNT_BITS) + head
+        stop = (mixer.cum[1:].take(x) * room >> COUNT_BITS) + head
         at = np.flatnonzero(value < head)  # order 2 or 1 was right
         part = mixer.mass2.take(kind[at])
         by2 = value[at] < part
@@ -290,60 +306,68 @@ class WordEncoder:
 
     The tokenizer drops white space and never merges across it, so a text's ids
     are the ids of its words (cut at ASCII white space) in turn.  A word of Latin
-    letters, at most one comma or full stop after it, is looked up by its letters
-    in lower case, as the tokenizer lower-cases and cuts before punctuation.
-    The caches are emptied when they hold ``most`` entries.
+    letters, at most one comma or full stop after it, goes by its letters in
+    lower case straight to the library's model, as the tokenizer lower-cases,
+    cuts before punctuation and then maps bytes to letters of its own.  All other
+    words go through the whole tokenizer.  The caches are emptied when they are
+    full.
     """
 
-    PLAIN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])))
+    LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)]))
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 900_000, most_stems: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.most, self.words, self.stems = most, {}, {}
-
-    def _direct(self, strings: list[str]) -> list[bytes]:
+        self.most, self.most_stems = most, most_stems
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.mapped = {ord(c): "".join(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in self.LETTERS}
+        self.plain = frozenset(self.LETTERS)
+        self.tails = {t: self._whole([t])[0] if t else b"" for t in ("", ",", ".")}
+
+    def _whole(self, strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def learn(self, missing: set[bytes]) -> None:
-        if len(self.words) + len(missing) > self.most:
-            self.words.clear()
-        if len(self.stems) > self.most // 2:
-            self.stems.clear()
-        plan, wanted, direct = [], {",", "."}, []
+    def _stem(self, stem: str) -> bytes:
+        found = self.stems.get(stem)
+        if found is None:
+            if len(self.stems) >= self.most_stems:
+                self.stems.clear()
+            text = stem if stem.isascii() else stem.translate(self.mapped)
+            ids = [t.id for t in self.model.tokenize(text)]
+            found = self.stems[stem] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of new words, which are remembered too."""
+        new: dict[bytes, bytes] = {}
+        whole: list[tuple[bytes, str]] = []
         for word in missing:
             text = word.decode("utf-8", "replace")
             tail = text[-1] if text[-1] in ",." else ""
-            stem = text[:-1] if tail else text
-            if stem and self.PLAIN.issuperset(stem):
-                stem = stem.lower()
-                plan.append((word, stem, tail))
-                wanted.add(stem)
+            stem = (text[:-1] if tail else text).lower()
+            if stem and self.plain.issuperset(stem):
+                new[word] = self._stem(stem) + self.tails[tail]
             else:
-                direct.append((word, text))
-        new = [s for s in wanted if s not in self.stems]
-        self.stems.update(zip(new, self._direct(new), strict=True))
-        self.stems[""] = b""
-        stems = self.stems
-        self.words.update((w, stems[s] + stems[t]) for w, s, t in plan)
-        self.words.update(zip((w for w, _ in direct), self._direct([t for _, t in direct]), strict=True))
+                whole.append((word, text))
+        new.update(zip((w for w, _ in whole), self._whole([t for _, t in whole]), strict=True))
+        if len(self.words) + len(new) > self.most:
+            self.words.clear()
+        self.words.update(new)
+        return new
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [t.encode("utf-8", "replace").split() for t in texts]
-        missing: set[bytes] = set()
-        for words in cut:
-            missing.update(filterfalse(self.words.__contains__, words))
-        if missing:
-            self.learn(missing)
-            missing.clear()
-            for words in cut:  # the cache may have been emptied
-                missing.update(filterfalse(self.words.__contains__, words))
-            if missing:
-                self.learn(missing)
-        get = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), np.uint32) for words in cut]
+        parts = [list(map(self.words.get, words)) for words in cut]
+        holes = [[k for k, p in enumerate(own) if p is None] for own in parts]
+        new = self.learn({words[k] for words, own in zip(cut, holes, strict=True) for k in own})
+        for words, own, at in zip(cut, parts, holes, strict=True):
+            for k in at:
+                own[k] = new[words[k]]
+        return [np.frombuffer(b"".join(own), np.uint32) for own in parts]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
