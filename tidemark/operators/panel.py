@@ -24,11 +24,14 @@ def epoch_features(observations: DataFrame) -> DataFrame:
     """``cik, epoch, metric, instant, instant_time, quarter, quarter_time, qoq_growth, yoy_growth, ttm``."""
     facts = period_semantics(observations).filter(F.col("information_time").isNotNull())
     epochs = facts.select("cik", F.col("information_time").alias("epoch")).distinct()
-    seen = epochs.join(facts, "cik").filter(F.col("information_time") <= F.col("epoch"))
-    identity = ["cik", "epoch", "metric", "unit", "reporting_kind", "start", "end"]
+    # a revision is current from its own time to the next one's; its place is how many rows of its period are known
+    revisions = Window.partitionBy("cik", "metric", "unit", "reporting_kind", "start", "end").orderBy("information_time", F.col("val_num").asc_nulls_first())
+    timed = facts.withColumns({"_known": F.row_number().over(revisions), "_until": F.lead("information_time").over(revisions)})
     group = ["cik", "epoch", "metric"]
-    raw = F.sum(F.col("is_quarter").cast("int")).over(Window.partitionBy(*group, "unit"))
-    current = latest_per(seen.withColumn("_raw", raw), identity, [F.col("information_time").desc(), F.col("val_num").desc_nulls_last()])
+    inside = (F.col("information_time") <= F.col("epoch")) & (F.col("_until").isNull() | (F.col("epoch") < F.col("_until")))
+    current = epochs.join(timed, "cik").filter(inside)
+    raw = F.sum(F.when(F.col("is_quarter"), F.col("_known")).otherwise(0)).over(Window.partitionBy(*group, "unit"))
+    current = current.withColumn("_raw", raw)
     newest = [F.col("end").desc_nulls_last(), F.col("unit").desc_nulls_last(), F.col("start").desc_nulls_first()]
     instants = latest_per(current.filter("is_instant"), group, newest).select(*group, F.col("val_num").alias("instant"), F.col("information_time").alias("instant_time"))
     grown = growth_columns(current.filter("is_quarter"), [*group, "unit"], "_raw")
