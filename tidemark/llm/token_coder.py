@@ -43,7 +43,7 @@ TOTAL, BITS, LAST = np.int64(1 << TOTAL_BITS), np.uint64(TOTAL_BITS), np.uint64(
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 WORD, TOP_SHIFT = np.uint64(16), np.uint64(48)
 LEVELS = 8  # confidences 0..7
-REFRESH = 16  # steps between updates of the order-0 intervals
+REFRESH = 32  # steps between updates of the order-0 intervals
 HASH_BITS = 18
 CELL_BITS = 4
 
@@ -71,7 +71,8 @@ class Mixer:
         room = (1 << COUNT_BITS) - self.size
         total = max(int(self.counts.sum()), 1)
         self.cum = np.zeros(self.size + 1, np.int64)
-        np.cumsum(1 + self.counts * room // total, out=self.cum[1:])
+        share = (self.counts * room / total).astype(np.int64)  # below 2**53: the same on every machine
+        np.cumsum(share + 1, out=self.cum[1:])
         self.cum[-1] = 1 << COUNT_BITS  # what rounding leaves goes to the last id
         self.cells = None
 
@@ -108,10 +109,11 @@ class Mixer:
         lost -= hit1
         lost[hit2] = kind[hit2] * 3
         self.right += np.bincount(lost, minlength=self.right.size).reshape(self.right.shape) * 8
-        over = self.right.sum(axis=1) > 1 << 18
-        if over.any():
-            self.right[over] = (self.right[over] >> 1) + 1
-        self._weigh()
+        if self.steps % 4 == 0 or self.steps < 16:
+            over = self.right.sum(axis=1) > 1 << 18
+            if over.any():
+                self.right[over] = (self.right[over] >> 1) + 1
+            self._weigh()
         for table, at, entry, hit in ((self.first, one, e1, hit1), (self.second, slot, e2, hit2)):
             move = MOVES.take((entry & 7) | hit << np.int32(3))
             after = entry + move
@@ -120,7 +122,7 @@ class Mixer:
             table[at] = after
         self.waiting.append(ids)
         self.steps += 1
-        if self.steps % REFRESH == 0 or self.steps in (1, 2, 4, 8):
+        if self.steps % REFRESH == 0 or self.steps in (1, 2, 4, 8, 16):
             self.counts += np.bincount(np.concatenate(self.waiting), minlength=self.size) * 32
             self.waiting.clear()
             self._spread()
@@ -132,7 +134,7 @@ MOVES = np.array([FRESH, -1, -2, -2, -2, -2, -2, -2, 1, 1, 1, 1, 1, 1, 1, 0], np
 
 
 def _lanes(n: int) -> int:
-    return max(1, min(2048, n // 96))
+    return max(1, min(4096, n // 96))
 
 
 def _shift_out(low, span):
@@ -349,7 +351,7 @@ class WordEncoder:
             text = word.decode("utf-8", "replace")
             tail = text[-1] if text[-1] in ",." else ""
             stem = (text[:-1] if tail else text).lower()
-            if stem and self.plain.issuperset(stem):
+            if stem.isalpha() and (stem.isascii() or self.plain.issuperset(stem)):
                 new[word] = self._stem(stem) + self.tails[tail]
             else:
                 whole.append((word, text))
