@@ -206,3 +206,17 @@ def test_universe_map(spark):
     entities = spark.createDataFrame([(1, "AAPL; aapl.x"), (2, "MSFT"), (3, "GOOG;MSFT")], "cik bigint, tickers string")
     got = {(r.symbol, r.cik): r.mapping_status for r in facts.universe_map(universe, entities).collect()}
     assert got == {("aapl.us", 1): "unique", ("MSFT", 2): "ambiguous", ("MSFT", 3): "ambiguous"}
+
+
+def test_panel_master_and_context(spark):
+    mapping = spark.createDataFrame([("aapl", 1, "unique"), ("MSFT", 2, "ambiguous"), ("SPY", None, "unique")], "symbol string, cik bigint, mapping_status string")
+    symbols = lambda *s: spark.createDataFrame([(x,) for x in s], "symbol string")
+    got = {r.symbol: r.cik for r in audits.panel_master(mapping, symbols("AAPL", "SPY"), ("SPY",)).collect()}
+    assert got == {"AAPL": 1, "SPY": None}
+    with pytest.raises(ValueError, match="MSFT"):
+        audits.panel_master(mapping, symbols("AAPL", "MSFT"))
+    assert audits.universes(spark).filter("asset_class = 'crypto'").count() == 10
+    with pytest.raises(ValueError):
+        scalars.PortfolioContext(0.0).validate()
+    sized = scalars.PortfolioContext(100_000.0, 0.5).size(F.lit(100.0), F.lit(95.0), F.lit(115.0))
+    assert spark.range(1).select(sized["quantity"]).first()[0] == 100.0

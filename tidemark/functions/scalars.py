@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -127,3 +129,21 @@ def multiple_testing_warning(tests: Column, alpha: float = 0.05) -> Column:
 def logistic_confidence(value: Column, scale: Column) -> Column:
     """Logistic of value over scale (at least 1e-6), the exponent kept within 30."""
     return 1 / (1 + F.exp(-clip(value / F.greatest(scale, F.lit(1e-6)), -30, 30)))
+
+
+@dataclass(frozen=True)
+class PortfolioContext:
+    """What sizing knows about an account."""
+
+    equity: float
+    risk_percent: float = 1.0
+    cap_percent: float | None = None
+
+    def validate(self) -> PortfolioContext:
+        if not self.equity > 0:
+            raise ValueError("equity must be positive")
+        return self
+
+    def size(self, entry: Column, stop: Column, target: Column, **limits) -> dict[str, Column]:
+        self.validate()
+        return position_size(entry, stop, target, F.lit(float(self.equity)), self.risk_percent, self.cap_percent, **limits)

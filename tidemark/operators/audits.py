@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.constants import SECURITY_TYPES
+from tidemark.constants import SECURITY_TYPES, UNIVERSES
 from tidemark.functions.scalars import non_common, ticker_root
 from tidemark.operators.temporal import latest_per
 
@@ -152,3 +152,26 @@ def screen_universe(stats: DataFrame, min_rows: int = 750, min_price: float = 5.
     out = stats.withColumn("exclusion_reason", reason).withColumn("eligible", F.col("exclusion_reason").isNull())
     best = out.filter("eligible").orderBy(F.desc("median_dollar_volume_lookback"), F.desc("rows"), "symbol").limit(most).select("symbol", F.lit(True).alias("_in"))
     return out.join(best, "symbol", "left").withColumn("selected", F.coalesce("_in", F.lit(False))).drop("_in")
+
+
+def panel_master(mapping: DataFrame, symbols: DataFrame, allowed_without_cik: tuple[str, ...] = ()) -> DataFrame:
+    """``symbol, cik`` for a panel's symbols.
+
+    Every symbol needs a unique mapping with a cik, but for those allowed without one,
+    which are added with a null cik.  Raises ValueError naming what is missing.
+    """
+    wanted = symbols.select(F.upper(F.trim("symbol")).alias("symbol")).distinct()
+    mapped = mapping.withColumn("symbol", F.upper(F.trim("symbol"))).join(wanted, "symbol", "left_semi")
+    good = latest_per(mapped.filter((F.col("mapping_status") == "unique") & F.col("cik").isNotNull()), ["symbol"], [F.col("cik")]).select("symbol", "cik")
+    rest = wanted.join(good, "symbol", "left_anti")
+    allowed = rest.filter(F.col("symbol").isin(*allowed_without_cik)) if allowed_without_cik else rest.limit(0)
+    missing = [r[0] for r in rest.join(allowed, "symbol", "left_anti").orderBy("symbol").limit(20).collect()]  # for the message
+    if missing:
+        raise ValueError(f"no unique mapping for {missing}")
+    return good.unionByName(allowed.withColumn("cik", F.lit(None).cast(good.schema["cik"].dataType)))
+
+
+def universes(spark, names: tuple[str, ...] = tuple(UNIVERSES)) -> DataFrame:
+    """The default universes as a small table ``universe, asset_class, symbol``."""
+    rows = [(n, UNIVERSES[n][0], s) for n in names for s in UNIVERSES[n][1]]
+    return spark.createDataFrame(rows, "universe string, asset_class string, symbol string")
