@@ -67,6 +67,23 @@ def arrow_map(
     return df.select(*columns).mapInArrow(fn, schema)
 
 
+#: What this Python worker keeps between tasks: one encoder with its caches at most.
+_HELD: dict = {}
+
+
+def hold(name, make: Callable):
+    """The worker's encoder ``name``; another one that it held is let go first."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def release() -> None:
+    """Let go of encoders: called by tasks that use none, as workers live on from stage to stage."""
+    _HELD.clear()
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import arrow_map
+from .common import arrow_map, release
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -235,6 +235,7 @@ def recognised(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(fit_language(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             langs, scores = shared.value.predict(batch.column(place).to_pylist())
             yield batch.filter(pa.array([lang != "und" and score >= least_score for lang, score in zip(langs, scores, strict=True)], pa.bool_()))

@@ -57,7 +57,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, first_of_repeats, sized_broadcast, staged, text_or_empty, without
+from .common import arrow_map, first_of_repeats, release, sized_broadcast, staged, text_or_empty, without
 from .components import components
 
 WORDS = 5
@@ -206,6 +206,7 @@ def _near_enough(percent: int):
 
 def _describe(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             rows, spare, wide = [], [], []
             for text in batch.column(1).to_pylist():
@@ -225,6 +226,7 @@ def _describe(seed: int):
 
 def _sign(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         done: set[int] = set()  # classes this task has signed for, to spare copies
         for batch in batches:
             nodes, counts, keys = [], [], []

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, hold
 
 MARK = "▁"  # stands for a space in pieces
 NORMAL, UNUSED = 1, 5
@@ -39,7 +39,7 @@ NORMAL, UNUSED = 1, 5
 class PieceModel:
     """Pieces, scores and the two directions of text and ids, from a sentencepiece BPE model file."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2
 
@@ -68,7 +68,7 @@ class PieceModel:
         self.fits: dict[tuple[str, str], bool] = {}
         self.parts: dict[str, list[int]] = {}
         self.ids_text: dict[str, str] = {}
-        self.decoded: dict[str, str] = {}
+        self.decoded: dict[str, str] = {}  # of stretches whose ids give another text than theirs
 
     # encoding -----------------------------------------------------------
 
@@ -90,7 +90,7 @@ class PieceModel:
         key = (left, right)
         found = self.fits.get(key)
         if found is None:
-            if len(self.fits) > self.most:
+            if len(self.fits) > self.most // 2:
                 self.fits.clear()
             found = self.fits[key] = self.merge(left + right) == [left, right]
         return found
@@ -137,7 +137,7 @@ class PieceModel:
                 part = text[start:k]
                 found = self.parts.get(part)
                 if found is None:
-                    if len(self.parts) > self.most:
+                    if len(self.parts) > self.most // 2:
                         self.parts.clear()
                     if part in self.id_of or len(part) > 1:
                         found = self.backtrack(part)
@@ -167,7 +167,9 @@ class PieceModel:
         for stretch in stretches:
             ids = self.stretch(stretch)
             self.ids_text[stretch] = ",".join(map(str, ids))
-            self.decoded[stretch] = self.join(ids)
+            text = self.join(ids)
+            if text != stretch.replace(MARK, " "):
+                self.decoded[stretch] = text
 
     def prepare(self, texts: list[str]) -> list[list[str]]:
         """Cut texts whose stretches are all known afterwards."""
@@ -183,6 +185,14 @@ class PieceModel:
                     self.learn(list(filterfalse(self.ids_text.__contains__, stretches)))
         return cuts
 
+    def text_of(self, stretches: list[str]) -> str:
+        """The decoded text of known stretches, whose ids were decoded when they were learned."""
+        if self.decoded and not self.decoded.keys().isdisjoint(stretches):
+            text = "".join(self.decoded.get(s, s.replace(MARK, " ")) for s in stretches)
+        else:
+            text = "".join(stretches).replace(MARK, " ")
+        return text[1:] if text[:1] == " " else text
+
     def encode(self, text: str) -> list[int]:
         return [i for s in self.cut(text) for i in self.stretch(s)]
 
@@ -211,13 +221,8 @@ class PieceModel:
         return text[1:] if text[:1] == " " else text
 
 
-_MODELS: dict[str, PieceModel] = {}
-
-
 def _model(path: str) -> PieceModel:
-    if path not in _MODELS:
-        _MODELS[path] = PieceModel(path)
-    return _MODELS[path]
+    return hold(("pieces", path), lambda: PieceModel(path))
 
 
 def _encoder(path: str, digests: bool):
@@ -228,8 +233,7 @@ def _encoder(path: str, digests: bool):
                 piece = batch.slice(k, 128)
                 cuts = model.prepare([t or "" for t in piece.column(1).to_pylist()])
                 lists = [",".join(map(model.ids_text.__getitem__, c)) for c in cuts]
-                texts = ["".join(map(model.decoded.__getitem__, c)) for c in cuts]
-                texts = [t[1:] if t[:1] == " " else t for t in texts]
+                texts = [model.text_of(c) for c in cuts]
                 counts = pa.array([x.count(",") + 1 if x else 0 for x in lists], pa.int64())
                 if digests:
                     sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()

@@ -27,14 +27,17 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, scratch_path, text_or_empty
+from .common import arrow_map, hold, release, scratch_path, text_or_empty
 
 MAGIC = b"TMRC"
 TOTAL_BITS = 24  # of the mixture's interval
@@ -317,7 +320,7 @@ class WordEncoder:
 
     LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)]))
 
-    def __init__(self, path: str, most: int = 900_000, most_stems: int = 700_000):
+    def __init__(self, path: str, most: int = 1_200_000, most_stems: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -340,7 +343,7 @@ class WordEncoder:
                 self.stems.clear()
             text = stem if stem.isascii() else stem.translate(self.mapped)
             ids = [t.id for t in self.model.tokenize(text)]
-            found = self.stems[stem] = struct.pack(f"<{len(ids)}I", *ids)
+            found = self.stems[stem] = array("I", ids).tobytes()
         return found
 
     def learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
@@ -364,21 +367,16 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [t.encode("utf-8", "replace").split() for t in texts]
         parts = [list(map(self.words.get, words)) for words in cut]
-        holes = [[k for k, p in enumerate(own) if p is None] for own in parts]
-        new = self.learn({words[k] for words, own in zip(cut, holes, strict=True) for k in own})
+        holes = [list(compress(range(len(own)), map(not_, own))) for own in parts]  # unknown, or without ids
+        new = self.learn({words[k] for words, own, at in zip(cut, parts, holes, strict=True) for k in at if own[k] is None})
         for words, own, at in zip(cut, parts, holes, strict=True):
             for k in at:
-                own[k] = new[words[k]]
+                own[k] = new.get(words[k], b"")
         return [np.frombuffer(b"".join(own), np.uint32) for own in parts]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def _encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return hold(("words", path), lambda: WordEncoder(path))
 
 
 BLOCK_SCHEMA = "part int, block int, part_start bigint, n_ids bigint, n_docs bigint, payload binary"
@@ -423,7 +421,7 @@ def _block_writer(path: str, end_id: int, block_ids: int):
     return write
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, block_ids: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, block_ids: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode ``docs`` in ascending id order and write block files to ``path``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -431,6 +429,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
 
 def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for part, start, payload in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             ids, docs, lengths = decode_block(payload)

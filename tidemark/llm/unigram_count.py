@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, hold
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
@@ -107,16 +107,11 @@ class UnigramCounter:
         return np.array([sum(map(counts.__getitem__, words)) for words in cuts], np.int64)
 
 
-_COUNTERS: dict[str, UnigramCounter] = {}
-
-
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens`` of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model_path not in _COUNTERS:
-            _COUNTERS[model_path] = UnigramCounter(piece_scores(model_path))
-        counter = _COUNTERS[model_path]
+        counter = hold(("unigram", model_path), lambda: UnigramCounter(piece_scores(model_path)))
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 piece = batch.slice(k, 256)
