@@ -909,18 +909,15 @@ def _frame(spark, sf_dir):
     return bar_ops.forward_target(bar_ops.dataset_features(a.bars(spark, sf_dir)))
 
 
-_FAST = models.ModelConfig(rounds=5)
-
-
 @register()
 def ml_experiment(spark, sf_dir):
-    return models.run_experiment(_frame(spark, sf_dir), "all", DATASET, config=models.ExperimentConfig(model=_FAST))
+    return models.run_experiment(_frame(spark, sf_dir), "all", DATASET)
 
 
 @register()
 def ml_direction(spark, sf_dir):
     frame = research.purged_split(_frame(spark, sf_dir), 0.7)
-    model = models.fit_classifier(frame.filter("part = 'train'"), DATASET, "target_return", _FAST)
+    model = models.fit_classifier(frame.filter("part = 'train'"), DATASET, "target_return")
     return models.predict(model, frame.filter("part = 'test'"), DATASET, "probability_up").select("symbol", "timestamp", "probability_up")
 
 
