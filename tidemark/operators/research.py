@@ -189,22 +189,24 @@ def brier(frame: DataFrame, probability: str, outcome: str) -> DataFrame:
     return frame.agg(F.avg(F.pow(F.col(probability) - F.col(outcome), 2)).alias("brier"))
 
 
-def bootstrap_mean(frame: DataFrame, column: str, rounds: int = 200, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+def bootstrap_mean(frame: DataFrame, column: str, rounds: int = 2000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """Percentile interval of the mean by Poisson resampling: every row draws its own weight in every round.
 
-    One pass with ``rounds`` partial sums per task instead of ``rounds`` copies of the rows.
+    Rounds are rows, summed within each task before the exchange, so ``rounds`` rows a task are moved at most.
     """
     values = frame.select(finite(column).alias("x")).filter("x IS NOT NULL").withColumn("_id", F.monotonically_increasing_id())
-    sums = values.agg(*(f for r in range(rounds) for f in (F.sum(F.col("x") * _poisson(r, seed)).alias(f"s{r}"), F.sum(_poisson(r, seed)).alias(f"w{r}"))), F.count("x").alias("n"), F.avg("x").alias("mean"))
-    means = F.array(*(F.try_divide(f"s{r}", F.col(f"w{r}")) for r in range(rounds)))
-    long = sums.select("n", "mean", F.explode(means).alias("m"))
-    out = long.groupBy("n", "mean").agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
+    totals = values.agg(F.count("x").alias("n"), F.avg("x").alias("mean"))
+    tasks = max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), frame.sparkSession.sparkContext.defaultParallelism)
+    drawn = values.repartition(tasks).select("x", "_id", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("_round")).select("_round", "x", _poisson(F.col("_round"), seed).alias("w"))
+    means = drawn.groupBy("_round").agg(F.try_divide(F.sum(F.col("x") * F.col("w")), F.sum("w")).alias("m"))
+    limits = means.agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
+    out = totals.crossJoin(F.broadcast(limits))  # one row each
     return out.select("n", "mean", F.when(F.col("n") >= 2, F.col("low")).alias("low"), F.when(F.col("n") >= 2, F.col("high")).alias("high"))
 
 
-def _poisson(round_number: int, seed: int) -> Column:
+def _poisson(round_number: Column, seed: int) -> Column:
     """Poisson(1) weight by inversion of a hash of the row and round."""
-    u = F.pmod(F.xxhash64("_id", F.lit(round_number), F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
+    u = F.pmod(F.xxhash64("_id", round_number, F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
     steps = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406)
     return sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0)).cast("double")
 

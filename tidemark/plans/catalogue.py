@@ -753,7 +753,7 @@ def brier(spark, sf_dir):
 
 @register()
 def bootstrap_ci(spark, sf_dir):
-    return rounded(research.bootstrap_mean(a.pairs(spark, sf_dir), "actual", 50))
+    return rounded(research.bootstrap_mean(a.pairs(spark, sf_dir), "actual"))
 
 
 # decision support ----------------------------------------------------------------------------
