@@ -27,3 +27,19 @@ def test_small_alphabets_are_found_among_ordinary_candidates(spark, alphabet, ki
     got = _added(spark, planted + ordinary)
     assert sum(got[k] == [f"random_{kind}:4:{4 + n}"] for k in range(60)) >= least
     assert sum(bool(got[k]) for k in range(60, 120)) <= 3
+
+
+def test_keys_in_paths_are_found(spark):
+    rng = random.Random(8)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = [_drawn(rng, alnum, 40) for _ in range(30)]
+    second = _drawn(rng, alnum, 44)
+    texts = [f"see https://example.com/reset-password/{key} now" for key in keys]
+    texts += [f"at a_b/{keys[0]}/some-thing/or_other/plain/{second} 🙂", f"🙂 x-y/{second}== end", "https://example.com/some-long-words/in_a_path/that-has/no-key-at-all/but-words"]
+    got = _added(spark, texts)
+    spans = {k: [tuple(map(int, x.split(":")[1:])) for x in v] for k, v in got.items()}
+    holds = lambda k, key: any(s <= texts[k].index(key) and e >= texts[k].index(key) + len(key) for s, e in spans[k])
+    assert sum(holds(k, key) for k, key in enumerate(keys)) >= 27
+    assert holds(30, keys[0]) and holds(30, second) and holds(31, second)
+    assert all(a[1] <= b[0] for v in spans.values() for a, b in zip(sorted(v), sorted(v)[1:], strict=False))
+    assert not spans[32]

@@ -3,7 +3,10 @@
 Base spans come from three patterns (assignments, access keys, hex runs).  The
 battery adds strings that look random.  Candidates are maximal runs of encoding
 characters; each gets an encoding by its characters (hex, base32, alphanumeric,
-base64, base64url), with the number of symbols ``k`` that goes with it.
+base64, base64url), with the number of symbols ``k`` that goes with it.  A run that mixes
+'/' or '+' with '-' or '_' (a path, a URL) fits none; in its place its parts of 20
+characters or more are candidates, cut at one of the two sorts or at both, and of parts that
+overlap the longest that passes is kept.
 
 Tests of randomness, per candidate of ``n`` symbols with values 0..k-1:
 
@@ -50,6 +53,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Parts of a run that mixes the signs of base64 and base64url: cut at either's, or at both's.
+PARTS = ("[A-Za-z0-9+/]{20,}={0,2}", "[A-Za-z0-9_-]{20,}={0,2}", "[A-Za-z0-9]{20,}={0,2}")
 KINDS = ("assign", "access", "hex")
 
 #: name, pattern of the whole string, alphabet in value order, index of coincidence of ordinary text in it.
@@ -113,6 +118,29 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
+def parts(found: DataFrame) -> DataFrame:
+    """Candidates ``start, end, match`` with ``run``, the start of the run: runs of mixed signs in their parts."""
+    mixed = F.rlike("match", F.lit("[+/]")) & F.rlike("match", F.lit("[_-]"))
+    within = F.array_distinct(F.concat(*(_spans(F.col("match"), pattern, "random") for pattern in PARTS)))
+    whole = F.array(F.struct(F.lit("random").alias("kind"), F.lit(0).alias("start"), (F.col("end") - F.col("start")).alias("end"), F.col("match").alias("match")))
+    cut = found.withColumn("part", F.explode(F.when(mixed, within).otherwise(whole)))
+    places = {"run": F.col("start"), "start": F.col("start") + F.col("part.start"), "end": F.col("start") + F.col("part.end"), "match": F.col("part.match")}
+    return cut.withColumns(places).drop("part")
+
+
+def _longest(spans):
+    """Of spans that overlap the longest (then the first): spans are taken by falling length where they are free."""
+    sized = F.transform(spans, lambda s: F.struct((s["start"] - s["end"]).alias("less"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["match"].alias("match")))
+    taken = F.aggregate(
+        F.array_sort(sized),
+        F.array().cast("array<struct<kind:string,start:int,end:int,match:string>>"),
+        lambda kept, s: F.when(F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])), kept).otherwise(
+            F.concat(kept, F.array(F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"))))
+        ),
+    )
+    return F.when(F.size(spans) > 1, taken).otherwise(spans)
+
+
 def _normal_sf(z):
     """Upper tail of the normal distribution (Abramowitz and Stegun 26.2.17 via exp; relative error small in the bulk)."""
     a = F.abs(z)
@@ -220,12 +248,14 @@ def secret_spans(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     scanned = scan(docs)
     base = F.concat("assign", "access", "hex")
     found = scanned.filter(F.size("candidates") > 0).select("row", base.alias("base"), F.explode("candidates").alias("c")).select("row", "base", "c.*")
+    found = parts(found)
     same = F.exists("base", lambda b: (b["start"] <= F.col("start")) & (b["end"] >= F.col("end")))
     tested = staged(test_strings(found.withColumn("covered", same)), "secret-tests")
     chosen = discoveries(tested, rate).filter(~F.col("covered"))
-    added = chosen.groupBy("row").agg(
+    by_run = chosen.groupBy("row", "run").agg(
         F.collect_list(F.struct(F.concat(F.lit("random_"), "encoding").alias("kind"), "start", "end", "match")).alias("added")
     )
+    added = by_run.select("row", _longest(F.col("added")).alias("added")).groupBy("row").agg(F.flatten(F.collect_list("added")).alias("added"))
     nothing = F.array().cast("array<struct<kind:string,start:int,end:int,match:string>>")
     return scanned.join(added, "row", "left").select("row", "doc_id", base.alias("base"), F.coalesce("added", nothing).alias("added"))
 
