@@ -217,8 +217,8 @@ def _describe(seed: int):
                 wide.append(wide_sketch(own))
             table = np.array(rows, np.uint64).reshape(-1, 3 + SHORT_WORDS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(np.ascontiguousarray(table[:, k]).view(np.int64)) for k in range(table.shape[1])), pa.array(spare, pa.int64()), pa.array(wide, pa.binary())],
-                ["doc_id", "n", "node", "check", *SHORT, "spare", "wide"],
+                [batch.column(0), *(pa.array(np.ascontiguousarray(table[:, k]).view(np.int64)) for k in range(table.shape[1])), pa.array(spare, pa.int64()), pa.array(wide, pa.binary()), batch.column(2)],
+                ["doc_id", "n", "node", "check", *SHORT, "spare", "wide", "same"],
             )
 
     return run
@@ -322,11 +322,11 @@ class ParityJoin:
     def __init__(self, docs: DataFrame, percent: int = 80, seed: int = 0):
         if percent < 80:
             raise ValueError("the bands' bounds hold for 80 % and more")
-        self.rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+        self.rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"), F.xxhash64("text").alias("same"))
         self.percent, self.seed = percent, seed
         while True:
-            columns = "doc_id bigint, n bigint, node bigint, check bigint, " + ", ".join(f"{s} bigint" for s in SHORT) + ", spare bigint, wide binary"
-            self.info = staged(arrow_map(self.rows, ["doc_id", "text"], _describe(self.seed), columns), "near-info")
+            columns = "doc_id bigint, n bigint, node bigint, check bigint, " + ", ".join(f"{s} bigint" for s in SHORT) + ", spare bigint, wide binary, same bigint"
+            self.info = staged(arrow_map(self.rows, ["doc_id", "text", "same"], _describe(self.seed), columns), "near-info")
             first = {c: F.first(c).alias(c) for c in ("n", *SHORT, "spare", "wide")}  # the same in all rows of a class
             self.classes = staged(
                 self.info.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("min_doc"), F.min("check").alias("low"), F.max("check").alias("high"), *first.values()),
@@ -439,34 +439,45 @@ class ParityJoin:
         first = crowd.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).filter("pivot < other").select("key", "pivot")
         return plain.unionAll(crowd.join(sized_broadcast(staged(first, "near-first")), "key").select("key", "node", "pivot"))
 
-    def membership(self) -> DataFrame:
-        """``doc_id, n_shingles, component_id`` of every document."""
+    def _named(self) -> DataFrame:
+        """``node, min_doc, label``: every class and its component."""
         _, labels = self.run()
         named = self.classes.select("node", "min_doc").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        named = staged(named, "near-named")
+        return staged(named, "near-named")
+
+    def membership(self) -> DataFrame:
+        """``doc_id, n_shingles, component_id`` of every document."""
+        named = self._named()
         least = named.groupBy("label").agg(F.min("min_doc").alias("component_id"))
         by_class = named.join(least, "label").select("node", "component_id")
         linked = self.info.filter("n > 0").join(by_class, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
         alone = self.info.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
         return linked.unionAll(alone)
 
+    def heads(self) -> DataFrame:
+        """``doc_id, same, n, first``: the different rows with shingles, by doc_id and text hash, how often
+        each comes, and whether it is its component's first (smallest doc_id, nulls last, then class and text hash).
+        """
+        rows = staged(self.info.filter("n > 0").groupBy("doc_id", "same", "node").agg(F.count(F.lit(1)).alias("n")), "near-counted")
+        place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("class"), F.col("same").alias("hash"))
+        own = rows.groupBy("node").agg(F.min(place).alias("own"))
+        classes = staged(self._named().select("node", "label").join(own, "node"), "near-owners")
+        heads = classes.groupBy("label").agg(F.min("own").alias("head"))
+        by_class = classes.join(heads, "label").select("node", "head")
+        is_head = (F.col("node") == F.col("head.class")) & (F.col("same") == F.col("head.hash")) & F.col("doc_id").eqNullSafe(F.col("head.id"))
+        return rows.join(by_class, "node").select("doc_id", "same", "n", is_head.alias("first"))
+
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, of each group of linked ones only that with the smallest doc_id."""
-    members = staged(ParityJoin(docs).membership(), "near-members")
-    counted = members.filter("n_shingles > 0").groupBy("doc_id", "n_shingles", "component_id").agg(F.count(F.lit(1)).alias("n"))
-    counted = staged(counted, "near-counted")
-    key = {"doc_id": F.col("doc_id").cast("long")}
-    left = without(docs, counted.filter("doc_id <> component_id"), key)
-    return first_of_repeats(left, {**key, "same": F.xxhash64("text")}, _with_hash(left, counted.filter("n > 1")))
-
-
-def _with_hash(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """doc_id and text hash of the rows with a repeated doc_id."""
-    if repeated.isEmpty():
-        return repeated.select("doc_id", F.lit(0).cast("long").alias("same"))
-    ids = repeated.select(F.col("doc_id").alias("again"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("again")), "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("same")).distinct()
+    """The documents, of each group of linked ones only that with the smallest doc_id.
+
+    A row is known by its doc_id and text, so another text under the same doc_id stands for
+    itself; a null doc_id comes after all others, and of a group without any other one row stays.
+    """
+    heads = staged(ParityJoin(docs).heads(), "near-heads")
+    key = {"doc_id": F.col("doc_id").cast("long"), "same": F.xxhash64("text")}
+    left = without(docs, heads.filter("NOT first"), key)
+    return first_of_repeats(left, key, heads.filter("first AND n > 1"))
 
 
 def near_query(docs: DataFrame) -> DataFrame:
