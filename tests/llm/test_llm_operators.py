@@ -423,6 +423,22 @@ def test_hot_group_of_near_copies(spark):
     assert got == brute_near(rows)
 
 
+@pytest.mark.parametrize("edits", [(2, 9), (4, 7)])
+def test_hot_group_at_the_threshold(spark, monkeypatch, edits):
+    """Near copies of which many are linked with few others or none, in groups dealt over salts."""
+    monkeypatch.setattr(parity_join, "SALT_ROWS", 16)
+    rng = random.Random(16)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    rows = [(k, " ".join(base[: 40 + k] + [f"y{k}-{i}" for i in range(200)])) for k in range(40)]  # share a passage only
+    for k in range(160):
+        copy = list(base)
+        for at in rng.sample(range(200), rng.randrange(*edits)):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        rows.append((100 + k, " ".join(copy)))
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in parity_join.near_query(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == brute_near(rows)
+
+
 def test_groups_stream_is_the_same_for_any_batches(monkeypatch):
     import pyarrow as pa
 
@@ -431,8 +447,8 @@ def test_groups_stream_is_the_same_for_any_batches(monkeypatch):
     groups = defaultdict(set)
     for k, n in rows:
         groups[k].add(n)
-    monkeypatch.setattr(parity_join, "COMMON", 3)
-    want = Counter((k, n, min(g), len(g) > 3) for k, g in groups.items() if len(g) > 1 for n in g)
+    monkeypatch.setattr(parity_join, "COUNTED", 3)
+    want = Counter((k, n, min(len(g), 4)) for k, g in groups.items() if len(g) > 1 for n in g)
     for size in (1, 2, 3, 7, 120):
         batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[i : i + size]]), pa.array([n for _, n in rows[i : i + size]])], ["key", "node"]) for i in range(0, 120, size)]
         got = Counter(t for b in parity_join._groups(iter(batches)) for t in zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -482,3 +498,39 @@ def test_pieces_equal_the_library(docs, empty):
     full = {(r.doc_id, tuple(r.ids)) for r in piece_bpe.encode_pieces(docs, PIECE_MODEL).collect()}
     assert full == {(d, tuple(library.encode(t or ""))) for d, t in rows_of(docs)}
     assert piece_bpe.piece_query(empty, PIECE_MODEL).count() == 0
+
+
+def test_neighbours_are_compatible_when_merging_gives_them_again():
+    model = piece_bpe.PieceModel(PIECE_MODEL)
+    rng = random.Random(11)
+    ids = list(model.id_of.values())
+    for _ in range(4000):
+        a, b = rng.choice(ids[:2000]), rng.choice(ids[:2000])
+        own = [model.pieces[a], model.pieces[b]]
+        assert model.compatible(a, b) == (model.merge("".join(own)) == own), own
+
+
+def test_longest_matches_equal_brute_force():
+    rng = random.Random(12)
+    pieces = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))): k for k in range(60)}
+    own = piece_bpe.LongestMatches(pieces)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 12))) for _ in range(200)]
+    sizes = np.array(list(map(len, words)))
+    starts = np.cumsum(sizes) - sizes
+    got = own.find(own.codes[[ord(c) for c in "".join(words)]], starts, sizes)
+    for word, start in zip(words, starts, strict=True):
+        for k in range(len(word)):
+            assert got[start + k] == pieces.get(max((p for p in pieces if word.startswith(p, k)), key=len, default=""), -1)
+
+
+def test_pieces_of_long_stretches_and_small_caches():
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    model = piece_bpe.PieceModel(PIECE_MODEL, most=50)
+    rng = random.Random(13)
+    for _ in range(60):
+        texts = ["".join(rng.choice("abehtno é日🙂\n") for _ in range(rng.choice([0, 3, 30, 300]))) for _ in range(5)] + ["x" + "".join(rng.choice("abehtno") for _ in range(3000))]
+        cuts = list(map(model.cut, texts))
+        assert model.id_texts(cuts) == [",".join(map(str, library.encode(t))) for t in texts]
+        assert list(map(model.text_of, cuts)) == [library.decode(library.encode(t)) for t in texts]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,10 +27,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written tables: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session has none (tests, a laptop) a temporary folder is set.
+    Only where the session has none and runs on one machine (tests, a laptop) a temporary folder is set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -64,7 +69,26 @@ def arrow_map(
     for key, default, ours in (("maxRecordsPerBatch", "10000", "50000"), ("maxBytesPerBatch", "67108864b", "8388608b")):
         if conf.get(f"spark.sql.execution.arrow.{key}", default) == default:
             conf.set(f"spark.sql.execution.arrow.{key}", ours)
-    return df.select(*columns).mapInArrow(fn, schema)
+    return df.select(*columns).mapInArrow(_tidy(fn), schema)
+
+
+def _tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``fn``, after which the worker gives memory that is free back to the system, as it lives on from task to task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 #: What this Python worker keeps between tasks: one encoder with its caches at most.
@@ -81,20 +105,24 @@ def hold(name, make: Callable):
 
 def release() -> None:
     """Let go of encoders: called by tasks that use none, as workers live on from stage to stage."""
-    _HELD.clear()
+    if _HELD:
+        _HELD.clear()
+        trim()
 
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-#: Rows of narrow keys up to which a side is broadcast (tens of MB); beyond it both sides are shuffled.
-BROADCAST_ROWS = 500_000
+#: Bytes of rows up to which a side is broadcast; beyond it both sides are shuffled.
+BROADCAST_BYTES = 16 << 20
 
 
-def sized_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (written rows of a few numbers) with a broadcast hint if its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= most else df
+def sized_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (written rows) with a broadcast hint if its measured bytes allow it: 8 a column and row, and those of texts."""
+    long = [F.octet_length(name) for name, kind in df.dtypes if kind in ("string", "binary")]
+    row = sum((F.coalesce(x, F.lit(0)) for x in long), F.lit(16 + 8 * len(df.columns)).cast("long"))
+    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= most else df
 
 
 def null_safe(pairs: list[tuple[str, str]]):
@@ -106,14 +134,23 @@ def null_safe(pairs: list[tuple[str, str]]):
     return condition
 
 
+def prefix_beside(docs: DataFrame, word: str) -> str:
+    """``word``, with underscores until no column of ``docs`` begins with it."""
+    taken = [c.lower() for c in docs.columns]
+    while any(c.startswith(word) for c in taken):
+        word += "_"
+    return word
+
+
 def without(docs: DataFrame, dropped: DataFrame, keys: dict) -> DataFrame:
     """``docs`` less the rows whose keys are in ``dropped``.
 
     ``keys`` maps a column of ``dropped`` to the expression on ``docs`` that it equals.
     """
-    gone = dropped.select(*(F.col(name).alias(f"gone_{name}") for name in keys))
-    tagged = docs.withColumns({f"own_{name}": value for name, value in keys.items()})
-    kept = tagged.join(sized_broadcast(gone), null_safe([(f"own_{n}", f"gone_{n}") for n in keys]), "left_anti")
+    own, other = prefix_beside(docs, "own"), prefix_beside(docs, "gone")
+    gone = dropped.select(*(F.col(name).alias(f"{other}{name}") for name in keys))
+    tagged = docs.withColumns({f"{own}{name}": value for name, value in keys.items()})
+    kept = tagged.join(sized_broadcast(gone), null_safe([(f"{own}{n}", f"{other}{n}") for n in keys]), "left_anti")
     return kept.select(*docs.columns)
 
 
@@ -124,10 +161,10 @@ def first_of_repeats(docs: DataFrame, keys: dict, repeated: DataFrame) -> DataFr
     """
     if repeated.isEmpty():
         return docs
-    names = list(keys)
-    tagged = docs.withColumns({f"own_{name}": value for name, value in keys.items()})
-    some = repeated.select(*(F.col(n).alias(f"rep_{n}") for n in names)).distinct()
-    match = null_safe([(f"own_{n}", f"rep_{n}") for n in names])
-    order = Window.partitionBy(*(f"own_{n}" for n in names)).orderBy(F.xxhash64(*docs.columns))
-    ours = tagged.join(some, match, "left_semi").withColumn("own_place", F.row_number().over(order)).filter("own_place = 1")
+    names, own, other = list(keys), prefix_beside(docs, "own"), prefix_beside(docs, "rep")
+    tagged = docs.withColumns({f"{own}{name}": value for name, value in keys.items()})
+    some = repeated.select(*(F.col(n).alias(f"{other}{n}") for n in names)).distinct()
+    match = null_safe([(f"{own}{n}", f"{other}{n}") for n in names])
+    order = Window.partitionBy(*(f"{own}{n}" for n in names)).orderBy(F.xxhash64(*docs.columns))
+    ours = tagged.join(some, match, "left_semi").withColumn(f"{own}place", F.row_number().over(order)).filter(F.col(f"{own}place") == 1)
     return tagged.join(some, match, "left_anti").select(*docs.columns).unionByName(ours.select(*docs.columns))

@@ -8,7 +8,7 @@ Sketch.  Every shingle flips one bit of a sketch, so the sketch is the parity of
 the shingles at each place, equal shingles of two documents cancel in the XOR of
 their sketches, and the number of differing bits (and of differing words of
 bits) is at most the symmetric difference.  Sketches of three widths are used.  A short one
-of 512 bits goes along with each document and rules pairs out by its Hamming
+of 1,024 bits goes along with each document and rules pairs out by its Hamming
 distance; a wider one (more bits than shingles) does so more sharply before texts are
 read.  A long one finds the pairs: its words are so wide (2**64 places) that
 only the set bits are kept, folded to one 64-bit key by XOR.
@@ -20,23 +20,25 @@ documents agree in ``slack + 1`` words at least.  A document with more than
 shows in a word that is not empty.  Documents near the top of a band also sign
 for the next band, so linked documents of any sizes meet in one.
 
-Common keys.  A key that more than ``COMMON`` classes have (a passage that many
-documents share leaves such words) is a poor witness, and mostly not needed: as equal words have
-equal keys, a linked pair keeps an agreement among its uncommon keys unless a
-document has more empty and common words than ``slack``.  Only documents over
-that budget (those in crowds of near copies) use their common keys, and among themselves.
+Counting.  ``spare`` of a document is how many agreements it may lose and still
+have one: ``slack`` less its empty words.  Keys that no other class has count for nothing, so a
+document with no more than ``spare`` shared keys has no link and goes.  Of the
+others each drops its ``spare`` keys of the largest groups, by one order of all keys:
+the rarest key in which a linked pair agrees is dropped by neither.  That
+takes keys of passages that many documents share, whatever the group's size is.  Groups
+with the same members are one group.
 
 Pairs.  Documents with the same set are one class, and only classes are
-joined.  Of each group of classes with a common key, the first is paired with
-the others (as many pairs as members).  Pairs that pass the size and Hamming
-bounds are verified on the words of both whole texts.  What a group may still
-miss are links between members that aren't connected by then: two more rounds
-take other pivots, and a last one takes all remaining pairs of members in
-different components that pass the bounds; a group of uncommon keys has ``COMMON``
-members at most.  Components are found on the verified links.
+joined.  Of each group the first member is paired with the others (as many pairs as
+members).  Pairs that pass the size and Hamming bounds are verified on the words
+of both whole texts, and components are found on the links.  What a group may
+still miss are links between its components: the members outside its largest
+component meet those of other components, and of these meetings only pairs that pass the bounds
+leave the join.  Members of one component never meet again, so a group of
+near copies, which its first member links, costs as many rows as members.
 
 No group is collected into one task: groups are read as sorted streams, and
-verification deals hot pivots over salts.
+meetings and verification deal hot groups over salts.
 
 Defined cases: null, empty and blank texts have no shingles and stay alone; with
 fewer than five words the whole sequence is one shingle; repeated rows and
@@ -54,18 +56,17 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, first_of_repeats, release, sized_broadcast, staged, text_or_empty, without
 from .components import components
 
 WORDS = 5
-SHORT_WORDS = 8  # 64-bit words of the short sketch
+SHORT_WORDS = 16  # 64-bit words of the short sketch
 SHORT = [f"s{k}" for k in range(SHORT_WORDS)]
-SKETCH_ROWS = 100_000  # rows with sketches (tens of MB) up to which they are broadcast
-CROSS_ROWS = 40  # pairs per row of the groups up to which further pivots aren't tried first
-COMMON = 32  # classes from which on a key is common
+COUNTED = 32  # group sizes above this are one size in the order of keys
+SALT_ROWS = 1024  # members of a group to a salt
 U64 = np.uint64
 
 
@@ -135,7 +136,7 @@ def _places(shingles: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def budget(shingles: np.ndarray) -> int:
-    """Common words that a document can spare in every band; below zero where empty words are signed too."""
+    """Agreements that a document can spare in every band; below zero where empty words are signed too."""
     spare = []
     for band in _signed_bands(len(shingles)):
         words, slack = _layout(band)
@@ -168,7 +169,7 @@ def _name(shingles: np.ndarray) -> int:
 
 
 def short_sketch(shingles: np.ndarray) -> np.ndarray:
-    """512 parity bits as eight longs."""
+    """Parity bits as longs."""
     place = (shingles & U64(64 * SHORT_WORDS - 1)).astype(np.int64)
     odd = (np.bincount(place, minlength=64 * SHORT_WORDS) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
@@ -250,13 +251,13 @@ def _sign(seed: int):
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key and node: those of keys with two nodes or more, with the key's
-    first node and whether the key is common.
+    """From rows sorted by key and node: those of keys with two nodes or more, with the group's size
+    (``COUNTED + 1`` for all larger ones).
 
-    Holds one batch and up to ``COMMON`` rows before it, however large a group is.
+    Holds one batch and up to ``COUNTED`` rows before it, however large a group is.
     """
     held = np.zeros((2, 0), np.int64)
-    going = None  # key, first and last node of a common group that is still being read
+    going = None  # key and last node of a large group that is still being read
     for batch in chain(batches, [None]):
         new = held if batch is None else np.concatenate([held, np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])], axis=1)
         held = new[:, :0]
@@ -264,9 +265,9 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if going is not None:
             more = int(np.searchsorted(new[0] != going[0], True))
             nodes = new[1, :more]
-            nodes = nodes[np.diff(nodes, prepend=going[2]) != 0]
-            out.append((np.full(len(nodes), going[0]), nodes, np.full(len(nodes), going[1]), np.ones(len(nodes), bool)))
-            going = (*going[:2], int(nodes[-1]) if len(nodes) else going[2]) if more == new.shape[1] else None
+            nodes = nodes[np.diff(nodes, prepend=going[1]) != 0]
+            out.append((np.full(len(nodes), going[0]), nodes, np.full(len(nodes), COUNTED + 1)))
+            going = (going[0], int(nodes[-1]) if len(nodes) else going[1]) if more == new.shape[1] else None
             new = new[:, more:]
         if new.shape[1]:
             change = np.any(new[:, 1:] != new[:, :-1], axis=0)
@@ -275,17 +276,16 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.diff(np.append(starts, new.shape[1]))
             if batch is not None:
                 last = starts[-1]
-                if sizes[-1] > COMMON:
-                    going = (int(new[0, -1]), int(new[1, last]), int(new[1, -1]))
+                if sizes[-1] > COUNTED:
+                    going = (int(new[0, -1]), int(new[1, -1]))
                 else:
                     held, new, starts, sizes = new[:, last:], new[:, :last], starts[:-1], sizes[:-1]
-            group = np.repeat(np.arange(len(starts)), sizes)
-            wanted = np.flatnonzero(sizes[group] > 1)
-            at = group[wanted]
-            out.append((new[0, wanted], new[1, wanted], new[1, starts[at]] if len(at) else new[1, :0], sizes[at] > COMMON))
+            size = np.repeat(sizes, sizes)
+            wanted = np.flatnonzero(size > 1)
+            out.append((new[0, wanted], new[1, wanted], np.minimum(size[wanted], COUNTED + 1)))
         if out and sum(len(o[0]) for o in out):
             columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "pivot", "common"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "node", "size"])
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -341,8 +341,8 @@ class ParityJoin:
         ordered = staged(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct(), "near-candidates")
         ends = staged(ordered.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "near-ends")
         side = staged(self.classes.select("node", "n", "wide", *SHORT).join(sized_broadcast(ends), "node", "left_semi"), "near-sides")
-        a = sized_broadcast(side.select(*(F.col(c).alias(f"u_{c}") for c in side.columns)), SKETCH_ROWS)
-        b = sized_broadcast(side.select(*(F.col(c).alias(f"v_{c}") for c in side.columns)), SKETCH_ROWS)
+        a = sized_broadcast(side.select(*(F.col(c).alias(f"u_{c}") for c in side.columns)))
+        b = sized_broadcast(side.select(*(F.col(c).alias(f"v_{c}") for c in side.columns)))
         joined = ordered.join(a, F.col("u") == F.col("u_node")).join(b, F.col("v") == F.col("v_node")).filter(self._bounds("u_", "v_"))
         return arrow_map(joined, ["u", "v", "u_n", "v_n", "u_wide", "v_wide"], _near_enough(self.percent), "u bigint, v bigint")
 
@@ -383,61 +383,52 @@ class ParityJoin:
         """All links between classes needed for the components, and ``node, label``."""
         signed = arrow_map(self.rows, ["text"], _sign(self.seed), "key bigint, node bigint")
         dealt = signed.repartition("key").sortWithinPartitions("key", "node")
-        found = staged(arrow_map(dealt, ["key", "node"], _groups, "key bigint, node bigint, pivot bigint, common boolean"), "near-groups")
+        found = staged(arrow_map(dealt, ["key", "node"], _groups, "key bigint, node bigint, size bigint"), "near-groups")
         groups = staged(self._witnesses(found), "near-witnesses")
         tested = staged(groups.filter("node <> pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct(), "near-tested")
         links = self.links(tested)
         labels = components(links)
-        open_groups, most = groups.select("key", "node"), CROSS_ROWS * max(groups.count(), 1000)
-        for turn in (1, 2, None):
-            named = open_groups.join(sized_broadcast(labels), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-            named = staged(named, "near-named")
-            state = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("node", F.lit(turn or 0)).alias("h"), "node", "label")).alias("p"))
-            # with two members the pair is tested; with one component nothing is missing
-            state = state.filter("low <> high AND members > 2").select("key", "members", F.col("p.node").alias("pivot"), F.col("p.label").alias("pivot_label"))
-            state = staged(state, "near-state")
-            if turn and (state.agg(F.sum(F.col("members") * F.col("members"))).first()[0] or 0) <= most:
-                turn = None  # few enough pairs to take them all at once
-            named = staged(named.join(sized_broadcast(state), "key"), "near-open")
-            if named.isEmpty():
-                break
-            ends = staged(named.select("node").distinct(), "near-ends")
-            sketches = staged(self.classes.select("node", "n", *SHORT).join(sized_broadcast(ends), "node", "left_semi"), "near-sketches")
-            sketches = sized_broadcast(sketches, SKETCH_ROWS)
-            side = named.join(sketches, "node")
-            own = ["key", "node", "label", "n", *SHORT]
-            u = side.select(F.col("key"), *(F.col(c).alias(f"u_{c}") for c in own[1:]))
-            if turn:
-                pivots = named.select("key", F.col("pivot").alias("node"), F.col("pivot_label").alias("label")).distinct().join(sketches, "node")
-                v = pivots.select(F.col("key"), *(F.col(c).alias(f"v_{c}") for c in own[1:]))
-                order = F.lit(True)
-            else:
-                v = side.select(F.col("key"), *(F.col(c).alias(f"v_{c}") for c in own[1:]))
-                order = F.col("u_node") < F.col("v_node")
-            met = u.alias("x").join(v.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("u_label") != F.col("v_label")) & order & self._bounds("u_", "v_"))
-            pairs = met.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")).distinct()
-            fresh = staged(pairs.join(tested, ["u", "v"], "left_anti"), "near-fresh")
-            open_groups = named.select("key", "node")
-            if not fresh.isEmpty():
-                tested = tested.unionAll(fresh)
-                more = self.links(fresh)
-                if not more.isEmpty():
-                    links = links.unionAll(more)
-                    labels = components(links)
-            if turn is None:
-                break
+        fresh = staged(self._meetings(groups, labels).join(tested, ["u", "v"], "left_anti"), "near-fresh")
+        if not fresh.isEmpty():
+            more = self.links(fresh)
+            if not more.isEmpty():
+                links = links.unionAll(more)
+                labels = components(links)
         return links, labels
 
     def _witnesses(self, found: DataFrame) -> DataFrame:
-        """``key, node, pivot``: groups of uncommon keys, and of common keys those members that are over their budget."""
-        common = found.filter("common")
-        plain = found.filter("NOT common").select("key", "node", "pivot")
-        spent = common.groupBy("node").agg(F.count(F.lit(1)).alias("spent"))
-        spent = sized_broadcast(staged(spent, "near-spent"))
-        heavy = staged(self.classes.select("node", "spare").join(spent, "node").filter("spent > spare").select("node"), "near-heavy")
-        crowd = staged(common.select("key", "node").join(sized_broadcast(heavy), "node", "left_semi"), "near-crowd")
-        first = crowd.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).filter("pivot < other").select("key", "pivot")
-        return plain.unionAll(crowd.join(sized_broadcast(staged(first, "near-first")), "key").select("key", "node", "pivot"))
+        """``key, node, pivot``: the keys that each class can't spare, in groups of different members; the pivot is a group's first."""
+        spare = self.classes.select("node", F.greatest("spare", F.lit(0)).alias("spare"))
+        largest_first = Window.partitionBy("node").orderBy(F.col("size").desc(), "key")
+        needed = found.withColumn("place", F.row_number().over(largest_first)).join(spare, "node").filter("place > spare")
+        needed = staged(needed.select("key", "node"), "near-needed")
+        members = [F.count(F.lit(1)).alias("members"), F.min("node").alias("pivot"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+        shared = needed.groupBy("key").agg(*members).filter("members > 1")
+        one = shared.groupBy("members", "pivot", "x", "y").agg(F.min("key").alias("key")).select("key", "pivot")
+        return needed.join(sized_broadcast(staged(one, "near-keys")), "key").select("key", "node", "pivot")
+
+    def _meetings(self, groups: DataFrame, labels: DataFrame) -> DataFrame:
+        """Distinct pairs ``u, v`` from different components of a group that pass the bounds.
+
+        The groups of more than ``SALT_ROWS`` members are dealt over salts by the members outside the largest component.
+        """
+        named = staged(groups.join(sized_broadcast(labels), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "near-named")
+        parts = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+        state = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members"), F.max_by("label", F.struct("n", "label")).alias("major"))
+        # with two members the pair is tested; with one component nothing is missing
+        state = staged(state.filter("parts > 1 AND members > 2").select("key", "major", F.ceil(F.col("members") / SALT_ROWS).cast("int").alias("salts")), "near-state")
+        inside = staged(named.join(sized_broadcast(state), "key"), "near-open")
+        ends = staged(inside.select("node").distinct(), "near-ends")
+        sketches = staged(self.classes.select("node", "n", *SHORT).join(sized_broadcast(ends), "node", "left_semi"), "near-sketches")
+        side = inside.join(sized_broadcast(sketches), "node")
+        own = ["node", "label", "n", *SHORT]
+        salt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
+        u = side.filter("label <> major").select("key", salt.alias("salt"), *(F.col(c).alias(f"u_{c}") for c in own))
+        v = side.select("key", "major", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"v_{c}") for c in own))
+        # two members outside the largest component would meet twice
+        once = (F.col("v_label") == F.col("major")) | (F.col("u_node") < F.col("v_node"))
+        met = u.alias("x").join(v.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("u_label") != F.col("v_label")) & once & self._bounds("u_", "v_"))
+        return met.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")).distinct()
 
     def _named(self) -> DataFrame:
         """``node, min_doc, label``: every class and its component."""
