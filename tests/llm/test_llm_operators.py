@@ -207,6 +207,33 @@ def test_index_persists_between_batches(spark):
     assert "Exchange" not in plan
 
 
+def test_a_batch_that_is_run_again_keeps_its_rows(spark):
+    index = digest_index.DigestIndex(spark, "digest_rerun", 4)
+    one = spark.createDataFrame([(1, "a b"), (2, "ab  "), (3, "c"), (3, "c")], "doc_id bigint, text string")
+    two = spark.createDataFrame([(4, "c c"), (5, "a b")], "doc_id bigint, text string")
+    seen = lambda batch, name: Counter((r.doc_id, r.keep_id, r.kept) for r in index.add(batch, name).collect())
+    first, second = seen(one, "monday"), seen(two, "tuesday")
+    assert first == Counter([(1, 2, False), (2, 2, True), (3, 3, True), (3, 3, False)]) and second == Counter([(4, 4, True), (5, 2, False)])
+    assert (seen(one, "monday"), seen(two, "tuesday"), index.table().count()) == (first, second, 3)
+
+
+def test_no_index_is_left_behind(spark, docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    digest_index.dedup_query(spark, docs).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_columns_that_clash_with_those_of_the_stages(spark):
+    rng = random.Random(21)
+    rows = [(k % 5, prose(rng, 40) if k % 3 else "same words here", f"s{k % 2}", k, k, k, k, k, k) for k in range(30)] + [(None, "same words here", None, *range(6))] * 2
+    names = ["own_doc_id", "owndoc_id", "own_place", "gonedoc_id", "mix_copies", "mixed_size"]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string, " + ", ".join(f"{n} bigint" for n in names))
+    for stage in (digest_index.deduplicated, parity_join.one_of_each, mixing.mixed_documents):
+        out = stage(frame)
+        assert out.columns == frame.columns and out.count() > 0
+        assert {r.owndoc_id for r in out.collect()} <= {r[4] for r in rows}
+
+
 def test_deduplicated_documents(docs):
     left = digest_index.deduplicated(docs)
     texts = [re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in left.collect()]

@@ -11,7 +11,7 @@ hot digest on the other side.
 Defined cases: null text counts as empty; texts without any visible character
 are equal to each other; repeated rows with the same ``doc_id`` are separate
 rows of which one stays; a null ``doc_id`` sorts after all others; extra columns
-are ignored; an empty batch gives an empty result and leaves the index as it is.
+are ignored; texts of any length are digested whole; an empty batch gives an empty result and leaves the index as it is.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, first_of_repeats, staged, text_or_empty, without
 
-INDEX_SCHEMA = "digest binary, keep_id bigint, keep_row bigint, batch string"
+INDEX_SCHEMA = "digest binary, keep_id bigint, batch string"
 
 
 class DigestIndex:
@@ -41,15 +41,16 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def add(self, docs: DataFrame, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Deduplicate a batch inside itself and against the index, and append it.
 
         Returns one row per input row: ``doc_id, keep_id, group_size`` (rows of
         this batch with an equal text), ``kept``, ``digest``.  A digest that an
-        earlier batch brought keeps that batch's row.  A retried append finds its
-        own rows in the index and adds nothing twice.
+        earlier batch brought keeps that batch's row.  Name a ``batch`` that may have
+        to be run again: a rerun finds its own digests in the index, adds what is missing and
+        returns the same verdicts.
         """
-        batch = uuid.uuid4().hex
+        batch = batch or uuid.uuid4().hex
         text = text_or_empty(text_col)
         rows = staged(
             docs.select(
@@ -69,9 +70,9 @@ class DigestIndex:
         )
         known = self.table()
         fresh = groups.join(known.hint("merge").select("digest"), "digest", "left_anti")
-        self._append(fresh.select("digest", F.col("own_id").alias("keep_id"), F.col("own_row").alias("keep_row"), F.lit(batch).alias("batch")))
+        self._append(fresh.select("digest", F.col("own_id").alias("keep_id"), F.lit(batch).alias("batch")))
         verdicts = groups.join(self.table(), "digest").select(
-            "digest", "group_size", "keep_id", F.when(F.col("batch") == batch, F.col("keep_row")).alias("keep_row")
+            "digest", "group_size", "keep_id", F.when(F.col("batch") == batch, F.col("own_row")).alias("keep_row")
         )
         return rows.join(verdicts, "digest").select(
             "doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), "digest", "row"
@@ -79,9 +80,11 @@ class DigestIndex:
 
 
 def dedup_batch(docs: DataFrame, buckets: int = 64) -> DataFrame:
-    """One batch against an index of its own."""
+    """One batch against an index of its own, which goes when the verdicts are written."""
     index = DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}", buckets)
-    return index.add(docs)
+    decided = staged(index.add(docs), "dedup-decided")
+    docs.sparkSession.sql(f"DROP TABLE {index.name}")
+    return decided
 
 
 def digest_of(text):
@@ -91,7 +94,7 @@ def digest_of(text):
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns."""
-    decided = staged(dedup_batch(docs), "dedup-decided")
+    decided = dedup_batch(docs)
     # rows that agree in doc_id and text go down to one here; they aren't dropped by key
     same = decided.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
     keys = {"doc_id": F.col("doc_id").cast("long"), "digest": digest_of(text_or_empty())}

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, SPACE_CLASS, null_safe, sized_broadcast, staged
+from .common import SPACE_CHARS, SPACE_CLASS, null_safe, prefix_beside, sized_broadcast, staged
 
 FAN = 64
 WEIGHTS = (5, 2, 1)
@@ -183,13 +183,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     a row number within that (small) set; without such rows none is numbered.
     """
     keys = ["doc_id", "source", "size"]
-    plan = staged(mix(document_sizes(docs)).select(*(F.col(k).alias(f"mix_{k}") for k in keys), F.col("copies").alias("mix_copies")), "mix-plan")
-    own = {"mixed_doc_id": F.col("doc_id").cast("long"), "mixed_source": F.col("source").cast("string"), "mixed_size": word_count(F.col("text"))}
+    ours, theirs = prefix_beside(docs, "own"), prefix_beside(docs, "mix")
+    plan = staged(mix(document_sizes(docs)).select(*(F.col(k).alias(theirs + k) for k in keys), F.col("copies").alias(f"{theirs}copies")), "mix-plan")
+    own = {f"{ours}doc_id": F.col("doc_id").cast("long"), f"{ours}source": F.col("source").cast("string"), f"{ours}size": word_count(F.col("text"))}
     sized, ends = docs.withColumns(own), list(keys)
-    if not plan.groupBy(*(f"mix_{k}" for k in keys)).count().filter("count > 1").isEmpty():
+    if not plan.groupBy(*(theirs + k for k in keys)).count().filter("count > 1").isEmpty():
         one = Window.partitionBy(*own).orderBy(F.xxhash64("text"))
-        two = Window.partitionBy(*(f"mix_{k}" for k in keys)).orderBy(F.desc("mix_copies"))
-        sized, plan = sized.withColumn("mixed_nth", F.row_number().over(one)), plan.withColumn("mix_nth", F.row_number().over(two))
+        two = Window.partitionBy(*(theirs + k for k in keys)).orderBy(F.desc(f"{theirs}copies"))
+        sized, plan = sized.withColumn(f"{ours}nth", F.row_number().over(one)), plan.withColumn(f"{theirs}nth", F.row_number().over(two))
         ends.append("nth")
-    taken = sized.join(sized_broadcast(plan.filter("mix_copies > 0")), null_safe([(f"mixed_{k}", f"mix_{k}") for k in ends]))
-    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    taken = sized.join(sized_broadcast(plan.filter(F.col(f"{theirs}copies") > 0)), null_safe([(ours + k, theirs + k) for k in ends]))
+    return taken.withColumn(f"{theirs}copy", F.explode(F.sequence(F.lit(1), F.col(f"{theirs}copies").cast("int")))).select(*docs.columns)

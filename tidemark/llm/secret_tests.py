@@ -42,7 +42,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -227,10 +227,8 @@ def discoveries(tested: DataFrame, rate: float = 0.01, least_random: float = 1e-
     graded = tested.withColumns({"octave": octave, "step": step})
     steps = graded.groupBy("encoding", "octave", "step").agg(F.count(F.lit(1)).alias("c"))
     # a class has one row per step of a fixed grid at most
-    below = steps.alias("a").join(steps.alias("b"), (F.col("a.encoding") == F.col("b.encoding")) & (F.col("a.octave") == F.col("b.octave")))
-    sums = below.groupBy("a.encoding", "a.octave", "a.step").agg(
-        F.sum("b.c").alias("all"), F.sum(F.when(F.col("b.step") >= F.col("a.step"), F.col("b.c")).otherwise(0)).alias("beyond")
-    )
+    steepest = Window.partitionBy("encoding", "octave").orderBy(F.desc("step"))
+    sums = steps.withColumns({"beyond": F.sum("c").over(steepest), "all": F.sum("c").over(Window.partitionBy("encoding", "octave"))})
     passed = sums.filter(F.exp(-F.col("step") / F.lit(float(GRID))) * F.col("all") <= rate * F.col("beyond"))
     limits = passed.groupBy("encoding", "octave").agg(F.min("step").alias("limit"))
     return graded.join(limits, ["encoding", "octave"]).filter((F.col("step") >= F.col("limit")) & (F.col("p_random") >= least_random))

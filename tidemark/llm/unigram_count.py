@@ -14,7 +14,8 @@ in a bounded cache, so a text costs one lookup per word.
 Scores are summed in double precision in the order of the path, as the library
 does, inside one word.
 
-Defined cases: null and empty texts have no tokens; repeated rows count alike.
+Defined cases: null and empty texts have no tokens; repeated rows count alike; texts of
+any length are counted whole, a word at a time; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,14 +37,17 @@ UNKNOWN_COST = 10.0
 def piece_scores(model_path: str) -> list[tuple[str, float]]:
     """Unknown piece first, then the normal pieces of a sentencepiece model with their scores.
 
-    Runs of spaces have no useful score in that file and are left out.
+    Runs of spaces have no useful score in that file: those of two and more are left out, and a single
+    space's mark gets the lowest score of the others, as words need it before characters outside the vocabulary.
     """
     from sentencepiece import sentencepiece_model_pb2
 
     proto = sentencepiece_model_pb2.ModelProto()
     with open(model_path, "rb") as file:
         proto.ParseFromString(file.read())
-    return [("<unk>", 0.0)] + [(p.piece, p.score) for p in proto.pieces if p.type == 1 and p.score > -1e8]
+    normal = [(p.piece, p.score) for p in proto.pieces if p.type == 1]
+    lowest = min((score for _, score in normal if score > -1e8), default=0.0)
+    return [("<unk>", 0.0)] + [(p, max(score, lowest)) for p, score in normal if score > -1e8 or p == MARK]
 
 
 class UnigramCounter:
