@@ -3,11 +3,12 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import audits, bars, facts, macro, news, panel, research, temporal
+from tidemark.operators import audits, bars, facts, macro, models, news, panel, research, temporal
 from tidemark.schema import require_columns
 
 
@@ -55,6 +56,90 @@ def test_numbers_are_dense_and_ordered(spark):
     assert [r._decision_id for r in out] == list(range(500))
 
 
+def test_numbers_keep_every_row_of_a_large_table(spark):
+    rows = spark.range(0, 3_000_000, 1, 16).select(F.pmod(F.xxhash64("id"), F.lit(2_000_003)).alias("v"), F.col("id").alias("key"), F.md5(F.col("id").cast("string")).alias("more"))
+    out = temporal.number_decisions(rows, ["v"])
+    got = out.agg(F.count(F.lit(1)), F.count_distinct("_decision_id"), F.min("_decision_id"), F.max("_decision_id"), F.count_distinct("key")).first()
+    assert tuple(got) == (3_000_000, 3_000_000, 0, 2_999_999, 3_000_000)
+    again = out.select("_decision_id", "key").join(out.select("_decision_id", F.col("key").alias("other")), "_decision_id")
+    assert again.filter("key <> other").isEmpty()
+
+
+def test_events_without_sentiment_do_not_count(spark, ten):
+    items = spark.createDataFrame([("A", day(11, 12), 0.8, 0.5), ("A", day(12, 12), None, 0.9), ("A", day(12, 13), float("nan"), 0.9)], "asset string, timestamp timestamp_ntz, sentiment double, credibility double")
+    got = news.sentiment_state(ten, items).orderBy("timestamp").collect()
+    assert (got[3].sentiment_mean, got[3].sentiment_count, got[3].source_credibility) == (0.8, 1, 0.5)
+
+
+def test_bins_leave_out_pairs_without_an_outcome(spark):
+    rows = spark.createDataFrame([(0.05, 1), (0.07, None), (0.95, 0), (1.5, 1), (None, 1)], "p double, y int")
+    got = {r.bin: (r.rows, r.observed_rate) for r in research.probability_bins(rows, "p", "y").collect()}
+    assert got[1] == (1, 1.0) and got[10] == (1, 0.0) and sum(n for n, _ in got.values()) == 2
+
+
+def test_bootstrap_does_not_depend_on_partitions(spark):
+    rows = spark.createDataFrame([(float(k % 17), k) for k in range(300)] + [(3.0, 7)] * 5, "x double, k int")
+    one, two = (research.bootstrap_mean(rows.repartition(n), "x", rounds=200).first() for n in (1, 5))
+    assert tuple(one) == tuple(two) and one["low"] < one["mean"] < one["high"]
+
+
+def test_cut_time_is_the_ranked_timestamp(spark):
+    for n in (1, 2, 7, 90):
+        times = [day(1) + dt.timedelta(hours=7 * k) for k in range(n)]
+        frame = spark.createDataFrame([(t,) for t in times] * 2, "timestamp timestamp_ntz")
+        assert research._cut_time(frame, 0.7).first()["_cut"] == times[min(max(int(n * 0.7), 1), n - 1)]
+
+
+def test_walk_forward_equals_numpy(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 3))
+    y = x @ [0.5, -0.2, 0.1] + rng.normal(scale=0.3, size=400)
+    times = [day(1) + dt.timedelta(hours=k) for k in range(400)]
+    rows = [(t, "A", *map(float, x[k]), float(y[k]), t + dt.timedelta(hours=3)) for k, t in enumerate(times)] + [(day(1), "A", None, 1.0, 1.0, 1.0, day(2))]
+    frame = spark.createDataFrame(rows, "timestamp timestamp_ntz, symbol string, a double, b double, c double, target_return double, target_timestamp timestamp_ntz")
+    got = models.walk_forward_regression(frame, ["a", "b", "c"], 200, 50, 50, cost_bps=5.0).orderBy("fold").collect()
+    assert [r.fold for r in got] == [0, 1, 2, 3]
+    for k, r in enumerate(got):
+        train, test = slice(50 * k, 50 * k + 197), slice(50 * k + 200, 50 * k + 250)  # three targets reach into the test
+        mean, spread = x[train].mean(axis=0), x[train].std(axis=0)
+        z = (x[train] - mean) / spread
+        w = np.linalg.solve(z.T @ z + np.eye(3), z.T @ (y[train] - y[train].mean()))
+        p = (x[test] - mean) / spread @ w + y[train].mean()
+        gross = np.mean(np.sign(p) * y[test])
+        assert (r.train_end, r.test_start, r.test_end, r.rows) == (times[50 * k + 196], times[50 * k + 200], times[50 * k + 249], 50)
+        want = (np.abs(p - y[test]).mean(), 1 - np.mean((p - y[test]) ** 2) / y[test].var(), np.mean(np.sign(p) == np.sign(y[test])), gross, gross - 0.001)
+        assert (r.mae, r.r2, r.directional_accuracy, r.mean_strategy_return, r.net_mean_strategy_return) == pytest.approx(want)
+    assert models.walk_forward_regression(frame, ["a"], 500, 50, 50).count() == 0
+    with pytest.raises(ValueError):
+        models.walk_forward_regression(frame, ["a"], 0, 50, 50)
+
+
+def test_symbols_have_models_of_their_own(spark):
+    rows = [(s, day(1) + dt.timedelta(hours=k), float(k % 9), slope * (k % 9)) for s, slope, n in (("A", 1.0, 100), ("B", -2.0, 100), ("C", 1.0, 60)) for k in range(n)]
+    got = models.fit_predict_oos(spark.createDataFrame(rows, "symbol string, timestamp timestamp_ntz, x double, target_return double"), ["x"]).collect()
+    assert {r.symbol for r in got} == {"A", "B"} and len(got) == 60
+    assert all(abs(r.expected_return - r.target_return) < 0.6 and r.signal == np.sign(r.expected_return) for r in got)
+
+
+def test_experiments_refuse_few_rows(spark):
+    rows = spark.createDataFrame([("A", day(1), 1.0, 0.1, day(2))] * 20, "symbol string, timestamp timestamp_ntz, x double, target_return double, target_timestamp timestamp_ntz")
+    with pytest.raises(ValueError, match="usable"):
+        models.run_experiment(rows, "few", ["x"])
+
+
+def test_panel_refuses_two_bars_of_one_time(spark, ten):
+    with pytest.raises(ValueError, match="duplicate"):
+        panel.unified_panel(ten.unionAll(ten), *(spark.createDataFrame([], "x int") for _ in range(3)), [], [])
+
+
+def test_features_are_carried_over_epochs_of_other_metrics(spark):
+    early = quarters(range(10, 16))
+    rows = [*early, (1, "assets", "USD", None, early[2][4], early[2][5] + dt.timedelta(days=9), 7.0), (1, "assets", "USD", None, early[4][4], early[5][5] + dt.timedelta(days=400), 8.0)]
+    decisions = spark.createDataFrame([("a", 1, early[0][5] - dt.timedelta(days=1)), ("b", 1, early[2][5] + dt.timedelta(days=10)), ("c", 1, early[5][5] + dt.timedelta(days=500)), ("d", None, day(1))], "_decision_id string, cik bigint, decision_time timestamp_ntz")
+    got = {r._decision_id: (r.sec_revenue_quarter, r.sec_assets_instant) for r in panel.sec_features(decisions, spark.createDataFrame(rows, FACTS), ["assets", "revenue"]).collect()}
+    assert got == {"a": (None, None), "b": (12.0, 7.0), "c": (15.0, 8.0), "d": (None, None)}
+
+
 def test_forward_labels(ten):
     rows = bars.forward_target(ten).orderBy("timestamp").collect()
     assert (rows[0].entry_price, rows[0].target_return, rows[0].entry_timestamp, rows[0].target_timestamp) == (11.0, 13 / 11 - 1, day(11), day(13))
@@ -87,7 +172,7 @@ def test_news_window_bounds(spark, ten):
 def test_sentiment_state_and_event_study(spark, ten):
     items = spark.createDataFrame([("A", day(11, 12), 0.8), ("A", day(12, 12), -0.9)], "asset string, timestamp timestamp_ntz, sentiment double")
     got = news.sentiment_state(ten, items).orderBy("timestamp").collect()
-    assert got[0].sentiment_mean is None and got[0].event_count == 0
+    assert got[0].sentiment_mean is None and got[0].sentiment_count == 0
     assert got[2].sentiment_mean == 0.8 and got[3].sentiment_mean == -0.9 and got[3].sentiment_shock == pytest.approx(-0.85)
     decay = 1 - 2 / 3
     assert got[3].sentiment_ewm == pytest.approx((0.8 * decay - 0.9) / (decay + 1))

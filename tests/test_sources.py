@@ -60,6 +60,35 @@ def test_world_events(spark):
     assert events.count() == 1 and row.GoldsteinScale == 1.5 and row.availability_time == dt.datetime(2024, 1, 1, 12) and feeds.audit_events(events).first().status == "PASS"
 
 
+def test_world_events_have_all_fields(spark):
+    cells = [""] * 61
+    cells[0], cells[1], cells[29], cells[30], cells[31], cells[32], cells[33], cells[34], cells[59] = "123", "20260902", "1", "2.5", "4", "2", "3", "1.2", "20260902153000"
+    lines = spark.createDataFrame([("\t".join(cells),), ("a\tb",), ("",)], "value string")
+    events = feeds.parse_events(lines)
+    row = events.first()
+    assert len(feeds.EVENT_FIELDS) == 61 == len(set(feeds.EVENT_FIELDS)) and len(events.columns) == 63
+    assert (feeds.EVENT_FIELDS[0], feeds.EVENT_FIELDS[-1]) == ("GlobalEventID", "SOURCEURL")
+    assert (row.GlobalEventID, row.QuadClass, row.NumMentions, row.NumSources, row.NumArticles, row.AvgTone, row.Actor1Name) == (123, 1, 4, 2, 3, 1.2, None)
+    assert (row.event_date, row.availability_time) == (dt.date(2026, 9, 2), dt.datetime(2026, 9, 2, 15, 30))
+    assert tuple(feeds.malformed_events(lines).first()) == (3, 2)
+
+
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    for folder, close in (("x y", 1.0), ("z", 2.0)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "bars.csv").write_text(f"timestamp,open,high,low,close,volume,symbol\n2024-01-02,{close},{close},{close},{close},5,q\n")
+    universe = spark.createDataFrame([(str(tmp_path / "x y" / "bars.csv"), "AA"), (str(tmp_path / "z" / "bars.csv"), "BB")], "path string, symbol string")
+    got = files.load_market_for_universe(spark, universe, dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)).collect()
+    assert sorted((r.symbol, r.close) for r in got) == [("AA", 1.0), ("BB", 2.0)]
+
+
+def test_selected_universe_leaves_out_leveraged_symbols(spark):
+    names = ["spxl.us", "TNA", "AGQ.US", "SPXU", "AAPL", "MSFT.US"]
+    rows = [(n, "True", "true", 1e6 - k, 100) for k, n in enumerate(names)] + [("GE", "false", "true", 9e9, 100)]
+    frame = spark.createDataFrame(rows, "symbol string, selected string, eligible string, median_dollar_volume_lookback double, rows int")
+    assert [r.symbol for r in files.selected_universe(frame).collect()] == ["SPXU", "AAPL", "MSFT.US"]
+
+
 def test_sinks_and_synthetic_bars(spark, tmp_path):
     made = files.synthetic_bars(spark, ["A", "B"], 30)
     assert made.count() == 60 and made.filter("high < low").count() == 0

@@ -48,12 +48,27 @@ DEFAULT_SERIES = {
     "DTWEXBGS": "broad_dollar_index",
 }
 
-# Instruments whose purpose is leveraged or inverse exposure.
-LEVERAGED_INVERSE = tuple(
-    "TQQQ SQQQ SOXL SOXS UPRO SPXU SSO SDS QLD QID FAS FAZ LABU LABD TECL TECS TMF TMV UVXY SVXY "
-    "BITX BITU ETHU ETHD NUGT DUST JNUG JDST BOIL KOLD UCO SCO ERX ERY DRIP GUSH YINN YANG FNGU FNGD".split()
+# Instruments whose purpose is leveraged or inverse exposure (of universe profiles).
+LEVERAGED_INVERSE = (
+    "TQQQ", "SQQQ", "SOXL", "SOXS", "UPRO", "SPXU", "SSO", "SDS",
+    "QLD", "QID", "FAS", "FAZ", "LABU", "LABD", "TECL", "TECS",
+    "TMF", "TMV", "UVXY", "SVXY", "BITX", "BITU", "ETHU", "ETHD",
+    "NUGT", "DUST", "JNUG", "JDST", "BOIL", "KOLD", "UCO", "SCO",
+    "ERX", "ERY", "DRIP", "GUSH", "YINN", "YANG", "FNGU", "FNGD",
 )
 
+# Leveraged or inverse symbols that a panel's universe leaves out.
+PANEL_LEVERAGED = (
+    "TQQQ", "SQQQ", "SOXL", "SPXL", "UPRO", "TNA", "FAS", "TECL", "LABU", "CURE",
+    "DRN", "UDOW", "NAIL", "QLD", "SSO", "DDM", "ROM", "UWM", "AGQ",
+)
+
+# Universe profiles, whether they leave out leveraged symbols, and ticker shapes they leave out.
+UNIVERSE_PROFILES = {
+    "broad": (False, None),
+    "core_equity_etf": (True, r"(?i)(?:-WS|-WT|-WW|-UN|-U$|-R$|-P$|_)"),
+}
+
 # Default universes.
 UNIVERSES = {
     "us_equities": ("equity", ()),

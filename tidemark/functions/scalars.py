@@ -53,7 +53,7 @@ def mean_of_known(first: Column, *others: Column) -> Column:
     return total / known
 
 
-#: Feature, what it must exceed, and the text for and against (None: no text).
+#: Fixed values.  Feature, what it must exceed, and the text for and against (None: no text).
 EXPLANATION_RULES = (
     ("momentum_20", 0.02, "positive 20-bar momentum", "weak/negative 20-bar momentum"),
     ("momentum_5", 0.01, "positive short-term momentum", "weak/negative short-term momentum"),

@@ -58,7 +58,7 @@ def process_event_archives(spark: SparkSession, pattern: str, out: str) -> dict[
     events = feeds.parse_events(lines)
     files.write_table(feeds.dedupe_events(events, ["file", "DATEADDED", "SOURCEURL"]), out, partition_by=("event_date",))
     rows = spark.read.parquet(out).count()
-    return {"files": lines.select("file").distinct().count(), "output_rows": rows, "duplicate_ids": events.count() - rows}
+    return {"files": lines.select("file").distinct().count(), "output_rows": rows, "duplicate_ids": events.count() - rows, "malformed_lines": feeds.malformed_events(lines).first()["malformed"]}
 
 
 def build_panel(spark: SparkSession, paths: dict[str, str], metrics: list[str], series: list[str] = tuple(DEFAULT_SERIES), session: str = "us_equity_daily") -> DataFrame:

@@ -42,29 +42,43 @@ def macro_state(vintages: DataFrame) -> DataFrame:
     return latest_per(state, ["series_id", "known_from"], [F.col("best").desc()]).select("series_id", "known_from", "best.date", "best.known", "best.realtime_start", "best.value")
 
 
+def _by_day(dated: DataFrame, vintages: DataFrame, series: list[str]) -> DataFrame:
+    """``_day, series_id`` with what the date knows, for the distinct ``_day`` of decisions.
+
+    ``series`` is a fixed short list, so the grid has as many rows per date.
+    """
+    grid = dated.select("_day").distinct().withColumn("series_id", F.explode(F.array(*(F.lit(s) for s in series))))
+    return asof_join(grid, macro_state(vintages), ["series_id"], "_day", "known_from", ["date", "value", "realtime_start"], prefix="macro_").drop("macro_time")
+
+
+def _dated(decisions: DataFrame) -> DataFrame:
+    return decisions.withColumn("_day", F.date_trunc("day", F.col("decision_time")).cast(decisions.schema["decision_time"].dataType))
+
+
 def macro_align(decisions: DataFrame, vintages: DataFrame, series: list[str]) -> DataFrame:
     """Every decision with every series: what its UTC date knows.
 
     Decisions are reduced to distinct dates before the as-of join and joined back after it.
-    ``series`` is a fixed short list, so the grid has as many rows per date.
     """
-    day = F.date_trunc("day", F.col("decision_time")).cast(decisions.schema["decision_time"].dataType)
-    dated = decisions.withColumn("_day", day)
-    grid = dated.select("_day").distinct().withColumn("series_id", F.explode(F.array(*(F.lit(s) for s in series))))
-    state = macro_state(vintages)
-    aligned = asof_join(grid, state, ["series_id"], "_day", "known_from", ["date", "value", "realtime_start"], prefix="macro_")
-    out = dated.join(aligned, "_day").drop("macro_time")
+    dated = _dated(decisions)
+    out = dated.join(_by_day(dated, vintages, series), "_day")
     return out.withColumn("available", F.col("macro_date").isNotNull()).drop("_day")
 
 
-def macro_wide(decisions: DataFrame, vintages: DataFrame, series: list[str], key: str = "_decision_id") -> DataFrame:
-    """One row per decision: value and age in whole days of every series, by name."""
-    long = macro_align(decisions.select(key, "decision_time"), vintages, series)
-    age = F.datediff(F.col("decision_time"), F.col("macro_date")).cast("long")
-    wide = long.withColumn("age", age).groupBy(key).pivot("series_id", series).agg(F.first("macro_value").alias("value"), F.first("age").alias("age_days"))
+def macro_wide(decisions: DataFrame, vintages: DataFrame, series: list[str], key: str | list[str] = "_decision_id") -> DataFrame:
+    """One row per decision (``key``: its unique columns): value and age in whole days of every series, by name.
+
+    Series become columns while rows are dates, before decisions are joined back.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    dated = _dated(decisions.select(*dict.fromkeys([*keys, "decision_time"])))
+    wide = _by_day(dated, vintages, series).groupBy("_day").pivot("series_id", series).agg(F.first("macro_value").alias("value"), F.first("macro_date").alias("date"))
+    out = dated.join(wide, "_day")
+    columns = {}
     for s in series:
-        wide = wide.withColumnRenamed(f"{s}_value", f"macro_{s}").withColumnRenamed(f"{s}_age_days", f"macro_{s}_age_days")
-    return wide
+        columns[f"macro_{s}"] = F.col(f"`{s}_value`")
+        columns[f"macro_{s}_age_days"] = F.datediff(F.col("decision_time"), F.col(f"`{s}_date`")).cast("long")
+    return out.select(*keys, *(value.alias(name) for name, value in columns.items()))
 
 
 def audit_vintages(vintages: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass, field
+from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -13,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import logistic_confidence
-from tidemark.operators.research import diagnostics, purged_split, signals, summarize
-from tidemark.schema import finite
+from tidemark.operators.research import diagnostics, per_symbol_cut, purged_split, signals, summarize, walk_forward_folds
+from tidemark.schema import finite, require_columns
 
 
 @dataclass(frozen=True)
@@ -51,6 +55,10 @@ class ModelCard:
     def to_dict(self) -> dict:
         return asdict(self)
 
+    def save(self, path: str) -> None:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(json.dumps(self.to_dict(), indent=2, sort_keys=True))
+
 
 def _stages(features: list[str]):
     filled = [f"{f}__filled" for f in features]
@@ -61,10 +69,17 @@ def _ready(frame: DataFrame, features: list[str]) -> DataFrame:
     return frame.withColumns({f: finite(f) for f in features})
 
 
+def _dealt(train: DataFrame, rows: int, part: int = 50_000) -> DataFrame:
+    """Training rows in tasks of ``part`` rows: trees pass over them hundreds of times."""
+    return train.repartition(rows // part + 1)
+
+
 def fit_regressor(frame: DataFrame, features: list[str], target: str, config: ModelConfig = ModelConfig()):
     train = _ready(frame, features).filter(finite(target).isNotNull())
-    if train.count() < config.least_rows:
+    rows = train.count()
+    if rows < config.least_rows:
         raise ValueError(f"fewer than {config.least_rows} rows to fit on")
+    train = _dealt(train, rows)
     trees = GBTRegressor(labelCol=target, maxDepth=config.depth, stepSize=config.step, maxIter=config.rounds, seed=config.seed)
     return Pipeline(stages=[*_stages(features), trees]).fit(train)
 
@@ -74,6 +89,7 @@ def fit_classifier(frame: DataFrame, features: list[str], target: str, config: M
     found = train.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_up").alias("classes")).first()
     if found["n"] < config.least_rows or found["classes"] < 2:
         raise ValueError("both directions and enough rows are needed")
+    train = _dealt(train, found["n"])
     trees = GBTClassifier(labelCol="_up", maxDepth=config.depth, stepSize=config.step, maxIter=config.rounds, seed=config.seed)
     return Pipeline(stages=[*_stages(features), trees]).fit(train)
 
@@ -93,7 +109,7 @@ def fit_ridge(frame: DataFrame, features: list[str], target: str, penalty: float
 
 
 def ensemble(train: DataFrame, test: DataFrame, quant: list[str], combined: list[str], target: str, config: ModelConfig = ModelConfig(), weight: float = 0.35) -> DataFrame:
-    """Weighted prediction of two models and a confidence by the spread of the training predictions."""
+    """Weighted prediction of two models and a confidence by the spread of the predictions of the frame predicted."""
     a, b = fit_regressor(train, quant, target, config), fit_regressor(train, combined, target, config)
 
     def both(frame: DataFrame) -> DataFrame:
@@ -106,7 +122,12 @@ def ensemble(train: DataFrame, test: DataFrame, quant: list[str], combined: list
 
 def run_experiment(frame: DataFrame, name: str, features: list[str], target: str = "target_return", config: ExperimentConfig = ExperimentConfig()) -> DataFrame:
     """One result row: rows, mean, Sharpe ratio, drawdown, gains and directional accuracy out of sample."""
-    split = purged_split(frame, config.train_fraction)
+    usable = frame.filter(finite(target).isNotNull())
+    split = purged_split(usable, config.train_fraction)
+    counts = split.agg(F.count(F.lit(1)).alias("usable"), F.count_if(F.col("part") == "train").alias("train"), F.count_if(F.col("part") == "test").alias("test")).first()
+    for what, least in (("usable", config.least_usable), ("train", config.least_train), ("test", config.least_test)):
+        if counts[what] < least:
+            raise ValueError(f"{counts[what]} {what} rows; {least} are needed")
     train, test = split.filter("part = 'train'"), split.filter("part = 'test'")
     scored = predict(fit_regressor(train, features, target, config.model), test, features)
     traded = signals(scored, "predicted", config.hold, config.threshold, config.long_only, config.cost_bps).withColumn("name", F.lit(name))
@@ -131,3 +152,91 @@ def run_suite(frame: DataFrame, sets: dict[str, list[str]] | None = None, target
         one = run_experiment(frame, name, features, target, config)
         results = one if results is None else results.unionByName(one)
     return results
+
+
+def naive_zero(frame: DataFrame, name: str = "predicted") -> DataFrame:
+    """The baseline that expects nothing."""
+    return frame.withColumn(name, F.lit(0.0))
+
+
+# one linear model per group, all groups in one pass ------------------------------
+
+
+def _solver(features: int, penalty: float):
+    @F.pandas_udf("array<double>")
+    def solve(sums: pd.Series) -> pd.Series:
+        """Intercept and weights of ridge regression on standardised features, from the sums over a group."""
+        out = []
+        for row in sums:
+            n, y = row[0], row[1]
+            x, xy = np.array(row[2 : 2 + features]), np.array(row[2 + features : 2 + 2 * features])
+            products = np.zeros((features, features))
+            products[np.triu_indices(features)] = row[2 + 2 * features :]
+            products = products + np.triu(products, 1).T
+            spread = np.sqrt(np.maximum(np.diag(products) / n - (x / n) ** 2, 0))
+            unit = np.where(spread > 0, spread, 1.0)
+            gram = (products - np.outer(x, x) / n) / np.outer(unit, unit)
+            weights = np.linalg.solve(gram + penalty * np.eye(features), (xy - x * y / n) / unit) / unit
+            out.append([float(y / n - weights @ x / n), *map(float, weights)])
+        return pd.Series(out)
+
+    return solve
+
+
+def grouped_ridge(train: DataFrame, groups: list[str], features: list[str], target: str, penalty: float = 1.0) -> DataFrame:
+    """One row per group: its columns, ``train_rows`` and ``model`` (intercept, then weights).
+
+    Sums of products are combined on the map side, so a group costs one row a task however
+    many rows it has, and any number of groups is fitted in one pass.
+    """
+    y, x = F.col(target), [F.col(f) for f in features]
+    pairs = [x[i] * x[j] for i in range(len(x)) for j in range(i, len(x))]
+    terms = [F.lit(1.0), y, *x, *(c * y for c in x), *pairs]
+    sums = train.groupBy(*groups).agg(F.count(F.lit(1)).alias("train_rows"), F.array(*(F.sum(t.cast("double")) for t in terms)).alias("_sums"))
+    return sums.select(*groups, "train_rows", _solver(len(features), penalty)("_sums").alias("model"))
+
+
+def _scored(test: DataFrame, models: DataFrame, groups: list[str], features: list[str], name: str) -> DataFrame:
+    fitted = test.join(models, groups)
+    value = sum((F.get("model", F.lit(k)) * F.col(f) for k, f in enumerate(features, 1)), F.get("model", F.lit(0)))
+    return fitted.withColumn(name, value)
+
+
+def _usable(frame: DataFrame, features: list[str], target: str) -> DataFrame:
+    require_columns(frame, ["timestamp", target, *features], "frame")
+    known = F.lit(True)
+    for c in (*features, target):
+        known &= finite(c).isNotNull()
+    return frame.filter(known)
+
+
+def walk_forward_regression(
+    frame: DataFrame, features: list[str], train_size: int, test_size: int, step: int, target: str = "target_return", cost_bps: float = 0.0, order: tuple[str, ...] = ("timestamp", "symbol"), least_train: int = 50, penalty: float = 1.0,
+) -> DataFrame:
+    """One row per fold: its span, rows, errors, direction and mean returns before and after costs; folds with few train rows are left out."""
+    rows = walk_forward_folds(_usable(frame, features, target), train_size, test_size, step, list(order))
+    train = rows.filter("part = 'train'")
+    ends = train.groupBy("fold").agg(F.max("timestamp").alias("train_end"))
+    models = grouped_ridge(train, ["fold"], features, target, penalty).filter(F.col("train_rows") >= least_train).join(ends, "fold")
+    scored = _scored(rows.filter("part = 'test'"), models, ["fold"], features, "_p")
+    a, p = F.col(target), F.col("_p")
+    gross = F.avg(F.signum(p) * a)
+    return scored.groupBy("fold", "train_end").agg(
+        F.min("timestamp").alias("test_start"), F.max("timestamp").alias("test_end"), F.count(F.lit(1)).alias("rows"),
+        F.avg(F.abs(a - p)).alias("mae"), (1 - F.try_divide(F.avg((a - p) * (a - p)), F.when(F.var_pop(a) > 0, F.var_pop(a)))).alias("r2"),
+        F.avg((F.signum(p) == F.signum(a)).cast("double")).alias("directional_accuracy"), gross.alias("mean_strategy_return"), (gross - 2 * cost_bps / 10_000).alias("net_mean_strategy_return"),
+    )
+
+
+def fit_predict_oos(frame: DataFrame, features: list[str], target: str = "target_return", train_fraction: float = 0.7, penalty: float = 1.0) -> DataFrame:
+    """Test rows of every symbol with enough rows, with ``expected_return`` of the symbol's own model and its ``signal``."""
+    parts = per_symbol_cut(_usable(frame, features, target), train_fraction)
+    models = grouped_ridge(parts.filter("part = 'train'"), ["symbol"], features, target, penalty)
+    scored = _scored(parts.filter("part = 'test'"), models, ["symbol"], features, "expected_return")
+    return scored.withColumn("signal", F.signum("expected_return")).drop("part", "train_rows", "model")
+
+
+def research_summary(results: DataFrame) -> DataFrame:
+    """Experiments, how many have a positive Sharpe ratio, and the best by it."""
+    best = F.struct("sharpe", "name")
+    return results.agg(F.count(F.lit(1)).alias("experiments"), F.count_if(F.col("sharpe") > 0).alias("positive_sharpe"), F.max(F.when(F.col("sharpe").isNotNull(), best)).alias("_b")).select("experiments", "positive_sharpe", F.col("_b.name").alias("best_name"), F.col("_b.sharpe").alias("best_sharpe"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.temporal import asof_join
-from tidemark.schema import or_null
+from tidemark.schema import finite, or_null
 
 
 def news_window(bars: DataFrame, news: DataFrame, lookback_hours: int = 24) -> DataFrame:
@@ -27,7 +27,7 @@ def news_window(bars: DataFrame, news: DataFrame, lookback_hours: int = 24) -> D
 
 
 def sentiment_state(bars: DataFrame, events: DataFrame, last: int = 20, span_most: int = 10) -> DataFrame:
-    """State of an asset's events at each bar.
+    """State of an asset's events at each bar; events without a sentiment don't count.
 
     Latest sentiment (named ``sentiment_mean``), its distance to the mean of the
     last 20, an exponentially weighted mean over all events so far with span
@@ -36,7 +36,8 @@ def sentiment_state(bars: DataFrame, events: DataFrame, last: int = 20, span_mos
     the weighted mean needs no longer list than that.
     """
     attributes = ["surprise", "novelty", "relevance", "credibility"]
-    base = events.select("timestamp", "asset", "sentiment", *(or_null(events, a).alias(a) for a in attributes))
+    names = {a: f"event_{a}" for a in attributes} | {"credibility": "source_credibility"}
+    base = events.select("timestamp", "asset", finite("sentiment").alias("sentiment"), *(or_null(events, a).alias(a) for a in attributes)).filter("sentiment IS NOT NULL")
     order = Window.partitionBy("asset").orderBy("timestamp", "sentiment")
     recent = order.rowsBetween(-(last - 1), 0)
     numbered = base.withColumns({"n": F.row_number().over(order), "list": F.collect_list("sentiment").over(order.rowsBetween(-159, 0))})
@@ -44,12 +45,12 @@ def sentiment_state(bars: DataFrame, events: DataFrame, last: int = 20, span_mos
     decay = 1 - 2 / (F.least(F.col("n"), F.lit(span_most)) + 1.0)
     folded = F.aggregate("list", F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den")), lambda s, x: F.struct((s["num"] * F.col("decay") + x).alias("num"), (s["den"] * F.col("decay") + 1.0).alias("den")), lambda s: s["num"] / s["den"])
     state = numbered.withColumn("decay", decay).withColumns(
-        {"sentiment_ewm": folded, "recent_mean": F.avg("sentiment").over(recent), "event_count": F.least(F.col("n"), F.lit(last)).cast("long"), **{f"event_{a}": F.avg(a).over(recent) for a in attributes}}
+        {"sentiment_ewm": folded, "recent_mean": F.avg("sentiment").over(recent), "sentiment_count": F.least(F.col("n"), F.lit(last)).cast("long"), **{name: F.avg(a).over(recent) for a, name in names.items()}}
     )
     state = state.withColumn("sentiment_shock", F.col("sentiment") - F.col("recent_mean")).withColumnRenamed("asset", "symbol")
-    payload = ["sentiment", "sentiment_shock", "sentiment_ewm", "event_count", *(f"event_{a}" for a in attributes)]
+    payload = ["sentiment", "sentiment_shock", "sentiment_ewm", "sentiment_count", *names.values()]
     joined = asof_join(bars, state, ["symbol"], "timestamp", "timestamp", payload, ["n"], prefix="at_")
-    out = joined.withColumn("at_event_count", F.coalesce("at_event_count", F.lit(0).cast("long"))).withColumnRenamed("at_sentiment", "sentiment_mean")
+    out = joined.withColumn("at_sentiment_count", F.coalesce("at_sentiment_count", F.lit(0).cast("long"))).withColumnRenamed("at_sentiment", "sentiment_mean")
     for name in payload[1:]:
         out = out.withColumnRenamed(f"at_{name}", name)
     return out.drop("at_time")

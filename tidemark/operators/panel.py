@@ -1,9 +1,10 @@
 """Panel builders: company features per decision, macro features, the unified panel.
 
 Company features change only when something becomes known.  They are therefore
-computed per (cik, epoch), an epoch being a distinct information time of the cik,
-and decisions then look their epoch up with one as-of join.  Growth is computed on
-what each epoch knew, never on later revisions.
+computed per (cik, metric, epoch), an epoch being a distinct information time of the
+metric, carried forward over the company's epochs, and decisions then look their epoch
+up with one as-of join.  Growth is computed on what each epoch knew, never on later
+revisions.
 """
 
 from __future__ import annotations
@@ -14,22 +15,23 @@ from pyspark.sql import functions as F
 from tidemark.operators.bars import generic_labels, us_equity_labels
 from tidemark.operators.facts import growth_columns, period_semantics
 from tidemark.operators.macro import macro_wide
-from tidemark.operators.temporal import asof_join, latest_per, number_decisions
-from tidemark.schema import days_between
+from tidemark.operators.temporal import asof_join, latest_per
+from tidemark.schema import assert_unique, days_between
+from tidemark.session import written
 
 SUFFIXES = ("instant", "quarter", "qoq_growth", "yoy_growth", "ttm")
 
 
 def epoch_features(observations: DataFrame) -> DataFrame:
-    """``cik, epoch, metric, instant, instant_time, quarter, quarter_time, qoq_growth, yoy_growth, ttm``."""
+    """``cik, epoch, metric, instant, instant_time, quarter, quarter_time, qoq_growth, yoy_growth, ttm``, a row where a metric changes."""
     facts = period_semantics(observations).filter(F.col("information_time").isNotNull())
-    epochs = facts.select("cik", F.col("information_time").alias("epoch")).distinct()
     # a revision is current from its own time to the next one's; its place is how many rows of its period are known
     revisions = Window.partitionBy("cik", "metric", "unit", "reporting_kind", "start", "end").orderBy("information_time", F.col("val_num").asc_nulls_first())
     timed = facts.withColumns({"_known": F.row_number().over(revisions), "_until": F.lead("information_time").over(revisions)})
     group = ["cik", "epoch", "metric"]
+    epochs = facts.select("cik", "metric", F.col("information_time").alias("epoch")).distinct()
     inside = (F.col("information_time") <= F.col("epoch")) & (F.col("_until").isNull() | (F.col("epoch") < F.col("_until")))
-    current = epochs.join(timed, "cik").filter(inside)
+    current = epochs.join(timed, ["cik", "metric"]).filter(inside)
     raw = F.sum(F.when(F.col("is_quarter"), F.col("_known")).otherwise(0)).over(Window.partitionBy(*group, "unit"))
     current = current.withColumn("_raw", raw)
     newest = [F.col("end").desc_nulls_last(), F.col("unit").desc_nulls_last(), F.col("start").desc_nulls_first()]
@@ -39,32 +41,43 @@ def epoch_features(observations: DataFrame) -> DataFrame:
     return instants.join(quarters, group, "full")
 
 
-def sec_features(decisions: DataFrame, observations: DataFrame, metrics: list[str], key: str = "_decision_id") -> DataFrame:
-    """One row per decision with ``sec_<metric>_<feature>`` and ages in days; a null cik has only nulls."""
-    long = epoch_features(observations)
-    wide = long.groupBy("cik", "epoch").pivot("metric", metrics).agg(*(F.first(c).alias(c) for c in (*SUFFIXES, "instant_time", "quarter_time")))
+def sec_features(decisions: DataFrame, observations: DataFrame, metrics: list[str], key: str | list[str] = "_decision_id") -> DataFrame:
+    """One row per decision (``key``: its unique columns) with ``sec_<metric>_<feature>`` and ages in days; a null cik has only nulls."""
+    keys = [key] if isinstance(key, str) else list(key)
+    parts = (*SUFFIXES, "instant_time", "quarter_time")
+    states = epoch_features(observations).groupBy("cik", "epoch").pivot("metric", metrics).agg(F.first(F.struct(*parts)))
+    so_far = Window.partitionBy("cik").orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
+    carried = states.withColumns({m: F.last(m, ignorenulls=True).over(so_far) for m in metrics})
+    wide = carried.select("cik", "epoch", *(F.col(f"`{m}`.{p}").alias(f"{m}_{p}") for m in metrics for p in parts))
     payload = [c for c in wide.columns if c not in ("cik", "epoch")]
-    joined = asof_join(decisions.select(key, "cik", "decision_time").filter(F.col("cik").isNotNull()), wide, ["cik"], "decision_time", "epoch", payload, prefix="sec_")
+    asked = decisions.select(*dict.fromkeys([*keys, "cik", "decision_time"])).filter(F.col("cik").isNotNull())
+    joined = asof_join(asked, wide, ["cik"], "decision_time", "epoch", payload, prefix="sec_")
     columns = {}
     for m in metrics:
         for kind in ("instant", "quarter"):
             columns[f"sec_{m}_{kind}_age_days"] = days_between(F.col("decision_time"), F.col(f"sec_{m}_{kind}_time"))
-    out = joined.withColumns(columns).drop("decision_time", "sec_time", "cik", *(f"sec_{m}_{k}_time" for m in metrics for k in ("instant", "quarter")))
-    return decisions.select(key).join(out, key, "left")
+    times = [f"sec_{m}_{k}_time" for m in metrics for k in ("instant", "quarter")]
+    out = joined.withColumns(columns).drop("sec_time", *times, *(c for c in ("decision_time", "cik") if c not in keys))
+    return decisions.select(*keys).join(out, keys, "left")
 
 
 def unified_panel(bars: DataFrame, observations: DataFrame, vintages: DataFrame, master: DataFrame, metrics: list[str], series: list[str], session: str = "us_equity_daily") -> DataFrame:
-    """One row per symbol and decision: bar, label, company and macro features known at the decision."""
+    """One row per symbol and decision: bar, label, company and macro features known at the decision.
+
+    Joins go by symbol and decision time; bars that would give two rows of one decision are refused.
+    """
+    assert_unique(bars, ["symbol", "timestamp"], "bars")
     if session == "us_equity_daily":
         labelled = us_equity_labels(bars)
     elif session == "generic_daily":
         labelled = generic_labels(bars)
     else:
         raise ValueError(f"unknown market session {session!r}")
-    complete = number_decisions(labelled.filter("label_available"), ["symbol", "decision_time"])
+    complete = labelled.filter("label_available")
+    key = ["symbol", "decision_time"]
     unique_master = latest_per(master.select("symbol", F.col("cik").alias("_cik")), ["symbol"], [F.col("_cik").asc_nulls_last()])
     keyed = complete.join(unique_master, "symbol", "left")
     keyed = keyed.withColumn("cik", F.coalesce("cik", "_cik") if "cik" in bars.columns else F.col("_cik")).drop("_cik")
-    with_sec = keyed.join(sec_features(keyed, observations, metrics), "_decision_id", "left")
-    with_macro = with_sec.join(macro_wide(keyed, vintages, series), "_decision_id", "left")
-    return with_macro.drop("_decision_id")
+    keyed = written(keyed, "panel-decisions")  # three branches read it
+    with_sec = keyed.join(sec_features(keyed, observations, metrics, key), key, "left")
+    return with_sec.join(macro_wide(keyed, vintages, series, key), key, "left")

@@ -18,12 +18,17 @@ YEAR = 252.0
 def _cut_time(frame: DataFrame, fraction: float) -> DataFrame:
     """One row: the distinct timestamp at index ``clamp(int(n * fraction), 1, n - 1)``.
 
-    The rank comes from counts of distinct timestamps, one row each.
+    Days are counted first, so no task ranks more than the days, or the timestamps of one day.
     """
-    times = frame.select("timestamp").distinct().withColumn("_i", F.row_number().over(Window.orderBy("timestamp")) - 1)
-    n = times.count()
-    at = min(max(int(n * fraction), 1), max(n - 1, 0))
-    return times.filter(F.col("_i") == at).select(F.col("timestamp").alias("_cut"))
+    times = frame.select("timestamp").distinct().withColumn("_day", F.to_date("timestamp"))
+    days = times.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
+    up_to = F.sum("_n").over(Window.orderBy(F.col("_day").asc_nulls_first()))
+    days = days.withColumns({"_before": up_to - F.col("_n"), "_all": F.sum("_n").over(Window.partitionBy())})
+    at = F.least(F.greatest(F.floor(F.col("_all") * fraction), F.lit(1)), F.greatest(F.col("_all") - 1, F.lit(0)))
+    day = days.filter((at >= F.col("_before")) & (at < F.col("_before") + F.col("_n"))).select(F.col("_day").alias("_of"), (at - F.col("_before")).alias("_at"))
+    inside = times.join(F.broadcast(day), F.col("_day").eqNullSafe(F.col("_of")))  # one row
+    ranked = inside.withColumn("_i", F.row_number().over(Window.partitionBy("_day").orderBy("timestamp")) - 1)
+    return ranked.filter(F.col("_i") == F.col("_at")).select(F.col("timestamp").alias("_cut"))
 
 
 def purged_split(frame: DataFrame, fraction: float = 0.7, purge_bars: int = 0) -> DataFrame:
@@ -45,16 +50,15 @@ def walk_forward_folds(frame: DataFrame, train_size: int, test_size: int, step:
 
     Rows are numbered across partitions without one global sort task.
     """
+    if min(train_size, test_size, step) < 1:
+        raise ValueError("sizes and step must be at least one")
     from tidemark.operators.temporal import number_decisions
 
     rows = number_decisions(frame, order).withColumnRenamed("_decision_id", "_n")
-    n = rows.count()
-    starts = list(range(0, max(n - train_size - test_size + 1, 0), step))
-    if not starts:
-        return rows.limit(0).select(*frame.columns, F.lit(0).alias("fold"), F.lit("").alias("part"))
-    last = F.floor(F.col("_n") / step)
+    folds = -(-max(rows.count() - train_size - test_size + 1, 0) // step)
     first = F.greatest(F.ceil((F.col("_n") - (train_size + test_size) + 1) / step), F.lit(0))
-    spread = rows.withColumn("fold", F.explode(F.when(first <= F.least(last, F.lit(len(starts) - 1)), F.sequence(first, F.least(last, F.lit(len(starts) - 1)))).otherwise(F.array().cast("array<bigint>"))))
+    last = F.least(F.floor(F.col("_n") / step), F.lit(folds - 1))
+    spread = rows.withColumn("fold", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
     spread = spread.withColumn("part", F.when(F.col("_n") < F.col("fold") * step + train_size, "train").otherwise("test"))
     opening = spread.filter("part = 'test'").groupBy("fold").agg(F.min("timestamp").alias("_test_from"))
     kept = spread.join(F.broadcast(opening), "fold").filter("part = 'test' OR target_timestamp < _test_from")  # one row a fold
@@ -177,10 +181,10 @@ def bucket_summary(frame: DataFrame, predicted: str, actual: str, buckets: int =
 
 
 def probability_bins(frame: DataFrame, probability: str, outcome: str, bins: int = 10) -> DataFrame:
-    """Right-closed bins of equal width with their empty ones; a probability outside [0, 1] is in none."""
+    """Right-closed bins of equal width with their empty ones; a probability outside [0, 1] or without an outcome is in none."""
     spark = frame.sparkSession
     grid = spark.range(1, bins + 1).withColumnRenamed("id", "bin")
-    inside = frame.filter(F.col(probability).between(0, 1))
+    inside = frame.filter(F.col(probability).between(0, 1) & finite(outcome).isNotNull())
     filled = inside.withColumn("bin", F.greatest(F.ceil(F.col(probability) * bins), F.lit(1)).cast("long")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(probability).alias("mean_probability"), F.avg(outcome).alias("observed_rate"))
     return grid.join(filled, "bin", "left").withColumn("rows", F.coalesce("n", F.lit(0).cast("long"))).drop("n")
 
@@ -192,9 +196,13 @@ def brier(frame: DataFrame, probability: str, outcome: str) -> DataFrame:
 def bootstrap_mean(frame: DataFrame, column: str, rounds: int = 2000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """Percentile interval of the mean by Poisson resampling: every row draws its own weight in every round.
 
-    Rounds are rows, summed within each task before the exchange, so ``rounds`` rows a task are moved at most.
+    Draws are hashes of the row's values, so the interval doesn't depend on the partitioning; equal
+    rows are one row with a count, each of which draws for itself.  Rounds are rows, summed within each task
+    before the exchange, so ``rounds`` rows a task are moved at most.
     """
-    values = frame.select(finite(column).alias("x")).filter("x IS NOT NULL").withColumn("_id", F.monotonically_increasing_id())
+    hashed = frame.select(finite(column).alias("x"), F.xxhash64(*frame.columns).alias("_hash")).filter("x IS NOT NULL")
+    equal = hashed.groupBy("x", "_hash").agg(F.count(F.lit(1)).alias("_times"))
+    values = equal.withColumn("_id", F.explode(F.sequence(F.lit(1), F.col("_times")))).withColumn("_id", F.xxhash64("_hash", "_id")).select("x", "_id")
     totals = values.agg(F.count("x").alias("n"), F.avg("x").alias("mean"))
     tasks = max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), frame.sparkSession.sparkContext.defaultParallelism)
     drawn = values.repartition(tasks).select("x", "_id", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("_round")).select("_round", "x", _poisson(F.col("_round"), seed).alias("w"))

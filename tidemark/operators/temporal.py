@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.schema import require_columns
+from tidemark.session import written
 
 
 def asof_join(
@@ -78,13 +79,16 @@ def assert_no_future_information(aligned: DataFrame, information: str = "pit_tim
 def number_decisions(decisions: DataFrame, order: list[str]) -> DataFrame:
     """``_decision_id`` 0..n-1 in a stable order.
 
-    Ids come from partition sizes of a range sort, not from one global window.
+    Rows are dealt by range and written once with their part and place; ids come from the
+    parts' sizes, not from one global window.  A range exchange samples its bounds
+    anew each time it runs, so parts are only comparable within what was written.
     """
     require_columns(decisions, order, "decisions")
-    ranged = decisions.repartitionByRange(*(F.col(c).asc_nulls_last() for c in order)).sortWithinPartitions(*(F.col(c).asc_nulls_last() for c in order))
-    tagged = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
+    ascending = [F.col(c).asc_nulls_last() for c in order]
+    ranged = decisions.repartitionByRange(*ascending).sortWithinPartitions(*ascending)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    tagged = written(ranged.withColumns({"_part": F.spark_partition_id(), "_place": place}), "numbered")
     sizes = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))  # one row per partition
     before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_part", before.alias("_before"))
-    place = F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))
-    return tagged.join(offsets, "_part").withColumn("_decision_id", F.col("_before") + place).drop("_part", "_mono", "_before")
+    return tagged.join(F.broadcast(offsets), "_part").withColumn("_decision_id", F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")

@@ -228,12 +228,12 @@ _STATE = f"""WITH {a.BARS}, {a.NEWS}, s AS (SELECT *, row_number() OVER (PARTITI
 
 
 @register(
-    _STATE + f""" SELECT b.symbol, b.timestamp, s.sentiment AS sentiment_mean, round(s.sentiment - m20, {DIGITS}) AS sentiment_shock, CASE WHEN n IS NULL THEN 0 ELSE least(n, 20) END AS event_count, round(event_surprise, {DIGITS}) AS event_surprise
+    _STATE + f""" SELECT b.symbol, b.timestamp, s.sentiment AS sentiment_mean, round(s.sentiment - m20, {DIGITS}) AS sentiment_shock, CASE WHEN n IS NULL THEN 0 ELSE least(n, 20) END AS sentiment_count, round(event_surprise, {DIGITS}) AS event_surprise
       FROM bars b ASOF LEFT JOIN s ON b.symbol = s.asset AND b.timestamp >= s.timestamp"""
 )
 def sentiment_last20(spark, sf_dir):
     out = news_ops.sentiment_state(a.bars(spark, sf_dir), a.news(spark, sf_dir))
-    return rounded(out.select("symbol", "timestamp", "sentiment_mean", "sentiment_shock", "event_count", "event_surprise"))
+    return rounded(out.select("symbol", "timestamp", "sentiment_mean", "sentiment_shock", "sentiment_count", "event_surprise"))
 
 
 @register(
@@ -378,9 +378,9 @@ def semi_filter(spark, sf_dir):
     return a.table(spark, sf_dir, "orders").join(keys, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
 
 
-@register("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@register("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def anti_filter(spark, sf_dir):
-    keys = a.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    keys = a.table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return a.table(spark, sf_dir, "customer").join(keys, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
@@ -828,10 +828,10 @@ def union_by_name(spark, sf_dir):
     return s.unionByName(c, allowMissingColumns=True)
 
 
-@register("SELECT DISTINCT c_nationkey AS nation FROM customer EXCEPT SELECT DISTINCT s_nationkey FROM supplier")
+@register("SELECT DISTINCT c_nationkey AS nation FROM customer EXCEPT SELECT DISTINCT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 def except_symbols(spark, sf_dir):
     c = a.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"))
-    return c.subtract(a.table(spark, sf_dir, "supplier").select("s_nationkey"))
+    return c.subtract(a.table(spark, sf_dir, "supplier").filter("s_acctbal > 5000").select("s_nationkey"))
 
 
 @register("SELECT region, nation, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM (SELECT r_name AS region, n_name AS nation, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) GROUP BY ROLLUP (region, nation)")
@@ -899,7 +899,7 @@ def gdelt_dedupe(spark, sf_dir):
     fields = {0: F.col("event_id").cast("string"), 1: F.date_format("ts", "yyyyMMdd"), 26: F.col("event_type"), 30: F.col("value").cast("string"), 59: F.date_format("ts", "yyyyMMddHHmmss"), 60: F.lit("u")}
     line = F.concat_ws("\t", *(fields.get(k, F.lit("")) for k in range(feeds.GDELT_FIELDS)))
     twice = e.withColumn("file", F.explode(F.array(F.lit(1), F.lit(2)))).select(line.alias("value"), "file")
-    return feeds.dedupe_events(feeds.parse_events(twice), ["file"]).select("GLOBALEVENTID", "EventCode", "GoldsteinScale", F.col("event_date").cast("string").alias("event_date"))
+    return feeds.dedupe_events(feeds.parse_events(twice), ["file"]).select(F.col("GlobalEventID").cast("string").alias("GLOBALEVENTID"), "EventCode", "GoldsteinScale", F.col("event_date").cast("string").alias("event_date"))
 
 
 # models (rows only: trees differ between engines) ------------------------------------------------------
@@ -926,3 +926,42 @@ def ml_ridge(spark, sf_dir):
     frame = research.purged_split(_frame(spark, sf_dir), 0.7)
     model = models.fit_ridge(frame.filter("part = 'train'"), DATASET, "target_return")
     return models.predict(model, frame.filter("part = 'test'"), DATASET).select("symbol", "timestamp", "predicted")
+
+
+@register()
+def ml_ensemble(spark, sf_dir):
+    frame = research.purged_split(_frame(spark, sf_dir), 0.7)
+    out = models.ensemble(frame.filter("part = 'train'"), frame.filter("part = 'test'"), DATASET[:3], DATASET, "target_return")
+    return out.select("symbol", "timestamp", "expected_return", "probability_up")
+
+
+@register()
+def ml_suite(spark, sf_dir):
+    return models.run_suite(_frame(spark, sf_dir), {"returns": DATASET[:3], "all": DATASET})
+
+
+_FOLD_SQL = f"""WITH {a.PAIRS}, u AS (SELECT * FROM pairs WHERE predicted IS NOT NULL AND actual IS NOT NULL), n AS (SELECT *, row_number() OVER (ORDER BY timestamp, symbol) - 1 AS i, count(*) OVER () AS total FROM u),
+  f AS (SELECT unnest(range(0, (SELECT greatest((max(total) - 1000) // 200 + 1, 0)::BIGINT FROM n)))::INT AS fold),
+  x AS (SELECT n.*, fold, CASE WHEN i < fold * 200 + 800 THEN 'train' ELSE 'test' END AS part FROM n JOIN f ON i >= fold * 200 AND i < fold * 200 + 1000), o AS (SELECT fold, min(timestamp) AS t FROM x WHERE part = 'test' GROUP BY fold),
+  k AS (SELECT x.* FROM x JOIN o USING (fold) WHERE part = 'test' OR target_timestamp < t),
+  m AS (SELECT fold, max(timestamp) AS train_end, avg(predicted) AS mx, avg(actual) AS my, count(*) AS rows, coalesce(covar_pop(predicted, actual) / nullif(var_pop(predicted), 0), 0) * count(*) / (count(*) + 1.0) AS w FROM k WHERE part = 'train' GROUP BY fold),
+  s AS (SELECT k.*, train_end, my + w * (predicted - mx) AS p FROM k JOIN m USING (fold) WHERE part = 'test' AND rows >= 50)
+  SELECT fold, train_end, min(timestamp) AS test_start, max(timestamp) AS test_end, count(*) AS rows, round(avg(abs(actual - p)), {DIGITS}) AS mae, round(1 - avg((actual - p) ** 2) / nullif(var_pop(actual), 0), {DIGITS}) AS r2,
+    round(avg((sign(p) = sign(actual))::INT), {DIGITS}) AS directional_accuracy, round(avg(sign(p) * actual), {DIGITS}) AS mean_strategy_return, round(avg(sign(p) * actual) - 0.001, {DIGITS}) AS net_mean_strategy_return FROM s GROUP BY fold, train_end"""
+
+
+@register(_FOLD_SQL)
+def walk_forward_regression(spark, sf_dir):
+    """With one feature, so that the closed form fits into SQL."""
+    return rounded(models.walk_forward_regression(a.pairs(spark, sf_dir), ["predicted"], 800, 200, 200, "actual", cost_bps=5.0))
+
+
+@register(
+    f"""WITH e AS (SELECT event_type AS symbol, ts AS timestamp, event_id, value, user_id::DOUBLE AS x FROM events), c AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n, row_number() OVER (PARTITION BY symbol ORDER BY timestamp) AS p FROM e),
+      k AS (SELECT *, CASE WHEN p <= floor(n * 0.7) THEN 'train' ELSE 'test' END AS part FROM c WHERE n >= 80 AND floor(n * 0.7) >= 50 AND floor(n * 0.7) < n),
+      m AS (SELECT symbol, avg(x) AS mx, avg(value) AS my, covar_pop(x, value) / nullif(var_pop(x), 0) * count(*) / (count(*) + 1.0) AS w FROM k WHERE part = 'train' GROUP BY symbol)
+      SELECT event_id, symbol, round(my + w * (x - mx), {DIGITS}) AS expected_return, sign(my + w * (x - mx))::DOUBLE AS signal FROM k JOIN m USING (symbol) WHERE part = 'test'"""
+)
+def per_symbol_oos(spark, sf_dir):
+    e = a.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("symbol"), F.col("ts").alias("timestamp"), F.col("user_id").cast("double").alias("x"), F.col("value").alias("target_return"))
+    return rounded(models.fit_predict_oos(e, ["x"]).select("event_id", "symbol", "expected_return", "signal"))

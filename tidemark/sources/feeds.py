@@ -16,9 +16,22 @@ SUBMISSIONS = (
     "cik bigint, name string, tickers array<string>, exchanges array<string>, sic string, sicDescription string, "
     "filings struct<recent:struct<accessionNumber:array<string>,acceptanceDateTime:array<string>,filingDate:array<string>,form:array<string>>>"
 )
-GDELT_FIELDS = 61
-# Positions of the fields with a use.
-GDELT_NAMED = {0: "GLOBALEVENTID", 26: "EventCode", 30: "GoldsteinScale", 34: "AvgTone", 59: "DATEADDED", 60: "SOURCEURL"}
+# Fields of a world event in file order.
+ACTOR = ("Code", "Name", "CountryCode", "KnownGroupCode", "EthnicCode", "Religion1Code", "Religion2Code", "Type1Code", "Type2Code", "Type3Code")
+GEO = ("Type", "FullName", "CountryCode", "ADM1Code", "ADM2Code", "Lat", "Long", "FeatureID")
+EVENT_FIELDS = (
+    "GlobalEventID", "SQLDATE", "MonthYear", "Year", "FractionDate",
+    *(f"Actor1{a}" for a in ACTOR), *(f"Actor2{a}" for a in ACTOR),
+    "IsRootEvent", "EventCode", "EventBaseCode", "EventRootCode", "QuadClass", "GoldsteinScale", "NumMentions", "NumSources", "NumArticles", "AvgTone",
+    *(f"Actor1Geo_{g}" for g in GEO), *(f"Actor2Geo_{g}" for g in GEO), *(f"ActionGeo_{g}" for g in GEO),
+    "DATEADDED", "SOURCEURL",
+)
+EVENT_NUMBERS = {
+    "bigint": ("GlobalEventID",),
+    "int": ("MonthYear", "Year", "IsRootEvent", "QuadClass", "NumMentions", "NumSources", "NumArticles"),
+    "double": ("FractionDate", "GoldsteinScale", "AvgTone", *(f"{who}Geo_{g}" for who in ("Actor1", "Actor2", "Action") for g in ("Lat", "Long"))),
+}
+GDELT_FIELDS = len(EVENT_FIELDS)
 
 
 def unzip(archive: str, landing: str, suffixes: tuple[str, ...] = (".json", ".txt", ".csv", ".CSV")) -> int:
@@ -84,16 +97,22 @@ def read_price_archive(spark: SparkSession, landing: str) -> DataFrame:
 
 
 def parse_events(lines: DataFrame) -> DataFrame:
-    """Tab-separated world events (61 fields): named fields, event date and time of availability."""
-    cells = lines.withColumn("c", F.split("value", "\t")).filter(F.size("c") == GDELT_FIELDS)
-    named = cells.select(*(F.get("c", F.lit(i)).alias(n) for i, n in GDELT_NAMED.items()), F.get("c", F.lit(1)).alias("_day"), *(c for c in lines.columns if c != "value"))
-    return named.withColumns(
-        {
-            "event_date": F.try_to_timestamp("_day", F.lit("yyyyMMdd")).cast("date"),
-            "availability_time": F.coalesce(F.try_to_timestamp("DATEADDED", F.lit("yyyyMMddHHmmss")), F.try_to_timestamp("DATEADDED", F.lit("yyyyMMdd"))),
-            "GoldsteinScale": F.expr("try_cast(GoldsteinScale AS DOUBLE)"), "AvgTone": F.expr("try_cast(AvgTone AS DOUBLE)"),
-        }
-    ).drop("_day")
+    """Tab-separated world events: all fields, the event date and the time of availability; empty fields are null.
+
+    Lines of another number of fields are no events; ``malformed_events`` counts them.
+    """
+    cells = lines.withColumn("c", F.split("value", "\t", -1)).filter(F.size("c") == GDELT_FIELDS)
+    kinds = {name: kind for kind, names in EVENT_NUMBERS.items() for name in names}
+    field = lambda i, n: F.nullif(F.get("c", F.lit(i)), F.lit(""))
+    number = lambda i, n: F.expr(f"try_cast(get(c, {i}) AS {kinds[n]})")
+    named = cells.select(*((number if n in kinds else field)(i, n).alias(n) for i, n in enumerate(EVENT_FIELDS)), *(c for c in lines.columns if c != "value"))
+    added = F.coalesce(F.try_to_timestamp("DATEADDED", F.lit("yyyyMMddHHmmss")), F.try_to_timestamp("DATEADDED", F.lit("yyyyMMdd")))
+    return named.withColumns({"event_date": F.try_to_timestamp("SQLDATE", F.lit("yyyyMMdd")).cast("date"), "availability_time": added})
+
+
+def malformed_events(lines: DataFrame) -> DataFrame:
+    """One row: lines, and those that don't have the fields of an event."""
+    return lines.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.size(F.split("value", "\t", -1)) != GDELT_FIELDS).alias("malformed"))
 
 
 def dedupe_events(events: DataFrame, order: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.constants import LEVERAGED_INVERSE
+from tidemark.constants import PANEL_LEVERAGED
 from tidemark.functions.scalars import ticker_root
 from tidemark.operators.bars import keep_last
 from tidemark.operators.macro import with_availability
@@ -21,8 +21,8 @@ PRICES = ("open", "high", "low", "close")
 
 
 def data_root(env: dict | None = None) -> Path:
-    """Folder of all data: ``TI_DATA_ROOT`` or ``data`` here."""
-    return Path((env or os.environ).get("TI_DATA_ROOT", "data"))
+    """Folder of all data: ``TIDEMARK_DATA`` or ``data`` here."""
+    return Path((env or os.environ).get("TIDEMARK_DATA", "data"))
 
 
 def load_env(path: str) -> dict[str, str]:
@@ -66,12 +66,15 @@ def load_market_directory(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load_market_for_universe(spark: SparkSession, universe: DataFrame, start, end) -> DataFrame:
-    """Bars of the universe's files under the universe's symbols, between two times (inclusive)."""
-    listed = {r["path"]: r["symbol"] for r in universe.select("path", "symbol").collect()}  # one entry per universe file
-    raw = read_csv(spark, sorted(listed))
-    name = F.element_at(F.split("_file", "/"), -1)
-    names = spark.createDataFrame([(p.rsplit("/", 1)[-1], s) for p, s in listed.items()], "_name string, _symbol string")
-    named = raw.withColumn("_name", name).join(F.broadcast(names), "_name").withColumn("symbol", F.col("_symbol"))
+    """Bars of the universe's files under the universe's symbols, between two times (inclusive).
+
+    A file is known by its whole path: rows carry the path as Spark names it, and so do the universe's entries.
+    """
+    listed = [r["path"] for r in universe.select("path").distinct().collect()]  # one entry per universe file
+    plain = lambda c: F.regexp_replace(F.expr(f"url_decode(replace({c}, '+', '%2B'))"), "^file:/+", "/")
+    raw = read_csv(spark, sorted(listed)).withColumn("_path", plain("_file"))
+    names = universe.select(F.regexp_replace("path", "^file:/+", "/").alias("_path"), F.col("symbol").alias("_symbol")).distinct()
+    named = raw.join(names, "_path").withColumn("symbol", F.col("_symbol"))
     return clean_bars(named.select(*BAR_COLUMNS, "_file", "_line")).filter(F.col("timestamp").between(start, end))
 
 
@@ -79,7 +82,7 @@ def selected_universe(candidates: DataFrame, most: int = 25) -> DataFrame:
     """Selected, eligible, not leveraged; the most liquid ``most`` (the operator's own limit)."""
     true = lambda c: F.lower(F.trim(F.col(c).cast("string"))) == "true"
     rows = candidates.filter(true("selected") & true("eligible")).withColumn("symbol", F.upper(F.trim("symbol")))
-    rows = rows.filter(~ticker_root(F.col("symbol")).isin(*LEVERAGED_INVERSE))
+    rows = rows.filter(~ticker_root(F.col("symbol")).isin(*PANEL_LEVERAGED))
     return rows.orderBy(F.desc("median_dollar_volume_lookback"), F.desc("rows"), "symbol").limit(most)
 
 
