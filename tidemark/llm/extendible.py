@@ -99,16 +99,21 @@ def write_shards(docs: DataFrame, path: str, limit: int, key_col: str = "doc_id"
     named.repartition("shard_name").write.partitionBy("shard_name").parquet(path)
 
 
-def sharding_query(docs: DataFrame, limit: int = 4 << 20) -> DataFrame:
+LIMIT = 4 << 20
+
+
+def sharding_query(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     return assign_shards(docs, limit).select("doc_id", "bytes", "shard", F.col("depth").cast("long").alias("depth"), "shard_bytes", "shard_rows", "oversize")
 
 
-ORACLE = r"""
+def oracle(limit: int = LIMIT) -> str:
+    """The same in DuckDB SQL, for tables without a document over the limit."""
+    return rf"""
 WITH r AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes,
                   lpad(bin(('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT), 60, '0') AS bits FROM documents),
 l AS (SELECT *, substr(bits, 1, depth) AS shard FROM r, range(0, 41) t(depth)),
 b AS (SELECT depth, shard, sum(bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM l GROUP BY 1, 2)
 SELECT doc_id, bytes, shard, depth, shard_bytes, shard_rows, FALSE AS oversize
-FROM l JOIN b USING (depth, shard) WHERE shard_bytes <= 4194304
+FROM l JOIN b USING (depth, shard) WHERE shard_bytes <= {limit}
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
 """

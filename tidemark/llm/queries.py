@@ -67,6 +67,6 @@ QUERIES = {
 ORACLES = {
     "op2_host_rules": host_rules.ORACLE,
     "op4_exact_dedup": digest_index.ORACLE,
-    "op5_sharding": extendible.ORACLE,
+    "op5_sharding": extendible.oracle(),
     "op9_parity_join": parity_join.ORACLE,
 }
