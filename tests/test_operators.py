@@ -305,3 +305,60 @@ def test_panel_master_and_context(spark):
         scalars.PortfolioContext(0.0).validate()
     sized = scalars.PortfolioContext(100_000.0, 0.5).size(F.lit(100.0), F.lit(95.0), F.lit(115.0))
     assert spark.range(1).select(sized["quantity"]).first()[0] == 100.0
+
+
+def test_universe_profiles(spark):
+    rows = spark.createDataFrame([("tqqq.us",), ("BRK-WS",), ("ABC_D",), ("AAPL",)], "symbol string")
+    got = {r.symbol: r.why for r in rows.withColumn("why", audits.classify_profile(F.col("symbol"), "core_equity_etf")).collect()}
+    assert got == {"tqqq.us": "profile_excluded_leveraged_inverse", "BRK-WS": "profile_excluded_non_common_pattern", "ABC_D": "profile_excluded_non_common_pattern", "AAPL": None}
+    assert rows.filter(audits.classify_profile(F.col("symbol")).isNotNull()).isEmpty()
+    with pytest.raises(ValueError):
+        audits.classify_profile(F.col("symbol"), "other")
+
+
+def test_sizing_refuses_bad_arguments():
+    for bad in ({"risk_percent": 0}, {"risk_percent": 100}, {"cap_percent": 0}, {"cap_percent": 101}, {"increment": 0}):
+        with pytest.raises(ValueError):
+            scalars.position_size(F.lit(1.0), F.lit(2.0), F.lit(3.0), F.lit(4.0), **bad)
+
+
+def test_promotion_always_gives_a_row(spark):
+    kind = "name string, rows bigint, mean_return double, sharpe double"
+    none = research.promotion_decision(spark.createDataFrame([], kind)).first()
+    assert (none.name, none.eligible, none.reasons) == (None, False, "no experiment results")
+    good = research.promotion_decision(spark.createDataFrame([("a", 200, 0.1, 1.0), ("b", 200, 0.1, 2.0)], kind)).first()
+    assert (good.name, good.eligible) == ("b", True) and good.reasons.startswith("passes")
+
+
+def test_periods_without_any_match_come_back_empty(spark):
+    seen = spark.createDataFrame(quarters([1, 2]), FACTS).withColumn("period_type", F.lit("duration"))
+    decisions = spark.createDataFrame([(1, day(1, year=2023)), (9, day(1)), (None, day(1))], "cik bigint, decision_time timestamp_ntz")
+    assert temporal.align_periods(decisions, seen).count() == 2
+    none = temporal.align_periods(decisions.filter("cik = 9"), seen).collect()
+    assert [(r.cik, r.metric, r.pit_val_num, r.available) for r in none] == [(9, None, None, False)]
+
+
+def test_legacy_tags_put_all_debt_together():
+    tags = facts.tag_metrics()
+    assert tags["LongTermDebt"] == tags["LongTermDebtCurrent"] == "debt" and len(set(tags.values())) == 8
+
+
+def test_fact_audits(spark):
+    rows = spark.createDataFrame(quarters([1, 2]), FACTS).withColumns({"filed": F.col("information_time"), "tag": F.lit("t"), "accn": F.lit(None).cast("string"), "taxonomy": F.lit(None).cast("string"), "form": F.lit("10-Q")})
+    row = audits.audit_facts(rows.unionAll(rows)).first()
+    assert (row.rows, row.required_nulls.accn, row.required_nulls.cik, row.time_parse_failures, row.exact_duplicates, row.status) == (4, 4, 0, 0, 2, "PASS_WITH_WARNINGS")
+    parts = audits.audit_company_facts(rows)
+    assert parts["totals"].first().nulls.taxonomy == 2 and parts["taxonomies"].first().taxonomy == "NA" and parts["forms"].first().rows == 2
+
+
+def test_diagnosis_has_the_interval(spark):
+    rows = spark.createDataFrame([(float(k % 5), float(k % 7)) for k in range(100)] + [(None, 1.0)], "p double, a double")
+    row = research.diagnose_predictions(rows, "p", "a", 200).first()
+    assert row.pairs == 100 and row.low < row.mean_actual < row.high
+
+
+def test_research_summary_and_card(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1.0), ("b", -1.0), ("c", None)], "name string, sharpe double")
+    assert tuple(models.research_summary(rows).first()) == (3, 1, "a", 1.0)
+    models.ModelCard("m", ("x",), 5, {"mae": 0.1}).save(str(tmp_path / "cards" / "m.json"))
+    assert '"mae": 0.1' in (tmp_path / "cards" / "m.json").read_text()

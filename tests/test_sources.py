@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources import feeds, files
@@ -115,3 +116,36 @@ def test_streams(spark, tmp_path):
     query.awaitTermination(60)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 20 and out.filter("pit_v = 4.0").count() == 4
+
+
+def test_files_keep_rows_of_other_files(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"{k}.csv").write_text("timestamp,open,high,low,close,volume,symbol\n" + f"2024-01-02,1,1,1,{k + 1},5,A\n" * 2)
+    assert sorted(r.close for r in files.load_market_files(spark, str(tmp_path)).collect()) == [1.0, 2.0]
+    assert [r.close for r in files.load_market_directory(spark, str(tmp_path)).collect()] == [2.0]
+
+
+def test_observation_and_vintage_loaders(spark):
+    raw = spark.createDataFrame([("1", "assets", "USD", None, "2024-01-01", "2024-02-01", "5"), ("x", "assets", "USD", None, "2024-01-01", "2024-02-01", "5"), ("2", "cash", "USD", None, "2024-01-01", "2024-02-01", "6")], "cik string, metric string, unit string, start string, end string, information_time string, val_num string")
+    assert [(r.cik, r.val_num, r.period_type) for r in files.load_observations(raw, [1, 2], ["assets"]).collect()] == [(1, 5.0, "duration")]
+    vintages = spark.createDataFrame([("S", "2024-01-01", "1", "2024-01-05")], "series_id string, observation_date string, value string, realtime_start string")
+    assert files.load_vintages(vintages).count() == 1
+    with pytest.raises(ValueError, match="available_date_conservative"):
+        files.load_vintages(vintages, strict=True)
+
+
+def test_price_archive_and_manifests(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "20240105.export.zip", "w") as z:
+        z.writestr("data/us/aa.us.txt", "<TICKER>,<PER>,<DATE>,<TIME>,<OPEN>,<HIGH>,<LOW>,<CLOSE>,<VOL>,<OPENINT>\nAA.US,D,20240102,000000,1,2,0.5,1.5,100,0\n")
+        z.writestr("bb.us.csv", "Date,Open,High,Low,Close,Volume\n2024-01-02,1,2,0.5,1.5,100\n")
+    got = feeds.import_price_archive(spark, str(tmp_path / "20240105.export.zip"), str(tmp_path / "landing"), str(tmp_path / "out"))
+    assert got == {"imported": ["aa.us", "bb.us"], "imported_count": 2}
+    row = feeds.archive_manifest(spark, str(tmp_path / "*.zip")).first()
+    assert row.day == dt.date(2024, 1, 5) and len(row.sha256) == 64
+    assert feeds.event_archive_name(dt.date(2026, 9, 2)) == "20260902.export.CSV.zip"
+
+
+def test_settings(monkeypatch):
+    assert files.require_env("A", {"A": " x "}) == "x"
+    with pytest.raises(ValueError):
+        files.require_env("A", {})

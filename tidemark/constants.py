@@ -32,6 +32,18 @@ TAG_PRECEDENCE = {
     "EarningsPerShareDiluted": 20,
 }
 
+# The older map of metrics to tags, in which all debt is one metric.
+LEGACY_TAGS = {
+    "revenue": ("RevenueFromContractWithCustomerExcludingAssessedTax", "Revenues"),
+    "net_income": ("NetIncomeLoss",),
+    "assets": ("Assets",),
+    "liabilities": ("Liabilities",),
+    "equity": ("StockholdersEquity", "StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest"),
+    "cash": ("CashAndCashEquivalentsAtCarryingValue",),
+    "debt": ("LongTermDebtAndFinanceLeaseObligationsCurrent", "LongTermDebtCurrent", "LongTermDebtNoncurrent", "LongTermDebt"),
+    "eps_diluted": ("EarningsPerShareDiluted",),
+}
+
 # Kinds of securities.
 SECURITY_TYPES = ("common_equity", "etf", "leveraged_etf", "inverse_etf", "adr", "preferred", "fund", "warrant", "other")
 

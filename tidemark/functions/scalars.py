@@ -75,6 +75,12 @@ def explain_opportunity(columns: list[str]) -> tuple[Column, Column]:
 
 def position_size(entry: Column, stop: Column, target: Column, equity: Column, risk_percent: float = 1.0, cap_percent: float | None = None, increment: float | None = None, minimum: float | None = None, multiplier: Column | None = None) -> dict[str, Column]:
     """Quantity by risk per unit, capped by value and floored to the increment, with what follows from it and warnings."""
+    if not 0 < risk_percent < 100:
+        raise ValueError("risk_percent must lie between 0 and 100")
+    if cap_percent is not None and not 0 < cap_percent <= 100:
+        raise ValueError("cap_percent must be above 0 and 100 at most")
+    if increment is not None and not increment > 0:
+        raise ValueError("increment must be positive")
     multiplier = F.lit(1.0) if multiplier is None else multiplier
     unit_risk = F.abs(entry - stop) * multiplier
     quantity = F.try_divide(equity * risk_percent / 100, unit_risk)

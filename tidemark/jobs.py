@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.constants import DEFAULT_SERIES
-from tidemark.operators import audits, bars, facts, macro, news, panel, temporal
+from tidemark.operators import audits, bars, facts, macro, models, news, panel, research, temporal
 from tidemark.schema import to_number, to_time
 from tidemark.sources import feeds, files
 
@@ -91,34 +91,148 @@ def macro_vintages(spark: SparkSession, get: Callable[[str, int], list[dict]], s
     return macro.with_availability(typed.dropDuplicates(["series_id", "date", "value", "realtime_start", "realtime_end"]))
 
 
+def portfolio_research(spark: SparkSession, folder: str, features: list[str], most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Returns of the equal-weight portfolio of out-of-sample predictions per symbol, and their summary."""
+    market = files.load_market_files(spark, folder)
+    frame = supervised_dataset(market)
+    scored = models.fit_predict_oos(frame, features)
+    returns = research.portfolio(scored, "expected_return", most=most)
+    return returns, research.summarize(returns.withColumn("name", F.lit("portfolio")), ["name"])
+
+
+def run_ladder(spark: SparkSession, folder: str, sentiment: DataFrame | None = None) -> DataFrame:
+    """All feature sets of a folder of bars, best Sharpe ratio first."""
+    return research.rank_experiments(models.run_suite(prepare_research_frame(files.load_market_directory(spark, folder), sentiment)))
+
+
+def _show(rows: DataFrame) -> None:
+    for row in rows.collect():  # reports have few rows
+        print(row.asDict())
+
+
+def _panel(spark, args) -> int:
+    built = build_panel(spark, vars(args), args.metrics.split(","), session=args.session)
+    files.write_table(built, args.out)
+    files.write_report(audits.panel_report(spark.read.parquet(args.out), ["forward_return_3d"]), f"{args.out.rstrip('/')}.report.json")
+    return 0
+
+
+def _assess(spark, args) -> int:
+    row = audits.readiness(files.load_market_directory(spark, args.market)).first()
+    print(row.asDict())
+    return 2 if row["status"] == "NOT_READY" else 0
+
+
+def _events(spark, args) -> int:
+    print(process_event_archives(spark, args.pattern, args.out))
+    return 0
+
+
+def _fact_events(spark, args) -> int:
+    submissions = feeds.explode_submissions(spark.read.schema(feeds.SUBMISSIONS).option("multiLine", True).json(args.submissions))
+    raw = feeds.read_company_facts(spark, args.facts).withColumn("val", F.col("val").cast("string"))
+    files.write_table(pit_fact_events(raw, submissions, files.load_sec_map(spark, args.universe) if args.universe else None), args.out)
+    return 0
+
+
+def _observations(spark, args) -> int:
+    events = spark.read.parquet(args.events)
+    files.write_table(canonical_observations(events), args.out)
+    print({"input_rows": events.count(), "output_rows": spark.read.parquet(args.out).count()})
+    return 0
+
+
+def _asof(spark, args) -> int:
+    decisions = files.read_csv(spark, args.decisions).select(F.expr("try_cast(cik AS BIGINT)").alias("cik"), to_time("decision_time").alias("decision_time"))
+    files.write_table(asof_facts(spark.read.parquet(args.observations), decisions), args.out)
+    return 0
+
+
+def _audit_facts(spark, args) -> int:
+    row = audits.audit_facts(spark.read.parquet(args.events)).first()
+    print(row.asDict(recursive=True))
+    return 2 if row["status"] == "FAIL" else 0
+
+
+def _diagnose(spark, args) -> int:
+    _show(audits.duplicate_counts(spark.read.parquet(args.events)))
+    return 0
+
+
+def _audit_macro(spark, args) -> int:
+    row = macro.audit_vintages(files.load_vintages(files.read_csv(spark, args.vintages))).first()
+    print(row.asDict())
+    return 2 if row["status"] == "FAIL" else 0
+
+
+def _audit_market(spark, args) -> int:
+    _show(audits.audit_bars(files.load_market_directory(spark, args.market)))
+    return 0
+
+
+def _catalog(spark, args) -> int:
+    _show(audits.catalog(files.load_market_files(spark, args.market).withColumn("file", F.lit(args.market))))
+    return 0
+
+
+def _universe(spark, args) -> int:
+    stats = audits.universe_statistics(files.load_market_directory(spark, args.market))
+    files.write_table(audits.screen_universe(stats, most=args.most, profile=args.profile), args.out, "csv")
+    return 0
+
+
+def _experiments(spark, args) -> int:
+    results = run_ladder(spark, args.market)
+    files.write_table(results, args.out, "csv")
+    _show(research.promotion_decision(results))
+    return 0
+
+
+def _portfolio(spark, args) -> int:
+    returns, summary = portfolio_research(spark, args.market, args.features.split(","), args.most)
+    files.write_table(returns, args.out)
+    _show(summary)
+    return 0
+
+
+def _price_archive(spark, args) -> int:
+    print(feeds.import_price_archive(spark, args.archive, args.landing, args.out))
+    return 0
+
+
+#: Job, what runs it, its positional arguments, its options with defaults.
+JOBS = {
+    "panel": (_panel, (), {"market": None, "observations": None, "vintages": None, "master": None, "out": None, "metrics": "assets,revenue,net_income", "session": "us_equity_daily"}),
+    "assess": (_assess, ("market",), {}),
+    "events": (_events, ("pattern", "out"), {}),
+    "fact-events": (_fact_events, ("facts", "submissions", "out"), {"universe": ""}),
+    "observations": (_observations, ("events", "out"), {}),
+    "asof": (_asof, ("observations", "decisions", "out"), {}),
+    "audit-facts": (_audit_facts, ("events",), {}),
+    "diagnose-duplicates": (_diagnose, ("events",), {}),
+    "audit-macro": (_audit_macro, ("vintages",), {}),
+    "audit-market": (_audit_market, ("market",), {}),
+    "catalog": (_catalog, ("market",), {}),
+    "universe": (_universe, ("market", "out"), {"most": 500, "profile": "core_equity_etf"}),
+    "experiments": (_experiments, ("market", "out"), {}),
+    "portfolio": (_portfolio, ("market", "out"), {"features": "ret_1,ret_3,ret_5,vol_10", "most": 5}),
+    "price-archive": (_price_archive, ("archive", "landing", "out"), {}),
+}
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description=__doc__)
     jobs = parser.add_subparsers(dest="job", required=True)
-    one = jobs.add_parser("panel")
-    for name in ("market", "observations", "vintages", "master", "out"):
-        one.add_argument(f"--{name}", required=True)
-    one.add_argument("--metrics", default="assets,revenue,net_income")
-    one.add_argument("--session", default="us_equity_daily")
-    two = jobs.add_parser("assess")
-    two.add_argument("market")
-    three = jobs.add_parser("events")
-    three.add_argument("pattern")
-    three.add_argument("out")
+    for name, (_, places, options) in JOBS.items():
+        one = jobs.add_parser(name)
+        for place in places:
+            one.add_argument(place)
+        for option, default in options.items():
+            one.add_argument(f"--{option}", default=default, required=default is None, type=type(default) if default is not None else str)
     args = parser.parse_args(argv)
     from tidemark.session import build_session
 
-    spark = build_session(f"tidemark-{args.job}")
-    if args.job == "panel":
-        built = build_panel(spark, vars(args), args.metrics.split(","), session=args.session)
-        files.write_table(built, args.out)
-        files.write_report(audits.panel_report(spark.read.parquet(args.out), ["forward_return_3d"]), f"{args.out.rstrip('/')}.report.json")
-        return 0
-    if args.job == "assess":
-        row = audits.readiness(files.load_market_directory(spark, args.market)).first()
-        print(row.asDict())
-        return 2 if row["status"] == "NOT_READY" else 0
-    print(process_event_archives(spark, args.pattern, args.out))
-    return 0
+    return JOBS[args.job][0](build_session(f"tidemark-{args.job}"), args)
 
 
 if __name__ == "__main__":

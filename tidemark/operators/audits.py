@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.constants import SECURITY_TYPES, UNIVERSES
+from tidemark.constants import LEVERAGED_INVERSE, SECURITY_TYPES, UNIVERSE_PROFILES, UNIVERSES
 from tidemark.functions.scalars import non_common, ticker_root
 from tidemark.operators.temporal import latest_per
 
@@ -14,6 +14,9 @@ EXACT_KEYS = ("cik", "metric", "unit", "start", "end", "information_time", "tag"
 ALIAS_KEYS = ("cik", "metric", "unit", "start", "end", "information_time", "accn")
 ECONOMIC_KEYS = ("cik", "metric", "unit", "start", "end", "information_time")
 
+# Columns that a fact event must have.
+FACT_REQUIRED = ("cik", "entity_name", "taxonomy", "tag", "unit", "start", "end", "filed", "form", "accn", "val", "information_time")
+
 
 def readiness(frame: DataFrame, min_rows: int = 750, min_symbols: int = 5, min_days: int = 730) -> DataFrame:
     """Rows per symbol, span and a status: too few symbols or rows is NOT_READY, a short span warns."""
@@ -47,12 +50,18 @@ def duplicate_samples(facts: DataFrame, keys: tuple[str, ...], limit: int = 20)
 
 
 def audit_facts(facts: DataFrame) -> DataFrame:
-    """Counts, nulls, late-known rows, exact and economic duplicates and a status in which FAIL dominates."""
+    """Counts, nulls of every required column, late-known rows, exact and economic duplicates and a status in which FAIL dominates.
+
+    Times that are text count as parse failures where they are no timestamps.
+    """
+    info = F.expr("try_cast(information_time AS TIMESTAMP)")
     base = facts.agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("cik").alias("ciks"),
         F.count_if(F.col("information_time").isNull()).alias("null_information_time"), F.count_if(F.col("val_num").isNull()).alias("null_values"),
         F.count_if(F.col("information_time") > F.col("filed") + F.expr("INTERVAL 1 DAY")).alias("late_rows"),
         F.min("information_time").alias("first_time"), F.max("information_time").alias("last_time"),
+        F.count_if(info.isNull()).alias("time_parse_failures"),
+        F.struct(*(F.count_if(F.col(c).isNull()).alias(c) for c in FACT_REQUIRED if c in facts.columns)).alias("required_nulls"),
     )
     counts = duplicate_counts(facts).groupBy().pivot("grain", ["source_exact", "economic"]).agg(F.first("duplicates"))
     out = base.crossJoin(counts.select(F.col("source_exact").alias("exact_duplicates"), F.col("economic").alias("economic_duplicates")))  # single rows
@@ -61,6 +70,15 @@ def audit_facts(facts: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(fail, "FAIL").when(warn, "PASS_WITH_WARNINGS").otherwise("PASS"))
 
 
+def audit_company_facts(facts: DataFrame, top: int = 20) -> dict[str, DataFrame]:
+    """Totals with nulls of every column, taxonomies, and the most frequent forms of a Company Facts table."""
+    totals = facts.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("cik").alias("ciks"), F.min("filed").alias("first_filed"), F.max("filed").alias("last_filed"),
+        F.struct(*(F.count_if(F.col(c).isNull()).alias(c) for c in facts.columns)).alias("nulls"),
+    )
+    return {"totals": totals, "taxonomies": histogram(facts, "taxonomy", "NA"), "forms": histogram(facts, "form", "NA", top)}
+
+
 def histogram(frame: DataFrame, column: str, missing: str = "<missing>", top: int | None = None) -> DataFrame:
     counts = frame.groupBy(F.coalesce(F.col(column).cast("string"), F.lit(missing)).alias(column)).agg(F.count(F.lit(1)).alias("rows"))
     return counts.orderBy(F.desc("rows"), column).limit(top) if top else counts
@@ -136,8 +154,21 @@ def universe_statistics(bars: DataFrame, lookback: int = 90) -> DataFrame:
     )
 
 
-def screen_universe(stats: DataFrame, min_rows: int = 750, min_price: float = 5.0, min_dollars: float = 20e6, most: int = 500, denied: tuple[str, ...] = ()) -> DataFrame:
-    """The first reason that excludes a symbol, and the ``most`` most liquid of the others.
+def classify_profile(symbol: Column, profile: str = "broad") -> Column:
+    """Why a universe profile leaves a symbol out; NULL where it doesn't."""
+    if profile not in UNIVERSE_PROFILES:
+        raise ValueError(f"unknown universe profile {profile!r}")
+    leveraged, shapes = UNIVERSE_PROFILES[profile]
+    root, reason = ticker_root(symbol), F.lit(None).cast("string")
+    if shapes:
+        reason = F.when(F.rlike(root, F.lit(shapes)), "profile_excluded_non_common_pattern")
+    if leveraged:
+        reason = F.when(root.isin(*LEVERAGED_INVERSE), "profile_excluded_leveraged_inverse").otherwise(reason)
+    return reason
+
+
+def screen_universe(stats: DataFrame, min_rows: int = 750, min_price: float = 5.0, min_dollars: float = 20e6, most: int = 500, denied: tuple[str, ...] = (), profile: str = "broad") -> DataFrame:
+    """The first reason that excludes a symbol (the profile's last), and the ``most`` most liquid of the others.
 
     The cap is the operator's own limit.
     """
@@ -149,6 +180,7 @@ def screen_universe(stats: DataFrame, min_rows: int = 750, min_price: float = 5.
     )
     if denied:
         reason = reason.when(ticker_root(F.col("symbol")).isin(*denied), "profile_excluded_leveraged_inverse")
+    reason = F.coalesce(reason, classify_profile(F.col("symbol"), profile))
     out = stats.withColumn("exclusion_reason", reason).withColumn("eligible", F.col("exclusion_reason").isNull())
     best = out.filter("eligible").orderBy(F.desc("median_dollar_volume_lookback"), F.desc("rows"), "symbol").limit(most).select("symbol", F.lit(True).alias("_in"))
     return out.join(best, "symbol", "left").withColumn("selected", F.coalesce("_in", F.lit(False))).drop("_in")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.constants import TAG_METRICS, TAG_PRECEDENCE
+from tidemark.constants import LEGACY_TAGS, TAG_METRICS, TAG_PRECEDENCE
 from tidemark.functions.scalars import INSTANT_METRICS, duration_kind, period_type
 from tidemark.operators.temporal import latest_per
 from tidemark.schema import days_between, require_columns
@@ -19,6 +19,11 @@ def _lookup(mapping: dict, key, default=None):
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
+def tag_metrics(tags: dict[str, tuple[str, ...]] = LEGACY_TAGS) -> dict[str, str]:
+    """The metric of each tag, from the tags of each metric; for ``with_metric``."""
+    return {tag: metric for metric, own in tags.items() for tag in own}
+
+
 def with_metric(facts: DataFrame, tags: dict[str, str] = TAG_METRICS) -> DataFrame:
     """Metric of a fact by its own column or its tag; unmapped facts drop out."""
     known = _lookup(tags, F.col("tag"))
@@ -35,13 +40,16 @@ def resolve_observations(facts: DataFrame) -> DataFrame:
 
 
 def resolve_report(facts: DataFrame, eligible: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Input, eligible and output rows, rows that collided, distinct entities."""
+    """Input, eligible and output rows, rows that collided, repeated source rows, distinct entities."""
+    source = [c for c in (*IDENTITY, "information_time", "tag", "accn", "val_num") if c in eligible.columns]
+    repeats = eligible.groupBy(*source).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("exact_source_duplicates"))
     collided = eligible.groupBy(*IDENTITY, "information_time").count().filter("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("collision_rows"))
     return (
         facts.agg(F.count(F.lit(1)).alias("input_rows"))
         .crossJoin(eligible.agg(F.count(F.lit(1)).alias("eligible_rows"), F.count_distinct("cik").alias("ciks")))
         .crossJoin(resolved.agg(F.count(F.lit(1)).alias("output_rows")))
-        .crossJoin(collided)  # four single rows
+        .crossJoin(collided)
+        .crossJoin(repeats)  # five single rows
     )
 
 

@@ -124,7 +124,7 @@ def portfolio(frame: DataFrame, column: str, hold: int = 3, threshold: float = 0
     cost = F.when(F.col("g").isNotNull(), F.lit(2 * cost_bps / 10_000)).otherwise(F.lit(0.0))
     return out.select(
         "timestamp", F.coalesce("g", F.lit(0.0)).alias("gross_return"), cost.alias("cost"), (F.coalesce("g", F.lit(0.0)) - cost).alias("net_return"),
-        F.coalesce("longs", zero).alias("longs"), F.coalesce("shorts", zero).alias("shorts"),
+        F.coalesce("longs", zero).alias("longs"), F.coalesce("shorts", zero).alias("shorts"), (F.coalesce("longs", zero) + F.coalesce("shorts", zero)).alias("positions"),
     )
 
 
@@ -262,3 +262,19 @@ def select_candidate(results: DataFrame, min_rows: int = 100, min_sharpe: float
     rated = results.withColumn("_reasons", reasons).withColumn("eligible", F.size("_reasons") == 0)
     best = rated.orderBy(F.desc("eligible"), F.desc_nulls_last("sharpe"), F.desc_nulls_last("mean_return"), "name").limit(1)
     return best.withColumn("reasons", F.array_join("_reasons", "; ")).drop("_reasons")
+
+
+def promotion_decision(results: DataFrame, **limits) -> DataFrame:
+    """One row in any case: the candidate with a reason for its verdict, or that there are no results."""
+    best = select_candidate(results, **limits)
+    passed = F.when(F.col("eligible"), "passes the preliminary gate; no approval for production").otherwise(F.col("reasons"))
+    one = results.sparkSession.range(1).select(F.lit(True).alias("_one"))
+    out = one.join(best.withColumn("reasons", passed).withColumn("_has", F.lit(True)), F.col("_has") == F.col("_one"), "left")
+    return out.withColumns({"eligible": F.coalesce("eligible", F.lit(False)), "reasons": F.coalesce("reasons", F.lit("no experiment results"))}).drop("_one", "_has")
+
+
+def diagnose_predictions(frame: DataFrame, predicted: str, actual: str, rounds: int = 2000) -> DataFrame:
+    """The diagnostics of all pairs beside the bootstrap interval of the actual values' mean, in one row."""
+    pairs = frame.filter(finite(predicted).isNotNull() & finite(actual).isNotNull())
+    interval = bootstrap_mean(pairs, actual, rounds).select(F.col("mean").alias("mean_actual"), "low", "high")
+    return diagnostics(pairs, predicted, actual).crossJoin(interval)  # single rows

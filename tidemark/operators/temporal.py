@@ -66,6 +66,16 @@ def asof_by_period(decisions: DataFrame, observations: DataFrame, entity: str =
     return aligned.withColumn("available", F.col("pit_time").isNotNull())
 
 
+def align_periods(decisions: DataFrame, observations: DataFrame, entity: str = "cik", identity: tuple[str, ...] = ("metric", "unit", "period_type", "start", "end"), payload: tuple[str, ...] = ("val_num",)) -> DataFrame:
+    """``asof_by_period``, but where no decision's entity has an observation all decisions come back with nulls (an action finds out)."""
+    known = decisions.filter(F.col(entity).isNotNull() & F.col("decision_time").isNotNull())
+    if not known.join(observations.select(entity), entity, "left_semi").isEmpty():
+        return asof_by_period(known, observations, entity, identity, payload)
+    kinds = {f.name: f.dataType for f in observations.schema.fields}
+    nothing = {**{c: c for c in identity}, "pit_time": "information_time", **{f"pit_{c}": c for c in payload}}
+    return known.select("*", *(F.lit(None).cast(kinds[c]).alias(name) for name, c in nothing.items()), F.lit(False).alias("available"))
+
+
 def leaks(aligned: DataFrame, information: str = "pit_time", decision: str = "decision_time") -> DataFrame:
     """Rows that saw information after their decision; empty for a sound panel."""
     return aligned.filter(F.col(information) > F.col(decision))

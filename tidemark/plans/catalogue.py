@@ -605,6 +605,17 @@ def universe_screen(spark, sf_dir):
     return rounded(out.select("symbol", "rows", *_MEDIANS, "exclusion_reason", "eligible", "selected"))
 
 
+@register(
+    """WITH s AS (SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'tqqq.us' WHEN 1 THEN 'S' || s_suppkey || '-WS' WHEN 2 THEN 'S' || s_suppkey || '_P' WHEN 3 THEN 'FNGD' ELSE 'S' || s_suppkey || '.US' END AS symbol FROM supplier)
+      SELECT s_suppkey, symbol, CASE WHEN s_suppkey % 6 IN (0, 3) THEN 'profile_excluded_leveraged_inverse' WHEN s_suppkey % 6 IN (1, 2) THEN 'profile_excluded_non_common_pattern' END AS reason FROM s"""
+)
+def universe_profiles(spark, sf_dir):
+    key, kind = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 6
+    symbol = F.when(kind == 0, "tqqq.us").when(kind == 1, F.concat(F.lit("S"), key, F.lit("-WS"))).when(kind == 2, F.concat(F.lit("S"), key, F.lit("_P"))).when(kind == 3, "FNGD").otherwise(F.concat(F.lit("S"), key, F.lit(".US")))
+    named = a.table(spark, sf_dir, "supplier").select("s_suppkey", symbol.alias("symbol"))
+    return named.withColumn("reason", audits.classify_profile(F.col("symbol"), "core_equity_etf"))
+
+
 # research ---------------------------------------------------------------------------------
 
 

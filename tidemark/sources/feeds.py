@@ -96,6 +96,26 @@ def read_price_archive(spark: SparkSession, landing: str) -> DataFrame:
     return typed.withColumns({c: F.expr(f"try_cast({c} AS DOUBLE)") for c in ("open", "high", "low", "close", "volume")}).filter(F.col("timestamp").isNotNull())
 
 
+def import_price_archive(spark: SparkSession, archive: str, landing: str, out: str) -> dict:
+    """Unpack an archive of price files to ``landing`` and write their bars by symbol; the symbols and how many there are."""
+    unzip(archive, landing, (".txt", ".csv"))
+    read_price_archive(spark, landing).write.mode("overwrite").partitionBy("symbol").parquet(out)
+    symbols = sorted(r[0] for r in spark.read.parquet(out).select(F.col("symbol").cast("string")).distinct().collect())  # one name a file
+    return {"imported": symbols, "imported_count": len(symbols)}
+
+
+def event_archive_name(day) -> str:
+    """File name of a day's world-event archive."""
+    return f"{day:%Y%m%d}.export.CSV.zip"
+
+
+def archive_manifest(spark: SparkSession, pattern: str) -> DataFrame:
+    """Per archive: bytes, SHA-256 and the day in its name."""
+    files = spark.read.format("binaryFile").load(pattern)
+    day = F.try_to_timestamp(F.regexp_extract("path", r"(\d{8})[^/]*$", 1), F.lit("yyyyMMdd")).cast("date")
+    return files.select(F.col("path").alias("file"), "length", F.sha2("content", 256).alias("sha256"), day.alias("day"))
+
+
 def parse_events(lines: DataFrame) -> DataFrame:
     """Tab-separated world events: all fields, the event date and the time of availability; empty fields are null.
 

@@ -65,6 +65,11 @@ def load_market_directory(spark: SparkSession, folder: str) -> DataFrame:
     return clean_bars(raw)
 
 
+def load_market_files(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``load_market_directory``, but only repeats within a file are dropped."""
+    return clean_bars(read_csv(spark, folder, recursive=True), across_files=False)
+
+
 def load_market_for_universe(spark: SparkSession, universe: DataFrame, start, end) -> DataFrame:
     """Bars of the universe's files under the universe's symbols, between two times (inclusive).
 
@@ -92,10 +97,28 @@ def load_facts(raw: DataFrame, ciks: DataFrame | None = None) -> DataFrame:
     return typed.join(ciks.select("cik").distinct(), "cik", "left_semi") if ciks is not None else typed
 
 
-def load_vintages(raw: DataFrame) -> DataFrame:
-    """Vintages typed, ``observation_date`` taken for ``date``, availability filled, rows without key dropped."""
+def load_observations(raw: DataFrame, ciks: list[int] | None = None, metrics: list[str] | None = None) -> DataFrame:
+    """Canonical company observations typed, without rows that lack a key or value; ``period_type`` is duration where the table has none."""
+    require_columns(raw, ["cik", "metric", "unit", "start", "end", "information_time", "val_num"], "observations")
+    typed = raw.withColumns({"cik": F.expr("try_cast(cik AS BIGINT)"), **{c: to_time(c) for c in ("start", "end", "information_time")}, "val_num": to_number("val_num")})
+    kept = typed.dropna(subset=["cik", "metric", "unit", "information_time", "end", "val_num"])
+    if "period_type" not in raw.columns:
+        kept = kept.withColumn("period_type", F.lit("duration"))
+    if ciks is not None:
+        kept = kept.filter(F.col("cik").isin(ciks))
+    return kept.filter(F.col("metric").isin(metrics)) if metrics is not None else kept
+
+
+def load_sec_map(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct ciks of a mapping file, to be joined with."""
+    return read_csv(spark, path).select(F.expr("try_cast(cik AS BIGINT)").alias("cik")).filter("cik IS NOT NULL").distinct()
+
+
+def load_vintages(raw: DataFrame, strict: bool = False) -> DataFrame:
+    """Vintages typed, ``observation_date`` taken for ``date``, availability filled (``strict``: required), rows without key dropped."""
     named = raw.withColumnRenamed("observation_date", "date") if "date" not in raw.columns else raw
-    require_columns(named, ["series_id", "date", "value", "realtime_start"], "vintages")
+    needed = ["series_id", "date", "value", "realtime_start"]
+    require_columns(named, [*needed, "available_date_conservative"] if strict else needed, "vintages")
     times = [c for c in ("date", "realtime_start", "realtime_end", "available_date_conservative") if c in named.columns]
     typed = named.withColumns({**{c: to_time(c) for c in times}, "value": to_number("value")})
     return with_availability(typed.dropna(subset=["series_id", "date", "realtime_start"]))
@@ -147,11 +170,26 @@ def append_journal(records: DataFrame, path: str) -> None:
     stamped.write.mode("append").json(path)
 
 
+def require_env(name: str, env: dict | None = None) -> str:
+    value = (os.environ if env is None else env).get(name, "").strip()
+    if not value:
+        raise ValueError(f"{name} is not set")
+    return value
+
+
+def write_report_rows(rows: DataFrame, path: str) -> list[dict]:
+    """A report of several rows as a JSON list; for reports, which are small by kind."""
+    documents = [json.loads(r) for r in rows.toJSON().collect()]
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(documents, indent=2, sort_keys=True))
+    return documents
+
+
 def manifest(spark: SparkSession, pattern: str, bars: DataFrame) -> DataFrame:
-    """Per file: SHA-256 of its bytes beside rows, symbols and span of its bars (``bars`` has ``_file``)."""
+    """Per file: SHA-256 of its bytes beside rows, symbols and span of its bars (``bars`` has ``_file``); ``error`` where it has none."""
     files = spark.read.format("binaryFile").load(pattern).select(F.col("path").alias("_file"), F.sha2("content", 256).alias("sha256"), "length")
     stats = bars.groupBy("_file").agg(F.count(F.lit(1)).alias("rows"), F.array_join(F.array_sort(F.collect_set("symbol")), ";").alias("symbols"), F.min("timestamp").cast("string").alias("start"), F.max("timestamp").cast("string").alias("end"))
-    return files.join(stats, "_file", "left").withColumnRenamed("_file", "file")
+    return files.join(stats, "_file", "left").withColumn("error", F.when(F.col("rows").isNull(), "no readable bars")).withColumnRenamed("_file", "file")
 
 
 def synthetic_bars(spark: SparkSession, symbols: list[str], periods: int, seed: int = 7) -> DataFrame:
