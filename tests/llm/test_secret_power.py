@@ -43,3 +43,19 @@ def test_keys_in_paths_are_found(spark):
     assert holds(30, keys[0]) and holds(30, second) and holds(31, second)
     assert all(a[1] <= b[0] for v in spans.values() for a, b in zip(sorted(v), sorted(v)[1:], strict=False))
     assert not spans[32]
+
+
+def test_random_strings_of_usual_lengths_are_found_and_prose_is_not(spark):
+    """Of 24 to 64 symbols outside base spans; ordinary candidates are long words, names in code, dates and paths."""
+    rng = random.Random(31)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    planted = [f"key {_drawn(rng, alphabet, rng.randrange(24, 65))} end" for alphabet in (HEX, BASE32, base64) for _ in range(120)]
+    words = [w.lower() for w in ORDINARY]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    makers = (lambda: "".join(some(8)), lambda: "".join(w.title() for w in some(6)), lambda: "_".join(some(6)), lambda: "/".join(some(7)), lambda: "-".join(some(6)) + "-2024-01-17", lambda: "".join(w.upper() for w in some(7)))
+    ordinary = [f"see {rng.choice(makers)()} here" for _ in range(360)]
+    got = _added(spark, planted + ordinary)
+    found = [sum(bool(got[k]) for k in range(120 * a, 120 * a + 120)) for a in range(3)]
+    false = sum(bool(got[k]) for k in range(360, 720))
+    print("found of 120 each:", found, "of 360 ordinary:", false)
+    assert min(found) >= 108 and false <= 0.02 * (sum(found) + false)

@@ -16,13 +16,10 @@ Tests of randomness, per candidate of ``n`` symbols with values 0..k-1:
 
 The three p-values are joined by Fisher's method; strings that are not random
 (sequences, repeats, words) fall here.  Short strings have little power against
-ordinary text, so a second p-value asks how often ordinary text of the same length
-would look as uniform: under text the chi-squared statistic has the mean and
-variance that the encoding's typical index of coincidence gives for ``n``.  For hex
-and base32 that statistic has too little power at usual lengths; there the p-value is
-the likelihood ratio of text to random symbols, which under text is at most ``p`` with
-probability ``p`` at most.  Text in these alphabets stays among letters or among digits
-and has the letter frequencies of English (hex: of its six letters), a tenth of it even.  On
+ordinary text, so a second p-value comes from the likelihood ratio of text to random
+symbols, which under text is at most ``p`` with probability ``p`` at most.  Text
+keeps to its class of symbols (small letters, capitals, digits, signs) as ``TURNS``
+says and has the letter frequencies of English, a tenth of it even.  On
 these p-values the false discovery rate is held by the Benjamini-Hochberg rule,
 within each class of encoding and length octave, so that many short candidates
 cannot lend significance to each other or borrow it from long ones.  The rule
@@ -57,17 +54,26 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 PARTS = ("[A-Za-z0-9+/]{20,}={0,2}", "[A-Za-z0-9_-]{20,}={0,2}", "[A-Za-z0-9]{20,}={0,2}")
 KINDS = ("assign", "access", "hex")
 
-#: name, pattern of the whole string, alphabet in value order, index of coincidence of ordinary text in it.
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: name, pattern of the whole string, alphabet in value order.
 ENCODINGS = (
-    ("hex", "[0-9a-f]+|[0-9A-F]+", "0123456789abcdef", 0.10),
-    ("base32", "[A-Z2-7]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.066),
-    ("alnum", "[A-Za-z0-9]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 0.066),
-    ("base64", "[A-Za-z0-9+/]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.066),
-    ("base64url", "[A-Za-z0-9_-]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 0.066),
+    ("hex", "[0-9a-f]+|[0-9A-F]+", "0123456789abcdef"),
+    ("base32", "[A-Z2-7]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("alnum", "[A-Za-z0-9]+", UPPER + LOWER + DIGITS),
+    ("base64", "[A-Za-z0-9+/]+", UPPER + LOWER + DIGITS + "+/"),
+    ("base64url", "[A-Za-z0-9_-]+", UPPER + LOWER + DIGITS + "-_"),
 )
-#: Text in small alphabets: weights of the letters in order of the alphabet, chance that a digit follows a letter, and a letter a digit.
-ENGLISH = dict(zip("ABCDEFGHIJKLMNOPQRSTUVWXYZ", (82, 15, 28, 43, 127, 22, 20, 61, 70, 1.5, 7.7, 40, 24, 67, 75, 19, 0.95, 60, 63, 91, 28, 9.8, 24, 1.5, 20, 0.74), strict=True))
-TURNS = {"hex": (0.15, 0.05), "base32": (0.02, 0.15)}
+#: Text: weights of the letters from A to Z, and for each class of symbols (small letters, capitals, digits, signs) how often
+#: text begins with it and goes on to each of the classes.
+ENGLISH = (82, 15, 28, 43, 127, 22, 20, 61, 70, 1.5, 7.7, 40, 24, 67, 75, 19, 0.95, 60, 63, 91, 28, 9.8, 24, 1.5, 20, 0.74)
+MIXED = ((0.6, 0.25, 0.1, 0.05), ((0.9, 0.05, 0.02, 0.03), (0.4, 0.55, 0.02, 0.03), (0.08, 0.04, 0.8, 0.08), (0.6, 0.2, 0.15, 0.05)))
+TURNS = {
+    "hex": ((0.5, 0, 0.5, 0), ((0.85, 0, 0.15, 0), (0, 0, 0, 0), (0.05, 0, 0.95, 0), (0, 0, 0, 0))),
+    "base32": ((0, 0.5, 0.5, 0), ((0, 0, 0, 0), (0, 0.98, 0.02, 0), (0, 0.15, 0.85, 0), (0, 0, 0, 0))),
+    "alnum": MIXED,
+    "base64": MIXED,
+    "base64url": MIXED,
+}
 EVEN = 0.1  # share of text whose letters are evenly spread: names, foreign words, codes
 GRID = 20  # steps of the p-value grid per power of e
 GRID_END = 2000
@@ -150,34 +156,40 @@ def _normal_sf(z):
     return F.when(z >= 0, upper).otherwise(1 - upper)
 
 
+def _class_of(symbol: str) -> int:
+    return 0 if symbol.islower() else 1 if symbol.isupper() else 2 if symbol.isdigit() else 3
+
+
 def _text_ratio(name: str, letters: str):
-    """Log likelihood of ``codes`` as text less that as random symbols of an encoding with ``TURNS``."""
-    is_digit = lambda c: c < 10 if name == "hex" else c >= 26
-    k, (to_digit, to_letter) = len(letters), TURNS[name]
-    alphas = [c.upper() for c in letters if c.isalpha()]
-    whole = sum(ENGLISH[c] for c in alphas)
-    share = [(1 - EVEN) * ENGLISH[c.upper()] / whole + EVEN / len(alphas) if c.isalpha() else 1 / (k - len(alphas)) for c in letters]
-    symbols = F.array(*(F.lit(math.log(q * k)) for q in share))
-    turn = lambda a, b: F.when(a & b, math.log(1 - to_letter)).when(a, math.log(to_letter)).when(b, math.log(to_digit)).otherwise(math.log(1 - to_digit))
-    start = F.struct(F.lit(math.log(0.5)).alias("sum"), F.lit(None).cast("boolean").alias("digit"))
-    return F.aggregate(
-        "codes",
-        start,
-        lambda s, c: F.struct(
-            (s["sum"] + F.get(symbols, c.cast("int")) + F.when(s["digit"].isNull(), 0.0).otherwise(turn(s["digit"], is_digit(c)))).alias("sum"), is_digit(c).alias("digit")
-        ),
-        lambda s: s["sum"],
-    )
+    """Log likelihood of ``codes`` as text less that as random symbols of an encoding."""
+    start, turns = TURNS[name]
+    kinds = [_class_of(c) for c in letters]
+    weight = [ENGLISH[UPPER.index(c.upper())] if c.isalpha() else 1.0 for c in letters]
+    share = []
+    for kind, w in zip(kinds, weight, strict=True):
+        own = [x for k, x in zip(kinds, weight, strict=True) if k == kind]
+        share.append((1 - EVEN) * w / sum(own) + EVEN / len(own))
+    symbols = F.array(*(F.lit(math.log(q * len(letters))) for q in share))
+    classes = F.array(*map(F.lit, kinds))
+    begin = F.array(*(F.lit(math.log(max(x, 1e-9))) for x in start))
+    onward = F.array(*(F.lit(math.log(max(x, 1e-9))) for row in turns for x in row))
+
+    def step(s, c):
+        kind = F.get(classes, c.cast("int"))
+        turn = F.when(s["kind"] < 0, F.get(begin, kind)).otherwise(F.get(onward, s["kind"] * 4 + kind))
+        return F.struct((s["sum"] + F.get(symbols, c.cast("int")) + turn).alias("sum"), kind.alias("kind"))
+
+    return F.aggregate("codes", F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("kind")), step, lambda s: s["sum"])
 
 
 def test_strings(strings: DataFrame, column: str = "match") -> DataFrame:
     """Adds ``encoding, n, chi2, p_uniform, p_runs, p_serial, p_random, log_text`` to candidates of known encodings."""
     body = F.regexp_replace(F.col(column), "=+$", "")
-    name, alphabet, coincidence = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("double")
-    for title, pattern, letters, ic in reversed(ENCODINGS):
+    name, alphabet = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for title, pattern, letters in reversed(ENCODINGS):
         fits = F.rlike(body, F.lit(f"^(?:{pattern})$"))
-        name, alphabet, coincidence = F.when(fits, title).otherwise(name), F.when(fits, letters).otherwise(alphabet), F.when(fits, F.lit(ic)).otherwise(coincidence)
-    rows = strings.withColumns({"encoding": name, "alphabet": alphabet, "ic": coincidence}).filter("encoding IS NOT NULL")
+        name, alphabet = F.when(fits, title).otherwise(name), F.when(fits, letters).otherwise(alphabet)
+    rows = strings.withColumns({"encoding": name, "alphabet": alphabet}).filter("encoding IS NOT NULL")
     rows = rows.withColumn("body", F.when(F.col("encoding") == "hex", F.lower(body)).otherwise(body))
     rows = rows.withColumns({"n": F.char_length("body").cast("double"), "k": F.char_length("alphabet").cast("double")})
     counts = F.transform(F.split("alphabet", ""), lambda a: (F.col("n") - F.char_length(F.replace(F.col("body"), a, F.lit("")))).cast("double"))
@@ -210,13 +222,9 @@ def test_strings(strings: DataFrame, column: str = "match") -> DataFrame:
     )
     half = -(F.ln("p_uniform") + F.ln("p_runs") + F.ln("p_serial"))  # half of Fisher's statistic, 6 degrees of freedom
     rows = rows.withColumn("half", half).withColumn("p_random", F.exp(-F.col("half")) * (1 + F.col("half") + F.col("half") * F.col("half") / 2))
-    # ordinary text: lambda = k * coincidence - 1 per symbol
-    lam = k * F.col("ic") - 1
-    z_text = (F.col("chi2") - (k - 1) - (n - 1) * lam) / F.sqrt(2 * (k - 1) + 4 * (n - 1) * lam)
-    log_text = F.ln(F.greatest(_normal_sf(-z_text), floor))
-    for title, _, letters, _ in ENCODINGS:
-        if title in TURNS:
-            log_text = F.when(F.col("encoding") == title, F.least(_text_ratio(title, letters), F.lit(0.0))).otherwise(log_text)
+    log_text = F.lit(None).cast("double")
+    for title, _, letters in ENCODINGS:
+        log_text = F.when(F.col("encoding") == title, F.least(_text_ratio(title, letters), F.lit(0.0))).otherwise(log_text)
     return rows.withColumn("log_text", log_text).drop("counts", "codes", "high", "turns", "half", "alphabet")
 
 
