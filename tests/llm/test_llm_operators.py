@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tidemark.llm import digest_index, extendible, host_rules, language, mixing, parity_join, piece_bpe, secret_tests, token_coder, unigram_count
@@ -81,8 +83,19 @@ def test_blocks_shrink_what_repeats_and_notice_damage():
 def test_word_encoder_equals_the_library():
     encoder = token_coder.WordEncoder(WORD_MODEL, most=50)
     texts = [t or "" for _, t, *_ in sample()] + ["It's I'LL don't 'S x'", "ÀÉÎ ǅ ΑΣ Σ", "é ́x", "<|endoftext|> a<|startoftext|>b", "1234 a1b2", "a\x85b\xa0c\x1cd"]
-    for text, ids in zip(texts, encoder.encode(texts), strict=True):
-        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    texts += ["".join(random.Random(k).choice("abAB  \t.,'%<>|_é日🙂ßK01\x1c\x00") for _ in range(30)) for k in range(400)] + ["x" * 300 + "!!"]
+    ids, counts = encoder.encode(pa.array(texts))
+    ends = np.cumsum(counts)
+    for text, end, count in zip(texts, ends, counts, strict=True):
+        assert ids[end - count : end].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_real_ids_take_fewer_bits_than_by_zlib():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).combine_chunks()
+    ids, counts = token_coder.WordEncoder(WORD_MODEL).encode(texts.fill_null(""))
+    payload = token_coder.encode_block(ids.astype(np.int64), list(range(len(counts))), counts.tolist(), 49408)
+    assert (token_coder.decode_block(payload)[0] == ids).all()
+    assert 8 * len(payload) / len(ids) < 7.4 < 0.8 * 8 * len(zlib.compress(ids.astype("<u2").tobytes())) / len(ids)
 
 
 def test_token_files(spark, docs, empty):
@@ -467,8 +480,6 @@ def test_hot_group_at_the_threshold(spark, monkeypatch, edits):
 
 
 def test_groups_stream_is_the_same_for_any_batches(monkeypatch):
-    import pyarrow as pa
-
     rng = random.Random(7)
     rows = sorted((rng.randrange(12), rng.randrange(5)) for _ in range(120))
     groups = defaultdict(set)

@@ -1,12 +1,13 @@
 """Token-id files: an adaptive context-mixing range coder over independent blocks.
 
-Model.  Three predictors look at the ids so far: order 2 (the id that followed
-the last two ids), order 1 (the id that followed the last id) and order 0
-(adaptive counts of all ids).  Orders 1 and 2 name one id each, with a
-confidence.  A mixer keeps, for every pair of confidences, how often each order
-was right, and turns that into the probability mass of each prediction; the rest
-of the mass is spread by the order-0 counts.  One arithmetic-coding step per id
-then codes it inside that mixture.
+Model.  Three predictors look at the ids so far: order 2 (where the last two ids
+stood together before, and on from there while that place predicts right), order 1
+(the id that followed the last id) and order 0 (adaptive counts of all ids).  Orders 2
+and 1 name one id each, with a confidence: for order 2 how many ids agree up to its
+place, for order 1 how often it was right.  A mixer keeps, for every pair of
+confidences, how often each order was right, and turns that into the probability mass of each
+prediction; the rest of the mass is spread by the order-0 counts.  One
+arithmetic-coding step per id then codes it inside that mixture.
 
 Lanes.  A block is cut into lanes of equal length that are coded in lockstep with
 vector operations: all lanes share the block's model, and each has a range coder
@@ -29,11 +30,10 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,21 +47,24 @@ TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 WORD, TOP_SHIFT = np.uint64(16), np.uint64(48)
 LEVELS = 8  # confidences 0..7
 REFRESH = 32  # steps between updates of the order-0 intervals
-HASH_BITS = 18
+HASH_BITS = 20
+#: Class of how many ids before a lane's place agree with those before the place it follows.
+AGREE = np.array([0, 0, 1, 2, 3, 3, 4, 4, 4, 4, 5, 5, 5, 5, 5, 5, 6, 6, 6, 6, 6, 6, 6, 6, 6, 6, 6, 6, 6, 6, 6, 7], np.int64)
 CELL_BITS = 4
+MOST_AGREE = len(AGREE) - 1
 
 
 class Mixer:
     """Predictions of orders 0 to 2 and their mixture; the same in coder and decoder.
 
-    ``first`` (by last id) and ``second`` (by a hash of the last two) hold a
-    predicted id times 8 plus a confidence of 0 to 7.
+    ``first`` (by last id) holds a predicted id times 8 plus a confidence of 0 to 7,
+    ``second`` (by a hash of the last two) the place of the id that came after them.
     """
 
     def __init__(self, size: int):
         self.size = size
         self.first = np.zeros(size, np.int32)
-        self.second = np.zeros(1 << HASH_BITS, np.int32)
+        self.second = np.zeros(1 << HASH_BITS, np.int64)
         self.right = np.zeros((LEVELS * LEVELS * 2, 3), np.int64)  # times order 2, order 1, neither was right
         self.right[:] = (1, 1, 6)
         self.counts = np.zeros(size, np.int64)
@@ -100,14 +103,25 @@ class Mixer:
         self.mass1[1::2] = 0  # both orders name the same id
         self.masses = self.mass2 + self.mass1
 
-    def predict(self, one: np.ndarray, two: np.ndarray):
-        """Slot of order 2, the two entries, the two guesses and the class of confidences."""
-        slot = (two * 0x9E3779B1 + one * 0x85EBCA77) >> 7 & (1 << HASH_BITS) - 1
-        e1, e2 = self.first.take(one), self.second.take(slot)
-        g1, g2 = e1 >> 3, e2 >> 3
-        return slot, e1, e2, g1, g2, (e2 & 7) << 4 | (e1 & 7) << 1 | (g1 == g2)
+    def predict(self, history: np.ndarray, one: np.ndarray, two: np.ndarray, three: np.ndarray, agree: np.ndarray, follow: np.ndarray):
+        """Slot of order 2 and its mark, the entry of order 1, the two guesses and the class of confidences.
 
-    def update(self, ids, one, slot, e1, e2, hit1, hit2, kind) -> None:
+        ``history`` holds the ids coded so far, step by step.  A lane whose last order-2 guess was wrong
+        looks up where its last two ids stood together before; the mark tells whether
+        the id before those was the same too.  ``follow`` and ``agree`` are changed in place.
+        """
+        slot = (two * 0x9E3779B1 + one * 0x85EBCA77) >> 7 & (1 << HASH_BITS) - 1
+        mark = three * 0x2C1B3C6D >> 5 & 0xFF
+        lost = np.flatnonzero(agree == 0)
+        entry = self.second.take(slot[lost])
+        follow[lost] = entry >> 8
+        agree[lost] = ((entry & 0xFF) == mark[lost]) + 2
+        g2 = history.take(follow)
+        e1 = self.first.take(one)
+        g1 = e1 >> 3
+        return slot, mark, e1, g1, g2, AGREE.take(agree) << 4 | (e1 & 7) << 1 | (g1 == g2)
+
+    def update(self, ids, places, one, slot, mark, e1, hit1, hit2, kind) -> None:
         lost = kind * 3 + 2
         lost -= hit1
         lost[hit2] = kind[hit2] * 3
@@ -117,12 +131,12 @@ class Mixer:
             if over.any():
                 self.right[over] = (self.right[over] >> 1) + 1
             self._weigh()
-        for table, at, entry, hit in ((self.first, one, e1, hit1), (self.second, slot, e2, hit2)):
-            move = MOVES.take((entry & 7) | hit << np.int32(3))
-            after = entry + move
-            fresh = np.flatnonzero(move == FRESH)
-            after[fresh] = ids[fresh] << 3
-            table[at] = after
+        self.second[slot] = places << 8 | mark
+        move = MOVES.take((e1 & 7) | hit1 << np.int32(3))
+        after = e1 + move
+        fresh = np.flatnonzero(move == FRESH)
+        after[fresh] = ids[fresh] << 3
+        self.first[one] = after
         self.waiting.append(ids)
         self.steps += 1
         if self.steps % REFRESH == 0 or self.steps in (1, 2, 4, 8, 16):
@@ -137,7 +151,7 @@ MOVES = np.array([FRESH, -1, -2, -2, -2, -2, -2, -2, 1, 1, 1, 1, 1, 1, 1, 0], np
 
 
 def _lanes(n: int) -> int:
-    return max(1, min(4096, n // 96))
+    return max(1, min(8192, n // 224))
 
 
 def _shift_out(low, span):
@@ -160,20 +174,23 @@ def _encode_ids(ids: np.ndarray, size: int) -> tuple[int, np.ndarray, bytes]:
     padded = np.zeros(steps * lanes, np.int64)
     padded[:n] = ids
     grid = np.ascontiguousarray(padded.reshape(lanes, steps).T)
+    history = np.zeros((steps + 2) * lanes, np.int32)  # a row of zeros, then one a step, filled as the decoder fills its own
+    lane = np.arange(lanes)
     mixer = Mixer(size)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     width = 2 * steps + 6
-    out = np.zeros(lanes * width, np.uint16)
-    place = np.arange(lanes) * width  # where the next word of a lane goes
+    out = np.zeros(lanes * width, np.uint16)  # a row for the first word of each lane, one for the second and so on
+    place = np.arange(lanes)  # where the next word of a lane goes
     ends = np.zeros(lanes, np.int64)
-    one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    one, two, three, agree, follow = (np.zeros(lanes, np.int64) for _ in range(5))
     for step in range(steps):
         live = int(np.searchsorted(-lengths, -step, side="left"))  # lanes are full, then short, then empty
         if live < len(low):
-            ends[live : len(low)] = _flush(low[live:], out, place[live:])
-            low, span, one, two, place = low[:live], span[:live], one[:live], two[:live], place[:live]
+            ends[live : len(low)] = _flush(low[live:], out, place[live:], lanes)
+            low, span, one, two, three, agree, follow, place = (a[:live] for a in (low, span, one, two, three, agree, follow, place))
         x = grid[step, :live]
-        slot, e1, e2, g1, g2, kind = mixer.predict(one, two)
+        here = slice((step + 1) * lanes, (step + 1) * lanes + live)
+        slot, mark, e1, g1, g2, kind = mixer.predict(history, one, two, three, agree, follow)
         hit2, hit1 = g2 == x, g1 == x
         head = mixer.masses.take(kind)
         room = TOTAL - head
@@ -188,7 +205,7 @@ def _encode_ids(ids: np.ndarray, size: int) -> tuple[int, np.ndarray, bytes]:
         span = unit * (stop - start).view(np.uint64)
         go = _shift_out(low, span)
         out[place] = low >> TOP_SHIFT  # lanes that don't shift write over this later
-        place = place + go
+        place = place + go * lanes
         move = go.astype(np.uint64) << np.uint64(4)
         low <<= move
         span <<= move
@@ -198,22 +215,23 @@ def _encode_ids(ids: np.ndarray, size: int) -> tuple[int, np.ndarray, bytes]:
             go = np.flatnonzero(_shift_out(l, s))
             at, l, s = at[go], l[go], s[go]
             out[place[at]] = l >> TOP_SHIFT
-            place[at] += 1
+            place[at] += lanes
             low[at], span[at] = l << WORD, s << WORD
-        mixer.update(x, one, slot, e1, e2, hit1, hit2, kind)
-        two, one = one, x
-    ends[: len(low)] = _flush(low, out, place)
-    used = ends - np.arange(lanes) * width
+        mixer.update(x, lane[:live] + here.start, one, slot, mark, e1, hit1, hit2, kind)
+        history[here] = x
+        three, two, one, agree, follow = two, one, x, np.minimum(agree + 1, MOST_AGREE) * hit2, follow + lanes
+    ends[: len(low)] = _flush(low, out, place, lanes)
+    used = ends // lanes
     mask = np.arange(width) < used[:, None]
-    return lanes, used.astype(np.uint32), out.reshape(lanes, width)[mask].tobytes()
+    return lanes, used.astype(np.uint32), out.reshape(width, lanes).T[mask].tobytes()
 
 
-def _flush(low, out, place) -> np.ndarray:
+def _flush(low, out, place, lanes: int) -> np.ndarray:
     """Two words name a value inside the last interval; the decoder reads zeros after them."""
     value = low + (BOTTOM - np.uint64(1))
     out[place] = value >> TOP_SHIFT
-    out[place + 1] = value >> np.uint64(32) & np.uint64(0xFFFF)
-    return place + 2
+    out[place + lanes] = value >> np.uint64(32) & np.uint64(0xFFFF)
+    return place + 2 * lanes
 
 
 def _decode_ids(n: int, size: int, lanes: int, used: np.ndarray, data: bytes) -> np.ndarray:
@@ -222,20 +240,23 @@ def _decode_ids(n: int, size: int, lanes: int, used: np.ndarray, data: bytes) ->
     width = max(int(used.max(initial=0)), 4) + 2 * steps + 6
     words = np.zeros((lanes, width), np.uint16)
     words[np.arange(width) < used[:, None]] = np.frombuffer(data, np.uint16)
+    words = np.ascontiguousarray(words.T)
     mixer = Mixer(size)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     code = np.zeros(lanes, np.uint64)
     for k in range(4):
-        code = code << WORD | words[:, k]
+        code = code << WORD | words[k]
     words = words.reshape(-1)
-    place = np.arange(lanes) * width + 4
-    grid = np.zeros((steps, lanes), np.int64)
-    one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    place = np.arange(lanes) + 4 * lanes
+    history = np.zeros((steps + 2) * lanes, np.int32)
+    lane = np.arange(lanes)
+    one, two, three, agree, follow = (np.zeros(lanes, np.int64) for _ in range(5))
     for step in range(steps):
         live = int(np.searchsorted(-lengths, -step, side="left"))
         if live < len(low):
-            low, span, code, one, two, place = low[:live], span[:live], code[:live], one[:live], two[:live], place[:live]
-        slot, e1, e2, g1, g2, kind = mixer.predict(one, two)
+            low, span, code, one, two, three, agree, follow, place = (a[:live] for a in (low, span, code, one, two, three, agree, follow, place))
+        here = slice((step + 1) * lanes, (step + 1) * lanes + live)
+        slot, mark, e1, g1, g2, kind = mixer.predict(history, one, two, three, agree, follow)
         unit = span >> BITS
         value = np.minimum((code - low) // unit, LAST).view(np.int64)
         head = mixer.masses.take(kind)
@@ -244,7 +265,7 @@ def _decode_ids(n: int, size: int, lanes: int, used: np.ndarray, data: bytes) ->
         x = mixer.find(np.maximum(target, 0))
         start = (mixer.cum.take(x) * room >> COUNT_BITS) + head
         stop = (mixer.cum[1:].take(x) * room >> COUNT_BITS) + head
-        at = np.flatnonzero(value < head)  # order 2 or 1 was right
+        at = np.flatnonzero(value < head)  # the guess of order 2 or 1 was right
         part = mixer.mass2.take(kind[at])
         by2 = value[at] < part
         x[at] = np.where(by2, g2[at], g1[at])
@@ -257,19 +278,21 @@ def _decode_ids(n: int, size: int, lanes: int, used: np.ndarray, data: bytes) ->
         span <<= move
         code <<= move
         code |= words.take(place) * go
-        place = place + go
+        place = place + go * lanes
         at = np.flatnonzero(span < TOP)
         while len(at):
             l, s = low[at], span[at]
             go = np.flatnonzero(_shift_out(l, s))
             at, l, s = at[go], l[go], s[go]
             code[at] = code[at] << WORD | words[place[at]]
-            place[at] += 1
+            place[at] += lanes
             low[at], span[at] = l << WORD, s << WORD
-        mixer.update(x, one, slot, e1, e2, g1 == x, g2 == x, kind)
-        grid[step, :live] = x
-        two, one = one, x
-    return grid.T.reshape(-1)[:n] if lanes * steps == n else np.concatenate([grid[: lengths[k], k] for k in range(lanes)])
+        hit2 = g2 == x
+        mixer.update(x, lane[:live] + here.start, one, slot, mark, e1, g1 == x, hit2, kind)
+        history[here] = x
+        three, two, one, agree, follow = two, one, x, np.minimum(agree + 1, MOST_AGREE) * hit2, follow + lanes
+    grid = history[lanes : (steps + 1) * lanes].reshape(steps, lanes)
+    return grid.T.reshape(-1)[:n].astype(np.int64)
 
 
 def encode_block(ids: np.ndarray, doc_ids: list, lengths: list, size: int) -> bytes:
@@ -310,15 +333,17 @@ class WordEncoder:
     """Ids of whole texts by the tokenizers library, one call per distinct word.
 
     The tokenizer drops white space and never merges across it, so a text's ids
-    are the ids of its words (cut at ASCII white space) in turn.  A word of Latin
-    letters, at most one comma or full stop after it, goes by its letters in
-    lower case straight to the library's model, as the tokenizer lower-cases,
-    cuts before punctuation and then maps bytes to letters of its own.  All other
-    words go through the whole tokenizer.  The caches are emptied when they are
-    full.
+    are the ids of its words (cut at ASCII white space) in turn.  Arrow cuts texts into words and
+    numbers the distinct ones.  A word of Latin letters and any ASCII signs after them
+    goes by its letters in lower case straight to the library's model, as the tokenizer
+    lower-cases, cuts before signs and then maps bytes to letters of its own.  All other
+    words go through the whole tokenizer.  Words of up to ``LONG`` characters are
+    remembered; the caches are emptied when they are full.
     """
 
     LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)]))
+    SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII signs but the apostrophe, which the tokenizer may take with letters
+    LONG = 64
 
     def __init__(self, path: str, most: int = 900_000, most_stems: int = 700_000):
         from tokenizers import Tokenizer
@@ -326,53 +351,77 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.most, self.most_stems = most, most_stems
-        self.words: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
         self.model = self.tokenizer.model
         self.mapped = {ord(c): "".join(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in self.LETTERS}
         self.plain = frozenset(self.LETTERS)
-        self.tails = {t: self._whole([t])[0] if t else b"" for t in ("", ",", ".")}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # a token that is added to the vocabulary must not reach over the end of a stem
+        self.signs = "" if any(t.rstrip(self.SIGNS) != t and t[:1].isalpha() for t in added) else self.SIGNS
 
     def _whole(self, strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def _stem(self, stem: str) -> bytes:
-        found = self.stems.get(stem)
+    def _tail(self, tail: str) -> bytes:
+        found = self.tails.get(tail)
         if found is None:
-            if len(self.stems) >= self.most_stems:
-                self.stems.clear()
-            text = stem if stem.isascii() else stem.translate(self.mapped)
-            ids = [t.id for t in self.model.tokenize(text)]
-            found = self.stems[stem] = array("I", ids).tobytes()
+            found = self._whole([tail])[0]
+            if len(tail) <= 8 and len(self.tails) < 100_000:
+                self.tails[tail] = found
         return found
 
-    def learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
+    def learn(self, missing: list[str]) -> list[bytes]:
         """The ids of new words, which are remembered too."""
-        new: dict[bytes, bytes] = {}
-        whole: list[tuple[bytes, str]] = []
+        out: list[bytes] = []
+        whole: list[int] = []
+        signs, stems, tokenize = self.signs, self.stems, self.model.tokenize
+        if len(stems) > self.most_stems:
+            stems.clear()
         for word in missing:
-            text = word.decode("utf-8", "replace")
-            tail = text[-1] if text[-1] in ",." else ""
-            stem = (text[:-1] if tail else text).lower()
-            if stem.isalpha() and (stem.isascii() or self.plain.issuperset(stem)):
-                new[word] = self._stem(stem) + self.tails[tail]
-            else:
-                whole.append((word, text))
-        new.update(zip((w for w, _ in whole), self._whole([t for _, t in whole]), strict=True))
-        if len(self.words) + len(new) > self.most:
+            stem = word.rstrip(signs)
+            low = stem.lower()
+            own = stems.get(low)
+            if own is None:
+                ascii_only = low.isascii()
+                if not (low.isalpha() and (ascii_only or self.plain.issuperset(low))):
+                    whole.append(len(out))
+                    out.append(b"")
+                    continue
+                own = array("I", [t.id for t in tokenize(low if ascii_only else low.translate(self.mapped))]).tobytes()
+                if len(low) <= self.LONG:
+                    stems[low] = own
+            out.append(own if len(stem) == len(word) else own + self._tail(word[len(stem) :]))
+        for k, own in zip(whole, self._whole([missing[k] for k in whole]), strict=True):
+            out[k] = own
+        if len(self.words) + len(out) > self.most:
             self.words.clear()
-        self.words.update(new)
-        return new
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [t.encode("utf-8", "replace").split() for t in texts]
-        parts = [list(map(self.words.get, words)) for words in cut]
-        holes = [list(compress(range(len(own)), map(not_, own))) for own in parts]  # unknown, or without ids
-        new = self.learn({words[k] for words, own, at in zip(cut, parts, holes, strict=True) for k in at if own[k] is None})
-        for words, own, at in zip(cut, parts, holes, strict=True):
-            for k in at:
-                own[k] = new.get(words[k], b"")
-        return [np.frombuffer(b"".join(own), np.uint32) for own in parts]
+        if max(map(len, missing), default=0) <= self.LONG:
+            self.words.update(zip(missing, out, strict=True))
+        else:
+            self.words.update((w, x) for w, x in zip(missing, out, strict=True) if len(w) <= self.LONG)
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has."""
+        cut = pc.ascii_split_whitespace(texts)
+        coded = cut.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        own = list(map(self.words.get, distinct))
+        holes = [k for k, x in enumerate(own) if x is None]
+        for k, x in zip(holes, self.learn([distinct[k] for k in holes]), strict=True):
+            own[k] = x
+        known = np.frombuffer(b"".join(own), np.uint32)
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        begin = np.cumsum(sizes) - sizes
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = sizes.take(word)
+        ends = np.cumsum(sizes)
+        at = np.repeat(begin.take(word) - ends + sizes, sizes)
+        at += np.arange(len(at))
+        bounds = np.concatenate(([0], ends))[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        return known.take(at), np.diff(bounds)
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -388,40 +437,45 @@ def _block_writer(path: str, end_id: int, block_ids: int):
 
         encoder = _encoder(path)
         part, block, start = TaskContext.get().partitionId(), 0, 0
-        held, docs, lengths = [], [], []
-        end = np.array([end_id], np.uint32)
+        held, docs, lengths, count = [], [], [], 0
 
         def pack():
-            nonlocal block, start
+            nonlocal block, start, count
             ids = np.concatenate(held)
-            row = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start]), pa.array([len(ids)]), pa.array([len(docs)]), pa.array([encode_block(ids, docs, lengths, encoder.size)], pa.binary())],
-                ["part", "block", "part_start", "n_ids", "n_docs", "payload"],
-            )
-            block, start = block + 1, start + len(ids)
+            payload = encode_block(ids, docs, lengths, encoder.size)
+            values = ((part, pa.int32()), (block, pa.int32()), (start, pa.int64()), (len(ids), pa.int64()), (len(docs), pa.int64()), (payload, pa.binary()))
+            block, start, count = block + 1, start + len(ids), 0
             held.clear(), docs.clear(), lengths.clear()
-            return row
+            return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in values], ["part", "block", "part_start", "n_ids", "n_docs", "payload"])
+
+        def hold(ids, own_docs, own_lengths):
+            nonlocal count
+            held.append(ids)
+            docs.extend(own_docs)
+            lengths.extend(own_lengths)
+            count += len(ids)
 
-        count = 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                piece = batch.slice(k, 256)
-                ids = encoder.encode(piece.column(1).to_pylist())
-                for doc, own in zip(piece.column(0).to_pylist(), ids, strict=True):
-                    held += (own, end)
-                    docs.append(doc)
-                    lengths.append(len(own) + 1)
-                    count += len(own) + 1
+            for k in range(0, batch.num_rows, 1024):
+                piece = batch.slice(k, 1024)
+                ids, counts = encoder.encode(piece.column(1))
+                ids = np.insert(ids, np.cumsum(counts), end_id)
+                ends = np.cumsum(counts + 1)
+                own_docs, own_lengths = piece.column(0).to_pylist(), (counts + 1).tolist()
+                doc = place = 0
+                while doc < len(ends):  # a block ends with the document that fills it
+                    last = min(int(np.searchsorted(ends, place + block_ids - count)), len(ends) - 1)
+                    hold(ids[place : ends[last]], own_docs[doc : last + 1], own_lengths[doc : last + 1])
+                    doc, place = last + 1, int(ends[last])
                     if count >= block_ids:
                         yield pack()
-                        count = 0
         if docs:
             yield pack()
 
     return write
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, block_ids: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, block_ids: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode ``docs`` in ascending id order and write block files to ``path``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
