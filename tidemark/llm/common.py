@@ -62,11 +62,11 @@ def arrow_map(
 ) -> DataFrame:
     """``mapInArrow`` over only the named columns, in batches of bounded bytes.
 
-    Batches are limited by bytes (8 MB, or one row), as texts are short or long;
+    Batches are limited by bytes (4 MB, or one row), as texts are short or long;
     settings that the session has changed are left alone.
     """
     conf = df.sparkSession.conf
-    for key, default, ours in (("maxRecordsPerBatch", "10000", "50000"), ("maxBytesPerBatch", "67108864b", "8388608b")):
+    for key, default, ours in (("maxRecordsPerBatch", "10000", "50000"), ("maxBytesPerBatch", "67108864b", "4194304b")):
         if conf.get(f"spark.sql.execution.arrow.{key}", default) == default:
             conf.set(f"spark.sql.execution.arrow.{key}", ours)
     return df.select(*columns).mapInArrow(_tidy(fn), schema)

@@ -119,7 +119,7 @@ class LongestMatches:
 class PieceModel:
     """Pieces, scores and the two directions of text and ids, from a sentencepiece BPE model file."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 240_000):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2
 
