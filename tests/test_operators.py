@@ -1,12 +1,14 @@
 """Domain operators on hand-made tables with exact results."""
 
 import datetime as dt
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import session
 from tidemark.functions import scalars
 from tidemark.operators import audits, bars, facts, macro, models, news, panel, research, temporal
 from tidemark.schema import require_columns
@@ -50,6 +52,26 @@ def test_asof_never_sees_the_future(spark):
         temporal.assert_no_future_information(out.withColumn("pit_time", F.expr("decision_time + INTERVAL 1 DAY")))
 
 
+@pytest.mark.parametrize("forward", [False, True])
+def test_asof_in_buckets_is_the_same(spark, forward):
+    rng = random.Random(17)
+    when = lambda: rng.choice([None, day(1) + dt.timedelta(hours=rng.randrange(2000))])
+    left = spark.createDataFrame([(k, rng.choice(["a", "b", None, "only left"]), when()) for k in range(300)], "id int, key string, t timestamp_ntz")
+    right = spark.createDataFrame([(rng.choice(["a", "b", None, "only right"]), when(), rng.choice([None, rng.randrange(5)])) for _ in range(120)], "key string, known timestamp_ntz, v int")
+    plain, dealt = (temporal.asof_join(left, right, ["key"], "t", "known", ["v"], ["v"], forward=forward, bucket_days=n) for n in (None, 3))
+    key = lambda r: r.id
+    assert sorted(plain.collect(), key=key) == sorted(dealt.collect(), key=key)
+    assert plain.columns == dealt.columns
+
+
+def test_written_tables_are_cleared(spark):
+    out = session.written(spark.range(5).toDF("v"), "x")
+    path = out.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    session.clear_written(spark)
+    assert not os.path.exists(path)
+
+
 def test_numbers_are_dense_and_ordered(spark):
     rows = spark.createDataFrame([(k,) for k in random.Random(2).sample(range(1000), 500)], "v int").repartition(7)
     out = temporal.number_decisions(rows, ["v"]).orderBy("v").collect()

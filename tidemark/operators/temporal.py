@@ -15,13 +15,16 @@ from tidemark.session import written
 
 
 def asof_join(
-    left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, payload: list[str], ties: list[str] | None = None, prefix: str = "pit_", forward: bool = False,
+    left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, payload: list[str], ties: list[str] | None = None, prefix: str = "pit_", forward: bool = False, bucket_days: int | None = None,
 ) -> DataFrame:
     """LEFT as-of join: to each left row the last right row at or before it (``forward``: first at or after).
 
     ``ties`` order right rows of one time; the last (forward: first) of them is
     taken, nulls counting as last.  Null keys match null keys.  Payload columns come back with ``prefix``;
     ``<prefix>time`` is the right row's time.
+
+    A key is one task's work.  With ``bucket_days`` it is dealt over spans of that many days: each
+    span's last right row is carried to the spans after it, which are one row a span.
     """
     require_columns(left, [*by, left_time], "left side")
     require_columns(right, [*by, right_time, *payload], "right side")
@@ -30,15 +33,41 @@ def asof_join(
     order = F.struct(*(F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("value")) for c in (ties or [right_time])))
     sides_right = right.filter(F.col(right_time).isNotNull()).select(F.lit(None).alias("row"), *(F.col(c).alias(f"k_{c}") for c in by), F.col(right_time).alias("t"), F.lit(1 if forward else 0).alias("side"), packed.alias("payload"), order.alias("ties"))
     both = sides_left.unionByName(sides_right)
-    span = Window.partitionBy(*(f"k_{c}" for c in by)).orderBy(F.col("t").asc_nulls_first(), "side", F.col("ties").asc_nulls_first())
+    keys = [f"k_{c}" for c in by]
+    if bucket_days:
+        both = both.withColumn("bucket", F.floor(F.unix_micros(F.col("t").cast("timestamp")) / F.lit(bucket_days * 86_400_000_000)))
+        parts = [*keys, "bucket"]
+    else:
+        parts = keys
+    span = Window.partitionBy(*parts).orderBy(F.col("t").asc_nulls_first(), "side", F.col("ties").asc_nulls_first())
     if forward:
         pick = F.first("payload", ignorenulls=True).over(span.rowsBetween(0, Window.unboundedFollowing))
     else:
         pick = F.last("payload", ignorenulls=True).over(span.rowsBetween(Window.unboundedPreceding, 0))
     matched = both.withColumn("hit", F.when(F.col("t").isNotNull(), pick)).filter(F.col("row").isNotNull())
+    if bucket_days:
+        carried = _carried(both, keys, forward)
+        same = [F.col(f"m.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+        condition = F.col("m.bucket") == F.col("c.bucket")
+        for one in same:
+            condition &= one
+        matched = matched.alias("m").join(carried.alias("c"), condition, "left").select("m.row", F.coalesce("m.hit", "c.carry").alias("hit"))
     return matched.select("row.*", F.col("hit.time").alias(f"{prefix}time"), *(F.col(f"hit.{c}").alias(f"{prefix}{c}") for c in payload))
 
 
+def _carried(both: DataFrame, keys: list[str], forward: bool) -> DataFrame:
+    """Per key and bucket the right row that comes from the buckets before it (``forward``: after it)."""
+    ordered = F.when(F.col("payload").isNotNull(), F.struct("t", "ties"))
+    edge = F.min_by("payload", ordered) if forward else F.max_by("payload", ordered)
+    edges = both.filter("bucket IS NOT NULL").groupBy(*keys, "bucket").agg(edge.alias("edge"))
+    w = Window.partitionBy(*keys).orderBy("bucket")
+    if forward:
+        carry = F.first("edge", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    else:
+        carry = F.last("edge", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return edges.select(*keys, "bucket", carry.alias("carry"))
+
+
 def match_report(aligned: DataFrame, time_column: str = "pit_time") -> DataFrame:
     return aligned.agg(F.count(F.lit(1)).alias("rows"), F.count(time_column).alias("matched"), F.count_if(F.col(time_column).isNull()).alias("unmatched"))
 
