@@ -307,6 +307,23 @@ def test_language(spark, empty):
     assert language.language_query(empty).count() == 0 and language.recognised(empty).count() == 0
 
 
+def test_predictions_of_repeated_and_very_long_texts(spark, monkeypatch):
+    rng = random.Random(14)
+    stock = {"en": "the of and to in river stone light".split(), "de": "der und die das nicht fluss stein licht".split()}
+    text = lambda lang, n: " ".join(rng.choice(stock[lang]) for _ in range(n))
+    rows = [(k, text(lang, 60), lang, None, 0) for k, lang in enumerate(["en", "de"] * 40)]
+    model = language.fit_language(spark.createDataFrame(rows, SCHEMA))
+    texts = [text("en", 200_000), text("de", 40), "the", "", None, "12 ++"]
+    want = model.predict(texts)
+    monkeypatch.setattr(language, "BLOCK", 5000)
+    assert model.predict(texts)[0] == want[0] and np.allclose(model.predict(texts)[1], want[1])
+    assert want[0][:2] == ["en", "de"] and want[0][3:] == ["und"] * 3
+    frame = spark.createDataFrame([(1, texts[1], "x", "s", 1)] * 3 + [(None, "", None, None, 0)], SCHEMA)
+    out = language.predict_language(frame, model)
+    assert out.columns == [*frame.columns, "lang_pred", "score"]
+    assert len({(r.lang_pred, r.score) for r in out.filter("doc_id = 1").collect()}) == 1 and out.count() == 4
+
+
 def test_prediction_does_not_look_at_lang(spark):
     rows = [(k, "the of and to" if k % 2 else "der die und das", "en" if k % 2 else "de", "s", 0) for k in range(80)]
     a = language.language_query(spark.createDataFrame(rows, SCHEMA)).toPandas().sort_values("doc_id")
