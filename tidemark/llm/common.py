@@ -100,6 +100,7 @@ def hold(name, make: Callable):
     if name not in _HELD:
         _HELD.clear()
         _HELD[name] = make()
+        trim()
     return _HELD[name]
 
 

@@ -65,7 +65,7 @@ class LongestMatches:
     ``codes`` is zero for all others.
     """
 
-    WIDTH = 160
+    WIDTH = 128
 
     def __init__(self, pieces: dict[str, int]):
         often = Counter(c for piece in pieces for c in piece)
@@ -84,7 +84,7 @@ class LongestMatches:
                         children.append({})
                         own.append(-1)
                 own[node] = number
-        self.table = np.zeros((len(children), self.WIDTH), np.int32)
+        self.table = np.zeros((len(children), self.WIDTH), np.uint16 if len(children) < 1 << 16 else np.int32)
         self.longest = np.array(own, np.int32)
         level, fallback = [0], np.zeros(len(children), np.int32)
         while level:
@@ -111,7 +111,7 @@ class LongestMatches:
         for k in range(-int(sizes[0]) if len(order) else 0):
             live = int(np.searchsorted(sizes, -k))
             at = ends[:live] - k
-            state = self.flat.take(state[:live] * self.WIDTH + codes.take(at))
+            state = self.flat.take(state[:live].astype(np.int64) * self.WIDTH + codes.take(at))
             out[at] = self.longest.take(state)
         return out
 
@@ -119,7 +119,7 @@ class LongestMatches:
 class PieceModel:
     """Pieces, scores and the two directions of text and ids, from a sentencepiece BPE model file."""
 
-    def __init__(self, path: str, most: int = 240_000):
+    def __init__(self, path: str, most: int = 120_000):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2
 
@@ -155,7 +155,7 @@ class PieceModel:
         self.tied: set[int] = set()  # pieces that don't score below their parts
         self.fits: dict[int, bool] = {}
         self.parts: dict[str, list[int]] = {}
-        self.ids_text = Known()
+        self.ids_text, self.before = Known(), Known()
         self.decoded: dict[str, str] = {}  # of stretches whose ids give another text than theirs
         self.made = np.array([kind == NORMAL and self.tree(k) is not None for k, kind in enumerate(self.kinds)])
 
@@ -368,15 +368,18 @@ class PieceModel:
 
     def id_texts(self, cuts: list[list[str]]) -> list[str]:
         """The ids of cut texts as decimal numbers with commas between them; their stretches are known afterwards."""
-        if len(self.ids_text) > self.most:
-            self.ids_text.clear()
-            self.decoded.clear()
         for stretch in self.ids_text.long:
             self.decoded.pop(stretch, None)
         self.ids_text.long.clear()
-        missing = list(filterfalse(self.ids_text.__contains__, set(chain.from_iterable(cuts))))
-        if missing:
-            self.learn(missing)
+        if len(self.ids_text) > self.most // 2:  # what was in use since the last turn stays for another one
+            self.before, self.ids_text = self.ids_text, Known()
+            self.decoded = {s: text for s, text in self.decoded.items() if s in self.before}
+        missing = set(filterfalse(self.ids_text.__contains__, set(chain.from_iterable(cuts))))
+        again = set(filter(self.before.__contains__, missing))
+        for stretch in again:
+            self.ids_text[stretch] = self.before[stretch]
+        if len(missing) > len(again):
+            self.learn(list(missing - again))
         return [",".join(map(self.ids_text.__getitem__, c)) for c in cuts]
 
     def text_of(self, stretches: list[str]) -> str:
