@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import digest_index, extendible, host_rules, language, mixing, parity_join, piece_bpe, secret_tests, token_coder, unigram_count
+from . import digest_index, extendible, host_rules, language, mixing, parity_join, periodic_runs, piece_bpe, secret_tests, token_coder, unigram_count
 from .common import documents
 
 
@@ -52,6 +52,10 @@ def op10_pieces(spark, sf_dir):
     return piece_bpe.piece_query(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs.runs_query(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_host_rules": op2_host_rules,
@@ -63,6 +67,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_parity_join": op9_parity_join,
     "op10_pieces": op10_pieces,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES = {
     "op2_host_rules": host_rules.ORACLE,
