@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import digest_index, extendible, host_rules, language, mixing, parity_join, periodic_runs, piece_bpe, secret_tests, token_coder, unigram_count
-from .common import documents
+from . import digest_index, extendible, host_rules, language, mixing, parity_join, periodic_runs, piece_bpe, secret_tests, subword_quality, token_coder, unigram_count
+from .common import documents, labels
 
 
 def tokenizer_path(name: str) -> str:
@@ -52,6 +52,10 @@ def op10_pieces(spark, sf_dir):
     return piece_bpe.piece_query(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_subword_quality(spark, sf_dir):
+    return subword_quality.quality_query(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op13_periodic_runs(spark, sf_dir):
     return periodic_runs.runs_query(documents(spark, sf_dir))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_parity_join": op9_parity_join,
     "op10_pieces": op10_pieces,
+    "op11_subword_quality": op11_subword_quality,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES = {
