@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import digest_index, extendible, host_rules, language, mixing, parity_join, periodic_runs, piece_bpe, secret_tests, subword_quality, token_coder, unigram_count
-from .common import documents, labels
+from . import digest_index, extendible, host_rules, language, mixing, parity_join, periodic_runs, piece_bpe, prefix_trie, secret_tests, subword_quality, token_coder, unigram_count
+from .common import conversations, documents, labels
 
 
 def tokenizer_path(name: str) -> str:
@@ -56,6 +56,10 @@ def op11_subword_quality(spark, sf_dir):
     return subword_quality.quality_query(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie_query(conversations(spark, sf_dir))
+
+
 def op13_periodic_runs(spark, sf_dir):
     return periodic_runs.runs_query(documents(spark, sf_dir))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op9_parity_join": op9_parity_join,
     "op10_pieces": op10_pieces,
     "op11_subword_quality": op11_subword_quality,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES = {
@@ -79,4 +84,5 @@ ORACLES = {
     "op4_exact_dedup": digest_index.ORACLE,
     "op5_sharding": extendible.oracle(),
     "op9_parity_join": parity_join.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }

@@ -1,0 +1,77 @@
+"""Running counts, sums and XORs of the rows of a key, however many rows a key has."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from .common import arrow_map, release, sized_broadcast, staged
+
+
+def _within_parts(names: list[str], key: str, sums: list[str], xors: list[str]):
+    """Over rows sorted by ``key``: the running values of every row inside its task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        part = TaskContext.get().partitionId()
+        last, carry = None, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = {name: batch.column(k).to_numpy(zero_copy_only=False) for k, name in enumerate(names) if name in (key, *sums, *xors)}
+            keys = columns[key]
+            starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+            sizes = np.diff(np.append(starts, len(keys)))
+            if keys[0] != last:
+                carry = {}
+            out = {"place": np.arange(1, len(keys) + 1) - np.repeat(starts, sizes)}
+            out["place"][: sizes[0]] += carry.get("place", 0)
+            for name in sums:
+                total = np.cumsum(columns[name])
+                out[name] = total - np.repeat((total - columns[name])[starts], sizes)
+                out[name][: sizes[0]] += carry.get(name, 0)
+            for name in xors:
+                total = np.bitwise_xor.accumulate(columns[name])
+                out[name] = total ^ np.repeat((total ^ columns[name])[starts], sizes)
+                out[name][: sizes[0]] ^= carry.get(name, 0)
+            last, carry = keys[-1], {name: values[-1] for name, values in out.items()}
+            added = [pa.array(values.astype(np.int64)) for values in out.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added, pa.array(np.full(len(keys), part, np.int64))], [*names, *(f"run_{name}" for name in out), "part"])
+
+    return run
+
+
+def running(df: DataFrame, key: str, order: list[Column], label: str, sums: tuple[str, ...] = (), xors: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``run_place`` (1 for a key's first row) and, for each column of longs in ``sums`` and ``xors``, ``run_<name>``.
+
+    All are up to and including the row, in ``order`` within the ``key`` (a column of longs without nulls); rows that tie come in any order.
+    Rows are dealt by ranges of key, order and row, so a key with very many rows is many
+    tasks; each works on its range, and what keys bring along from earlier ranges, one row a range, is added after.
+    The result is written.
+    """
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id())
+    by = [F.col(key), *order, F.col("_tie")]
+    dealt = dealt.repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie")
+    values = ["place", *sums, *xors]
+    schema = StructType([*df.schema.fields, *(StructField(f"run_{name}", LongType()) for name in values), StructField("part", LongType())])
+    tagged = staged(arrow_map(dealt, df.columns, _within_parts(df.columns, key, list(sums), list(xors)), schema), f"{label}-parts")
+    ends = tagged.groupBy("part").agg(F.min(key).alias("a"), F.max(key).alias("b"))  # a row a part
+    spanning = ends.select(F.explode(F.array_distinct(F.array("a", "b"))).alias(key)).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key)
+    spanning = staged(spanning, f"{label}-spanning")
+    if spanning.isEmpty():
+        return tagged.drop("part")
+    last = [F.max_by(f"run_{name}", "run_place").alias(name) for name in values]
+    totals = tagged.join(sized_broadcast(spanning), key, "left_semi").groupBy(key, "part").agg(*last)
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.sum(name).over(before).alias(f"from_{name}") for name in ("place", *sums)] + [F.bit_xor(name).over(before).alias(f"from_{name}") for name in xors]
+    carries = sized_broadcast(staged(totals.select(key, "part", *carried), f"{label}-carries"))
+    joined = tagged.join(carries, [key, "part"], "left")
+    own = lambda name: (F.col(f"run_{name}"), F.coalesce(f"from_{name}", F.lit(0)))
+    fixed = {f"run_{name}": sum(own(name)) for name in ("place", *sums)} | {f"run_{name}": own(name)[0].bitwiseXOR(own(name)[1]) for name in xors}
+    return staged(joined.withColumns(fixed).select(*df.columns, *fixed), label)
