@@ -9,8 +9,9 @@ from tidemark.constants import LEVERAGED_INVERSE, SECURITY_TYPES, UNIVERSE_PROFI
 from tidemark.functions.scalars import non_common, ticker_root
 from tidemark.operators.temporal import latest_per
 
-# Columns that make a source duplicate and an economic duplicate.
-EXACT_KEYS = ("cik", "metric", "unit", "start", "end", "information_time", "tag", "accn", "val_num")
+# The columns, where a table has them, that make rows duplicates at each grain.
+SOURCE_KEYS = ("cik", "taxonomy", "tag", "unit", "start", "end", "filed", "form", "frame", "fy", "fp", "accn", "val", "information_time")
+FILING_KEYS = ("cik", "metric", "start", "end", "unit", "information_time", "accn", "form", "filed", "val")
 ALIAS_KEYS = ("cik", "metric", "unit", "start", "end", "information_time", "accn")
 ECONOMIC_KEYS = ("cik", "metric", "unit", "start", "end", "information_time")
 
@@ -30,29 +31,37 @@ def readiness(frame: DataFrame, min_rows: int = 750, min_symbols: int = 5, min_d
     return out.withColumn("status", F.when(few, "NOT_READY").when(short, "READY_WITH_WARNINGS").otherwise("READY")).withColumn("ready_for_ml", F.col("status") != "NOT_READY")
 
 
+def grain_columns(facts: DataFrame, keys: tuple[str, ...]) -> list[str]:
+    """The columns of a grain that the table has; ``val_num`` stands for a missing ``val``."""
+    names = set(facts.columns)
+    return [c if c in names else "val_num" for c in keys if c in names or (c == "val" and "val_num" in names)]
+
+
 def duplicate_counts(facts: DataFrame, grains: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Rows, distinct keys and repeated rows at each grain; nulls are equal."""
-    grains = grains or {"source_exact": EXACT_KEYS, "metric_alias": ALIAS_KEYS, "economic": ECONOMIC_KEYS}
+    grains = grains or {"source_exact": SOURCE_KEYS, "metric_alias": ALIAS_KEYS, "economic": ECONOMIC_KEYS}
     parts = []
     for grain, keys in grains.items():
-        cut = facts.groupBy(*keys).count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("distinct_keys"))
-        parts.append(cut.select(F.lit(grain).alias("grain"), "rows", "distinct_keys", (F.col("rows") - F.col("distinct_keys")).alias("duplicates"), F.try_divide(F.col("rows") - F.col("distinct_keys"), F.col("rows")).alias("rate")))
+        cut = facts.groupBy(*grain_columns(facts, keys)).count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("distinct_keys"))
+        repeats = F.col("rows") - F.col("distinct_keys")
+        parts.append(cut.select(F.lit(grain).alias("grain"), "rows", "distinct_keys", repeats.alias("duplicates"), F.try_divide(repeats, F.col("rows")).alias("rate")))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
 
 
-def duplicate_samples(facts: DataFrame, keys: tuple[str, ...], limit: int = 20) -> DataFrame:
+def duplicate_samples(facts: DataFrame, keys: tuple[str, ...] = SOURCE_KEYS, limit: int = 20) -> DataFrame:
     """Up to ``limit`` repeated rows: a report's sample."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.col(c).asc_nulls_last() for c in facts.columns)))
+    place = F.row_number().over(Window.partitionBy(*grain_columns(facts, keys)).orderBy(*(F.col(c).asc_nulls_last() for c in facts.columns)))
     return facts.withColumn("_place", place).filter("_place > 1").drop("_place").limit(limit)
 
 
 def audit_facts(facts: DataFrame) -> DataFrame:
-    """Counts, nulls of every required column, late-known rows, exact and economic duplicates and a status in which FAIL dominates.
+    """Counts, nulls of every required column, late-known rows, repeats, a status and what it warns of, in one row.
 
-    Times that are text count as parse failures where they are no timestamps.
+    Exact duplicates agree in the whole filing key, economic ones in metric, period, unit and time
+    (they may be restatements).  FAIL dominates.  Times that are text count as parse failures where they are no timestamps.
     """
     info = F.expr("try_cast(information_time AS TIMESTAMP)")
     base = facts.agg(
@@ -63,11 +72,18 @@ def audit_facts(facts: DataFrame) -> DataFrame:
         F.count_if(info.isNull()).alias("time_parse_failures"),
         F.struct(*(F.count_if(F.col(c).isNull()).alias(c) for c in FACT_REQUIRED if c in facts.columns)).alias("required_nulls"),
     )
-    counts = duplicate_counts(facts).groupBy().pivot("grain", ["source_exact", "economic"]).agg(F.first("duplicates"))
-    out = base.crossJoin(counts.select(F.col("source_exact").alias("exact_duplicates"), F.col("economic").alias("economic_duplicates")))  # single rows
-    fail = (F.col("rows") == 0) | (F.col("null_information_time") > 0)
-    warn = (F.col("exact_duplicates") > 0) | (F.col("late_rows") > 0) | (F.col("null_values") > 0)
-    return out.withColumn("status", F.when(fail, "FAIL").when(warn, "PASS_WITH_WARNINGS").otherwise("PASS"))
+    counts = duplicate_counts(facts, {"exact": FILING_KEYS, "economic": ECONOMIC_KEYS}).groupBy().pivot("grain", ["exact", "economic"]).agg(F.first("duplicates"))
+    out = base.crossJoin(counts.select(F.col("exact").alias("exact_duplicates"), F.col("economic").alias("economic_duplicates")))  # single rows
+    fails = {"no fact rows": F.col("rows") == 0, "rows without information_time": F.col("null_information_time") > 0}
+    warns = {
+        "repeated metric, period and time, which may be restatements and need an order of precedence": F.col("economic_duplicates") > 0,
+        "repeated filing rows in the source or its import": F.col("exact_duplicates") > 0,
+        "rows known more than a day after their filing date": F.col("late_rows") > 0,
+    }
+    found = F.array_compact(F.array(*(F.when(rule, F.lit(text)) for text, rule in (fails | warns).items())))
+    either = lambda rules: F.greatest(*rules.values())
+    status = F.when(either(fails), "FAIL").when(either(warns), "PASS_WITH_WARNINGS").otherwise("PASS")
+    return out.withColumns({"status": status, "warnings": found})
 
 
 def audit_company_facts(facts: DataFrame, top: int = 20) -> dict[str, DataFrame]:

@@ -39,18 +39,25 @@ def resolve_observations(facts: DataFrame) -> DataFrame:
     return latest_per(rows, [*IDENTITY, "information_time"], order)
 
 
+# The columns of a source row's identity.
+SOURCE_IDENTITY = ("cik", "tag", "unit", "start", "end", "information_time", "accn", "val_num")
+
+
 def resolve_report(facts: DataFrame, eligible: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Input, eligible and output rows, rows that collided, repeated source rows, distinct entities."""
-    source = [c for c in (*IDENTITY, "information_time", "tag", "accn", "val_num") if c in eligible.columns]
-    repeats = eligible.groupBy(*source).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("exact_source_duplicates"))
-    collided = eligible.groupBy(*IDENTITY, "information_time").count().filter("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("collision_rows"))
-    return (
+    """Input, eligible and output rows, how many went, all rows that collided, all rows with an equal source row, entities."""
+
+    def repeated(keys: list[str], name: str) -> DataFrame:
+        sizes = eligible.groupBy(*keys).count().filter("count > 1")
+        return sizes.agg(F.coalesce(F.sum("count"), F.lit(0)).alias(name))
+
+    out = (
         facts.agg(F.count(F.lit(1)).alias("input_rows"))
-        .crossJoin(eligible.agg(F.count(F.lit(1)).alias("eligible_rows"), F.count_distinct("cik").alias("ciks")))
-        .crossJoin(resolved.agg(F.count(F.lit(1)).alias("output_rows")))
-        .crossJoin(collided)
-        .crossJoin(repeats)  # five single rows
+        .crossJoin(eligible.agg(F.count(F.lit(1)).alias("eligible_rows")))
+        .crossJoin(resolved.agg(F.count(F.lit(1)).alias("output_rows"), F.count_distinct("cik").alias("ciks")))
+        .crossJoin(repeated([*IDENTITY, "information_time"], "collision_rows"))
+        .crossJoin(repeated([c for c in SOURCE_IDENTITY if c in eligible.columns], "exact_source_duplicates"))  # five single rows
     )
+    return out.withColumn("rows_reduced", F.col("eligible_rows") - F.col("output_rows"))
 
 
 def attach_information_time(facts: DataFrame, submissions: DataFrame) -> DataFrame:

@@ -292,8 +292,17 @@ def canonical_resolve(spark, sf_dir):
 
 
 @register(
-    _CANON + f""", g AS (SELECT count(*) AS n FROM m GROUP BY {_KEYS}, information_time)
-      SELECT (SELECT count(*) FROM t) AS input_rows, (SELECT count(*) FROM m) AS eligible_rows, (SELECT count(DISTINCT cik) FROM m) AS ciks, count(*) AS output_rows, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS collision_rows FROM g"""
+    _CANON
+    + f""", g AS (SELECT count(*) AS n FROM m GROUP BY {_KEYS}, information_time),
+      x AS (SELECT count(*) AS n FROM m GROUP BY cik, tag, unit, "start", "end", information_time, accn, val_num)
+      SELECT (SELECT count(*) FROM t) AS input_rows,
+        (SELECT count(*) FROM m) AS eligible_rows,
+        (SELECT count(DISTINCT cik) FROM m) AS ciks,
+        count(*) AS output_rows,
+        coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS collision_rows,
+        (SELECT coalesce(sum(n) FILTER (n > 1), 0)::BIGINT FROM x) AS exact_source_duplicates,
+        (SELECT count(*) FROM m) - count(*) AS rows_reduced
+      FROM g"""
 )
 def canonical_report(spark, sf_dir):
     rows = _tagged(spark, sf_dir)
@@ -502,33 +511,58 @@ def readiness(spark, sf_dir):
     return audits.readiness(a.bars(spark, sf_dir), min_rows=5)
 
 
-_EVENTS_AS_FACTS = """ft AS (SELECT l_suppkey AS cik, l_returnflag AS metric, l_linestatus AS unit, NULL::TIMESTAMP AS "start", date_trunc('year', l_shipdate)::TIMESTAMP AS "end", l_shipdate AS information_time, l_shipmode AS tag, l_linenumber AS accn, l_quantity AS val_num,
-  date_trunc('month', l_shipdate)::TIMESTAMP AS filed FROM (SELECT *, 'T' AS l_shipmode FROM lineitem))"""
+_EVENTS_AS_FACTS = """ft AS (
+  SELECT l_suppkey AS cik, l_returnflag AS metric, l_linestatus AS unit, NULL::TIMESTAMP AS "start", date_trunc('year', l_shipdate)::TIMESTAMP AS "end",
+    l_shipdate AS information_time, 'T' AS tag, 'T' AS taxonomy, l_linenumber AS accn, l_quantity AS val_num,
+    date_trunc('month', l_shipdate)::TIMESTAMP AS filed, CASE WHEN l_orderkey % 3 = 0 THEN '10-K' ELSE '10-Q' END AS form
+  FROM lineitem)"""
 
 
 def _lineitem_facts(spark, sf_dir):
     li = a.table(spark, sf_dir, "lineitem")
     return li.select(
-        F.col("l_suppkey").alias("cik"), F.col("l_returnflag").alias("metric"), F.col("l_linestatus").alias("unit"), F.lit(None).cast("timestamp_ntz").alias("start"), F.date_trunc("year", "l_shipdate").cast("timestamp_ntz").alias("end"),
-        F.col("l_shipdate").alias("information_time"), F.lit("T").alias("tag"), F.col("l_linenumber").alias("accn"), F.col("l_quantity").alias("val_num"), F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("filed"),
+        F.col("l_suppkey").alias("cik"), F.col("l_returnflag").alias("metric"), F.col("l_linestatus").alias("unit"),
+        F.lit(None).cast("timestamp_ntz").alias("start"), F.date_trunc("year", "l_shipdate").cast("timestamp_ntz").alias("end"),
+        F.col("l_shipdate").alias("information_time"), F.lit("T").alias("tag"), F.lit("T").alias("taxonomy"), F.col("l_linenumber").alias("accn"), F.col("l_quantity").alias("val_num"),
+        F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("filed"), F.when(F.col("l_orderkey") % 3 == 0, "10-K").otherwise("10-Q").alias("form"),
     )
 
 
 _E6 = 'cik, metric, unit, "start", "end", information_time'
-
-
-@register(
-    f"""WITH {_EVENTS_AS_FACTS}, x AS (SELECT count(*) AS d FROM (SELECT DISTINCT {_E6}, tag, accn, val_num FROM ft)), e AS (SELECT count(*) AS d FROM (SELECT DISTINCT {_E6} FROM ft))
-      SELECT count(*) AS rows, count(DISTINCT cik) AS ciks, count(*) - count(information_time) AS null_information_time, count(*) - count(val_num) AS null_values, count(*) FILTER (information_time > filed + INTERVAL 1 DAY) AS late_rows,
-        min(information_time) AS first_time, max(information_time) AS last_time, count(*) - (SELECT d FROM x) AS exact_duplicates, count(*) - (SELECT d FROM e) AS economic_duplicates, 'PASS_WITH_WARNINGS' AS status FROM ft"""
+_SOURCE_COLUMNS = 'cik, taxonomy, tag, unit, "start", "end", filed, form, accn, val_num, information_time'
+
+
+@register(
+    f"""WITH {_EVENTS_AS_FACTS},
+      x AS (SELECT count(*) AS d FROM (SELECT DISTINCT {_E6}, accn, form, filed, val_num FROM ft)),
+      e AS (SELECT count(*) AS d FROM (SELECT DISTINCT {_E6} FROM ft)),
+      c AS (
+        SELECT count(*) AS rows, count(DISTINCT cik) AS ciks,
+          count(*) - count(information_time) AS null_information_time, count(*) - count(val_num) AS null_values,
+          count(*) FILTER (information_time > filed + INTERVAL 1 DAY) AS late_rows,
+          min(information_time) AS first_time, max(information_time) AS last_time,
+          0::BIGINT AS time_parse_failures, count(*) - count("start") AS null_start, count(*) - count(accn) AS null_accn,
+          count(*) - (SELECT d FROM x) AS exact_duplicates, count(*) - (SELECT d FROM e) AS economic_duplicates
+        FROM ft)
+      SELECT *,
+        CASE WHEN rows = 0 OR null_information_time > 0 THEN 'FAIL'
+          WHEN exact_duplicates > 0 OR economic_duplicates > 0 OR late_rows > 0 THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS status,
+        ((rows = 0)::INT + (null_information_time > 0)::INT + (exact_duplicates > 0)::INT + (economic_duplicates > 0)::INT + (late_rows > 0)::INT)::INT AS warnings
+      FROM c"""
 )
 def audit_events(spark, sf_dir):
-    return audits.audit_facts(_lineitem_facts(spark, sf_dir))
+    row = audits.audit_facts(_lineitem_facts(spark, sf_dir))
+    flat = row.withColumns({"null_start": F.col("required_nulls.start"), "null_accn": F.col("required_nulls.accn"), "warnings": F.size("warnings")})
+    return flat.drop("required_nulls")
 
 
 @register(
-    f"""WITH {_EVENTS_AS_FACTS}, g AS (SELECT 'source_exact' AS grain, count(*) AS d FROM (SELECT DISTINCT {_E6}, tag, accn, val_num FROM ft) UNION ALL SELECT 'metric_alias', count(*) FROM (SELECT DISTINCT {_E6}, accn FROM ft)
-      UNION ALL SELECT 'economic', count(*) FROM (SELECT DISTINCT {_E6} FROM ft)), t AS (SELECT count(*) AS n FROM ft)
+    f"""WITH {_EVENTS_AS_FACTS},
+      g AS (
+        SELECT 'source_exact' AS grain, count(*) AS d FROM (SELECT DISTINCT {_SOURCE_COLUMNS} FROM ft)
+        UNION ALL SELECT 'metric_alias', count(*) FROM (SELECT DISTINCT {_E6}, accn FROM ft)
+        UNION ALL SELECT 'economic', count(*) FROM (SELECT DISTINCT {_E6} FROM ft)),
+      t AS (SELECT count(*) AS n FROM ft)
       SELECT grain, n AS rows, d AS distinct_keys, n - d AS duplicates, round((n - d) / n, {DIGITS}) AS rate FROM g, t"""
 )
 def duplicate_diagnostics(spark, sf_dir):
@@ -546,10 +580,10 @@ def metric_histogram(spark, sf_dir):
 
 
 @register(
-    f"""WITH {a.MASTER} SELECT concat_ws(',', CASE WHEN (SELECT count(*) FROM (SELECT symbol FROM master GROUP BY symbol HAVING count(*) > 1)) > 0 THEN 'duplicate_symbols' END,
+    f"""WITH {a.MASTER} SELECT *, CASE WHEN violations = '' THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT concat_ws(',', CASE WHEN (SELECT count(*) FROM (SELECT symbol FROM master GROUP BY symbol HAVING count(*) > 1)) > 0 THEN 'duplicate_symbols' END,
       CASE WHEN bool_or(security_type NOT IN ('common_equity', 'etf', 'leveraged_etf', 'inverse_etf', 'adr', 'preferred', 'fund', 'warrant', 'other')) THEN 'unsupported_security_type' END,
       CASE WHEN bool_or(is_common_equity AND (is_etf OR is_leveraged OR is_inverse)) THEN 'invalid_common_equity' END, CASE WHEN bool_or(is_leveraged AND security_type NOT IN ('leveraged_etf', 'etf')) THEN 'leveraged_conflict' END,
-      CASE WHEN bool_or(is_inverse AND security_type NOT IN ('inverse_etf', 'etf')) THEN 'inverse_conflict' END) AS violations, 'FAIL' AS status FROM master"""
+      CASE WHEN bool_or(is_inverse AND security_type NOT IN ('inverse_etf', 'etf')) THEN 'inverse_conflict' END) AS violations FROM master)"""
 )
 def security_master_validate(spark, sf_dir):
     return audits.validate_security_master(a.master(spark, sf_dir))
@@ -660,7 +694,7 @@ _PORT = f"""WITH {_SIGNAL}, act AS (SELECT * FROM tr WHERE signal <> 0 QUALIFY r
     FROM (SELECT DISTINCT timestamp FROM tr) t LEFT JOIN act ON act.timestamp = t.timestamp GROUP BY t.timestamp)"""
 
 
-@register(_PORT + f" SELECT timestamp, round(gross_return, {DIGITS}) AS gross_return, cost::DOUBLE AS cost, round(gross_return - cost, {DIGITS}) AS net_return, longs, shorts FROM pf")
+@register(_PORT + f" SELECT timestamp, round(gross_return, {DIGITS}) AS gross_return, cost::DOUBLE AS cost, round(gross_return - cost, {DIGITS}) AS net_return, longs, shorts, longs + shorts AS positions FROM pf")
 def portfolio_backtest(spark, sf_dir):
     return rounded(research.portfolio(a.predictions(spark, sf_dir), "score", threshold=0.1, most=5))
 
