@@ -19,18 +19,31 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as Parquet in the shared folder, read again: computed once, and the same for all who read it."""
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path for a table of this application in the shared folder."""
+    return f"{shared_folder(spark)}/tidemark-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+    """``df`` as Parquet in the shared folder, read again: computed once, and the same for all who read it.
+
+    A later loss of an executor re-reads these files instead of recomputing.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch_path(spark, label)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete one path of the shared folder, in whatever store it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def clear_written(spark: SparkSession) -> None:
     """Delete what this application has written to the shared folder; results that still read it can't be used after."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tidemark-{spark.sparkContext.applicationId}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    drop_path(spark, f"{shared_folder(spark)}/tidemark-{spark.sparkContext.applicationId}")
 
 
 def build_session(
