@@ -210,16 +210,49 @@ def test_exact_dedup(spark, docs, empty):
 def test_index_persists_between_batches(spark):
     index = digest_index.DigestIndex(spark, "digest_test", 4)
     one = spark.createDataFrame([(1, "a b"), (2, "ab  "), (3, "c")], "doc_id bigint, text string")
-    two = spark.createDataFrame([(4, "a   b"), (5, "d"), (6, "d")], "doc_id bigint, text string")
+    two = spark.createDataFrame([(4, "a   b"), (5, "d"), (6, "d"), (7, "c"), (0, "c")], "doc_id bigint, text string")
     first = {r.doc_id: (r.keep_id, r.kept) for r in index.add(one).collect()}
     second = {r.doc_id: (r.keep_id, r.kept) for r in index.add(two).collect()}
     assert first == {1: (2, False), 2: (2, True), 3: (3, True)}
-    assert second == {4: (2, False), 5: (5, True), 6: (5, False)}
-    assert index.table().count() == 3
-    plan = index.table().groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
+    # 4 has more code points than 2; 0 is smaller than 3
+    assert second == {4: (4, True), 5: (5, True), 6: (5, False), 7: (0, False), 0: (0, True)}
+    third = index.add(spark.createDataFrame([(9, "ab"), (8, "d d"), (11, "e")], "doc_id bigint, text string"))
+    assert {r.doc_id: (r.keep_id, r.kept) for r in third.collect()} == {9: (4, False), 8: (8, True), 11: (11, True)}
+    assert index.table().count() == 2 + 3 + 2  # what is new or better
+    plan = index.winners()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
 
 
+def test_index_compaction(spark):
+    index = digest_index.DigestIndex(spark, "digest_compact", 4)
+    for k in range(5):
+        index.add(spark.createDataFrame([(100 - 10 * k - j, f"text {j}") for j in range(20)] + [(k, f"own {k}")], "doc_id bigint, text string"), f"day {k}").count()
+    before = sorted(map(tuple, index.winners().collect()))
+    files = len(index.table().inputFiles())
+    index.compact()
+    assert sorted(map(tuple, index.winners().collect())) == before and index.table().count() == len(before) == 25
+    assert len(index.table().inputFiles()) == 4 < files
+    again = index.add(spark.createDataFrame([(3, "text 3"), (70, "own 3")], "doc_id bigint, text string"))
+    assert {r.doc_id: (r.keep_id, r.kept) for r in again.collect()} == {3: (3, True), 70: (3, False)}
+    # a compaction that stopped half-way, and one that stopped before its last step
+    index._write(index.winners().limit(3), index.next)
+    index = digest_index.DigestIndex(spark, "digest_compact", 4)
+    assert not spark.catalog.tableExists(index.next) and index.winners().count() == 25
+    index._write(index.winners(), index.next)
+    index.drop()
+    assert digest_index.DigestIndex(spark, "digest_compact", 4).winners().count() == 25
+    index.drop()
+
+
+@pytest.mark.parametrize("batches", [1, 3, 7])
+def test_batches_of_one_table_agree(spark, docs, batches):
+    columns = ["doc_id", "keep_id", "group_size", "digest"]
+    got = digest_index.dedup_batches(docs, 4, batches)
+    want = Counter(map(str, digest_index.dedup_query(spark, docs).select("doc_id", "keep_id", "group_size", "text_sha256").collect()))
+    assert Counter(map(str, got.selectExpr("doc_id", "keep_id", "group_size", "lower(hex(digest)) AS text_sha256").collect())) == want
+    assert got.filter("kept").count() == got.select("digest").distinct().count() and columns[0] in got.columns
+
+
 def test_a_batch_that_is_run_again_keeps_its_rows(spark):
     index = digest_index.DigestIndex(spark, "digest_rerun", 4)
     one = spark.createDataFrame([(1, "a b"), (2, "ab  "), (3, "c"), (3, "c")], "doc_id bigint, text string")

@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.session import drop_path, scratch_path
+
 #: The characters that separate words everywhere in this subpackage (0x20, 0x09-0x0D).
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: The same as a Java / RE2 character class body.
@@ -32,36 +32,29 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for written tables: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session has none and runs on one machine (tests, a laptop) a temporary folder is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{scratch_root(spark)}/tidemark-{app}/{label}-{uuid.uuid4().hex}"
+#: Paths of the tables that ``staged`` has written in this application, in order.
+_STAGED: list[str] = []
 
 
 def staged(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends here.
-
-    A later loss of an executor re-reads these files instead of recomputing,
-    and values such as generated row ids can't change any more.
-    """
+    """Write ``df`` to the shared folder and read it back: its lineage ends here, and values such as generated row ids can't change any more."""
     path = scratch_path(df.sparkSession, label)
+    _STAGED.append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_so_far() -> list[str]:
+    return list(_STAGED)
+
+
+def drop_staged(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for path in paths:
+        drop_path(spark, path)
+        _STAGED.remove(path)
+
+
 def arrow_map(
     df: DataFrame,
     columns: list[str],
