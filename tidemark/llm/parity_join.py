@@ -37,6 +37,12 @@ component meet those of other components, and of these meetings only pairs that
 leave the join.  Members of one component never meet again, so a group of
 near copies, which its first member links, costs as many rows as members.
 
+Crowds.  A group with more than ``CROWD`` members outside its largest component, such as the documents
+with one page template, would make as many meetings as its square.  Its members need a second witness
+first: of a linked pair's shingles, put in one order from rare to frequent, each end has a common one among
+the first ``n - ceil(0.8 n) + 1`` (counts are over all members of crowds).  Only members that share one of
+these meet, so what a template brings to all of them makes no pair.
+
 No group is collected into one task: groups are read as sorted streams, and
 meetings and verification deal hot groups over salts.
 
@@ -66,7 +72,9 @@ WORDS = 5
 SHORT_WORDS = 16  # 64-bit words of the short sketch
 SHORT = [f"s{k}" for k in range(SHORT_WORDS)]
 COUNTED = 32  # group sizes above this are one size in the order of keys
-SALT_ROWS = 1024  # members of a group to a salt
+SALT_ROWS = 1024  # members of a group outside its largest component to a salt
+SPLIT_ROWS = 16384  # members of a group to a part
+CROWD = 256  # members of a group outside its largest component that meet all others
 U64 = np.uint64
 
 
@@ -225,6 +233,20 @@ def _describe(seed: int):
     return run
 
 
+def _shingles(seed: int):
+    """Each shingle of a class's text with the class's size; another text under the same doc_id is passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = shingle_set(text, seed)
+                if _name(own) == name:
+                    full = lambda x, n=len(own): pa.array(np.full(n, x, np.int64))
+                    yield pa.RecordBatch.from_arrays([full(name), pa.array(own.view(np.int64)), full(len(own))], ["node", "key", "n"])
+
+    return run
+
+
 def _sign(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -408,28 +430,57 @@ class ParityJoin:
         return needed.join(sized_broadcast(staged(one, "near-keys")), "key").select("key", "node", "pivot")
 
     def _meetings(self, groups: DataFrame, labels: DataFrame) -> DataFrame:
-        """Distinct pairs ``u, v`` from different components of a group that pass the bounds.
-
-        The groups of more than ``SALT_ROWS`` members are dealt over salts by the members outside the largest component.
-        """
-        named = staged(groups.join(sized_broadcast(labels), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "near-named")
-        parts = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        state = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members"), F.max_by("label", F.struct("n", "label")).alias("major"))
-        # with two members the pair is tested; with one component nothing is missing
-        state = staged(state.filter("parts > 1 AND members > 2").select("key", "major", F.ceil(F.col("members") / SALT_ROWS).cast("int").alias("salts")), "near-state")
-        inside = staged(named.join(sized_broadcast(state), "key"), "near-open")
+        """Distinct pairs ``u, v`` from different components that pass the bounds: of small groups all, of crowds those with a second witness."""
+        labelled = staged(groups.join(sized_broadcast(labels), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "near-named")
+        state = self._open(labelled)
+        met = self._met(labelled, state.filter(F.col("outside") <= CROWD))
+        crowds = state.filter(F.col("outside") > CROWD)
+        if crowds.isEmpty():
+            return met
+        inside = labelled.join(sized_broadcast(crowds), "key").groupBy("node").agg(F.first("label").alias("label"))
+        members = staged(inside, "near-crowd")
+        rare = staged(self._rare(members.select("node")).join(sized_broadcast(members), "node").select("key", "node", "label"), "near-rare")
+        return met.unionAll(self._met(rare, self._open(rare))).distinct()
+
+    def _open(self, labelled: DataFrame) -> DataFrame:
+        """The groups with several components: their largest one, and how many members they have in all and outside of it."""
+        parts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+        state = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("major"))
+        # with one component nothing is missing
+        return staged(state.filter("parts > 1").select("key", "major", "members", (F.col("members") - F.col("most")).alias("outside")), "near-state")
+
+    def _met(self, labelled: DataFrame, state: DataFrame) -> DataFrame:
+        """Members outside the largest component meet those of other components; both sides of large groups are dealt over salts."""
+        many = lambda c, most: F.ceil(F.col(c) / most).cast("int")
+        dealt = state.select("key", "major", many("outside", SALT_ROWS).alias("salts"), many("members", SPLIT_ROWS).alias("splits"))
+        inside = staged(labelled.join(sized_broadcast(dealt), "key"), "near-open")
         ends = staged(inside.select("node").distinct(), "near-ends")
         sketches = staged(self.classes.select("node", "n", *SHORT).join(sized_broadcast(ends), "node", "left_semi"), "near-sketches")
         side = inside.join(sized_broadcast(sketches), "node")
         own = ["node", "label", "n", *SHORT]
-        salt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
-        u = side.filter("label <> major").select("key", salt.alias("salt"), *(F.col(c).alias(f"u_{c}") for c in own))
-        v = side.select("key", "major", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"v_{c}") for c in own))
+        hashed = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        u = side.filter("label <> major").select("key", hashed("salts").alias("salt"), every("splits").alias("split"), *(F.col(c).alias(f"u_{c}") for c in own))
+        v = side.select("key", "major", every("salts").alias("salt"), hashed("splits").alias("split"), *(F.col(c).alias(f"v_{c}") for c in own))
         # two members outside the largest component would meet twice
         once = (F.col("v_label") == F.col("major")) | (F.col("u_node") < F.col("v_node"))
-        met = u.alias("x").join(v.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("u_label") != F.col("v_label")) & once & self._bounds("u_", "v_"))
+        met = u.join(v, ["key", "salt", "split"]).filter((F.col("u_label") != F.col("v_label")) & once & self._bounds("u_", "v_"))
         return met.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")).distinct()
 
+    def _rare(self, nodes: DataFrame) -> DataFrame:
+        """``key, node``: the shared ones among the first shingles of each node, from rare to frequent in all of them, which a linked pair has in common.
+
+        A shingle of one node only takes its place in that order, but makes no row.
+        """
+        texts = self._texts(nodes)
+        all_rows = staged(arrow_map(texts, ["node", "text"], _shingles(self.seed), "node bigint, key bigint, n bigint").distinct(), "near-shingles")
+        frequent = staged(all_rows.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "near-often")
+        rows = all_rows.join(sized_broadcast(frequent), "key")
+        shared = Window.partitionBy("node")  # a text's shingles at most
+        needed = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1
+        ranked = rows.withColumns({"place": F.row_number().over(shared.orderBy("often", "key")), "held": F.count(F.lit(1)).over(shared)})
+        return ranked.filter(F.col("place") <= needed - (F.col("n") - F.col("held"))).select("key", "node")
+
     def _named(self) -> DataFrame:
         """``node, min_doc, label``: every class and its component."""
         _, labels = self.run()
