@@ -32,7 +32,8 @@ same place.
 
 Defined cases: null and empty texts have no spans; repeated rows and repeated
 doc_ids each keep their own row; an empty table gives an empty result; texts of
-any length are read whole.
+any length are read whole, at a cost in proportion to their spans: places are running sums over a text's
+matches, and covered candidates come from one pass over its spans in order; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -79,59 +80,64 @@ GRID = 20  # steps of the p-value grid per power of e
 GRID_END = 2000
 
 
-def _place(pieces, matches, keep, kind: str):
-    """Spans of matches from the pieces between them: ``(kind, start, end)`` in code points."""
-    found = F.zip_with(pieces, matches, lambda p, m: F.struct(F.char_length(p).alias("gap"), F.char_length(m).alias("long"), m.alias("match")))
-    found = F.filter(found, lambda f: f["match"].isNotNull())
-    nothing = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    walked = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), nothing.alias("spans")),
-        lambda s, f: F.struct(
-            (s["at"] + f["gap"] + f["long"]).alias("at"),
-            F.concat(s["spans"], F.array(F.struct((s["at"] + f["gap"]).alias("start"), (s["at"] + f["gap"] + f["long"]).alias("end"), f["match"].alias("match")))).alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
-    walked = F.filter(walked, keep) if keep is not None else walked
-    return F.transform(walked, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match")))
+PIECE = "array<struct<kind:string,gap:int,long:int,match:string>>"
 
 
-def _spans(text, pattern: str, kind: str, keep=None):
-    """Leftmost non-overlapping matches with their places; texts without one are not split."""
+def _pieces(text, pattern: str, kind: str):
+    """Leftmost non-overlapping matches in order, each with its length and the gap before it; texts without one are not split."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int,match:string>>")
-    return F.when(F.rlike(text, F.lit(pattern)), _place(F.split(text, pattern, -1), matches, keep, kind)).otherwise(empty)
+    found = F.zip_with(
+        F.split(text, pattern, -1), matches, lambda p, m: F.struct(F.lit(kind).alias("kind"), F.char_length(p).alias("gap"), F.char_length(m).alias("long"), m.alias("match"))
+    )
+    return F.when(F.rlike(text, F.lit(pattern)), F.filter(found, lambda f: f["match"].isNotNull())).otherwise(F.array().cast(PIECE))
 
 
-def _long_enough(span):
-    return F.char_length(F.regexp_extract(span["match"], ASSIGN, 1)) >= ASSIGN_LEAST
+def _spans(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each match of the arrays ``pieces``: ``keys``, ``kind, start, end, match`` in code points, by running sums over a text's matches."""
+    rows = pieces.select(*keys, F.posexplode("pieces").alias("at", "p")).select(*keys, "at", "p.*")
+    along = Window.partitionBy(*keys, "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.withColumn("end", F.sum(F.col("gap") + F.col("long")).over(along).cast("int"))
+    return ends.select(*keys, "kind", (F.col("end") - F.col("long")).alias("start"), "end", "match")
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, assign, access, hex, candidates``: one row per document, written once."""
+    """``row, doc_id, base, candidates``: one row per document with the matches in order, written once."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return staged(
         docs.select(
             F.monotonically_increasing_id().alias("row"),
             F.col("doc_id").cast("long").alias("doc_id"),
-            _spans(text, ASSIGN, "assign", _long_enough).alias("assign"),
-            _spans(text, ACCESS, "access").alias("access"),
-            _spans(text, HEX, "hex").alias("hex"),
-            _spans(text, CANDIDATE, "random").alias("candidates"),
+            F.concat(_pieces(text, ASSIGN, "assign"), _pieces(text, ACCESS, "access"), _pieces(text, HEX, "hex")).alias("base"),
+            _pieces(text, CANDIDATE, "random").alias("candidates"),
         ),
         "secret-scan",
     )
 
 
-def parts(found: DataFrame) -> DataFrame:
-    """Candidates ``start, end, match`` with ``run``, the start of the run: runs of mixed signs in their parts."""
+def base_spans(scanned: DataFrame) -> DataFrame:
+    """``row, kind, start, end, match`` of the base patterns."""
+    found = _spans(scanned.filter(F.size("base") > 0).select("row", F.col("base").alias("pieces")), ["row"])
+    value = F.regexp_extract("match", ASSIGN, 1)
+    return found.filter((F.col("kind") != "assign") | (F.char_length(value) >= ASSIGN_LEAST))
+
+
+def candidate_spans(scanned: DataFrame) -> DataFrame:
+    """Candidates ``row, run, start, end, match``, ``run`` being the start of the run: runs of mixed signs in their parts."""
+    runs = _spans(scanned.filter(F.size("candidates") > 0).select("row", F.col("candidates").alias("pieces")), ["row"]).withColumnRenamed("start", "run")
     mixed = F.rlike("match", F.lit("[+/]")) & F.rlike("match", F.lit("[_-]"))
-    within = F.array_distinct(F.concat(*(_spans(F.col("match"), pattern, "random") for pattern in PARTS)))
-    whole = F.array(F.struct(F.lit("random").alias("kind"), F.lit(0).alias("start"), (F.col("end") - F.col("start")).alias("end"), F.col("match").alias("match")))
-    cut = found.withColumn("part", F.explode(F.when(mixed, within).otherwise(whole)))
-    places = {"run": F.col("start"), "start": F.col("start") + F.col("part.start"), "end": F.col("start") + F.col("part.end"), "match": F.col("part.match")}
-    return cut.withColumns(places).drop("part")
+    within = F.concat(*(_pieces(F.col("match"), pattern, f"{k}") for k, pattern in enumerate(PARTS)))
+    parts = _spans(runs.filter(mixed).select("row", "run", within.alias("pieces")), ["row", "run"])
+    parts = parts.select("row", "run", (F.col("run") + F.col("start")).alias("start"), (F.col("run") + F.col("end")).alias("end"), "match").distinct()
+    return runs.filter(~mixed).select("row", "run", F.col("run").alias("start"), "end", "match").unionAll(parts)
+
+
+def covered(candidates: DataFrame, base: DataFrame) -> DataFrame:
+    """The candidates with ``covered``: whether a base span of their text has their place, seen from the furthest end of those that begin before."""
+    spans = base.select("row", F.lit(None).cast("int").alias("run"), "start", "end", F.lit(None).cast("string").alias("match"))
+    before = Window.partitionBy("row").orderBy("start", F.col("run").isNotNull()).rangeBetween(Window.unboundedPreceding, 0)
+    furthest = F.max(F.when(F.col("run").isNull(), F.col("end"))).over(before)
+    both = candidates.unionByName(spans).withColumn("covered", F.coalesce(furthest >= F.col("end"), F.lit(False)))
+    return both.filter("run IS NOT NULL")
 
 
 def _longest(spans):
@@ -147,6 +153,16 @@ def _longest(spans):
     return F.when(F.size(spans) > 1, taken).otherwise(spans)
 
 
+def without_overlaps(chosen: DataFrame) -> DataFrame:
+    """``row, kind, start, end, match``: of overlapping parts of a run the longest; only spans that hang together are compared."""
+    ahead = Window.partitionBy("row", "run").orderBy("start", "end")
+    apart = F.col("start") >= F.coalesce(F.max("end").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    knots = chosen.withColumn("apart", apart.cast("int")).withColumn("knot", F.sum("apart").over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
+    span = F.struct(F.concat(F.lit("random_"), "encoding").alias("kind"), "start", "end", "match")
+    tied = knots.groupBy("row", "run", "knot").agg(F.collect_list(span).alias("spans"))
+    return tied.select("row", F.explode(_longest(F.col("spans"))).alias("s")).select("row", "s.*")
+
+
 def _normal_sf(z):
     """Upper tail of the normal distribution (Abramowitz and Stegun 26.2.17 via exp; relative error small in the bulk)."""
     a = F.abs(z)
@@ -252,18 +268,15 @@ def _joined(spans):
 def secret_spans(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     """``row, doc_id, base, added``: arrays of spans per document."""
     scanned = scan(docs)
-    base = F.concat("assign", "access", "hex")
-    found = scanned.filter(F.size("candidates") > 0).select("row", base.alias("base"), F.explode("candidates").alias("c")).select("row", "base", "c.*")
-    found = parts(found)
-    same = F.exists("base", lambda b: (b["start"] <= F.col("start")) & (b["end"] >= F.col("end")))
-    tested = staged(test_strings(found.withColumn("covered", same)), "secret-tests")
-    chosen = discoveries(tested, rate).filter(~F.col("covered"))
-    by_run = chosen.groupBy("row", "run").agg(
-        F.collect_list(F.struct(F.concat(F.lit("random_"), "encoding").alias("kind"), "start", "end", "match")).alias("added")
-    )
-    added = by_run.select("row", _longest(F.col("added")).alias("added")).groupBy("row").agg(F.flatten(F.collect_list("added")).alias("added"))
+    base = staged(base_spans(scanned), "secret-base")
+    tested = staged(test_strings(covered(candidate_spans(scanned), base)), "secret-tests")
+    added = without_overlaps(discoveries(tested, rate).filter(~F.col("covered")))
+    spans = base.select("*", F.lit(True).alias("own")).unionAll(added.select("*", F.lit(False).alias("own")))
+    span = F.struct("kind", "start", "end", "match")
+    arrays = spans.groupBy("row").agg(F.collect_list(F.when(F.col("own"), span)).alias("base"), F.collect_list(F.when(~F.col("own"), span)).alias("added"))
     nothing = F.array().cast("array<struct<kind:string,start:int,end:int,match:string>>")
-    return scanned.join(added, "row", "left").select("row", "doc_id", base.alias("base"), F.coalesce("added", nothing).alias("added"))
+    whole = scanned.select("row", "doc_id").join(arrays, "row", "left")
+    return whole.select("row", "doc_id", F.coalesce("base", nothing).alias("base"), F.coalesce("added", nothing).alias("added"))
 
 
 def secret_query(docs: DataFrame) -> DataFrame:
