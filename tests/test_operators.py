@@ -112,14 +112,14 @@ def test_cut_time_is_the_ranked_timestamp(spark):
         assert research._cut_time(frame, 0.7).first()["_cut"] == times[min(max(int(n * 0.7), 1), n - 1)]
 
 
-def test_walk_forward_equals_numpy(spark):
+def test_ridge_walk_forward_equals_numpy(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 3))
     y = x @ [0.5, -0.2, 0.1] + rng.normal(scale=0.3, size=400)
     times = [day(1) + dt.timedelta(hours=k) for k in range(400)]
     rows = [(t, "A", *map(float, x[k]), float(y[k]), t + dt.timedelta(hours=3)) for k, t in enumerate(times)] + [(day(1), "A", None, 1.0, 1.0, 1.0, day(2))]
     frame = spark.createDataFrame(rows, "timestamp timestamp_ntz, symbol string, a double, b double, c double, target_return double, target_timestamp timestamp_ntz")
-    got = models.walk_forward_regression(frame, ["a", "b", "c"], 200, 50, 50, cost_bps=5.0).orderBy("fold").collect()
+    got = models.walk_forward_ridge(frame, ["a", "b", "c"], 200, 50, 50, cost_bps=5.0).orderBy("fold").collect()
     assert [r.fold for r in got] == [0, 1, 2, 3]
     for k, r in enumerate(got):
         train, test = slice(50 * k, 50 * k + 197), slice(50 * k + 200, 50 * k + 250)  # three targets reach into the test
@@ -131,14 +131,14 @@ def test_walk_forward_equals_numpy(spark):
         assert (r.train_end, r.test_start, r.test_end, r.rows) == (times[50 * k + 196], times[50 * k + 200], times[50 * k + 249], 50)
         want = (np.abs(p - y[test]).mean(), 1 - np.mean((p - y[test]) ** 2) / y[test].var(), np.mean(np.sign(p) == np.sign(y[test])), gross, gross - 0.001)
         assert (r.mae, r.r2, r.directional_accuracy, r.mean_strategy_return, r.net_mean_strategy_return) == pytest.approx(want)
-    assert models.walk_forward_regression(frame, ["a"], 500, 50, 50).count() == 0
+    assert models.walk_forward_ridge(frame, ["a"], 500, 50, 50).count() == 0
     with pytest.raises(ValueError):
-        models.walk_forward_regression(frame, ["a"], 0, 50, 50)
+        models.walk_forward_ridge(frame, ["a"], 0, 50, 50)
 
 
-def test_symbols_have_models_of_their_own(spark):
+def test_symbols_have_ridge_models_of_their_own(spark):
     rows = [(s, day(1) + dt.timedelta(hours=k), float(k % 9), slope * (k % 9)) for s, slope, n in (("A", 1.0, 100), ("B", -2.0, 100), ("C", 1.0, 60)) for k in range(n)]
-    got = models.fit_predict_oos(spark.createDataFrame(rows, "symbol string, timestamp timestamp_ntz, x double, target_return double"), ["x"]).collect()
+    got = models.fit_predict_ridge(spark.createDataFrame(rows, "symbol string, timestamp timestamp_ntz, x double, target_return double"), ["x"]).collect()
     assert {r.symbol for r in got} == {"A", "B"} and len(got) == 60
     assert all(abs(r.expected_return - r.target_return) < 0.6 and r.signal == np.sign(r.expected_return) for r in got)
 

@@ -89,3 +89,8 @@ UNIVERSES = {
     "major_futures": ("future", ("ES", "NQ", "RTY", "CL", "GC", "ZN", "6E")),
     "major_etfs": ("etf", ("SPY", "QQQ", "IWM", "DIA", "TLT", "GLD", "USO", "XLE", "XLK", "XLF")),
 }
+
+# Columns of the default experiment feature sets.
+QUANT_FEATURES = ("ret_1", "ret_3", "ret_5", "close_to_ma10", "vol_10", "range_pct", "volume_ratio_20")
+SENTIMENT_FEATURES = ("sentiment_mean_24h", "sentiment_shock_24h", "news_count_24h", "sentiment", "sentiment_change", "event_surprise", "novelty", "relevance", "credibility")
+REGIME_FEATURES = ("volatility_20", "trend_regime", "volatility_regime")

@@ -1,4 +1,4 @@
-"""Baseline models on Spark ML: regression, direction, ensemble, experiments."""
+"""Baseline models: boosted regression, direction, ensemble, experiments, and one model a fold or symbol."""
 
 from __future__ import annotations
 
@@ -12,13 +12,16 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.constants import QUANT_FEATURES, REGIME_FEATURES, SENTIMENT_FEATURES
 from tidemark.functions.scalars import logistic_confidence
+from tidemark.operators.boosting import GROUP_ROWS, BoostConfig, Boosted, boosted_predictions, fit_pooled, predict_groups
 from tidemark.operators.research import diagnostics, per_symbol_cut, purged_split, signals, summarize, walk_forward_folds
 from tidemark.schema import finite, require_columns
+from tidemark.session import written
 
 
 @dataclass(frozen=True)
@@ -32,6 +35,10 @@ class ModelConfig:
     least_rows: int = 50
 
 
+    def boost(self) -> BoostConfig:
+        return BoostConfig(self.depth, self.step, self.rounds)
+
+
 @dataclass(frozen=True)
 class ExperimentConfig:
     cost_bps: float = 5.0
@@ -74,14 +81,28 @@ def _dealt(train: DataFrame, rows: int, part: int = 50_000) -> DataFrame:
     return train.repartition(rows // part + 1)
 
 
-def fit_regressor(frame: DataFrame, features: list[str], target: str, config: ModelConfig = ModelConfig()):
+@dataclass(frozen=True)
+class Regressor:
+    """Medians that fill features, and one boosted model of the whole frame."""
+
+    filler: object
+    features: tuple[str, ...]
+    model: Boosted
+
+    def transform(self, frame: DataFrame) -> DataFrame:
+        filled = self.filler.transform(frame).withColumn("_all", F.lit(0))
+        return predict_groups(filled, "_all", list(self.features), {0: self.model}, "prediction")
+
+
+def fit_regressor(frame: DataFrame, features: list[str], target: str, config: ModelConfig = ModelConfig(), group_rows: int = GROUP_ROWS) -> Regressor:
+    """Boosted trees on features whose missing values are their medians; beyond ``group_rows`` rows they grow over the whole table."""
     train = _ready(frame, features).filter(finite(target).isNotNull())
     rows = train.count()
     if rows < config.least_rows:
         raise ValueError(f"fewer than {config.least_rows} rows to fit on")
-    train = _dealt(train, rows)
-    trees = GBTRegressor(labelCol=target, maxDepth=config.depth, stepSize=config.step, maxIter=config.rounds, seed=config.seed)
-    return Pipeline(stages=[*_stages(features), trees]).fit(train)
+    filled = [f"{f}__filled" for f in features]
+    filler = Imputer(strategy="median", inputCols=features, outputCols=filled).fit(train)
+    return Regressor(filler, tuple(filled), fit_pooled(filler.transform(train), filled, target, rows, config.boost(), group_rows))
 
 
 def fit_classifier(frame: DataFrame, features: list[str], target: str, config: ModelConfig = ModelConfig()):
@@ -121,9 +142,13 @@ def ensemble(train: DataFrame, test: DataFrame, quant: list[str], combined: list
 
 
 def run_experiment(frame: DataFrame, name: str, features: list[str], target: str = "target_return", config: ExperimentConfig = ExperimentConfig()) -> DataFrame:
-    """One result row: rows, mean, Sharpe ratio, drawdown, gains and directional accuracy out of sample."""
-    usable = frame.filter(finite(target).isNotNull())
-    split = purged_split(usable, config.train_fraction)
+    """One result row: rows, mean, Sharpe ratio, drawdown, gains and directional accuracy out of sample.
+
+    Only rows that have all features and the target are used.
+    """
+    if not features:
+        raise ValueError("an experiment needs features")
+    split = purged_split(_usable(frame, features, target), config.train_fraction)
     counts = split.agg(F.count(F.lit(1)).alias("usable"), F.count_if(F.col("part") == "train").alias("train"), F.count_if(F.col("part") == "test").alias("test")).first()
     for what, least in (("usable", config.least_usable), ("train", config.least_train), ("test", config.least_test)):
         if counts[what] < least:
@@ -135,6 +160,26 @@ def run_experiment(frame: DataFrame, name: str, features: list[str], target: str
     return summarize(traded, ["name"]).join(accuracy, "name").select("name", F.col("observations").alias("rows"), "mean_return", "sharpe", "max_drawdown", "win_rate", "directional_accuracy")
 
 
+def evaluate_pooled(frame: DataFrame, features: list[str], target: str = "target_return", config: ExperimentConfig = ExperimentConfig()) -> DataFrame:
+    """One model of all symbols together, judged on the rows after the cut: ``symbols`` and the columns of an experiment but its name."""
+    require_columns(frame, ["timestamp", "symbol", "close", target, *features], "frame")
+    test = purged_split(_usable(frame, features, target), config.train_fraction).filter("part = 'test'")
+    pooled = ExperimentConfig(**{**vars(config), "least_usable": 0})
+    result = run_experiment(frame, "pooled", features, target, pooled)
+    return test.agg(F.count_distinct("symbol").alias("symbols")).crossJoin(result).drop("name")  # single rows
+
+
+def default_experiment_specs(columns: list[str]) -> dict[str, list[str]]:
+    """The default feature sets, of columns that are present; an error where none is."""
+    present = lambda names: [c for c in names if c in columns]
+    quant, sentiment, regime = present(QUANT_FEATURES), present(SENTIMENT_FEATURES), present(REGIME_FEATURES)
+    both = quant + sentiment
+    if not both:
+        raise ValueError("no column of the default feature sets")
+    specs = {"quant_only": quant, "sentiment_only": sentiment, "quant_plus_sentiment": both if quant and sentiment else [], "combined_regime": both + regime}
+    return {name: own for name, own in specs.items() if own}
+
+
 def feature_sets(columns: list[str]) -> dict[str, list[str]]:
     """Feature sets by column name, the empty ones left out."""
     groups = {
@@ -210,15 +255,8 @@ def _usable(frame: DataFrame, features: list[str], target: str) -> DataFrame:
     return frame.filter(known)
 
 
-def walk_forward_regression(
-    frame: DataFrame, features: list[str], train_size: int, test_size: int, step: int, target: str = "target_return", cost_bps: float = 0.0, order: tuple[str, ...] = ("timestamp", "symbol"), least_train: int = 50, penalty: float = 1.0,
-) -> DataFrame:
-    """One row per fold: its span, rows, errors, direction and mean returns before and after costs; folds with few train rows are left out."""
-    rows = walk_forward_folds(_usable(frame, features, target), train_size, test_size, step, list(order))
-    train = rows.filter("part = 'train'")
-    ends = train.groupBy("fold").agg(F.max("timestamp").alias("train_end"))
-    models = grouped_ridge(train, ["fold"], features, target, penalty).filter(F.col("train_rows") >= least_train).join(ends, "fold")
-    scored = _scored(rows.filter("part = 'test'"), models, ["fold"], features, "_p")
+def _fold_results(scored: DataFrame, target: str, cost_bps: float) -> DataFrame:
+    """Span, rows, errors, direction and mean returns before and after costs of each fold; ``_p`` is the prediction."""
     a, p = F.col(target), F.col("_p")
     gross = F.avg(F.signum(p) * a)
     return scored.groupBy("fold", "train_end").agg(
@@ -228,8 +266,46 @@ def walk_forward_regression(
     )
 
 
-def fit_predict_oos(frame: DataFrame, features: list[str], target: str = "target_return", train_fraction: float = 0.7, penalty: float = 1.0) -> DataFrame:
-    """Test rows of every symbol with enough rows, with ``expected_return`` of the symbol's own model and its ``signal``."""
+def _folds(frame: DataFrame, features: list[str], target: str, sizes: tuple[int, int, int], order: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``fold`` and ``part``, written once, and the end of each fold's train part."""
+    if min(sizes) < 1:
+        raise ValueError("train_size, test_size and step are 1 at least")
+    rows = written(walk_forward_folds(_usable(frame, features, target), *sizes, list(order)), "folds")
+    ends = rows.filter("part = 'train'").groupBy("fold").agg(F.max("timestamp").alias("train_end"))
+    return rows, ends
+
+
+def walk_forward_regression(
+    frame: DataFrame, features: list[str], train_size: int, test_size: int, step: int, target: str = "target_return", cost_bps: float = 0.0, order: tuple[str, ...] = ("timestamp", "symbol"), least_train: int = 50,
+    config: ModelConfig = ModelConfig(), group_rows: int = GROUP_ROWS,
+) -> DataFrame:
+    """One row per fold, predicted by boosted trees of the fold's own train rows; folds with few train rows are left out."""
+    rows, ends = _folds(frame, features, target, (train_size, test_size, step), order)
+    slim = rows.select("fold", "part", "timestamp", target, *features)
+    scored = boosted_predictions(slim, "fold", features, target, "_p", config.boost(), least_train, group_rows)
+    return _fold_results(scored.join(ends, "fold"), target, cost_bps)
+
+
+def walk_forward_ridge(
+    frame: DataFrame, features: list[str], train_size: int, test_size: int, step: int, target: str = "target_return", cost_bps: float = 0.0, order: tuple[str, ...] = ("timestamp", "symbol"), least_train: int = 50, penalty: float = 1.0,
+) -> DataFrame:
+    """As ``walk_forward_regression``, with a ridge regression per fold."""
+    rows, ends = _folds(frame, features, target, (train_size, test_size, step), order)
+    models = grouped_ridge(rows.filter("part = 'train'"), ["fold"], features, target, penalty).filter(F.col("train_rows") >= least_train).join(ends, "fold")
+    return _fold_results(_scored(rows.filter("part = 'test'"), models, ["fold"], features, "_p"), target, cost_bps)
+
+
+def fit_predict_oos(frame: DataFrame, features: list[str], target: str = "target_return", train_fraction: float = 0.7, config: ModelConfig = ModelConfig(), group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Test rows of every symbol with enough rows, with ``expected_return`` of the symbol's own boosted trees and its ``signal``."""
+    parts = written(per_symbol_cut(_usable(frame, features, target), train_fraction), "symbol-parts")
+    if parts.isEmpty():
+        raise ValueError("no symbol has enough rows")
+    scored = boosted_predictions(parts, "symbol", features, target, "expected_return", config.boost(), config.least_rows, group_rows)
+    return scored.withColumn("signal", F.signum("expected_return")).drop("part")
+
+
+def fit_predict_ridge(frame: DataFrame, features: list[str], target: str = "target_return", train_fraction: float = 0.7, penalty: float = 1.0) -> DataFrame:
+    """As ``fit_predict_oos``, with a ridge regression per symbol."""
     parts = per_symbol_cut(_usable(frame, features, target), train_fraction)
     models = grouped_ridge(parts.filter("part = 'train'"), ["symbol"], features, target, penalty)
     scored = _scored(parts.filter("part = 'test'"), models, ["symbol"], features, "expected_return")

@@ -996,9 +996,9 @@ _FOLD_SQL = f"""WITH {a.PAIRS}, u AS (SELECT * FROM pairs WHERE predicted IS NOT
 
 
 @register(_FOLD_SQL)
-def walk_forward_regression(spark, sf_dir):
+def walk_forward_ridge(spark, sf_dir):
     """With one feature, so that the closed form fits into SQL."""
-    return rounded(models.walk_forward_regression(a.pairs(spark, sf_dir), ["predicted"], 800, 200, 200, "actual", cost_bps=5.0))
+    return rounded(models.walk_forward_ridge(a.pairs(spark, sf_dir), ["predicted"], 800, 200, 200, "actual", cost_bps=5.0))
 
 
 @register(
@@ -1007,6 +1007,26 @@ def walk_forward_regression(spark, sf_dir):
       m AS (SELECT symbol, avg(x) AS mx, avg(value) AS my, covar_pop(x, value) / nullif(var_pop(x), 0) * count(*) / (count(*) + 1.0) AS w FROM k WHERE part = 'train' GROUP BY symbol)
       SELECT event_id, symbol, round(my + w * (x - mx), {DIGITS}) AS expected_return, sign(my + w * (x - mx))::DOUBLE AS signal FROM k JOIN m USING (symbol) WHERE part = 'test'"""
 )
+def per_symbol_ridge(spark, sf_dir):
+    e = a.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("symbol"), F.col("ts").alias("timestamp"), F.col("user_id").cast("double").alias("x"), F.col("value").alias("target_return"))
+    return rounded(models.fit_predict_ridge(e, ["x"]).select("event_id", "symbol", "expected_return", "signal"))
+
+
+@register()
+def walk_forward_regression(spark, sf_dir):
+    """Boosted trees per fold, of the score and the day's range."""
+    pairs = a.pairs(spark, sf_dir)
+    ranges = a.bars(spark, sf_dir).select("symbol", "timestamp", (F.col("high") / F.col("low")).alias("range"))
+    return models.walk_forward_regression(pairs.join(ranges, ["symbol", "timestamp"]), ["predicted", "range"], 800, 200, 200, "actual", cost_bps=5.0)
+
+
+@register()
 def per_symbol_oos(spark, sf_dir):
+    """Boosted trees per event type."""
     e = a.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("symbol"), F.col("ts").alias("timestamp"), F.col("user_id").cast("double").alias("x"), F.col("value").alias("target_return"))
-    return rounded(models.fit_predict_oos(e, ["x"]).select("event_id", "symbol", "expected_return", "signal"))
+    return models.fit_predict_oos(e, ["x"]).select("event_id", "symbol", "expected_return", "signal")
+
+
+@register()
+def ml_pooled(spark, sf_dir):
+    return models.evaluate_pooled(_frame(spark, sf_dir), DATASET)
