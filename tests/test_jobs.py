@@ -39,7 +39,7 @@ def test_event_archives_and_vintages(spark, tmp_path):
             cells[0], cells[1], cells[26], cells[59] = i, "20240101", "010", "20240101120000"
             rows.append("\t".join(cells))
         (tmp_path / f"{k}.tsv").write_text("\n".join(rows) + "\n")
-    assert jobs.process_event_archives(spark, str(tmp_path / "*.tsv"), str(tmp_path / "out")) == {"files": 2, "output_rows": 3, "duplicate_ids": 1, "malformed_lines": 0}
+    assert jobs.process_event_archives(spark, str(tmp_path / "*.tsv"), str(tmp_path / "out"), "plain_events") == {"files": 2, "output_rows": 3, "duplicate_ids": 1, "malformed_lines": 0, "damaged_files": 0}
     pages = {0: [{"date": "2024-01-01", "S_20240105": "1.5"}, {"date": "2024-01-02", "S_20240105": "."}], 2: [{"date": "2024-01-03", "S_20240106": "2"}]}
     got = jobs.macro_vintages(spark, lambda series, offset: pages[offset], {"S": "short"}, page=2).orderBy("date").collect()
     assert [(r.value, r.feature_name, r.available_date_conservative.day) for r in got] == [(1.5, "short", 6), (2.0, "short", 7)]

@@ -28,7 +28,8 @@ def test_company_facts_and_submissions(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "f.zip", "w") as z:
         z.writestr("deep/CIK7.json", json.dumps(document))
         z.writestr("CIK8.json", json.dumps(document | {"cik": 8}))
-    assert feeds.unzip(str(tmp_path / "f.zip"), str(tmp_path / "land")) == 2
+    with zipfile.ZipFile(tmp_path / "f.zip") as z:
+        z.extractall(tmp_path / "land")
     assert feeds.read_company_facts(spark, str(tmp_path / "land")).count() == 4
     rows = files.load_facts(feeds.read_company_facts(spark, str(tmp_path / "land"), [7])).collect()
     assert len(rows) == 2 and rows[0].val_num == 5.0 and rows[0].start is None and rows[0].end == dt.datetime(2023, 12, 31)
@@ -48,7 +49,7 @@ def test_small_feeds(spark, tmp_path):
     assert row.timestamp == dt.datetime(2024, 1, 1) and (row.open, row.volume) == (1.0, 9.0)
     (tmp_path / "aapl.us.txt").write_text("<TICKER>,<PER>,<DATE>,<TIME>,<OPEN>,<HIGH>,<LOW>,<CLOSE>,<VOL>,<OPENINT>\nAAPL.US,D,20240102,000000,1,2,0.5,1.5,7,0\n")
     (tmp_path / "msft.us.txt").write_text("Date,Open,High,Low,Close,Volume\n2024-01-02,1,2,0.5,1.5,8\n")
-    got = {r.symbol: (r.timestamp.day, r.close, r.volume) for r in feeds.read_price_archive(spark, str(tmp_path)).collect()}
+    got = {r.symbol: (r.timestamp.day, r.close, r.volume) for r in feeds.read_price_files(spark, str(tmp_path)).collect()}
     assert got == {"aapl.us": (2, 1.5, 7.0), "msft.us": (2, 1.5, 8.0)}
 
 
@@ -138,8 +139,10 @@ def test_price_archive_and_manifests(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "20240105.export.zip", "w") as z:
         z.writestr("data/us/aa.us.txt", "<TICKER>,<PER>,<DATE>,<TIME>,<OPEN>,<HIGH>,<LOW>,<CLOSE>,<VOL>,<OPENINT>\nAA.US,D,20240102,000000,1,2,0.5,1.5,100,0\n")
         z.writestr("bb.us.csv", "Date,Open,High,Low,Close,Volume\n2024-01-02,1,2,0.5,1.5,100\n")
-    got = feeds.import_price_archive(spark, str(tmp_path / "20240105.export.zip"), str(tmp_path / "landing"), str(tmp_path / "out"))
-    assert got == {"imported": ["aa.us", "bb.us"], "imported_count": 2}
+    (tmp_path / "bars.txt").write_text("Date,Open,High,Low,Close,Volume\n2024-01-02,1,2,0.5,2.5,100\n")
+    got = feeds.import_price_archive(spark, str(tmp_path / "20240105.export.zip"), str(tmp_path / "out"))
+    assert got == {"imported": ["aa.us", "bb.us"], "imported_count": 2, "skipped": 0}
+    assert {(r.symbol, r.close) for r in feeds.download_daily(spark, "AA", str(tmp_path / "bars.txt")).collect()} == {("AA", 2.5)}
     row = feeds.archive_manifest(spark, str(tmp_path / "*.zip")).first()
     assert row.day == dt.date(2024, 1, 5) and len(row.sha256) == 64
     assert feeds.event_archive_name(dt.date(2026, 9, 2)) == "20260902.export.CSV.zip"

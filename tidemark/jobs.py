@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from tidemark.constants import DEFAULT_SERIES
 from tidemark.operators import audits, bars, facts, macro, models, news, panel, research, temporal
 from tidemark.schema import to_number, to_time
-from tidemark.sources import feeds, files
+from tidemark.session import written
+from tidemark.sources import archives, feeds, files
+from tidemark.sources.id_index import IdIndex
 
 
 def supervised_dataset(market: DataFrame, horizon: int = 3) -> DataFrame:
@@ -52,13 +55,56 @@ def asof_facts(observations: DataFrame, decisions: DataFrame) -> DataFrame:
     return temporal.asof_join(grid, observations, ["cik", "metric", "unit"], "decision_time", "information_time", ["val_num", "start", "end"], ["end", "val_num"]).filter(F.col("pit_time").isNotNull())
 
 
-def process_event_archives(spark: SparkSession, pattern: str, out: str) -> dict[str, int]:
-    """World-event files deduplicated by id over all files and written by day."""
-    lines = spark.read.text(pattern).withColumn("file", F.col("_metadata.file_path"))
-    events = feeds.parse_events(lines)
-    files.write_table(feeds.dedupe_events(events, ["file", "DATEADDED", "SOURCEURL"]), out, partition_by=("event_date",))
-    rows = spark.read.parquet(out).count()
-    return {"files": lines.select("file").distinct().count(), "output_rows": rows, "duplicate_ids": events.count() - rows, "malformed_lines": feeds.malformed_events(lines).first()["malformed"]}
+def process_event_archives(spark: SparkSession, pattern: str, out: str, index: str = "world_event_ids") -> dict[str, int]:
+    """New world-event files (archives or plain text) as Parquet by day, each event id once over all runs.
+
+    Files that an earlier run committed to the id index are not read again.  A run writes a folder
+    of its own, and what a lost run left there goes first, so it can be repeated at any time.  Counts are those of this run.
+    """
+    ids = IdIndex(spark, index)
+    _drop_uncommitted(spark, out, ids)
+    if pattern.endswith(".zip"):
+        listed = spark.createDataFrame([(p,) for p in archives.matching(pattern)], "file string")
+    else:
+        listed = spark.read.format("binaryFile").load(pattern).select(F.col("path").alias("file"))  # names only
+    paths = sorted(r["file"] for r in ids.pending(listed).collect())  # a name a file, as any listing
+    if not paths:
+        return {"files": 0, "output_rows": 0, "duplicate_ids": 0, "malformed_lines": 0, "damaged_files": 0}
+    if pattern.endswith(".zip"):
+        lines = archives.read_zip(spark, ",".join(paths)).withColumnRenamed("archive", "file")
+    else:
+        lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), "value", F.lit(None).cast("string").alias("error"))
+    lines = written(lines.select("file", "line", "value", "error"), "event-lines")
+    sound = lines.filter("error IS NULL")
+    events = written(feeds.parse_events(sound.select("file", "line", "value")), "events")
+    once = feeds.dedupe_events(events, ["file", "DATEADDED", "SOURCEURL", "line"])
+    fresh = written(ids.fresh(once, "GlobalEventID"), "events-fresh")
+    batch = hashlib.sha256("\n".join(paths).encode()).hexdigest()[:16]
+    files.write_table(fresh.drop("line"), f"{out.rstrip('/')}/batch={batch}", partition_by=("event_date",))
+    named = spark.createDataFrame([(p,) for p in paths], "file string")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    count = lambda rows, name: rows.groupBy(plain("file").alias("_f")).agg(F.count(F.lit(1)).alias(name))
+    per_file = named.withColumn("_f", plain("file")).join(count(events, "rows"), "_f", "left").join(count(fresh, "new_ids"), "_f", "left").fillna(0, ["rows", "new_ids"])
+    per_file = written(per_file.withColumn("duplicate_ids", F.col("rows") - F.col("new_ids")), "event-files")
+    ids.commit(batch, fresh.filter("GlobalEventID IS NOT NULL").select(F.col("GlobalEventID").alias("id")), per_file)
+    sums = per_file.agg(F.sum("new_ids").alias("new"), F.sum("duplicate_ids").alias("twice")).first()
+    return {
+        "files": len(paths), "output_rows": sums["new"], "duplicate_ids": sums["twice"],
+        "malformed_lines": feeds.malformed_events(sound).first()["malformed"], "damaged_files": lines.filter("error IS NOT NULL").select("file").distinct().count(),
+    }
+
+
+def _drop_uncommitted(spark: SparkSession, out: str, ids: IdIndex) -> None:
+    """Folders of runs that were lost before their commit."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return
+    good = {f"batch={r['batch']}" for r in ids.manifest().select("batch").distinct().collect()}  # a row a run
+    for status in system.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("batch=") and name not in good:
+            system.delete(status.getPath(), True)
 
 
 def build_panel(spark: SparkSession, paths: dict[str, str], metrics: list[str], series: list[str] = tuple(DEFAULT_SERIES), session: str = "us_equity_daily") -> DataFrame:
@@ -124,7 +170,7 @@ def _assess(spark, args) -> int:
 
 
 def _events(spark, args) -> int:
-    print(process_event_archives(spark, args.pattern, args.out))
+    print(process_event_archives(spark, args.pattern, args.out, args.index))
     return 0
 
 
@@ -196,7 +242,7 @@ def _portfolio(spark, args) -> int:
 
 
 def _price_archive(spark, args) -> int:
-    print(feeds.import_price_archive(spark, args.archive, args.landing, args.out))
+    print(feeds.import_price_archive(spark, args.archive, args.out))
     return 0
 
 
@@ -204,7 +250,7 @@ def _price_archive(spark, args) -> int:
 JOBS = {
     "panel": (_panel, (), {"market": None, "observations": None, "vintages": None, "master": None, "out": None, "metrics": "assets,revenue,net_income", "session": "us_equity_daily"}),
     "assess": (_assess, ("market",), {}),
-    "events": (_events, ("pattern", "out"), {}),
+    "events": (_events, ("pattern", "out"), {"index": "world_event_ids"}),
     "fact-events": (_fact_events, ("facts", "submissions", "out"), {"universe": ""}),
     "observations": (_observations, ("events", "out"), {}),
     "asof": (_asof, ("observations", "decisions", "out"), {}),
@@ -216,7 +262,7 @@ JOBS = {
     "universe": (_universe, ("market", "out"), {"most": 500, "profile": "core_equity_etf"}),
     "experiments": (_experiments, ("market", "out"), {}),
     "portfolio": (_portfolio, ("market", "out"), {"features": "ret_1,ret_3,ret_5,vol_10", "most": 5}),
-    "price-archive": (_price_archive, ("archive", "landing", "out"), {}),
+    "price-archive": (_price_archive, ("archive", "out"), {}),
 }
 
 

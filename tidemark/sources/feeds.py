@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.temporal import latest_per
+from tidemark.session import written
+from tidemark.sources.archives import read_zip
 
 FACT = "struct<start:string,end:string,val:double,accn:string,fy:int,fp:string,form:string,filed:string,frame:string>"
 COMPANY_FACTS = f"cik bigint, entityName string, facts map<string,map<string,struct<label:string,description:string,units:map<string,array<{FACT}>>>>>"
@@ -34,17 +33,6 @@ EVENT_NUMBERS = {
 GDELT_FIELDS = len(EVENT_FIELDS)
 
 
-def unzip(archive: str, landing: str, suffixes: tuple[str, ...] = (".json", ".txt", ".csv", ".CSV")) -> int:
-    """Unpack an archive to a landing folder that the executors share; nested folders are kept."""
-    count = 0
-    with zipfile.ZipFile(archive) as z:
-        for entry in z.infolist():
-            if entry.filename.endswith(suffixes) and ".." not in Path(entry.filename).parts:
-                z.extract(entry, landing)
-                count += 1
-    return count
-
-
 def explode_company_facts(raw: DataFrame) -> DataFrame:
     """One row per fact of the nested document (taxonomy, tag, unit, fact)."""
     a = raw.select("cik", F.col("entityName").alias("entity_name"), F.explode("facts").alias("taxonomy", "tags"))
@@ -59,6 +47,35 @@ def read_company_facts(spark: SparkSession, path: str, ciks: list[int] | None =
     return explode_company_facts(raw.filter(F.col("cik").isin(ciks)) if ciks else raw)
 
 
+def _documents(spark: SparkSession, archive: str, schema: str, ciks: list[int] | None) -> DataFrame:
+    """``entry, doc, error`` of the JSON entries of archives; with ``ciks`` only the entries named after them are inflated as rows."""
+    raw = read_zip(spark, archive, (".json",), whole=True)
+    if ciks is not None:
+        named = F.expr("try_cast(regexp_extract(entry, 'CIK0*([0-9]+)[^/]*$', 1) AS BIGINT)")
+        raw = raw.filter(named.isin(ciks) | F.col("entry").isNull())
+    parsed = raw.withColumn("doc", F.from_json("value", schema))
+    # a text that is no JSON object gives a document without any field
+    none = F.coalesce(F.to_json("doc"), F.lit("{}")) == "{}"
+    return parsed.select("entry", "doc", F.when(F.col("error").isNull() & none, "no document").otherwise(F.col("error")).alias("error"))
+
+
+def import_company_facts(spark: SparkSession, archive: str, out: str, ciks: list[int] | None = None) -> dict[str, int]:
+    """Company facts of an archive of documents as Parquet rows; how many rows, documents, and entries that were skipped."""
+    docs = written(_documents(spark, archive, COMPANY_FACTS, ciks), "company-facts")
+    explode_company_facts(docs.filter("error IS NULL").select("doc.*")).write.mode("overwrite").parquet(out)
+    counts = docs.agg(F.count_if(F.col("error").isNull()).alias("good"), F.count_if(F.col("error").isNotNull()).alias("bad")).first()
+    return {"rows": spark.read.parquet(out).count(), "documents": counts["good"], "skipped": counts["bad"]}
+
+
+def import_submissions(spark: SparkSession, archive: str, filings: str, entities: str) -> dict[str, int]:
+    """Recent filings of an archive of filers, and the filers themselves, as Parquet rows."""
+    docs = written(_documents(spark, archive, SUBMISSIONS.replace("cik bigint", "cik string"), None), "submissions")
+    good = docs.filter("error IS NULL").select("doc.*").withColumn("cik", F.expr("try_cast(cik AS BIGINT)"))
+    explode_submissions(good).write.mode("overwrite").parquet(filings)
+    entity_master(good).write.mode("overwrite").parquet(entities)
+    return {"rows": spark.read.parquet(filings).count(), "entities": spark.read.parquet(entities).count(), "skipped": docs.filter("error IS NOT NULL").count()}
+
+
 def explode_submissions(raw: DataFrame) -> DataFrame:
     """Parallel arrays of a filer's recent filings as rows, numbered by ``position``."""
     recent = "filings.recent"
@@ -85,23 +102,38 @@ def parse_klines(raw: DataFrame) -> DataFrame:
     return rows.select(F.timestamp_millis(F.get("k", F.lit(0)).cast("long")).cast("timestamp_ntz").alias("timestamp"), *(number(i + 1).alias(c) for i, c in enumerate(("open", "high", "low", "close", "volume"))), "symbol")
 
 
-def read_price_archive(spark: SparkSession, landing: str) -> DataFrame:
-    """Unpacked price files, ticker from the file name; both header dialects, dates yyyyMMdd or yyyy-MM-dd."""
-    lines = spark.read.option("recursiveFileLookup", True).text(landing).select("value", F.lower(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.(?:txt|csv)$", 1)).alias("symbol"))
+def parse_prices(lines: DataFrame) -> DataFrame:
+    """``value, symbol`` of price files as bars; both header dialects, dates yyyyMMdd or yyyy-MM-dd."""
     cells = lines.filter(~F.col("value").rlike("(?i)^<?(ticker|date)")).withColumn("c", F.split("value", ","))
     long = F.size("c") >= 9  # ticker, per, date, time, OHLCV, openint
     at = lambda short, wide: F.when(long, F.get("c", F.lit(wide))).otherwise(F.get("c", F.lit(short)))
     day = F.coalesce(F.try_to_timestamp(at(0, 2), F.lit("yyyyMMdd")), F.try_to_timestamp(at(0, 2), F.lit("yyyy-MM-dd")))
-    typed = cells.select(day.alias("timestamp"), *(at(i + 1, i + 4).alias(c) for i, c in enumerate(("open", "high", "low", "close", "volume"))), "symbol")
-    return typed.withColumns({c: F.expr(f"try_cast({c} AS DOUBLE)") for c in ("open", "high", "low", "close", "volume")}).filter(F.col("timestamp").isNotNull())
+    prices = ("open", "high", "low", "close", "volume")
+    typed = cells.select(day.cast("timestamp_ntz").alias("timestamp"), *(at(i + 1, i + 4).alias(c) for i, c in enumerate(prices)), "symbol")
+    return typed.withColumns({c: F.expr(f"try_cast({c} AS DOUBLE)") for c in prices}).filter(F.col("timestamp").isNotNull())
+
+
+def _ticker(path: str):
+    return F.lower(F.regexp_extract(path, r"([^/]+)\.(?i:txt|csv)$", 1))
+
+
+def read_price_files(spark: SparkSession, path: str) -> DataFrame:
+    """Bars of price files below a folder, ticker from the file name."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).withColumn("_path", F.col("_metadata.file_path"))
+    return parse_prices(lines.select("value", _ticker("_path").alias("symbol")))
+
+
+def download_daily(spark: SparkSession, symbol: str, path: str) -> DataFrame:
+    """Bars of one price file under the symbol as given."""
+    return parse_prices(spark.read.text(path).withColumn("symbol", F.lit(symbol)))
 
 
-def import_price_archive(spark: SparkSession, archive: str, landing: str, out: str) -> dict:
-    """Unpack an archive of price files to ``landing`` and write their bars by symbol; the symbols and how many there are."""
-    unzip(archive, landing, (".txt", ".csv"))
-    read_price_archive(spark, landing).write.mode("overwrite").partitionBy("symbol").parquet(out)
+def import_price_archive(spark: SparkSession, archive: str, out: str) -> dict:
+    """Bars of an archive of price files by symbol; the symbols, how many there are, and entries that were skipped."""
+    entries = read_zip(spark, archive, (".txt", ".csv"))
+    parse_prices(entries.filter("error IS NULL").select("value", _ticker("entry").alias("symbol"))).write.mode("overwrite").partitionBy("symbol").parquet(out)
     symbols = sorted(r[0] for r in spark.read.parquet(out).select(F.col("symbol").cast("string")).distinct().collect())  # one name a file
-    return {"imported": symbols, "imported_count": len(symbols)}
+    return {"imported": symbols, "imported_count": len(symbols), "skipped": entries.filter("error IS NOT NULL").count()}
 
 
 def event_archive_name(day) -> str:
