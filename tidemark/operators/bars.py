@@ -1,11 +1,19 @@
-"""Per-symbol window features and labels on bars. All columns of a group share one sort."""
+"""Per-symbol window features and labels on bars.
+
+All columns of a group share one sort.  A symbol with very many bars is computed in slices with a halo
+(``scans.sliced``), so no symbol has to fit one task.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import session_times
+from tidemark.operators.scans import HOT_ROWS, sliced
 from tidemark.schema import require_columns
 
 
@@ -17,6 +25,23 @@ def _tail(n: int):
     return _series().rowsBetween(-(n - 1), 0)
 
 
+def by_slices(back: Callable[..., int], ahead: Callable[..., int]):
+    """Deal symbols with more than ``hot_rows`` rows over slices; ``back`` and ``ahead`` say, from the arguments, how many rows the windows reach."""
+
+    def wrap(features: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(features)
+        def run(bars: DataFrame, *args, hot_rows: int = HOT_ROWS, **named) -> DataFrame:
+            return sliced(bars, lambda rows: features(rows, *args, **named), back(*args, **named), ahead(*args, **named), hot_rows=hot_rows)
+
+        return run
+
+    return wrap
+
+
+_NONE = lambda *_, **__: 0
+_HORIZON = lambda horizon=3: max(horizon, 1)
+
+
 def rolling(aggregate, column: Column, n: int, least: int | None = None) -> Column:
     """Rolling aggregate over n rows, null until ``least`` (default n) values are known."""
     return F.when(F.count(column).over(_tail(n)) >= (n if least is None else least), aggregate(column).over(_tail(n)))
@@ -26,6 +51,7 @@ def change(column: str, steps: int = 1) -> Column:
     return F.try_divide(F.col(column), F.lag(column, steps).over(_series())) - 1
 
 
+@by_slices(lambda windows=(5, 20, 60): max(*windows, 20) + 1, _NONE)
 def quant_features(bars: DataFrame, windows: tuple[int, ...] = (5, 20, 60)) -> DataFrame:
     """Returns, momentum, volatility, distance to averages, z-scores, true range, volume ratios."""
     require_columns(bars, ["symbol", "timestamp", "open", "high", "low", "close"], "bars")
@@ -52,6 +78,7 @@ def quant_features(bars: DataFrame, windows: tuple[int, ...] = (5, 20, 60)) -> D
     return first.withColumns(columns).drop("_range")
 
 
+@by_slices(lambda: 21, _NONE)
 def dataset_features(bars: DataFrame) -> DataFrame:
     """The compact feature set, with shorter warm-up than the windows."""
     first = bars.withColumns({f"ret_{k}": change("close", k) for k in (1, 3, 5)})
@@ -65,6 +92,7 @@ def dataset_features(bars: DataFrame) -> DataFrame:
     )
 
 
+@by_slices(lambda window=20: window + 61, _NONE)
 def regime_features(bars: DataFrame, window: int = 20) -> DataFrame:
     """Trend strength, realised volatility, its z-score over 60 bars and a label."""
     first = bars.withColumn("_r", change("close")).withColumn("_sd", rolling(F.stddev_samp, F.col("_r"), window))
@@ -74,6 +102,7 @@ def regime_features(bars: DataFrame, window: int = 20) -> DataFrame:
     return second.withColumns({"vol_regime_z": z, "regime_label": label}).drop("_r", "_sd")
 
 
+@by_slices(_NONE, _HORIZON)
 def forward_target(bars: DataFrame, horizon: int = 3) -> DataFrame:
     """Enter at the next open, leave at the close ``horizon`` bars ahead; an unknown target counts as not positive."""
     w = _series()
@@ -82,12 +111,14 @@ def forward_target(bars: DataFrame, horizon: int = 3) -> DataFrame:
     return out.withColumn("forward_positive", F.coalesce((F.col("target_return") > 0).cast("int"), F.lit(0)))
 
 
+@by_slices(_NONE, _HORIZON)
 def three_day_labels(bars: DataFrame, horizon: int = 3) -> DataFrame:
     """As ``forward_target``, but an unknown target leaves the label unknown."""
-    out = forward_target(bars, horizon).drop("forward_positive").withColumnRenamed("target_return", "forward_return_3d")
+    out = forward_target.__wrapped__(bars, horizon).drop("forward_positive").withColumnRenamed("target_return", "forward_return_3d")
     return out.withColumns({"positive_3d_return": (F.col("forward_return_3d") > 0).cast("int"), "label_available": F.col("forward_return_3d").isNotNull()})
 
 
+@by_slices(_NONE, _HORIZON)
 def us_equity_labels(bars: DataFrame, horizon: int = 3) -> DataFrame:
     """Decide at the New York close of the bar's date, enter at the next session's open, target three sessions on."""
     close, opening = session_times(F.col("timestamp"))

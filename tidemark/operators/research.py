@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clip, directional_score, mean_of_known
+from tidemark.operators.scans import HOT_ROWS, hot_keys, parted, running
 from tidemark.operators.temporal import latest_per
 from tidemark.schema import finite
 
@@ -128,11 +129,28 @@ def portfolio(frame: DataFrame, column: str, hold: int = 3, threshold: float = 0
     )
 
 
-def equity_curve(returns: DataFrame, group: list[str], column: str = "net_return", order: str = "timestamp") -> DataFrame:
-    """Equity, its running maximum and drawdown per group; the starting equity of one is no maximum."""
-    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = returns.withColumn("equity", F.product(1 + F.coalesce(F.col(column), F.lit(0.0))).over(w))
-    return out.withColumn("peak", F.max("equity").over(w)).withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
+def equity_curve(returns: DataFrame, group: list[str], column: str = "net_return", order: str = "timestamp", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Equity, its running maximum and drawdown per group; the starting equity of one is no maximum.
+
+    A group with more than ``hot_rows`` rows is a scan over many tasks: products and maxima of ranges, which are combined.
+    """
+    growth = 1 + F.coalesce(F.col(column), F.lit(0.0))
+
+    def plain(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        out = rows.withColumn("equity", F.product(growth).over(w))
+        return out.withColumn("peak", F.max("equity").over(w)).withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
+
+    hot = hot_keys(returns, group, hot_rows)
+    if hot is None:
+        return plain(returns)
+    cold, rows = parted(returns, hot, group)
+    named = rows.withColumns({"_group": F.to_json(F.struct(*group)), "_growth": growth.cast("double")})
+    grown = running(named, "_group", [F.col(order)], "equity", {"_growth": "product"}).withColumnRenamed("run__growth", "equity").drop("run_place")
+    topped = running(grown, "_group", [F.col(order)], "peak", {"equity": "max"}).withColumnRenamed("run_equity", "peak")
+    topped = topped.withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
+    out = plain(cold)
+    return out.unionByName(topped.select(*out.columns))
 
 
 def sharpe(column: Column, periods: float = YEAR) -> Column:

@@ -10,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scans import BROADCAST_ROWS, HOT_ROWS, hot_keys
 from tidemark.schema import require_columns
 from tidemark.session import written
 
+MOST_SPANS = 2000  # of one hot key
+
 
 def asof_join(
-    left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, payload: list[str], ties: list[str] | None = None, prefix: str = "pit_", forward: bool = False, bucket_days: int | None = None,
+    left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, payload: list[str], ties: list[str] | None = None, prefix: str = "pit_", forward: bool = False,
+    bucket_days: int | None = None, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """LEFT as-of join: to each left row the last right row at or before it (``forward``: first at or after).
 
@@ -23,8 +27,9 @@ def asof_join(
     taken, nulls counting as last.  Null keys match null keys.  Payload columns come back with ``prefix``;
     ``<prefix>time`` is the right row's time.
 
-    A key is one task's work.  With ``bucket_days`` it is dealt over spans of that many days: each
-    span's last right row is carried to the spans after it, which are one row a span.
+    A key is one task's work, unless both sides have more than ``hot_rows`` rows of it: it is then dealt over spans
+    of time with about equal numbers of rows, and each span's last right row is carried to the spans after it, which are
+    one row a span.  With ``bucket_days`` all keys are dealt over spans of that many days.
     """
     require_columns(left, [*by, left_time], "left side")
     require_columns(right, [*by, right_time, *payload], "right side")
@@ -34,27 +39,49 @@ def asof_join(
     sides_right = right.filter(F.col(right_time).isNotNull()).select(F.lit(None).alias("row"), *(F.col(c).alias(f"k_{c}") for c in by), F.col(right_time).alias("t"), F.lit(1 if forward else 0).alias("side"), packed.alias("payload"), order.alias("ties"))
     both = sides_left.unionByName(sides_right)
     keys = [f"k_{c}" for c in by]
+    micros = F.unix_micros(F.col("t").cast("timestamp"))
+    dealt = True
     if bucket_days:
-        both = both.withColumn("bucket", F.floor(F.unix_micros(F.col("t").cast("timestamp")) / F.lit(bucket_days * 86_400_000_000)))
-        parts = [*keys, "bucket"]
+        both = both.withColumn("bucket", F.floor(micros / F.lit(bucket_days * 86_400_000_000)))
     else:
-        parts = keys
-    span = Window.partitionBy(*parts).orderBy(F.col("t").asc_nulls_first(), "side", F.col("ties").asc_nulls_first())
+        hot = hot_keys(both, keys, hot_rows)
+        dealt = hot is not None
+        if dealt:
+            both = _in_spans(both, keys, hot, micros, hot_rows)
+    span = Window.partitionBy(*keys, *(["bucket"] if dealt else [])).orderBy(F.col("t").asc_nulls_first(), "side", F.col("ties").asc_nulls_first())
     if forward:
         pick = F.first("payload", ignorenulls=True).over(span.rowsBetween(0, Window.unboundedFollowing))
     else:
         pick = F.last("payload", ignorenulls=True).over(span.rowsBetween(Window.unboundedPreceding, 0))
     matched = both.withColumn("hit", F.when(F.col("t").isNotNull(), pick)).filter(F.col("row").isNotNull())
-    if bucket_days:
+    if dealt:
         carried = _carried(both, keys, forward)
+        if not bucket_days:
+            carried = written(carried, "carried")
+            carried = F.broadcast(carried) if carried.count() <= BROADCAST_ROWS else carried
         same = [F.col(f"m.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
         condition = F.col("m.bucket") == F.col("c.bucket")
         for one in same:
             condition &= one
-        matched = matched.alias("m").join(carried.alias("c"), condition, "left").select("m.row", F.coalesce("m.hit", "c.carry").alias("hit"))
+        matched = matched.alias("m").join(carried.alias("c"), condition, "left").select("m.row", F.coalesce("m.hit", F.when(F.col("m.t").isNotNull(), F.col("c.carry"))).alias("hit"))
     return matched.select("row.*", F.col("hit.time").alias(f"{prefix}time"), *(F.col(f"hit.{c}").alias(f"{prefix}{c}") for c in payload))
 
 
+def _in_spans(both: DataFrame, keys: list[str], hot: DataFrame, micros: Column, hot_rows: int) -> DataFrame:
+    """``both`` with ``bucket``: the span of a hot key's row, null for all other keys."""
+    most = hot.agg(F.max("n")).first()[0]
+    count = min(MOST_SPANS, -(-most // hot_rows))
+    mark = F.broadcast(hot.select(*(F.col(k).alias(f"_{k}") for k in keys)))  # at most as many as hot_rows goes into the rows
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    shares = F.array(*(F.lit(k / count) for k in range(1, count)))
+    hot_rows_only = both.select(*keys, micros.alias("us")).join(mark, same, "left_semi")
+    cuts = written(hot_rows_only.groupBy(*keys).agg(F.percentile_approx("us", shares, 10_000).alias("cuts")), "span-cuts")
+    marked = both.join(F.broadcast(cuts.select("cuts", *(F.col(k).alias(f"_{k}") for k in keys))), same, "left")
+    place = F.when(micros.isNull(), F.lit(-1)).otherwise(F.size(F.filter("cuts", lambda c: c < micros)))
+    bucket = F.when(F.col("cuts").isNotNull(), place).cast("long")
+    return marked.select(*both.columns, bucket.alias("bucket"))
+
+
 def _carried(both: DataFrame, keys: list[str], forward: bool) -> DataFrame:
     """Per key and bucket the right row that comes from the buckets before it (``forward``: after it)."""
     ordered = F.when(F.col("payload").isNotNull(), F.struct("t", "ties"))
