@@ -22,6 +22,7 @@ SMALL_BYTES = 256 << 20  # estimated input below which no key can be that large
 BROADCAST_ROWS = 100_000  # of carried values that go to all tasks; beyond it they are shuffled
 
 #: How the running values of a column combine.
+UNDONE = {np.add: np.subtract, np.bitwise_xor: np.bitwise_xor}
 OPS = {"sum": np.add, "xor": np.bitwise_xor, "product": np.multiply, "max": np.maximum}
 
 
@@ -50,15 +51,24 @@ def parted(df: DataFrame, hot: DataFrame, keys: list[str]) -> tuple[DataFrame, D
 
 
 def _accumulated(ufunc: np.ufunc, values: np.ndarray, starts: np.ndarray, carry) -> np.ndarray:
-    out = values.copy()
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(values)], strict=True):
-        ufunc.accumulate(values[a:b], out=out[a:b])
+    if values.dtype == np.int64 and ufunc in UNDONE:  # one pass over all keys, less what stood before each
+        out = ufunc.accumulate(values)
+        before = UNDONE[ufunc](out, values)[starts]
+        out = UNDONE[ufunc](out, np.repeat(before, np.diff(np.append(starts, len(values)))))
+    else:
+        out = values.copy()
+        _each(ufunc, values, starts, out)
     if carry is not None:
         first = slice(0, starts[1] if len(starts) > 1 else len(values))
         out[first] = ufunc(carry, out[first])
     return out
 
 
+def _each(ufunc: np.ufunc, values: np.ndarray, starts: np.ndarray, out: np.ndarray) -> None:
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(values)], strict=True):
+        ufunc.accumulate(values[a:b], out=out[a:b])
+
+
 def _within_parts(names: list[str], key: str, ops: dict[str, str], kinds: dict[str, type]):
     """Over rows sorted by ``key``: the running values of every row inside its task."""
 
