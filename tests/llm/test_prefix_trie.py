@@ -8,10 +8,8 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark.llm import prefix_trie
-from tidemark.llm.scans import running
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string, k1 string, node string, depth string, part string, length string"
 
@@ -127,18 +125,3 @@ def test_as_they_are_and_empty(spark):
     got = {(r["conv_id"], r["depth"]): (r["parent_conv_id"], r["n_convs"], r["n_children"], r["n_leaves"], r["saved_tokens"]) for r in prefix_trie.trie_of(frame_of(spark, rows)).collect()}
     assert got == {(1, 0): (None, 3, 2, 2, 1), (1, 1): (1, 2, 1, 1, 1), (1, 2): (1, 1, 0, 1, 0), (3, 1): (1, 1, 0, 1, 0)}
     assert prefix_trie.trie_query(frame_of(spark, [])).count() == 0
-
-
-def test_running_values_across_tasks(spark, many_tasks):
-    rng = random.Random(1)
-    rows = [(7 if rng.random() < 0.6 else rng.randrange(40), k, rng.randrange(-99, 99), rng.randrange(2**62)) for k in range(5000)] + [(7, 10**6, 5, 1)] * 500
-    frame = spark.createDataFrame(rows, "key bigint, at bigint, a bigint, b bigint").repartition(6)
-    got = running(frame, "key", [F.col("at")], "test", sums=("a",), xors=("b",))
-    state, want = {}, []
-    for key, at, a, b in sorted(rows):
-        n, s, x = state.get(key, (0, 0, 0))
-        state[key] = (n + 1, s + a, x ^ b)
-        want.append((key, at, a, b, *state[key]))
-    assert sorted(map(tuple, got.select("key", "at", "a", "b", "run_place", "run_a", "run_b").collect())) == sorted(want)
-    parts = spark.read.parquet(*[f for f in got.inputFiles()])
-    assert parts.count() == len(rows)

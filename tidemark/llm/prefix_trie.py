@@ -2,7 +2,7 @@
 
 A node is a distinct sequence of first turns (role and text); its members are the conversations
 that begin with it.  A prefix is known by 128 bits: the XOR of a hash of every turn and its place, so digests of
-all prefixes come from one running XOR (``scans.running``), also where one conversation
+all prefixes come from one running XOR (``running``), also where one conversation
 has very many turns.
 
 Screening.  Each task counts its prefix digests in a count-min sketch whose cells stop
@@ -37,8 +37,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, release, sized_broadcast, staged
-from .scans import running
+from tidemark.operators.scans import running
+
+from .common import arrow_map, release, staged
 
 CELLS = 1 << 25  # of a row of the sketch at most
 ROWS = 3
@@ -213,7 +214,7 @@ def prefix_trie(turns: DataFrame, convs: DataFrame, most_cells: int = CELLS) ->
     ``turns`` has ``conv_id, pos, d1, d2, bytes, length``; ``convs`` has ``conv_id, length`` and may be read more than once.
     """
     hashed = turns.select("conv_id", "pos", F.xxhash64("pos", "d1", "d2").alias("x1"), F.xxhash64(F.lit("prefix"), "d2", "d1", "pos").alias("x2"), "bytes", "length")
-    prefixes = running(hashed, "conv_id", [F.col("pos")], "trie-prefixes", xors=("x1", "x2"))
+    prefixes = running(hashed, "conv_id", [F.col("pos")], "trie-prefixes", {"x1": "xor", "x2": "xor"})
     prefixes = prefixes.select("conv_id", (F.col("pos") + 1).alias("depth"), F.col("run_x1").alias("k1"), F.col("run_x2").alias("k2"), "x1", "x2", "bytes", "length")
     cells = sketch(prefixes, prefixes.count(), most_cells)
     rows = staged(screened(prefixes, cells), "trie-screened")
@@ -266,7 +267,7 @@ def prefix_trie(turns: DataFrame, convs: DataFrame, most_cells: int = CELLS) ->
         (first_member & ended & (F.col("n_children") == 0)).cast("long").alias("leaf"), ended.alias("ended"),
     ), "trie-members")
     leaves = rows.filter(F.col("alone") & ended).select("conv_id", "depth", F.lit(None).cast("long").alias("node"), F.lit(0).cast("long").alias("spared"), F.lit(1).cast("long").alias("leaf"), F.lit(True).alias("ended"))
-    summed = running(members.unionAll(leaves), "conv_id", [F.col("depth").desc()], "trie-sums", sums=("spared", "leaf"))
+    summed = running(members.unionAll(leaves), "conv_id", [F.col("depth").desc()], "trie-sums", {"spared": "sum", "leaf": "sum"})
     below = summed.filter("node IS NOT NULL").groupBy("node", "depth").agg(F.sum("run_leaf").alias("n_leaves"), F.sum("run_spared").alias("saved_tokens"))
     digests = ends_digests(members.filter("ended").select("node", "depth", "conv_id"))
     exact = nodes.select("node", "depth", "n_convs", "n_children").join(below, ["node", "depth"]).join(parent_of, ["node", "depth"], "left").join(digests, ["node", "depth"], "left")
