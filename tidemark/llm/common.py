@@ -51,8 +51,9 @@ def staged_so_far() -> list[str]:
 def drop_staged(spark: SparkSession, paths: list[str]) -> None:
     """Delete staged tables that nothing reads any more."""
     for path in paths:
-        drop_path(spark, path)
-        _STAGED.remove(path)
+        if path in _STAGED:
+            drop_path(spark, path)
+            _STAGED.remove(path)
 
 
 def arrow_map(
