@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import digest_index, language, mixing, parity_join, piece_bpe
-from tidemark.llm.common import documents, staged
+from tidemark.llm.common import documents, drop_staged, staged, staged_so_far
 from tidemark.llm.queries import tokenizer_path
 
 
@@ -52,9 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage has written for itself goes when its result, or that of the next one, is written."""
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
+        before = set(staged_so_far())
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
+            made = [path for path in staged_so_far() if path not in before]
             docs = staged(docs, f"pipeline-{name}")
+            drop_staged(spark, made)
     return docs
