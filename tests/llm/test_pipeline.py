@@ -71,3 +71,12 @@ def test_repeated_and_null_ids_and_clashing_columns(spark, tmp_path):
     assert kept == sorted((i is None, i or 0, t) for i, t in {(i, t) for i, t, _, _ in rows if (t or "").strip()})
     out = corpus_pipeline.run(spark, folder).collect()
     assert 30 < len(out) <= 2 * len(kept) and {r.doc_id for r in out} <= {r[0] for r in rows}
+
+
+def test_scratch_tables_go_when_a_stage_is_written(spark, folder):
+    from tidemark.llm.common import staged_so_far
+
+    before = set(staged_so_far())
+    assert corpus_pipeline.run(spark, folder).count() > 0
+    left = [path.rsplit("/", 1)[1] for path in staged_so_far() if path not in before]
+    assert len(left) == 4 and all(name.startswith("pipeline-") for name in left)
