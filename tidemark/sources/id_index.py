@@ -27,13 +27,16 @@ class IdIndex:
         elif spark.catalog.tableExists(self.next):
             spark.sql(f"ALTER TABLE {self.next} RENAME TO {name}")  # of one that ended but for this step
         else:
-            self._write(spark.createDataFrame([], f"id {kind}, batch string"), name)
+            self._save(spark.createDataFrame([], f"id {kind}, batch string").coalesce(1), name)
         if not spark.catalog.tableExists(self.files_name):
             spark.createDataFrame([], FILES).write.format("parquet").saveAsTable(self.files_name)
 
     def _write(self, ids: DataFrame, name: str) -> None:
-        dealt = ids.repartition(self.buckets, "id")  # a task per bucket: one sorted file for each
-        dealt.write.mode("append").format("parquet").bucketBy(self.buckets, "id").sortBy("id").saveAsTable(name)
+        bucket = F.pmod(F.hash("id"), F.lit(self.buckets)).cast("int")  # as the table deals its rows
+        self._save(ids.repartitionById(self.buckets, bucket), name)  # a task per bucket: one sorted file for each
+
+    def _save(self, ids: DataFrame, name: str) -> None:
+        ids.write.mode("append").format("parquet").bucketBy(self.buckets, "id").sortBy("id").saveAsTable(name)
 
     def manifest(self) -> DataFrame:
         return self.spark.table(self.files_name)
