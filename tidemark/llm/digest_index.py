@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, first_of_repeats, staged, text_or_empty, without
 
 INDEX_SCHEMA = "digest binary, keep_id bigint, chars bigint, batch string"
-BATCHES = 4  # of one table, as the query brings it to the index
+BATCHES = 3  # of one table, as the query brings it to the index
 
 
 def rank(chars: str, doc_id: str) -> list[Column]:
@@ -51,11 +51,14 @@ class DigestIndex:
         elif spark.catalog.tableExists(self.next):
             spark.sql(f"ALTER TABLE {self.next} RENAME TO {name}")  # of one that ended but for this step
         else:
-            self._write(spark.createDataFrame([], INDEX_SCHEMA), name)
+            self._save(spark.createDataFrame([], INDEX_SCHEMA).coalesce(1), name)
 
     def _write(self, rows: DataFrame, name: str) -> None:
-        dealt = rows.repartition(self.buckets, "digest")  # a task per bucket: one sorted file for each
-        dealt.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(name)
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets)).cast("int")  # as the table deals its rows
+        self._save(rows.repartitionById(self.buckets, bucket), name)  # a task per bucket: one sorted file for each
+
+    def _save(self, rows: DataFrame, name: str) -> None:
+        rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(name)
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
