@@ -22,23 +22,54 @@ from tidemark.session import written
 SUFFIXES = ("instant", "quarter", "qoq_growth", "yoy_growth", "ttm")
 
 
+#: Days before the newest quarter's end in which growth and trailing sums look back.
+REACH = 430
+
+
 def epoch_features(observations: DataFrame) -> DataFrame:
-    """``cik, epoch, metric, instant, instant_time, quarter, quarter_time, qoq_growth, yoy_growth, ttm``, a row where a metric changes."""
+    """``cik, epoch, metric, instant, instant_time, quarter, quarter_time, qoq_growth, yoy_growth, ttm``, a row where a metric changes.
+
+    The newest period and its latest revision are a running maximum over what became known.  Growth needs the
+    quarters of the ``REACH`` days before it only, so an epoch meets the revisions of those few, by a
+    bucket of their ends, and never all revisions of its metric.
+    """
     facts = period_semantics(observations).filter(F.col("information_time").isNotNull())
-    # a revision is current from its own time to the next one's; its place is how many rows of its period are known
-    revisions = Window.partitionBy("cik", "metric", "unit", "reporting_kind", "start", "end").orderBy("information_time", F.col("val_num").asc_nulls_first())
-    timed = facts.withColumns({"_known": F.row_number().over(revisions), "_until": F.lead("information_time").over(revisions)})
-    group = ["cik", "epoch", "metric"]
-    epochs = facts.select("cik", "metric", F.col("information_time").alias("epoch")).distinct()
-    inside = (F.col("information_time") <= F.col("epoch")) & (F.col("_until").isNull() | (F.col("epoch") < F.col("_until")))
-    current = epochs.join(timed, ["cik", "metric"]).filter(inside)
-    raw = F.sum(F.when(F.col("is_quarter"), F.col("_known")).otherwise(0)).over(Window.partitionBy(*group, "unit"))
-    current = current.withColumn("_raw", raw)
-    newest = [F.col("end").desc_nulls_last(), F.col("unit").desc_nulls_last(), F.col("start").desc_nulls_first()]
-    instants = latest_per(current.filter("is_instant"), group, newest).select(*group, F.col("val_num").alias("instant"), F.col("information_time").alias("instant_time"))
-    grown = growth_columns(current.filter("is_quarter"), [*group, "unit"], "_raw")
-    quarters = latest_per(grown, group, newest).select(*group, F.col("val_num").alias("quarter"), F.col("information_time").alias("quarter_time"), "qoq_growth", "yoy_growth", "ttm")
-    return instants.join(quarters, group, "full")
+    group = ["cik", "metric", "epoch"]
+    so_far = Window.partitionBy("cik", "metric").orderBy("information_time").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # later ends first, then units, then starts (none before all); of one period the latest revision, then the larger value
+    parts = [F.col("end").isNotNull(), "end", F.col("unit").isNotNull(), "unit", F.col("start").isNull(), "start", "information_time", F.col("val_num").isNotNull(), "val_num"]
+    ranked = F.struct(*(F.col(c).alias(c) if isinstance(c, str) else c.alias(f"o{k}") for k, c in enumerate(parts)))
+    newest = facts.select(
+        "cik", "metric", F.col("information_time").alias("epoch"), F.max(F.when(F.col("is_instant"), ranked)).over(so_far).alias("i"), F.max(F.when(F.col("is_quarter"), ranked)).over(so_far).alias("q")
+    ).dropDuplicates(group)
+    return newest.join(_quarter_growth(newest.filter("q IS NOT NULL"), facts.filter("is_quarter")), group, "left").select(
+        "cik", "epoch", "metric", F.col("i.val_num").alias("instant"), F.col("i.information_time").alias("instant_time"), F.col("q.val_num").alias("quarter"), F.col("q.information_time").alias("quarter_time"),
+        "qoq_growth", "yoy_growth", "ttm",
+    )
+
+
+def _quarter_growth(newest: DataFrame, quarters: DataFrame) -> DataFrame:
+    """``cik, metric, epoch`` and the growth of the newest quarter ``q``, from what its epoch knew."""
+    keys = ["cik", "metric", "unit"]
+    bucket = F.floor(F.datediff("end", F.lit("1970-01-01")) / REACH)
+    # a revision is current from its own time to the next one's
+    revisions = Window.partitionBy(*keys, "start", "end").orderBy("information_time", F.col("val_num").asc_nulls_first())
+    timed = quarters.select(*keys, "start", "end", "val_num", F.col("information_time").alias("_since"), F.lead("information_time").over(revisions).alias("_until"), bucket.alias("_bucket"))
+    asked = newest.select("cik", "metric", "epoch", F.col("q.unit").alias("unit"), F.col("q.end").alias("end"))
+    # how many quarter rows of the unit an epoch knows
+    steps = quarters.groupBy(*keys, F.col("information_time").alias("epoch")).agg(F.count(F.lit(1)).alias("_raw"))
+    steps = steps.unionByName(asked.select(*keys, "epoch", F.lit(0).cast("long").alias("_raw")))
+    known = F.sum("_raw").over(Window.partitionBy(*keys).orderBy("epoch").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = steps.withColumn("_raw", known).dropDuplicates([*keys, "epoch"])
+    both = asked.withColumn("_bucket", F.explode(F.array(bucket, bucket - 1))).withColumnRenamed("end", "_last")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"t.{c}")) for c in (*keys, "_bucket")]
+    met = both.alias("a").join(timed.alias("t"), same).filter("t._since <= a.epoch AND (t._until IS NULL OR a.epoch < t._until)")
+    near = met.filter(F.datediff("a._last", "t.end").between(0, REACH)).select(*(f"a.{c}" for c in keys), "a.epoch", "t.start", "t.end", "t.val_num")
+    exact = [F.col(f"n.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*keys, "epoch")]
+    raw = near.alias("n").join(counted.alias("c"), exact).select("n.*", "c._raw")
+    grown = growth_columns(raw, [*keys, "epoch"], "_raw")
+    last = latest_per(grown, [*keys, "epoch"], [F.col("end").desc(), F.col("start").desc_nulls_first()])
+    return last.select("cik", "metric", "epoch", "qoq_growth", "yoy_growth", "ttm")
 
 
 def sec_features(decisions: DataFrame, observations: DataFrame, metrics: list[str], key: str | list[str] = "_decision_id") -> DataFrame:
