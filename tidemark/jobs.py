@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import argparse
 import hashlib
+import json
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.constants import DEFAULT_SERIES
 from tidemark.operators import audits, bars, facts, macro, models, news, panel, research, temporal
-from tidemark.schema import to_number, to_time
+from tidemark.schema import require_columns, to_number, to_time
 from tidemark.session import written
 from tidemark.sources import archives, feeds, files
 from tidemark.sources.id_index import IdIndex
@@ -212,12 +214,123 @@ def _audit_macro(spark, args) -> int:
 
 
 def _audit_market(spark, args) -> int:
-    _show(audits.audit_bars(files.load_market_directory(spark, args.market)))
-    return 0
+    """Every file for itself, as it lies there; 2 where one fails."""
+    rows = audits.audit_market_files(files.read_csv_folder(spark, args.market)).orderBy("file")
+    found = files.write_report_rows(rows, args.out) if args.out else [r.asDict() for r in rows.collect()]  # a row a file
+    for row in found:
+        print(row)
+    fails, warnings = (sum(r["status"] == s for r in found) for s in ("FAIL", "PASS_WITH_WARNINGS"))
+    print(f"{len(found)} files audited; failures: {fails}; warnings: {warnings}")
+    return 2 if fails else 0
 
 
 def _catalog(spark, args) -> int:
-    _show(audits.catalog(files.load_market_files(spark, args.market).withColumn("file", F.lit(args.market))))
+    raw = files.read_csv_folder(spark, args.market).select(F.col("_file").alias("file"), "symbol", to_time("timestamp").alias("timestamp"))
+    rows = audits.catalog(raw).orderBy("file")
+    _show(rows)
+    if args.out:
+        files.write_table(rows, args.out, "csv")
+    return 0
+
+
+def universe_mapping(spark: SparkSession, universe: str, entities: str) -> DataFrame:
+    """The selected symbols of a universe report with the entities whose tickers have their root."""
+    report = files.read_csv(spark, universe)
+    require_columns(report, ["selected", "symbol"], "universe report")
+    selected = report.filter(F.lower(F.trim("selected")) == "true").select("symbol").distinct()
+    known = files.read_csv(spark, entities).drop("_file", "_line").withColumn("cik", F.expr("try_cast(cik AS BIGINT)"))
+    return facts.universe_map(selected, known.fillna("", ["tickers"]))
+
+
+def _universe_map(spark, args) -> int:
+    mapped = written(universe_mapping(spark, args.universe, args.entities), "universe-map")
+    files.write_table(mapped, args.out, "csv")
+    counts = mapped.agg(F.count_distinct("symbol").alias("mapped"), F.count_if(F.col("mapping_status") == "unique").alias("unique"), F.count_if(F.col("mapping_status") == "ambiguous").alias("ambiguous")).first()
+    selected = files.read_csv(spark, args.universe).filter(F.lower(F.trim("selected")) == "true").select("symbol").distinct().count()
+    print(counts.asDict() | {"selected": selected, "unmapped": selected - counts["mapped"]})
+    return 0
+
+
+INITIAL_FEATURES = ("ret_1", "ret_3", "ret_5", "vol_10", "close_to_ma10", "range_pct", "volume_ratio_20")
+
+
+def initial_research(dataset: DataFrame, features: list[str], target: str = "target_return", least_train: int = 500) -> DataFrame:
+    """Records ``name, status, metrics, warnings``: expecting nothing, and ridge regression, on the last 30 % of the rows by time and symbol."""
+    known = [c for c in features if c in dataset.columns]
+    usable = dataset.dropna(subset=[*known, target, "entry_price", "exit_price"])
+    numbered = temporal.number_decisions(usable, ["timestamp", "symbol"])
+    rows, symbols = numbered.agg(F.count(F.lit(1)), F.count_distinct("symbol")).first()
+    spark, schema = dataset.sparkSession, "name string, status string, metrics map<string,double>, warnings array<string>"
+    if rows < least_train + 1:
+        return spark.createDataFrame([("initial", "NOT_READY", {"rows": float(rows), "symbols": float(symbols)}, [f"{least_train + 1} usable rows are needed"])], schema)
+    cut = int(rows * 0.7)
+    train, test = numbered.filter(F.col("_decision_id") < cut), numbered.filter(F.col("_decision_id") >= cut)
+    scored = models.naive_zero(models.predict(models.fit_ridge(train, known, target), test, known, "ridge_quant"), "naive_zero")
+    records = []
+    for name in ("naive_zero", "ridge_quant"):
+        a, p = F.col(target), F.col(name)
+        sums = scored.agg(F.avg(F.abs(a - p)).alias("mae"), F.sqrt(F.avg((a - p) * (a - p))).alias("rmse"), F.avg((F.signum(a) == F.signum(p)).cast("double")).alias("sign_accuracy")).first()
+        records.append((name, "OK", {"rows_train": float(cut), "rows_test": float(rows - cut), **sums.asDict()}, []))
+    return spark.createDataFrame(records, schema)
+
+
+def _initial_research(spark, args) -> int:
+    records = initial_research(supervised_dataset(files.load_market_directory(spark, args.market), args.horizon), list(INITIAL_FEATURES), least_train=args.least_train)
+    files.write_report_rows(records, f"{args.out}/records.json")
+    files.write_table(files.flatten_records(records, ["rows", "rows_train", "rows_test", "mae", "rmse", "sign_accuracy"]), f"{args.out}/summary", "csv")
+    _show(records)
+    return 0
+
+
+def _manifest(spark, args) -> int:
+    raw = files.read_csv_folder(spark, args.market).select("_file", "symbol", to_time("timestamp").alias("timestamp"))
+    files.write_report_rows(files.manifest(spark, f"{args.market.rstrip('/')}/*.csv", raw.dropna(subset=["timestamp"])), args.out)
+    return 0
+
+
+def _company_facts(spark, args) -> int:
+    ciks = [r["cik"] for r in files.load_sec_map(spark, args.universe).collect()] if args.universe else None  # a universe's list
+    print(feeds.import_company_facts(spark, args.archive, args.out, ciks))
+    return 0
+
+
+def _submissions(spark, args) -> int:
+    print(feeds.import_submissions(spark, args.archive, args.out, args.entities))
+    return 0
+
+
+def _audit_company_facts(spark, args) -> int:
+    parts = audits.audit_company_facts(spark.read.parquet(args.facts), args.top)
+    for part in parts.values():
+        _show(part)
+    return 2 if not parts["totals"].first()["rows"] else 0
+
+
+def _audit_events(spark, args) -> int:
+    row = feeds.audit_events(spark.read.parquet(args.events)).first()
+    print(row.asDict())
+    return 2 if row["status"] == "FAIL" else 0
+
+
+def run_suite_from_csv(spark: SparkSession, source: str, out: str, config: models.ExperimentConfig = models.ExperimentConfig()) -> DataFrame:
+    """The default experiments on a table of features and targets, or of bars, best Sharpe ratio first; also written as a JSON report."""
+    raw = files.read_csv(spark, source)
+    if "target_return" in raw.columns:
+        times = [c for c in ("timestamp", "target_timestamp") if c in raw.columns]
+        numbers = [c for c in raw.columns if c not in (*times, "symbol", "_file", "_line")]
+        frame = raw.select("symbol", *(to_time(c).alias(c) for c in times), *(to_number(c).alias(c) for c in numbers))
+    else:
+        frame = supervised_dataset(files.clean_bars(raw), config.hold)
+    frame = written(frame, "suite-frame")
+    results = models.run_suite(frame, models.default_experiment_specs(frame.columns), config=config)
+    ranked = [r.asDict() for r in research.rank_experiments(results).collect()]  # a row an experiment
+    Path(out).parent.mkdir(parents=True, exist_ok=True)
+    Path(out).write_text(json.dumps(ranked, indent=2))
+    return spark.createDataFrame([tuple(r.values()) for r in ranked], results.schema)
+
+
+def _suite(spark, args) -> int:
+    _show(run_suite_from_csv(spark, args.source, args.out))
     return 0
 
 
@@ -257,8 +370,16 @@ JOBS = {
     "audit-facts": (_audit_facts, ("events",), {}),
     "diagnose-duplicates": (_diagnose, ("events",), {}),
     "audit-macro": (_audit_macro, ("vintages",), {}),
-    "audit-market": (_audit_market, ("market",), {}),
-    "catalog": (_catalog, ("market",), {}),
+    "audit-market": (_audit_market, ("market",), {"out": ""}),
+    "catalog": (_catalog, ("market",), {"out": ""}),
+    "manifest": (_manifest, ("market", "out"), {}),
+    "universe-map": (_universe_map, ("universe", "entities", "out"), {}),
+    "company-facts": (_company_facts, ("archive", "out"), {"universe": ""}),
+    "submissions": (_submissions, ("archive", "out", "entities"), {}),
+    "audit-company-facts": (_audit_company_facts, ("facts",), {"top": 20}),
+    "audit-events": (_audit_events, ("events",), {}),
+    "initial-research": (_initial_research, ("market", "out"), {"horizon": 3, "least_train": 500}),
+    "suite": (_suite, ("source", "out"), {}),
     "universe": (_universe, ("market", "out"), {"most": 500, "profile": "core_equity_etf"}),
     "experiments": (_experiments, ("market", "out"), {}),
     "portfolio": (_portfolio, ("market", "out"), {"features": "ret_1,ret_3,ret_5,vol_10", "most": 5}),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.constants import LEVERAGED_INVERSE, SECURITY_TYPES, UNIVERSE_PROFILES, UNIVERSES
 from tidemark.functions.scalars import non_common, ticker_root
 from tidemark.operators.temporal import latest_per
+from tidemark.schema import to_number, to_time
 
 # The columns, where a table has them, that make rows duplicates at each grain.
 SOURCE_KEYS = ("cik", "taxonomy", "tag", "unit", "start", "end", "filed", "form", "frame", "fy", "fp", "accn", "val", "information_time")
@@ -132,6 +133,12 @@ def panel_report(panel: DataFrame, features: list[str], label: str = "label_avai
     )
 
 
+def _invalid_ohlc() -> Column:
+    """A bar that contradicts itself, or whose lowest price isn't positive."""
+    wrong = (F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close", "high"))
+    return wrong | (F.least("open", "high", "low", "close") <= 0)
+
+
 def audit_bars(bars: DataFrame, asset_class: str = "equity", extreme: float = 0.5) -> DataFrame:
     """Duplicate keys, bars that contradict themselves, extreme returns, and a status.
 
@@ -139,9 +146,8 @@ def audit_bars(bars: DataFrame, asset_class: str = "equity", extreme: float = 0.
     """
     w = Window.partitionBy("symbol").orderBy("timestamp", "close")
     jump = F.abs(F.try_divide(F.col("close"), F.lag("close").over(w)) - 1) > extreme
-    wrong = (F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close", "high")) | (F.least("open", "high", "low", "close") <= 0)
     distinct = bars.groupBy("symbol", "timestamp").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_keys"))
-    counts = bars.withColumn("_jump", jump).agg(F.count(F.lit(1)).alias("rows"), F.count_if(wrong).alias("invalid_ohlc_rows"), F.count_if("_jump").alias("extreme_return_rows"))
+    counts = bars.withColumn("_jump", jump).agg(F.count(F.lit(1)).alias("rows"), F.count_if(_invalid_ohlc()).alias("invalid_ohlc_rows"), F.count_if("_jump").alias("extreme_return_rows"))
     out = counts.crossJoin(distinct)  # single rows
     adjusted = "adjusted_close" in bars.columns
     warn = (F.col("extreme_return_rows") > 0) | F.lit(asset_class == "equity" and not adjusted)
@@ -149,6 +155,32 @@ def audit_bars(bars: DataFrame, asset_class: str = "equity", extreme: float = 0.
     return out.withColumns({"has_adjusted_close": F.lit(adjusted), "asset_class": F.lit(asset_class), "status": status})
 
 
+def audit_market_files(raw: DataFrame, extreme: float = 0.5) -> DataFrame:
+    """One row per file of raw rows (strings, with ``_file`` and ``_columns``): what ``audit_bars`` counts, rows that can't be read, and warnings.
+
+    Nothing is cleaned before.  A file whose name says crypto needs no adjusted close.
+    """
+    prices = ["open", "high", "low", "close"]
+    number = lambda c: to_number(c) if c in raw.columns else F.lit(None).cast("double")
+    rows = raw.select(F.col("_file").alias("file"), "_columns", F.trim("symbol").alias("symbol"), to_time("timestamp").alias("timestamp"), *(number(c).alias(c) for c in prices))
+    whole = F.col("symbol").isNotNull() & F.col("timestamp").isNotNull() & F.least(*(F.col(c).isNotNull() for c in prices))
+    w = Window.partitionBy("file", "symbol").orderBy("timestamp", "close")
+    jump = F.abs(F.try_divide(F.col("close"), F.lag("close").over(w)) - 1) > extreme
+    same = F.row_number().over(Window.partitionBy("file", "symbol", "timestamp").orderBy("close")) > 1
+    marked = rows.withColumns({"_jump": jump, "_same": same & F.col("timestamp").isNotNull(), "_whole": whole})
+    crypto = F.lower(F.regexp_extract("file", "[^/]*$", 0)).rlike("usdt|usdc|btc|eth|crypto|binance|coin")
+    out = marked.groupBy("file").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("symbol").alias("symbols"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end"),
+        F.count_if("_same").alias("duplicate_keys"), F.count_if(_invalid_ohlc()).alias("invalid_ohlc_rows"), F.count_if(~F.col("_whole")).alias("unreadable_rows"),
+        F.count_if("_jump").alias("extreme_return_rows"), F.array_contains(F.first("_columns"), "adjusted_close").alias("has_adjusted_close"),
+    ).withColumn("asset_class", F.when(crypto, "crypto").otherwise("equity"))
+    fails = {"repeated keys": F.col("duplicate_keys") > 0, "bars that contradict themselves": F.col("invalid_ohlc_rows") > 0, "rows that can't be read": F.col("unreadable_rows") > 0}
+    warns = {"extreme returns": F.col("extreme_return_rows") > 0, "no adjusted close": (F.col("asset_class") == "equity") & ~F.col("has_adjusted_close")}
+    found = F.array_compact(F.array(*(F.when(rule, F.lit(text)) for text, rule in (fails | warns).items())))
+    status = F.when(F.greatest(*fails.values()), "FAIL").when(F.greatest(*warns.values()), "PASS_WITH_WARNINGS").otherwise("PASS")
+    return out.withColumns({"warnings": found, "status": status})
+
+
 def validate_ohlcv(bars: DataFrame) -> None:
     row = audit_bars(bars).first()
     if row["invalid_ohlc_rows"]:

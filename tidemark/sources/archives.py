@@ -183,3 +183,18 @@ def read_zip(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (), who
     """``archive, entry, line, value, error`` of the entries of ZIP archives."""
     spark.dataSource.register(ZipEntries)
     return spark.read.format("zip_entries").options(suffixes=",".join(suffixes), whole=str(whole).lower(), part_bytes=str(part_bytes)).load(path)
+
+
+def first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``file, header`` of paths: the first line of each file, without a byte order mark."""
+    for batch in batches:
+        names = batch.column(0).to_pylist()
+        heads = []
+        for name in names:
+            system, path = _open(name)
+            with system.open_input_stream(path) as file:
+                head = b""
+                while b"\n" not in head and (more := file.read(4096)):
+                    head += more
+            heads.append(head.split(b"\n")[0].rstrip(b"\r").decode("utf-8-sig", "replace"))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(heads, pa.string())], ["file", "header"])

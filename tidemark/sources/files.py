@@ -43,6 +43,32 @@ def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",", header:
     return reader.csv(path).withColumns({"_file": F.col("_metadata.file_path"), "_line": F.monotonically_increasing_id()})
 
 
+def csv_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``file, header``: the CSV files below a folder with their first line, which tasks read."""
+    from tidemark.sources.archives import first_line
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(folder).select("path")  # names only
+    return listed.mapInArrow(first_line, "file string, header string")
+
+
+def read_csv_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """All CSV files below a folder as strings with ``_file`` and ``_line``, whatever order or set of columns each has; a column that a file lacks is null.
+
+    ``_columns`` names the columns of the row's file.
+    """
+    found = csv_files(spark, folder).groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()  # names, as any listing
+    if not found:
+        raise ValueError(f"no CSV files in {folder}")
+    parts = []
+    for row in sorted(found, key=lambda r: r["header"] or ""):
+        names = [c.strip() for c in (row["header"] or "").split(",")]
+        parts.append(read_csv(spark, row["files"]).toDF(*names, "_file", "_line").withColumn("_columns", F.array(*map(F.lit, names))))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
 def clean_bars(raw: DataFrame, across_files: bool = True) -> DataFrame:
     """Numbers and times parsed, rows without time, price or symbol dropped, the last of equal keys kept."""
     require_columns(raw, BAR_COLUMNS, "bars")
