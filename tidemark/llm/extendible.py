@@ -15,7 +15,9 @@ A single row above the limit, and rows whose 120 bits are equal, cannot be
 parted; they form a shard of their own at the full depth, marked ``oversize``.
 
 Defined cases: null text has no bytes; a null key is a key; repeated rows get row
-bits by their number; empty shards don't exist; an empty table gives no shard.
+bits by their number; empty shards don't exist; an empty table gives no shard.  Texts of any length count whole;
+extra columns are ignored by the assignment and kept by ``write_shards``, whose shard column gets underscores until no
+column of the table begins with its name.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty
+from .common import prefix_beside, staged, text_or_empty
 
 BITS = 120
 
@@ -95,8 +97,9 @@ def _placed(rows: DataFrame, limit: int) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, limit: int, key_col: str = "doc_id") -> None:
     """Write the documents partitioned by shard; a shard, being within the limit, is one task's and one file."""
     placed = _placed(hashed_rows(docs, key_col, keep=True), limit)
-    named = placed.select("doc.*", F.concat(F.lit("s"), "shard").alias("shard_name"))
-    named.repartition("shard_name").write.partitionBy("shard_name").parquet(path)
+    name = prefix_beside(docs, "shard_name")
+    named = placed.select("doc.*", F.concat(F.lit("s"), "shard").alias(name))
+    named.repartition(name).write.partitionBy(name).parquet(path)
 
 
 LIMIT = 4 << 20

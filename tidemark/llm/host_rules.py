@@ -12,7 +12,8 @@ host on one side, so adaptive execution may split the other.
 
 Defined cases: null or blank text has no words and fails; a null host is a host
 of its own; without rows the result is empty; when no or every document fails,
-the prior is degenerate and the shrunken rate is that common rate.
+the prior is degenerate and the shrunken rate is that common rate.  Repeated rows are measured one by one and all
+count for their host; texts of any length are measured whole; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

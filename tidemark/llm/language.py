@@ -61,7 +61,8 @@ def _buckets(raw: bytes) -> np.ndarray:
 
 
 def _bytes(text: str) -> bytes:
-    return b" " + text.lower().encode("utf-8", "replace").translate(BLANK) + b" "
+    # two spaces in front: the trigrams over the end of a text are then the same whatever text comes next
+    return b"  " + text.lower().encode("utf-8", "replace").translate(BLANK) + b" "
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +144,7 @@ class LanguageModel:
         starts = np.concatenate(([0], ends[:-1]))
         for begin in range(0, len(raw), BLOCK):
             part = raw[begin : begin + BLOCK + 2]
-            at = _buckets(part + b"  " if begin + BLOCK + 2 > len(raw) else part)  # trigrams across two texts are spaces and their edges
+            at = _buckets(part + b"  " if begin + BLOCK + 2 > len(raw) else part)  # trigrams across two texts are those of a text's end and two spaces
             first, last = int(np.searchsorted(ends, begin, "right")), int(np.searchsorted(starts, begin + BLOCK))
             cuts = np.maximum(starts[first:last] - begin, 0)
             sums[first:last] += np.add.reduceat(self.weights[at[:BLOCK]], cuts, axis=0, dtype=np.float64)
@@ -212,7 +213,8 @@ def fit_language(docs: DataFrame, per_language: int = 300, most: int = 2400) ->
 
 
 def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``docs`` but with ``lang_pred`` and ``score`` added."""
+    """All columns of ``docs`` with ``lang_pred`` and ``score``, which take the place of columns of these names."""
+    docs = docs.drop("lang_pred", "score")
     names = docs.columns
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     place = names.index("text")

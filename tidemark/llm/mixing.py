@@ -19,8 +19,8 @@ draw.  No task sees more than a group, however large the source, and draws are
 hashes of ids, so reruns agree.
 
 Defined cases: null text has size 0 and is taken 0 times; a null source is a
-source; repeated rows are rounded one by one; null doc_ids are allowed; an empty
-table gives an empty result.
+source; repeated rows are rounded one by one; null doc_ids are allowed; texts of any length count whole; extra
+columns are ignored, and kept by ``mixed_documents``, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -20,7 +20,7 @@ Spark's commit protocol makes retried tasks write each part once.  ``payload`` i
 self-contained (layout in ``encode_block``).  Blocks hold whole documents.
 
 Defined cases: null text is an empty text, which gives the end id alone; a null
-``doc_id`` sorts first and stays null; repeated rows are kept; an empty table
+``doc_id`` sorts first and stays null; repeated rows are kept; extra columns are ignored, whatever their names; an empty table
 gives files without blocks; a text longer than a block makes one long block.
 """
 

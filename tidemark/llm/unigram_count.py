@@ -15,7 +15,7 @@ Scores are summed in double precision in the order of the path, as the library
 does, inside one word.
 
 Defined cases: null and empty texts have no tokens; repeated rows count alike; texts of
-any length are counted whole, a word at a time; an empty table gives an empty result.
+any length are counted whole, a word at a time; extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
