@@ -113,3 +113,25 @@ def test_running_values(spark, many_tasks):
         peak[key] = max(peak.get(key, a), a)
         assert top[key, at] == peak[key]
     assert scans.running(frame.limit(0), "key", [F.col("at")], "none").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["normal", "few values", "one value", "long tail"])
+def test_percentiles_by_counts(spark, kind):
+    rng = random.Random(5)
+    draw = {"normal": lambda: rng.gauss(0, 1), "few values": lambda: float(rng.randrange(4)), "one value": lambda: 7.0, "long tail": lambda: rng.choice([-1, 1]) * 10 ** rng.uniform(-8, 8)}[kind]
+    values = [draw() for _ in range(4001)] + [None] * 9
+    frame = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+    shares = [0.0, 0.1, 0.333, 0.5, 0.8, 1.0]
+    want = frame.agg(F.percentile("x", F.array(*map(F.lit, shares)))).first()[0]
+    for collected in (300, 10):
+        assert scans.percentiles(frame, F.col("x"), shares, collected) == pytest.approx(want, rel=1e-12)
+    assert scans.percentiles(frame.filter("x IS NULL"), F.col("x"), [0.5]) == [None]
+
+
+def test_reports_of_large_frames(spark):
+    rng = random.Random(6)
+    rows = [(k, rng.gauss(0, 1), rng.gauss(0, 1), abs(rng.gauss(0.02, 0.01)), rng.uniform(-1, 1)) for k in range(900)]
+    frame = spark.createDataFrame(rows, "k int, expected_return double, actual double, volatility_20 double, sentiment_mean double")
+    assert rounded(research.bucket_summary(frame, "expected_return", "actual", hot_rows=10)) == rounded(research.bucket_summary(frame, "expected_return", "actual"))
+    one, two = research.rank_opportunities(frame), research.rank_opportunities(frame, hot_rows=10)
+    assert two.columns == one.columns and rounded(two) == rounded(one)

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clip, directional_score, mean_of_known
-from tidemark.operators.scans import HOT_ROWS, hot_keys, parted, running
+from tidemark.operators.scans import HOT_ROWS, hot_keys, large, parted, percentiles, running
 from tidemark.operators.temporal import latest_per
 from tidemark.schema import finite
+from tidemark.session import written
 
 YEAR = 252.0
 
@@ -188,14 +189,30 @@ def diagnostics(frame: DataFrame, predicted: str, actual: str, group: list[str]
     )
 
 
-def bucket_summary(frame: DataFrame, predicted: str, actual: str, buckets: int = 5) -> DataFrame:
-    """Count, mean and median of the actual value by quantile bucket of the prediction (equal edges merge)."""
+def bucket_summary(frame: DataFrame, predicted: str, actual: str, buckets: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Count, mean and median of the actual value by quantile bucket of the prediction (equal edges merge).
+
+    Quantiles of large frames are sought by counts (``scans.percentiles``), never from one buffer.
+    """
     known = frame.filter(F.col(predicted).isNotNull() & F.col(actual).isNotNull())
-    edges = known.agg(F.array_distinct(F.percentile(predicted, F.array(*(F.lit(k / buckets) for k in range(buckets + 1))))).alias("edges"))
-    placed = known.crossJoin(F.broadcast(edges))  # one row
+    shares = [k / buckets for k in range(buckets + 1)]
+    big = large(frame, hot_rows)
+    if big:
+        found = dict.fromkeys(percentiles(known, F.col(predicted), shares))
+        placed = known.withColumn("edges", F.array(*(F.lit(v).cast("double") for v in found)))
+    else:
+        edges = known.agg(F.array_distinct(F.percentile(predicted, F.array(*map(F.lit, shares)))).alias("edges"))
+        placed = known.crossJoin(F.broadcast(edges))  # one row
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 1, F.lit(0)))
-    bucket = F.size(F.filter(inner, lambda e: e < F.col(predicted)))
-    return placed.withColumn("bucket", bucket.cast("long")).groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.avg(actual).alias("mean_actual"), F.median(actual).alias("median_actual"))
+    placed = placed.withColumn("bucket", F.size(F.filter(inner, lambda e: e < F.col(predicted))).cast("long"))
+    sums = [F.count(F.lit(1)).alias("rows"), F.avg(actual).alias("mean_actual")]
+    if not big:
+        return placed.groupBy("bucket").agg(*sums, F.median(actual).alias("median_actual"))
+    counted = written(placed.groupBy("bucket").agg(*sums), "buckets")
+    middle = F.lit(None).cast("double")
+    for b in [r["bucket"] for r in counted.select("bucket").collect()]:  # a handful
+        middle = F.when(F.col("bucket") == b, F.lit(percentiles(placed.filter(F.col("bucket") == b), F.col(actual), [0.5])[0])).otherwise(middle)
+    return counted.withColumn("median_actual", middle)
 
 
 def probability_bins(frame: DataFrame, probability: str, outcome: str, bins: int = 10) -> DataFrame:
@@ -244,14 +261,18 @@ def summarize_folds(folds: DataFrame, measures: list[str]) -> DataFrame:
 # ranking and gates ----------------------------------------------------------
 
 
-def rank_opportunities(frame: DataFrame) -> DataFrame:
+def rank_opportunities(frame: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Direction, scores by family and their mean, with the order they imply."""
     known = frame.columns
     e = F.col("expected_return")
     volatility = F.col("volatility_20") if "volatility_20" in known else F.lit(None).cast("double")
     alpha = F.try_divide(e, F.when(volatility != 0, volatility)) if "volatility_20" in known else e
-    scale = frame.agg(F.percentile(F.abs(e), F.lit(0.8)).alias("_p80"), F.median("expected_return").alias("_me"), F.median(volatility).alias("_mv"))
-    out = frame.crossJoin(F.broadcast(scale))  # one row
+    scales = {"_p80": (F.abs(e), 0.8), "_me": (e, 0.5), "_mv": (volatility, 0.5)}
+    if large(frame, hot_rows):
+        out = frame.withColumns({name: F.lit(percentiles(frame, value, [share])[0]).cast("double") for name, (value, share) in scales.items()})
+    else:
+        scale = frame.agg(*(F.percentile(value, F.lit(share)).alias(name) for name, (value, share) in scales.items()))
+        out = frame.crossJoin(F.broadcast(scale))  # one row
     columns = {"direction": F.when(e >= 0, "LONG").otherwise("SHORT"), "risk_adjusted_alpha": alpha, "quant_score": clip(50 + e / (F.col("_p80") + 1e-9) * 50, 0, 100)}
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     scores = []

@@ -158,3 +158,69 @@ def sliced(df: DataFrame, features: Callable[[DataFrame], DataFrame], back: int,
     out = cold.unionByName(done.select(*cold.columns))
     without = rows.filter(F.col(key).isNull())
     return out if without.isEmpty() else out.unionByName(features(without))
+
+
+# exact percentiles ---------------------------------------------------------------
+
+COLLECTED = 100_000  # values that are sorted on the driver at last
+NEARNESS = 2e-4  # of a rank to the bracket's ends, as a share; twice what the estimate allows
+
+
+def large(df: DataFrame, hot_rows: int = HOT_ROWS) -> bool:
+    """Whether a frame may have too many rows for one buffer."""
+    return hot_rows < HOT_ROWS or estimated_bytes(df) >= SMALL_BYTES
+
+
+def percentiles(df: DataFrame, column: Column, shares: list[float], collected: int = COLLECTED) -> list[float | None]:
+    """The exact percentiles of a column's known values, interpolated between neighbours, without a buffer of all values.
+
+    A rank is bracketed by estimated quantiles, which count what lies below, and sought again between them;
+    each round leaves about ``2 * NEARNESS`` of the values.
+    """
+    values = df.select(column.cast("double").alias("x")).filter("x IS NOT NULL")
+    n = values.count()
+    if not n:
+        return [None] * len(shares)
+    places = [share * (n - 1) for share in shares]
+    found = _ranked(values, n, sorted({r for p in places for r in (int(p), min(int(p) + 1, n - 1))}), collected)
+    return [found[int(p)] + (p - int(p)) * (found[min(int(p) + 1, n - 1)] - found[int(p)]) for p in places]
+
+
+def _ranked(values: DataFrame, n: int, ranks: list[int], collected: int) -> dict[int, float]:
+    """The values at ``ranks`` (from 0, ascending) of ``n`` values."""
+    if n <= collected:
+        ordered = sorted(r["x"] for r in values.collect())
+        return {r: ordered[r] for r in ranks}
+    near = max(NEARNESS, 2 / n)
+    ends = [s for r in ranks for s in (max(r / n - near, 0.0), min((r + 1) / n + near, 1.0))]
+    estimated = values.agg(F.percentile_approx("x", F.array(*map(F.lit, ends)), 10_000).alias("e")).first()["e"]
+    lows, highs = estimated[::2], estimated[1::2]
+    x = F.col("x")
+    counts = values.agg(*(F.count_if(x < lo).alias(f"b{k}") for k, lo in enumerate(lows)), *(F.count_if(x.between(lo, hi)).alias(f"i{k}") for k, (lo, hi) in enumerate(zip(lows, highs, strict=True)))).first()
+    out = {}
+    for k, (rank, lo, hi) in enumerate(zip(ranks, lows, highs, strict=True)):
+        below, inside = counts[f"b{k}"], counts[f"i{k}"]
+        if not below <= rank < below + inside or inside == n:  # an estimate that was off, or no way between equal values
+            lo, hi = _halved(values, rank)
+            below, inside = values.filter(x < lo).count(), values.filter(x.between(lo, hi)).count()
+        out[rank] = lo if lo == hi else _ranked(values.filter(x.between(lo, hi)), inside, [rank - below], collected)[rank - below]
+    return out
+
+
+def _halved(values: DataFrame, rank: int) -> tuple[float, float]:
+    """A value, or one side of it, that has the rank: the middle of the span, or a value that very many rows share."""
+    x = F.col("x")
+    row = values.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    lo, hi = row["lo"], row["hi"]
+    while lo < hi:
+        middle = lo / 2 + hi / 2
+        if middle in (lo, hi):
+            return (lo, lo) if rank < values.filter(x <= lo).count() else (hi, hi)
+        sides = values.agg(F.count_if(x < middle).alias("b"), F.count_if(x == middle).alias("e")).first()
+        if rank < sides["b"]:
+            hi = values.filter(x < middle).agg(F.max(x)).first()[0]
+            return lo, hi
+        if rank < sides["b"] + sides["e"]:
+            return middle, middle
+        return values.filter(x > middle).agg(F.min(x)).first()[0], hi
+    return lo, hi
