@@ -109,3 +109,30 @@ def test_second_run_reads_only_new_archives(spark, tmp_path, monkeypatch):
     plan = index.fresh(spark.range(10).toDF("x"), "x").select("x")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
     assert run()["files"] == 0 and F is not None
+
+
+def test_digests_by_blocks(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from tidemark.sources import files
+
+    content = bytes(range(256)) * 12_000  # about three blocks
+    (tmp_path / "20240105.big").write_bytes(content)
+    (tmp_path / "20240106.big").write_bytes(b"x")
+    got = {r.file.rsplit("/", 1)[1]: (r.length, r.sha256) for r in files.file_digests(spark, f"{tmp_path}/*.big").collect()}
+    assert len(content) > 2 * archives.BLOCK
+    assert got == {"20240105.big": (len(content), hashlib.sha256(content).hexdigest()), "20240106.big": (1, hashlib.sha256(b"x").hexdigest())}
+    assert {r.day for r in feeds.archive_manifest(spark, f"{tmp_path}/*.big").collect()} == {dt.date(2024, 1, 5), dt.date(2024, 1, 6)}
+
+
+def test_vintages_are_fetched_by_series(spark, tmp_path):
+    def client(series, offset):
+        rows = [{"date": f"2024-01-{k + 1:02d}", f"{series}_20240201": str(k), f"{series}_20240301": "." if k % 2 else f"{k}.5"} for k in range(7 if series == "A" else 3)]
+        return rows[offset : offset + 3]
+
+    counts = jobs.download_macro_vintages(spark, client, str(tmp_path / "out"), {"A": "a rate", "B": "an index"}, page=3)
+    back = spark.read.option("header", True).csv(str(tmp_path / "out"))
+    assert counts == {"rows": back.count(), "series": {"A": 11, "B": 5}}
+    assert {(r.series_id, r.feature_name) for r in back.select("series_id", "feature_name").distinct().collect()} == {("A", "a rate"), ("B", "an index")}
+    fetched = jobs.fetch_vintages(spark, client, ["A", "B"], 3)
+    assert fetched.rdd.getNumPartitions() == 2 and fetched.count() == 10

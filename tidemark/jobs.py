@@ -5,9 +5,10 @@ from __future__ import annotations
 import argparse
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,23 +123,44 @@ def build_panel(spark: SparkSession, paths: dict[str, str], metrics: list[str],
     return panel.unified_panel(market, observed.dropna(subset=["cik", "metric", "end", "information_time"]), files.load_vintages(table("vintages")), master, metrics, list(series), session)
 
 
+def fetch_vintages(spark: SparkSession, get: Callable[[str, int], list[dict]], series: list[str], page: int = 2000) -> DataFrame:
+    """``series_id, date, values`` through ``get(series_id, offset)``, a caller's client that returns one page of wide rows.
+
+    A series is a task, which pages until a short page and hands each page on; the client is sent to the tasks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                offset = 0
+                while True:
+                    rows = get(name, offset)
+                    values = [[(k, None if v is None else str(v)) for k, v in row.items() if k != "date"] for row in rows]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array([row["date"] for row in rows], pa.string()), pa.array(values, pa.map_(pa.string(), pa.string()))], ["series_id", "date", "values"])
+                    if len(rows) < page:
+                        break
+                    offset += len(rows)
+
+    names = spark.createDataFrame([(s,) for s in series], "series_id string").repartition(max(len(series), 1))
+    return names.mapInArrow(run, "series_id string, date string, values map<string,string>")
+
+
 def macro_vintages(spark: SparkSession, get: Callable[[str, int], list[dict]], series: dict[str, str] = DEFAULT_SERIES, page: int = 2000) -> DataFrame:
-    """Vintages of all series through ``get(series_id, offset)``, a caller's client that returns one page of wide rows."""
-    rows = []
-    for series_id in series:
-        offset = 0
-        while True:
-            batch = get(series_id, offset)
-            rows += [(series_id, item["date"], {k: None if v is None else str(v) for k, v in item.items() if k != "date"}) for item in batch]
-            if len(batch) < page:
-                break
-            offset += len(batch)
-    long = macro.unpivot_vintages(spark.createDataFrame(rows, "series_id string, date string, values map<string,string>"))
+    """Vintages of all series, typed, with their feature names and when they may be used."""
+    long = macro.unpivot_vintages(fetch_vintages(spark, get, list(series), page))
     names = F.create_map(*(v for k, x in series.items() for v in (F.lit(k), F.lit(x))))
     typed = long.withColumn("date", to_time("date")).withColumn("feature_name", names[F.col("series_id")])
     return macro.with_availability(typed.dropDuplicates(["series_id", "date", "value", "realtime_start", "realtime_end"]))
 
 
+def download_macro_vintages(spark: SparkSession, get: Callable[[str, int], list[dict]], out: str, series: dict[str, str] = DEFAULT_SERIES, page: int = 2000) -> dict[str, int]:
+    """Write the vintages of all series as CSV; rows in all and by series. Each page is fetched once."""
+    fetched = written(macro_vintages(spark, get, series, page), "vintages")
+    files.write_table(fetched, out, "csv")
+    counts = {r["series_id"]: r["n"] for r in fetched.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a series
+    return {"rows": sum(counts.values()), "series": {s: counts.get(s, 0) for s in series}}
+
+
 def portfolio_research(spark: SparkSession, folder: str, features: list[str], most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns of the equal-weight portfolio of out-of-sample predictions per symbol, and their summary."""
     market = files.load_market_files(spark, folder)

@@ -17,6 +17,7 @@ Arrow opens (local, HDFS, S3 and so on).
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 import io
 import posixpath
 import struct
@@ -198,3 +199,19 @@ def first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     head += more
             heads.append(head.split(b"\n")[0].rstrip(b"\r").decode("utf-8-sig", "replace"))
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(heads, pa.string())], ["file", "header"])
+
+
+def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``file, length, sha256`` of paths, read a block at a time, however long a file is."""
+    for batch in batches:
+        names, lengths, sums = batch.column(0).to_pylist(), [], []
+        for name in names:
+            system, path = _open(name)
+            digest, size = hashlib.sha256(), 0
+            with system.open_input_stream(path) as file:
+                while block := file.read(BLOCK):
+                    digest.update(block)
+                    size += len(block)
+            lengths.append(size)
+            sums.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(lengths, pa.int64()), pa.array(sums, pa.string())], ["file", "length", "sha256"])

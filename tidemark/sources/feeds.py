@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.temporal import latest_per
 from tidemark.session import written
 from tidemark.sources.archives import read_zip
+from tidemark.sources.files import file_digests
 
 FACT = "struct<start:string,end:string,val:double,accn:string,fy:int,fp:string,form:string,filed:string,frame:string>"
 COMPANY_FACTS = f"cik bigint, entityName string, facts map<string,map<string,struct<label:string,description:string,units:map<string,array<{FACT}>>>>>"
@@ -143,9 +144,8 @@ def event_archive_name(day) -> str:
 
 def archive_manifest(spark: SparkSession, pattern: str) -> DataFrame:
     """Per archive: bytes, SHA-256 and the day in its name."""
-    files = spark.read.format("binaryFile").load(pattern)
-    day = F.try_to_timestamp(F.regexp_extract("path", r"(\d{8})[^/]*$", 1), F.lit("yyyyMMdd")).cast("date")
-    return files.select(F.col("path").alias("file"), "length", F.sha2("content", 256).alias("sha256"), day.alias("day"))
+    day = F.try_to_timestamp(F.regexp_extract("file", r"(\d{8})[^/]*$", 1), F.lit("yyyyMMdd")).cast("date")
+    return file_digests(spark, pattern).select("file", "length", "sha256", day.alias("day"))
 
 
 def parse_events(lines: DataFrame) -> DataFrame:

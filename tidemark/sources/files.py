@@ -211,9 +211,18 @@ def write_report_rows(rows: DataFrame, path: str) -> list[dict]:
     return documents
 
 
+def file_digests(spark: SparkSession, pattern: str) -> DataFrame:
+    """``file, length, sha256`` of the files of a pattern: a file is read as a stream in the task that it is dealt to, and is never one row; empty files are not listed."""
+    from tidemark.sources.archives import digests
+
+    listed = spark.read.format("binaryFile").load(pattern).select("path")  # names only
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return listed.repartition(tasks, "path").mapInArrow(digests, "file string, length bigint, sha256 string")
+
+
 def manifest(spark: SparkSession, pattern: str, bars: DataFrame) -> DataFrame:
     """Per file: SHA-256 of its bytes beside rows, symbols and span of its bars (``bars`` has ``_file``); ``error`` where it has none."""
-    files = spark.read.format("binaryFile").load(pattern).select(F.col("path").alias("_file"), F.sha2("content", 256).alias("sha256"), "length")
+    files = file_digests(spark, pattern).withColumnRenamed("file", "_file")
     stats = bars.groupBy("_file").agg(F.count(F.lit(1)).alias("rows"), F.array_join(F.array_sort(F.collect_set("symbol")), ";").alias("symbols"), F.min("timestamp").cast("string").alias("start"), F.max("timestamp").cast("string").alias("end"))
     return files.join(stats, "_file", "left").withColumn("error", F.when(F.col("rows").isNull(), "no readable bars")).withColumnRenamed("_file", "file")
 
