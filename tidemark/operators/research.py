@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clip, directional_score, mean_of_known
-from tidemark.operators.scans import HOT_ROWS, hot_keys, large, parted, percentiles, running
+from tidemark.operators.scans import BROADCAST_ROWS, HOT_ROWS, hot_keys, large, parted, percentiles, running
 from tidemark.operators.temporal import latest_per
 from tidemark.schema import finite
 from tidemark.session import written
@@ -63,7 +63,8 @@ def walk_forward_folds(frame: DataFrame, train_size: int, test_size: int, step:
     spread = rows.withColumn("fold", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
     spread = spread.withColumn("part", F.when(F.col("_n") < F.col("fold") * step + train_size, "train").otherwise("test"))
     opening = spread.filter("part = 'test'").groupBy("fold").agg(F.min("timestamp").alias("_test_from"))
-    kept = spread.join(F.broadcast(opening), "fold").filter("part = 'test' OR target_timestamp < _test_from")  # one row a fold
+    opening = F.broadcast(opening) if folds <= BROADCAST_ROWS else opening  # one row a fold
+    kept = spread.join(opening, "fold").filter("part = 'test' OR target_timestamp < _test_from")
     return kept.select(*frame.columns, F.col("fold").cast("int").alias("fold"), "part")
 
 
