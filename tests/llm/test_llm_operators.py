@@ -70,6 +70,12 @@ def test_blocks_round_trip(n):
     assert (back == ids).all() and docs == [1, None] and lengths.tolist() == [n, 0]
 
 
+@pytest.mark.parametrize("size", [1 << 16, (1 << 16) + 1])
+def test_blocks_of_large_vocabularies_round_trip(size):
+    ids = np.append(np.random.default_rng(size).integers(0, size, 20_000), [size - 1, 0, size - 1])
+    assert (token_coder.decode_block(token_coder.encode_block(ids, [1], [len(ids)], size))[0] == ids).all()
+
+
 def test_blocks_shrink_what_repeats_and_notice_damage():
     ids = np.tile(np.random.default_rng(1).integers(0, 49408, 500), 200)
     payload = token_coder.encode_block(ids, [1], [len(ids)], 49408)
@@ -90,6 +96,22 @@ def test_word_encoder_equals_the_library():
         assert ids[end - count : end].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_encoder_asks_the_library_once_a_unit():
+    """Case, signs, digits and neighbours in a word make no new units; a slice of a larger batch is cut at its own texts."""
+    encoder = token_coder.WordEncoder(WORD_MODEL)
+    asked, learn = [], encoder.learn
+    encoder.learn = lambda missing: asked.extend(missing) or learn(missing)
+    draw = random.Random(7)
+    runs = ["".join(draw.choices("abcdefgéöß", k=7)) for _ in range(40)]
+    texts = [f"{a.upper().replace('SS', 'ß')}-{b},{b.capitalize()}{k % 10}{k}!! {a}" for k, (a, b) in enumerate((a, b) for a in runs for b in runs)]
+    texts += ["<|endoftext|>", "x<|endoftext|>,y", "<|ENDOFTEXT|>", "a|<b", "É́A, É́a", "J̌! À×B÷c", "Don't, don'T", "Ω1 ω1", "", " "]
+    ids, counts = encoder.encode(pa.array(["before", *texts, "after"]).slice(1, len(texts)))
+    ends = np.cumsum(counts)
+    for text, end, count in zip(texts, ends, counts, strict=True):
+        assert ids[end - count : end].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(counts) == len(texts) and len(asked) == len(set(asked)) < 100
+
+
 def test_real_ids_take_fewer_bits_than_by_zlib():
     texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).combine_chunks()
     ids, counts = token_coder.WordEncoder(WORD_MODEL).encode(texts.fill_null(""))
