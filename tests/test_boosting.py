@@ -107,3 +107,42 @@ def test_pooled(spark):
     assert (a.feature == b.feature).all() and a.value == pytest.approx(b.value, abs=1e-15) and a.threshold == pytest.approx(b.threshold)
     out = boosting.predict_groups(frame.withColumn("g", F.lit(0)), "g", ["a", "b"], {0: a}, "p").toPandas()
     assert out.p.to_numpy() == pytest.approx(a.predict(out[["a", "b"]].to_numpy()))
+
+
+def jobs_of(spark, work):
+    spark.sparkContext.setJobGroup("counted", "")
+    try:
+        before = set(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+        out = work()
+        return out, len(set(spark.sparkContext.statusTracker().getJobIdsForGroup("counted")) - before)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_equal_rows_count_once_and_all_rounds_take_few_jobs(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 6, size=(3000, 2)).astype(float)
+    y = 0.01 * np.sin(x[:, 0]) + 0.003 * rng.normal(size=3000)
+    frame = spark.createDataFrame([(0, *map(float, r), float(t)) for r, t in zip(x, y, strict=True)], "k int, a double, b double, y double").repartition(3)
+    config = BoostConfig(rounds=60)
+    models, jobs = jobs_of(spark, lambda: boosting.fit_large(frame, "k", ["a", "b"], "y", {0: 3000}, config, group_rows=500))
+    want = boosting.fit_arrays(x, y, config)
+    assert (models[0].feature == want.feature).all() and models[0].value == pytest.approx(want.value, abs=1e-12)
+    assert jobs < 20  # before: four a round
+
+
+def test_a_level_is_a_job(spark):
+    frame = frame_of(spark, [300]).filter("part = 'train'").withColumn("k", F.lit(0))
+    config = BoostConfig(rounds=21)
+    models, jobs = jobs_of(spark, lambda: boosting.fit_large(frame, "k", ["a", "b", "c"], "y", {0: 210}, config, group_rows=100))
+    rows = frame.toPandas()
+    want = boosting.fit_arrays(rows[["a", "b", "c"]].to_numpy(), rows.y.to_numpy(), config)
+    assert (models[0].feature == want.feature).all() and models[0].value == pytest.approx(want.value, abs=1e-12)
+    assert jobs < 3 * 21 + 20
+
+
+def test_sums_beyond_doubles_are_exact():
+    rest = np.array([2**52 + 1, 2**52 + 1, -(2**53) - 3, 5, 2**54 + 1])
+    rows = boosting._Rows(np.array([[0], [0], [0], [1], [1]], np.uint8), rest, np.array([1, 2, 3, 4, 5]))
+    sums = rows.sums(rows.start(3), 0)
+    assert sums[0, 0, 0, :2].tolist() == [-1, 2**54 + 6] and sums[1, 0, 0, :2].tolist() == [6, 9]

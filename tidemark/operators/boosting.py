@@ -3,10 +3,11 @@
 Each group (a fold, a symbol, a whole frame) gets a model of its own: ``rounds`` trees of a fixed
 depth on features binned into at most ``BINS`` bins, fitted on what the trees before
 left over.  Groups of up to ``GROUP_ROWS`` rows are dealt to tasks and fitted there, many at a time.  Larger
-ones grow together: one pass a tree level sums gradients by (group, node, feature, bin) in
-every task, and only these sums meet.  Both ways make the same trees.
+ones are binned first, and rows that fall into the same bins are one row with a weight; where that leaves up to ``GROUP_ROWS`` of them,
+the group is fitted in a task, too.  What is still larger grows together: one job a tree level sums gradients by (group, node, feature, bin)
+over the packed rows, which the executors keep, and only these sums meet.  All ways make the same trees.
 
-Gradients are summed as fixed-point integers, so a model doesn't depend on the order of rows.
+Targets and leaves are whole numbers of a fixed step, so a model doesn't depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -23,9 +25,12 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from tidemark.session import drop_path, scratch_path
 
 BINS = 255
+SLOTS = BINS + 1
 GROUP_ROWS = 200_000  # a larger group is not put into one task; also what bin edges are read from
 LEAST_LEAF = 20
-KEEP_STATE = 10  # rounds between written states of large groups
+KEEP_STATE = 10  # rounds after which the rows of large groups are brought up to date
+SHARE_ROWS = 250_000  # binned rows that are worth a task
+MOST_SUMS = 16 << 20  # bytes of all tasks' sums that the driver adds up; beyond it tasks do
 
 
 @dataclass(frozen=True)
@@ -47,23 +52,36 @@ class Boosted:
     value: np.ndarray
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        out, rows = np.full(len(x), self.base), np.arange(len(x))
-        for feature, threshold, value in zip(self.feature, self.threshold, self.value, strict=True):
-            out += value[_leaf(feature, lambda f, node, t=threshold: x[rows, f] > t[node], len(x))]
+        out = np.full(len(x), self.base)
+        cuts = [np.unique(self.threshold[self.feature == f]) for f in range(x.shape[1])]
+        place = np.zeros(self.feature.shape, np.int64)
+        for f, own in enumerate(cuts):
+            place[self.feature == f] = np.searchsorted(own, self.threshold[self.feature == f])
+        # how many thresholds lie below a value says on which side of each of them it is
+        codes = [np.where(np.isnan(x[:, f]), 0, np.searchsorted(own, x[:, f], side="left")).astype(np.min_scalar_type(len(own))) for f, own in enumerate(cuts)]
+        for feature, edge, value in zip(self.feature, place, self.value, strict=True):
+            out += value[_leaf(feature, edge, codes, len(x))]
         return out
 
 
-def _leaf(feature: np.ndarray, right, n: int) -> np.ndarray:
-    """The leaf of each of ``n`` rows; inner nodes lie level by level in ``feature``."""
-    node, first = np.zeros(n, np.int64), 0
+def _leaf(feature: np.ndarray, edge: np.ndarray, bins: list[np.ndarray], n: int) -> np.ndarray:
+    """The leaf of each of ``n`` rows; inner nodes lie level by level in ``feature`` and ``edge``."""
+    node, first = np.zeros(n, np.min_scalar_type(len(feature))), 0
     while first < len(feature):
-        at = first + node
-        f = feature[at]
-        node = 2 * node + ((f >= 0) & right(np.maximum(f, 0), at))
-        first = 2 * first + 1
+        own = slice(first, 2 * first + 1)
+        node, first = _children(node, feature[own], edge[own], bins), 2 * first + 1
     return node
 
 
+def _children(node: np.ndarray, feature: np.ndarray, edge: np.ndarray, bins: list[np.ndarray]) -> np.ndarray:
+    """Where rows go from the nodes of one level."""
+    right = np.zeros(len(node), bool)
+    for k, (f, e) in enumerate(zip(feature.tolist(), edge.tolist(), strict=True)):
+        if f >= 0:
+            right |= (bins[f] > e) & (node == k)
+    return 2 * node + right
+
+
 def bin_edges(values: np.ndarray) -> np.ndarray:
     """Midpoints of the distinct values, or of percentiles where there are too many; a value up to an edge lies left of it."""
     distinct = np.unique(values)
@@ -73,18 +91,51 @@ def bin_edges(values: np.ndarray) -> np.ndarray:
 
 
 def _binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
-    return np.stack([np.searchsorted(e, x[:, k], side="left") for k, e in enumerate(edges)], axis=1).astype(np.int16)
+    return np.stack([np.searchsorted(e, x[:, k], side="left") for k, e in enumerate(edges)], axis=1).astype(np.uint8)
+
+
+class _Rows:
+    """Binned rows of a group: ``rest`` is what the trees so far leave of their targets, ``weight`` how many rows each stands for."""
+
+    def __init__(self, bins: np.ndarray, rest: np.ndarray, weight: np.ndarray | None = None):
+        self.bins = [np.ascontiguousarray(bins[:, k]) for k in range(bins.shape[1])]
+        self.rest, self.weight = rest, weight
+        self.counts: np.ndarray | None = None  # of the root, the same for all trees
+
+    def start(self, depth: int) -> np.ndarray:
+        return np.zeros(len(self.rest), np.min_scalar_type(2**depth - 1))
+
+    def sums(self, node: np.ndarray, level: int) -> np.ndarray:
+        """Gradient sums and row counts by (node, feature, bin): of the root, or of the left children of a level."""
+        nodes, rest, weight = 2 ** max(level - 1, 0), self.rest, self.weight
+        at, bins = np.zeros(len(rest), np.int64), self.bins
+        if level:
+            kept = np.flatnonzero(node % 2 == 0)
+            at, bins = (node[kept] >> 1).astype(np.int64) * SLOTS, [b[kept] for b in bins]
+            rest, weight = rest[kept], None if weight is None else weight[kept]
+        out = np.zeros((2, nodes, len(bins), SLOTS), np.int64)
+        parts = _exact(rest)
+        for k, own in enumerate(bins):
+            place = at + own
+            for part, shift in parts:
+                out[0, :, k] += np.bincount(place, part, nodes * SLOTS).astype(np.int64).reshape(nodes, SLOTS) << shift
+            if level or self.counts is None:
+                out[1, :, k] = np.bincount(place, weight, nodes * SLOTS).reshape(nodes, SLOTS)
+        if not level:
+            if self.counts is None:
+                self.counts = out[1].copy()
+            out[1] = self.counts
+        return out
+
+    def take(self, value: np.ndarray) -> None:
+        self.rest -= value if self.weight is None else value * self.weight
 
 
-def _sums(bins: np.ndarray, node: np.ndarray, gradient: np.ndarray, nodes: int) -> np.ndarray:
-    """Gradient sums and row counts by (node, feature, bin)."""
-    features = bins.shape[1]
-    at = ((node[:, None] * features + np.arange(features)) * (BINS + 1) + bins).ravel()
-    size = nodes * features * (BINS + 1)
-    # sums of whole numbers below 2**53 are exact in doubles: high and low halves apart
-    high, low = gradient >> 24, gradient & 0xFFFFFF
-    total = (np.bincount(at, np.repeat(high, features), size).astype(np.int64) << 24) + np.bincount(at, np.repeat(low, features), size).astype(np.int64)
-    return np.stack([total, np.bincount(at, minlength=size)]).reshape(2, nodes, features, BINS + 1)
+def _exact(rest: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """``rest`` as doubles whose sums are exact, and how far to shift them: sums of whole numbers below 2**53 are; else high and low halves apart."""
+    if len(rest) * float(np.abs(rest).max(initial=0)) < 2.0**53:
+        return [(rest.astype(float), 0)]
+    return [((rest >> 24).astype(float), 24), ((rest & 0xFFFFFF).astype(float), 0)]
 
 
 def _splits(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,49 +157,80 @@ def _scale(y: np.ndarray | float) -> float:
     return 2.0**30 / most if most > 0 else 1.0
 
 
+def _scale(most: float) -> float:
+    return 2.0**30 / most if most > 0 else 1.0
+
+
 class _Growing:
-    """A tree that grows a level at a time, by bins."""
+    """A tree that grows a level at a time, by bins; leaves are whole numbers."""
 
     def __init__(self, depth: int):
         self.depth, self.level = depth, 0
         self.feature, self.bin = np.full(2**depth - 1, -1), np.zeros(2**depth - 1, np.int64)
-        self.value = np.zeros(2**depth)
+        self.value = np.zeros(2**depth, np.int64)
+        self.whole: np.ndarray | None = None  # sums of the last level's nodes
 
-    def nodes_of(self, bins: np.ndarray) -> np.ndarray:
-        rows = np.arange(len(bins))
-        return _leaf(self.feature[: 2**self.level - 1], lambda f, node: bins[rows, f] > self.bin[node], len(bins))
+    def nodes_of(self, bins: list[np.ndarray], n: int) -> np.ndarray:
+        end = 2**self.level - 1
+        return _leaf(self.feature[:end], self.bin[:end], bins, n)
+
+    def step(self, node: np.ndarray, bins: list[np.ndarray]) -> np.ndarray:
+        """The nodes of rows after the last split."""
+        own = slice(2 ** (self.level - 1) - 1, 2**self.level - 1)
+        return _children(node, self.feature[own], self.bin[own], bins)
 
     def split(self, sums: np.ndarray) -> None:
+        """By the sums of the root, or of a level's left children: the right ones have what is left of their parents."""
+        if self.level:
+            sums = np.stack([sums, self.whole - sums], axis=2).reshape(2, -1, *sums.shape[2:])
         own = slice(2**self.level - 1, 2 ** (self.level + 1) - 1)
         self.feature[own], self.bin[own] = _splits(sums)
-        self.level += 1
+        self.level, self.whole = self.level + 1, sums
+
+    def finish(self, step: float) -> None:
+        """Leaves from the sums on both sides of the last splits."""
+        if not self.depth:
+            return
+        last = slice(2 ** (self.depth - 1) - 1, None)
+        f, b, nodes = self.feature[last], self.bin[last], np.arange(2 ** (self.depth - 1))
+        every = self.whole[:, :, 0].sum(axis=2)
+        left = np.where(f >= 0, np.cumsum(self.whole[:, nodes, np.maximum(f, 0)], axis=2)[:, nodes, b], every)
+        sums, counts = np.stack([left, every - left], axis=2).reshape(2, -1)
+        self.value, self.whole = np.rint(step * sums / np.maximum(counts, 1)).astype(np.int64), None
+
+
+def _grow(rows: _Rows, config: BoostConfig) -> list[_Growing]:
+    """The trees of a group whose rows are all here."""
+    trees: list[_Growing] = []
+    for _ in range(config.rounds):
+        tree, node = _Growing(config.depth), rows.start(config.depth)
+        for level in range(config.depth):
+            tree.split(rows.sums(node, level))
+            node = tree.step(node, rows.bins)
+        tree.finish(config.step)
+        rows.take(tree.value[node])
+        trees.append(tree)
+    return trees
 
-    def finish(self, totals: np.ndarray, step: float, scale: float) -> None:
-        self.value = step * totals[0] / (np.maximum(totals[1], 1) * scale)
 
+def _model(base: float, scale: float, feature: np.ndarray, bins: np.ndarray, value: np.ndarray, edges: list[np.ndarray]) -> Boosted:
+    threshold = np.zeros(feature.shape)
+    for f, own in enumerate(edges):
+        threshold[feature == f] = own[bins[feature == f]]
+    return Boosted(base, feature, threshold, value / scale)
 
-def _model(base: float, trees: list[_Growing], edges: list[np.ndarray]) -> Boosted:
-    feature = np.array([t.feature for t in trees])
-    threshold = np.array([[edges[f][b] if f >= 0 else 0.0 for f, b in zip(t.feature, t.bin, strict=True)] for t in trees])
-    return Boosted(base, feature, threshold, np.array([t.value for t in trees]))
+
+def _arrays(trees: list[_Growing]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.array([t.feature for t in trees]), np.array([t.bin for t in trees]), np.array([t.value for t in trees])
 
 
 def fit_arrays(x: np.ndarray, y: np.ndarray, config: BoostConfig = BoostConfig()) -> Boosted:
     """The model of one group."""
     edges = [bin_edges(x[:, k]) for k in range(x.shape[1])]
-    bins, base = _binned(x, edges), float(np.mean(y))
-    guess, scale, trees = np.full(len(y), base), _scale(y - base), []
-    for _ in range(config.rounds):
-        gradient = np.rint((y - guess) * scale).astype(np.int64)
-        tree = _Growing(config.depth)
-        for level in range(config.depth):
-            tree.split(_sums(bins, tree.nodes_of(bins), gradient, 2**level))
-        leaf = tree.nodes_of(bins)
-        totals = _sums(bins[:, :1], leaf, gradient, 2**config.depth).sum(axis=(2, 3))
-        tree.finish(totals, config.step, scale)
-        guess += tree.value[leaf]
-        trees.append(tree)
-    return _model(base, trees, edges)
+    base = float(np.mean(y))
+    scale = _scale(float(np.max(np.abs(y - base), initial=0.0)))
+    trees = _grow(_Rows(_binned(x, edges), np.rint((y - base) * scale).astype(np.int64)), config)
+    return _model(base, scale, *_arrays(trees), edges)
 
 
 def _matrix(table: pa.Table | pa.RecordBatch, names: list[str]) -> np.ndarray:
@@ -187,87 +269,158 @@ def _edges_of(train: DataFrame, group: str, features: list[str], sizes: dict) ->
     return {r["key"]: [np.array(e) for e in r["edges"]] for r in rows}
 
 
-def fit_large(train: DataFrame, group: str, features: list[str], target: str, sizes: dict, config: BoostConfig = BoostConfig()) -> dict:
-    """Models of large groups (``sizes``: rows of each, as many as the data has room for), all grown together over the whole table."""
-    spark, keys = train.sparkSession, list(sizes)
-    edges = _edges_of(train, group, features, sizes)
-    means = {r["k"]: r["m"] for r in train.groupBy(F.col(group).alias("k")).agg(F.avg(F.col(target).cast("double")).alias("m")).collect()}
-    mean = F.create_map(*(v for k in keys for v in (F.lit(k), F.lit(float(means[k])))))
-    spread = {r["k"]: r["s"] for r in train.groupBy(F.col(group).alias("k")).agg(F.max(F.abs(F.col(target) - mean[F.col(group)])).alias("s")).collect()}
-    scale = [_scale(spread[k]) for k in keys]
+@dataclass(frozen=True)
+class _Scales:
+    """Of each large group, by its number: bin edges, mean and scale of its targets."""
+
+    edges: list
+    base: list[float]
+    scale: list[float]
+
+
+def _binned_table(train: DataFrame, group: str, features: list[str], target: str, keys: list, scales: _Scales) -> DataFrame:
+    """``g, bins, rest, weight``: rows of one group in the same bins are one row, with the sum of their targets."""
     number = F.create_map(*(v for i, k in enumerate(keys) for v in (F.lit(k), F.lit(i))))
-    shared = spark.sparkContext.broadcast([edges[k] for k in keys])
+    shared = train.sparkSession.sparkContext.broadcast(scales)
 
     def bin_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
         for batch in batches:
-            own, x = batch.column(0).to_numpy(), _matrix(batch, features)
-            bins = np.zeros(x.shape, np.int16)
-            for g in np.unique(own):
-                bins[own == g] = _binned(x[own == g], shared.value[g])
-            flat = pa.array(bins.ravel(), pa.int16())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, bins.size + 1, len(features)), pa.int32()), flat), batch.column(1), batch.column(2)], ["g", "bins", "y", "guess"])
-
-    rows = train.select(number[F.col(group)].alias("g"), F.col(target).cast("double").alias("y"), mean[F.col(group)].cast("double").alias("guess"), *(F.col(f).cast("double").alias(f) for f in features))
-    path = scratch_path(spark, "boosting")
-    schema = "g int, bins array<smallint>, y double, guess double"
-    rows.mapInArrow(bin_rows, schema).write.parquet(path)
-    trees: list[list[_Growing]] = [[] for _ in keys]
-    pending: list[list[_Growing]] = [[] for _ in keys]  # grown since the state was written
-
-    def walked(batch: pa.RecordBatch, done: list[list[_Growing]]):
-        """Group, bins and value of rows, and the guess as of the trees so far."""
-        g, y, guess = (batch.column(k).to_numpy() for k in (0, 2, 3))
-        bins, guess = batch.column(1).flatten().to_numpy().reshape(len(g), -1), guess.copy()
-        for i in np.unique(g):
-            own = np.flatnonzero(g == i)
-            for tree in done[i]:
-                guess[own] += tree.value[tree.nodes_of(bins[own])]
-        return g, bins, y, guess
-
-    def summed(growing: list[_Growing], nodes: int, leaves: bool) -> np.ndarray:
-        done = pending
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, np.ndarray] = {}
-            for batch in batches:
-                g, bins, y, guess = walked(batch, done)
-                for i in np.unique(g).tolist():
-                    own = np.flatnonzero(g == i)
-                    gradient = np.rint((y[own] - guess[own]) * scale[i]).astype(np.int64)
-                    used = bins[own][:, :1] if leaves else bins[own]
-                    more = _sums(used, growing[i].nodes_of(bins[own]), gradient, nodes)
-                    total[i] = total[i] + more if i in total else more
-            for i, sums in total.items():
-                at = np.flatnonzero(sums[1].ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i), pa.int32()), pa.array(at, pa.int64()), pa.array(sums[0].ravel()[at]), pa.array(sums[1].ravel()[at])], ["g", "at", "s", "n"])
-
-        found = spark.read.schema(schema).parquet(path).mapInArrow(run, "g int, at bigint, s bigint, n bigint").groupBy("g", "at").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-        sums = np.zeros((len(keys), 2, nodes * (1 if leaves else len(features)) * (BINS + 1)), np.int64)
-        for r in found.collect():  # groups x nodes x features x bins at most
-            sums[r["g"], :, r["at"]] = r["s"], r["n"]
-        return sums.reshape(len(keys), 2, nodes, -1, BINS + 1)
+            g, y, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch, features)
+            bins, rest = np.zeros(x.shape, np.uint8), np.zeros(len(g), np.int64)
+            for i in np.unique(g).tolist():
+                at = np.flatnonzero(g == i)
+                bins[at] = _binned(x[at], own.edges[i])
+                rest[at] = np.rint((y[at] - own.base[i]) * own.scale[i])
+            ends = np.arange(0, bins.size + 1, len(features), dtype=np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(g), [None, pa.py_buffer(ends), pa.py_buffer(bins)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed, pa.array(rest)], ["g", "bins", "rest"])
+
+    rows = train.select(number[F.col(group)].alias("g"), F.col(target).cast("double").alias("y"), *(F.col(f).cast("double").alias(f) for f in features))
+    return rows.mapInArrow(bin_rows, "g int, bins binary, rest bigint").groupBy("g", "bins").agg(F.sum("rest").alias("rest"), F.count(F.lit(1)).alias("weight"))
+
+
+STATE = "g int, bins binary, rest bigint, weight bigint"
 
+
+def _unpacked(batch: pa.RecordBatch | pa.Table, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    bins = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, features)
+    return batch.column(0).to_numpy(), bins, batch.column(2).to_numpy(), batch.column(3).to_numpy()
+
+
+def _grow_in_tasks(table: DataFrame, features: int, config: BoostConfig) -> dict[int, tuple]:
+    """Feature, bin and leaves of the trees of each group, each grown in a task."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        _, bins, rest, weight = _unpacked(rows, features)
+        flat = [a.ravel() for a in _arrays(_grow(_Rows(bins, rest.copy(), weight), config))]
+        return pa.table({"g": rows.column("g").slice(0, 1), **{name: pa.array([a], pa.list_(pa.int64())) for name, a in zip(("feature", "bin", "value"), flat, strict=True)}})
+
+    found = table.groupBy("g").applyInArrow(run, "g int, feature array<bigint>, bin array<bigint>, value array<bigint>").collect()  # a row a large group
+    return {r["g"]: tuple(np.array(r[name], np.int64).reshape(config.rounds, -1) for name in ("feature", "bin", "value")) for r in found}
+
+
+def _packed(table: DataFrame, features: int, tasks: int) -> RDD:
+    """``(group, rows)`` in blocks of about ``SHARE_ROWS`` rows at most, dealt over ``tasks``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks(got: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            g, bins, rest, weight = _unpacked(pa.Table.from_batches(got), features)
+            own = [np.flatnonzero(g == i) for i in np.unique(g)]
+            columns = [pa.array([np.ascontiguousarray(x[at]).tobytes() for at in own], pa.binary()) for x in (bins, rest, weight)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[at[0]] for at in own], pa.int32()), *columns], ["g", "bins", "rest", "weight"])
+
+        got: list[pa.RecordBatch] = []
+        for batch in batches:
+            got.append(batch)
+            if sum(b.num_rows for b in got) >= SHARE_ROWS:
+                yield from blocks(got)
+                got = []
+        if sum(b.num_rows for b in got):
+            yield from blocks(got)
+
+    def rows_of(r) -> tuple[int, _Rows]:
+        return r["g"], _Rows(np.frombuffer(r["bins"], np.uint8).reshape(-1, features), np.frombuffer(r["rest"], np.int64).copy(), np.frombuffer(r["weight"], np.int64))
+
+    return table.repartition(tasks).mapInArrow(run, "g int, bins binary, rest binary, weight binary").rdd.map(rows_of)
+
+
+def _grow_by_jobs(table: DataFrame, groups: list[int], features: int, tasks: int, config: BoostConfig) -> dict[int, tuple]:
+    """As ``_grow_in_tasks``, for groups of any size together: a job a level over the packed rows.
+
+    They are kept in the executors' memory, or on their disks where it is short; what is lost is made anew.
+    """
+    trees: dict[int, list[_Growing]] = {i: [] for i in groups}
+    pending: dict[int, list[_Growing]] = {i: [] for i in groups}  # grown since the rows were brought up to date
+
+    def walked(rows: _Rows, done: list[_Growing]) -> _Rows:
+        for tree in done:
+            rows.take(tree.value[tree.nodes_of(rows.bins, len(rows.rest))])
+        return rows
+
+    def summed(growing: dict[int, _Growing], level: int) -> dict[int, np.ndarray]:
+        done, shapes = pending, {i: (t.level, t.feature, t.bin) for i, t in growing.items()}
+
+        def run(blocks: Iterator[tuple[int, _Rows]]) -> Iterator[tuple[int, np.ndarray]]:
+            total: dict[int, np.ndarray] = {}
+            for i, rows in blocks:
+                depth, feature, edge = shapes[i]
+                walked(rows, done[i])
+                more = rows.sums(_leaf(feature[: 2**depth - 1], edge[: 2**depth - 1], rows.bins, len(rows.rest)), level)
+                total[i] = total[i] + more if i in total else more
+            yield from total.items()
+
+        found = state.mapPartitions(run)
+        if tasks * len(groups) * 2 ** max(level - 1, 0) * features * SLOTS * 16 > MOST_SUMS:
+            found = found.reduceByKey(np.add, min(tasks, len(groups)))
+        sums: dict[int, np.ndarray] = {}
+        for i, own in found.collect():  # groups x nodes x features x bins, of a task or of all
+            sums[i] = sums[i] + own if i in sums else own
+        return sums
+
+    state = _packed(table, features, tasks).persist(StorageLevel.MEMORY_AND_DISK)
+    last = None
     for done in range(1, config.rounds + 1):
-        growing = [_Growing(config.depth) for _ in keys]
+        growing = {i: _Growing(config.depth) for i in groups}
         for level in range(config.depth):
-            for tree, own in zip(growing, summed(growing, 2**level, False), strict=True):
-                tree.split(own)
-        for i, own in enumerate(summed(growing, 2**config.depth, True)):
-            growing[i].finish(own.sum(axis=(2, 3)), config.step, scale[i])
-            trees[i].append(growing[i])
-            pending[i].append(growing[i])
+            for i, own in summed(growing, level).items():
+                growing[i].split(own)
+            if last is not None:
+                last.unpersist()
+                last = None
+        for i, tree in growing.items():
+            tree.finish(config.step)
+            trees[i].append(tree)
+            pending[i].append(tree)
         if done % KEEP_STATE == 0 and done < config.rounds:
-            last, grown, path = path, pending, scratch_path(spark, "boosting")
+            last, grown = state, pending
+            state = last.map(lambda b, grown=grown: (b[0], walked(b[1], grown[b[0]]))).persist(StorageLevel.MEMORY_AND_DISK)
+            pending = {i: [] for i in groups}
+    state.unpersist()
+    return {i: _arrays(own) for i, own in trees.items()}
 
-            def advance(batches: Iterator[pa.RecordBatch], grown=grown) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(walked(batch, grown)[3])], ["g", "bins", "y", "guess"])
 
-            spark.read.schema(schema).parquet(last).mapInArrow(advance, schema).write.parquet(path)
-            drop_path(spark, last)
-            pending = [[] for _ in keys]
+def fit_large(train: DataFrame, group: str, features: list[str], target: str, sizes: dict, config: BoostConfig = BoostConfig(), group_rows: int = GROUP_ROWS) -> dict:
+    """Models of large groups (``sizes``: rows of each, as many as the data has room for), all grown together over the whole table."""
+    spark, keys = train.sparkSession, list(sizes)
+    edges = _edges_of(train, group, features, sizes)
+    y = F.col(target).cast("double")
+    found = {r["k"]: r for r in train.groupBy(F.col(group).alias("k")).agg(F.avg(y).alias("m"), F.min(y).alias("a"), F.max(y).alias("b")).collect()}
+    base = [float(found[k]["m"]) for k in keys]
+    scales = _Scales([edges[k] for k in keys], base, [_scale(max(found[k]["b"] - m, m - found[k]["a"])) for k, m in zip(keys, base, strict=True)])
+    path = scratch_path(spark, "boosting")
+    _binned_table(train, group, features, target, keys, scales).write.parquet(path)
+    table = spark.read.schema(STATE).parquet(path)
+    binned = {r["g"]: r["count"] for r in table.groupBy("g").count().collect()}
+    large = sorted(i for i, n in binned.items() if n > group_rows)
+    grown = {}
+    if len(large) < len(keys):
+        grown |= _grow_in_tasks(table.filter(~F.col("g").isin(large)) if large else table, len(features), config)
+    if large:
+        tasks = -(-sum(binned[i] for i in large) // SHARE_ROWS)
+        grown |= _grow_by_jobs(table.filter(F.col("g").isin(large)), large, len(features), tasks, config)
     drop_path(spark, path)
-    return {k: _model(float(means[k]), trees[i], edges[k]) for i, k in enumerate(keys)}
+    return {k: _model(base[i], scales.scale[i], *grown[i], edges[k]) for i, k in enumerate(keys)}
 
 
 def predict_groups(rows: DataFrame, group: str, features: list[str], models: dict, name: str) -> DataFrame:
@@ -277,10 +430,11 @@ def predict_groups(rows: DataFrame, group: str, features: list[str], models: dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, out = _matrix(batch, features), np.zeros(batch.num_rows)
-            keys = np.array(batch.column(names.index(group)).to_pylist(), dtype=object)
-            for k in set(keys.tolist()):
-                own = np.flatnonzero(keys == k)
-                out[own] = shared.value[k].predict(x[own])
+            keys = batch.column(names.index(group)).dictionary_encode()
+            number = keys.indices.fill_null(len(keys.dictionary)).to_numpy()
+            for k, key in enumerate(keys.dictionary.to_pylist()):
+                own = np.flatnonzero(number == k)
+                out[own] = shared.value[key].predict(x[own])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*names, name])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
@@ -298,7 +452,7 @@ def boosted_predictions(rows: DataFrame, group: str, features: list[str], target
     out = _small_groups(small, group, features, target, config, least, name)
     if large:
         own = rows.filter(F.col(group).isin(list(large)))
-        models = fit_large(own.filter("part = 'train'"), group, features, target, large, config)
+        models = fit_large(own.filter("part = 'train'"), group, features, target, large, config, group_rows)
         out = out.unionByName(predict_groups(own.filter("part = 'test'"), group, features, models, name))
     return out
 
@@ -307,7 +461,7 @@ def fit_pooled(train: DataFrame, features: list[str], target: str, rows: int, co
     """One model of a whole frame without nulls, of ``rows`` rows."""
     keyed = train.select(F.lit(0).alias("_all"), F.col(target).cast("double").alias("_y"), *(F.col(f).cast("double").alias(f) for f in features))
     if rows > group_rows:
-        return fit_large(keyed, "_all", features, "_y", {0: rows}, config)[0]
+        return fit_large(keyed, "_all", features, "_y", {0: rows}, config, group_rows)[0]
 
     def run(table: pa.Table) -> pa.Table:
         m = fit_arrays(_matrix(table, features), _matrix(table, ["_y"])[:, 0], config)

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.constants import QUANT_FEATURES, REGIME_FEATURES, SENTIMENT_FEATURES
@@ -24,6 +27,9 @@ from tidemark.schema import finite, require_columns
 from tidemark.session import written
 
 
+FITS = 4  # models that are fitted at once
+
+
 @dataclass(frozen=True)
 class ModelConfig:
     """Depth, step, rounds and seed of the boosted trees; fewest rows to fit on."""
@@ -96,7 +102,8 @@ class Regressor:
 
 def fit_regressor(frame: DataFrame, features: list[str], target: str, config: ModelConfig = ModelConfig(), group_rows: int = GROUP_ROWS) -> Regressor:
     """Boosted trees on features whose missing values are their medians; beyond ``group_rows`` rows they grow over the whole table."""
-    train = _ready(frame, features).filter(finite(target).isNotNull())
+    train = _ready(frame, features).filter(finite(target).isNotNull()).select(*dict.fromkeys([*features, target]))
+    train = written(train, "train")  # read for medians, edges and means before the trees
     rows = train.count()
     if rows < config.least_rows:
         raise ValueError(f"fewer than {config.least_rows} rows to fit on")
@@ -129,16 +136,20 @@ def fit_ridge(frame: DataFrame, features: list[str], target: str, penalty: float
     return Pipeline(stages=[*_stages(features), model]).fit(_ready(frame, features).filter(finite(target).isNotNull()))
 
 
-def ensemble(train: DataFrame, test: DataFrame, quant: list[str], combined: list[str], target: str, config: ModelConfig = ModelConfig(), weight: float = 0.35) -> DataFrame:
-    """Weighted prediction of two models and a confidence by the spread of the predictions of the frame predicted."""
-    a, b = fit_regressor(train, quant, target, config), fit_regressor(train, combined, target, config)
+def _together(spark: SparkSession, fit: Callable, each: list) -> list:
+    """``fit`` of each, several at a time: trees are many short jobs, which leave cores idle between them."""
+    with ThreadPoolExecutor(FITS) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(fit), each))
 
-    def both(frame: DataFrame) -> DataFrame:
-        out = predict(b, predict(a, frame, quant, "quant_prediction"), combined, "combined_prediction")
-        return out.withColumn("expected_return", weight * F.col("quant_prediction") + (1 - weight) * F.col("combined_prediction"))
 
-    scale = both(test).agg(F.stddev_pop("expected_return").alias("_scale"))
-    return both(test).crossJoin(F.broadcast(scale)).withColumn("probability_up", logistic_confidence(F.col("expected_return"), F.col("_scale"))).drop("_scale")  # one row
+def ensemble(train: DataFrame, test: DataFrame, quant: list[str], combined: list[str], target: str, config: ModelConfig = ModelConfig(), weight: float = 0.35) -> DataFrame:
+    """Weighted prediction of two models and a confidence by the spread of the predictions of the frame predicted."""
+    train = written(train.select(*dict.fromkeys([*quant, *combined, target])), "ensemble-train")
+    a, b = _together(train.sparkSession, lambda features: fit_regressor(train, features, target, config), [quant, combined])
+    out = predict(b, predict(a, test, quant, "quant_prediction"), combined, "combined_prediction")
+    out = written(out.withColumn("expected_return", weight * F.col("quant_prediction") + (1 - weight) * F.col("combined_prediction")), "ensemble")
+    scale = out.agg(F.stddev_pop("expected_return").alias("_scale"))
+    return out.crossJoin(F.broadcast(scale)).withColumn("probability_up", logistic_confidence(F.col("expected_return"), F.col("_scale"))).drop("_scale")  # one row
 
 
 def run_experiment(frame: DataFrame, name: str, features: list[str], target: str = "target_return", config: ExperimentConfig = ExperimentConfig()) -> DataFrame:
