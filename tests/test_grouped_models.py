@@ -109,3 +109,24 @@ def test_suite_from_csv(spark, tmp_path):
     bars.toPandas().to_csv(tmp_path / "bars.csv", index=False)
     again = jobs.run_suite_from_csv(spark, str(tmp_path / "bars.csv"), str(tmp_path / "bars.json"), ExperimentConfig(model=ModelConfig(rounds=3)))
     assert {r.name for r in again.collect()} == {"quant_only", "combined_regime"}
+
+
+def counted(frame):
+    """The frame, and a counter of its rows that were computed."""
+    seen = frame.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return frame.mapInArrow(run, frame.schema), seen
+
+
+def test_a_suite_computes_its_frame_once(spark):
+    frame, seen = counted(experiment_frame(spark))
+    config = ExperimentConfig(model=ModelConfig(rounds=3))
+    rows = models.run_suite(frame, {"one": ["ret_1"], "two": ["ret_1", "vol_10"]}, config=config).collect()
+    assert [r.name for r in rows] == ["one", "two"] and seen.value == 360
+    with pytest.raises(ValueError, match="absent"):
+        models.run_suite(frame, {"one": ["absent"]}, config=config)

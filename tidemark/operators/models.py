@@ -159,13 +159,22 @@ def run_experiment(frame: DataFrame, name: str, features: list[str], target: str
     """
     if not features:
         raise ValueError("an experiment needs features")
-    split = purged_split(_usable(frame, features, target), config.train_fraction)
+    return _experiment(_split(frame, features, target, config), name, features, target, config)
+
+
+def _split(frame: DataFrame, features: list[str], target: str, config: ExperimentConfig) -> DataFrame:
+    """The usable rows by ``part``, written once: counts, fit and predictions read them."""
+    used = _usable(frame, features, target).select(*dict.fromkeys(["symbol", "timestamp", "target_timestamp", "open", "close", *features, target]))
+    return written(purged_split(used, config.train_fraction), "split")
+
+
+def _experiment(split: DataFrame, name: str, features: list[str], target: str, config: ExperimentConfig) -> DataFrame:
     counts = split.agg(F.count(F.lit(1)).alias("usable"), F.count_if(F.col("part") == "train").alias("train"), F.count_if(F.col("part") == "test").alias("test")).first()
     for what, least in (("usable", config.least_usable), ("train", config.least_train), ("test", config.least_test)):
         if counts[what] < least:
             raise ValueError(f"{counts[what]} {what} rows; {least} are needed")
     train, test = split.filter("part = 'train'"), split.filter("part = 'test'")
-    scored = predict(fit_regressor(train, features, target, config.model), test, features)
+    scored = written(predict(fit_regressor(train, features, target, config.model), test, features), "scored")
     traded = signals(scored, "predicted", config.hold, config.threshold, config.long_only, config.cost_bps).withColumn("name", F.lit(name))
     accuracy = diagnostics(scored.withColumn("name", F.lit(name)), "predicted", target, ["name"]).select("name", "directional_accuracy")
     return summarize(traded, ["name"]).join(accuracy, "name").select("name", F.col("observations").alias("rows"), "mean_return", "sharpe", "max_drawdown", "win_rate", "directional_accuracy")
@@ -203,9 +212,11 @@ def feature_sets(columns: list[str]) -> dict[str, list[str]]:
 
 def run_suite(frame: DataFrame, sets: dict[str, list[str]] | None = None, target: str = "target_return", config: ExperimentConfig = ExperimentConfig()) -> DataFrame:
     """All feature sets on one frame; the loop is over a handful of sets, the work of each is distributed."""
-    results = None
-    for name, features in (sets or feature_sets(frame.columns)).items():
-        one = run_experiment(frame, name, features, target, config)
+    results, sets = None, sets or feature_sets(frame.columns)
+    needed = list(dict.fromkeys(["symbol", "timestamp", "target_timestamp", "open", "close", *(c for own in sets.values() for c in own), target]))
+    require_columns(frame, needed, "frame")
+    frame = written(frame.select(*needed), "suite")
+    for one in _together(frame.sparkSession, lambda named: run_experiment(frame, *named, target, config), list(sets.items())):
         results = one if results is None else results.unionByName(one)
     return results
 
