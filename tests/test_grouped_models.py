@@ -130,3 +130,9 @@ def test_a_suite_computes_its_frame_once(spark):
     assert [r.name for r in rows] == ["one", "two"] and seen.value == 360
     with pytest.raises(ValueError, match="absent"):
         models.run_suite(frame, {"one": ["absent"]}, config=config)
+
+
+def test_pooled_evaluation_computes_its_frame_few_times(spark):
+    frame, seen = counted(experiment_frame(spark))
+    models.evaluate_pooled(frame, ["ret_1"], config=ExperimentConfig(model=ModelConfig(rounds=3))).collect()
+    assert seen.value <= 2 * 360  # for the cut and for the rows

@@ -183,10 +183,10 @@ def _experiment(split: DataFrame, name: str, features: list[str], target: str, c
 def evaluate_pooled(frame: DataFrame, features: list[str], target: str = "target_return", config: ExperimentConfig = ExperimentConfig()) -> DataFrame:
     """One model of all symbols together, judged on the rows after the cut: ``symbols`` and the columns of an experiment but its name."""
     require_columns(frame, ["timestamp", "symbol", "close", target, *features], "frame")
-    test = purged_split(_usable(frame, features, target), config.train_fraction).filter("part = 'test'")
     pooled = ExperimentConfig(**{**vars(config), "least_usable": 0})
-    result = run_experiment(frame, "pooled", features, target, pooled)
-    return test.agg(F.count_distinct("symbol").alias("symbols")).crossJoin(result).drop("name")  # single rows
+    split = _split(frame, features, target, pooled)
+    result = _experiment(split, "pooled", features, target, pooled)
+    return split.filter("part = 'test'").agg(F.count_distinct("symbol").alias("symbols")).crossJoin(result).drop("name")  # single rows
 
 
 def default_experiment_specs(columns: list[str]) -> dict[str, list[str]]:
