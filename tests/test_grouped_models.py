@@ -136,3 +136,22 @@ def test_pooled_evaluation_computes_its_frame_few_times(spark):
     frame, seen = counted(experiment_frame(spark))
     models.evaluate_pooled(frame, ["ret_1"], config=ExperimentConfig(model=ModelConfig(rounds=3))).collect()
     assert seen.value <= 2 * 360  # for the cut and for the rows
+
+
+def test_large_symbols_take_few_jobs(spark):
+    rng = np.random.default_rng(6)
+    rows = [(s, START + dt.timedelta(minutes=k), float(rng.integers(0, 40)), float(rng.normal())) for s in "AB" for k in range(600)]
+    frame = spark.createDataFrame(rows, "symbol string, timestamp timestamp_ntz, x double, target_return double")
+    context = spark.sparkContext
+    context.setJobGroup("symbols", "")
+    try:
+        got = models.fit_predict_oos(frame, ["x"], config=ModelConfig(rounds=50), group_rows=200).collect()
+        assert len(context.statusTracker().getJobIdsForGroup("symbols")) < 30  # before: four a round
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    for s in "AB":
+        own = [r for r in rows if r[0] == s]
+        x, y = np.array([[r[2]] for r in own]), np.array([r[3] for r in own])
+        want = boosting.fit_arrays(x[:420], y[:420], BoostConfig(rounds=50)).predict(x[420:])
+        found = [r.expected_return for r in sorted((r for r in got if r.symbol == s), key=lambda r: r.timestamp)]
+        assert found == pytest.approx(want.tolist(), abs=1e-12)
