@@ -384,3 +384,21 @@ def test_research_summary_and_card(spark, tmp_path):
     assert tuple(models.research_summary(rows).first()) == (3, 1, "a", 1.0)
     models.ModelCard("m", ("x",), 5, {"mae": 0.1}).save(str(tmp_path / "cards" / "m.json"))
     assert '"mae": 0.1' in (tmp_path / "cards" / "m.json").read_text()
+
+
+def test_asof_by_period_shuffles_no_grid_and_matches_the_merge(spark):
+    rng = random.Random(4)
+    day = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(days=k)
+    decisions = [(rng.choice([1, 2, 3, None]), day(rng.randrange(60)) if rng.random() > 0.05 else None, k) for k in range(80)]
+    seen = [(rng.choice([1, 2, 4, None]), rng.choice("mn"), rng.choice([None, day(0)]), day(90), day(rng.randrange(50)) if rng.random() > 0.1 else None, rng.choice([None, 1.0, 2.0, 3.0])) for _ in range(150)]
+    seen.append((3, "only", None, day(90), None, 5.0))
+    left = spark.createDataFrame(decisions, "cik int, decision_time timestamp_ntz, row int")
+    right = spark.createDataFrame(seen, "cik int, metric string, start timestamp_ntz, end timestamp_ntz, information_time timestamp_ntz, val_num double")
+    identity = ("metric", "start", "end")
+    grid = left.join(right.select("cik", *identity).distinct(), "cik")
+    want = temporal.asof_join(grid, right, ["cik", *identity], "decision_time", "information_time", ["val_num"], ["val_num"])
+    for most in (0, 12, 64):
+        got = temporal.asof_by_period(left, right, identity=identity, most_revisions=most)
+        assert sorted(map(str, got.drop("available").collect())) == sorted(map(str, want.select(*got.drop("available").columns).collect()))
+        assert got.filter("available <> (pit_time IS NOT NULL)").isEmpty()
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()  # before: a window over all rows of decisions and periods

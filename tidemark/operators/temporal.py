@@ -15,6 +15,7 @@ from tidemark.schema import require_columns
 from tidemark.session import written
 
 MOST_SPANS = 2000  # of one hot key
+MOST_REVISIONS = 64  # of a period whose revisions are looked at by every decision
 
 
 def asof_join(
@@ -110,18 +111,49 @@ def known_by(df: DataFrame, time: str, moment: Column) -> DataFrame:
     return df.filter(F.col(time) <= moment)
 
 
-def asof_by_period(decisions: DataFrame, observations: DataFrame, entity: str = "cik", identity: tuple[str, ...] = ("metric", "unit", "period_type", "start", "end"), payload: tuple[str, ...] = ("val_num",), ties: tuple[str, ...] = ("val_num",)) -> DataFrame:
+def asof_by_period(
+    decisions: DataFrame, observations: DataFrame, entity: str = "cik", identity: tuple[str, ...] = ("metric", "unit", "period_type", "start", "end"), payload: tuple[str, ...] = ("val_num",), ties: tuple[str, ...] = ("val_num",), most_revisions: int = MOST_REVISIONS,
+) -> DataFrame:
     """One row per decision and period known for its entity, with the value known then (or null).
 
     A null ``start`` is a period like another.  Decisions of entities without any
     observation drop out.
+
+    A revision holds until the next one, so decisions meet the spans of their entity's revisions: the two inputs
+    are shuffled, never the rows of decisions and periods.  Of a period with more than ``most_revisions`` revisions
+    that would look at too many pairs, so it is matched by ``asof_join``.
     """
-    periods = observations.select(entity, *identity).distinct()
-    grid = decisions.join(periods, entity)
-    aligned = asof_join(grid, observations, [entity, *identity], "decision_time", "information_time", list(payload), list(ties))
+    keys = [entity, *identity]
+    spans = written(_spans(observations, keys, payload, ties), "revisions")
+    at, since, until = F.col("decision_time"), F.col("_since"), F.col("_until")
+    holds = (since.isNull() & at.isNull()) | ((since.isNull() | (since <= at)) & (until.isNull() | (at < until)))
+    known = [since.alias("pit_time"), *(F.col(f"_{c}").alias(f"pit_{c}") for c in payload)]
+    aligned = decisions.join(spans.filter(F.col("_revisions") <= most_revisions), entity).filter(holds).select(*decisions.columns, *identity, *known)
+    many = spans.filter(F.col("_revisions") > most_revisions)
+    if not many.isEmpty():
+        revised = many.filter(since.isNotNull()).select(*keys, since.alias("information_time"), *(F.col(f"_{c}").alias(c) for c in payload))
+        grid = decisions.join(many.filter(since.isNull()).select(*keys), entity)
+        aligned = aligned.unionByName(asof_join(grid.select(*decisions.columns, *identity), revised, keys, "decision_time", "information_time", list(payload)))
     return aligned.withColumn("available", F.col("pit_time").isNotNull())
 
 
+def _spans(observations: DataFrame, keys: list[str], payload: tuple[str, ...], ties: tuple[str, ...]) -> DataFrame:
+    """``keys, _since, _until, _revisions`` and payload of each revision of a period, and one span without them before the first."""
+    period = Window.partitionBy(*keys)
+    order = [F.col("information_time").asc_nulls_first(), *(F.col(c).asc_nulls_last() for c in ties)]
+    timed = observations.select(
+        *keys, F.col("information_time").alias("_since"), F.lead("information_time").over(period.orderBy(*order)).alias("_until"), F.row_number().over(period.orderBy(*order)).alias("_place"),
+        F.count("information_time").over(period).alias("_revisions"), F.min("information_time").over(period).alias("_first"), *(F.col(c).alias(f"_{c}") for c in payload),
+    )
+    own = F.struct("_since", "_until", *(f"_{c}" for c in payload))
+    kinds = dict(timed.dtypes)
+    before = F.struct(F.lit(None).cast(kinds["_since"]).alias("_since"), F.col("_first").alias("_until"), *(F.lit(None).cast(kinds[f"_{c}"]).alias(f"_{c}") for c in payload))
+    # of revisions of one time the last one holds
+    kept = F.when(F.col("_since").isNotNull() & ~F.col("_since").eqNullSafe(F.col("_until")), own)
+    both = F.array_compact(F.array(F.when(F.col("_place") == 1, before), kept))
+    return timed.select(*keys, "_revisions", F.explode(both).alias("_span")).select(*keys, "_revisions", "_span.*")
+
+
 def align_periods(decisions: DataFrame, observations: DataFrame, entity: str = "cik", identity: tuple[str, ...] = ("metric", "unit", "period_type", "start", "end"), payload: tuple[str, ...] = ("val_num",)) -> DataFrame:
     """``asof_by_period``, but where no decision's entity has an observation all decisions come back with nulls (an action finds out)."""
     known = decisions.filter(F.col(entity).isNotNull() & F.col("decision_time").isNotNull())
