@@ -402,3 +402,18 @@ def test_asof_by_period_shuffles_no_grid_and_matches_the_merge(spark):
         assert sorted(map(str, got.drop("available").collect())) == sorted(map(str, want.select(*got.drop("available").columns).collect()))
         assert got.filter("available <> (pit_time IS NOT NULL)").isEmpty()
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()  # before: a window over all rows of decisions and periods
+
+
+def test_company_features_compute_observations_once(spark):
+    rows = [(c, m, "USD", dt.datetime(2020 + k // 4, 1 + 3 * (k % 4), 1), dt.datetime(2020 + k // 4, 3 + 3 * (k % 4), 28), dt.datetime(2020 + k // 4, 3 + 3 * (k % 4), 28) + dt.timedelta(days=30), float(k)) for c in (1, 2) for m in ("revenue", "net_income") for k in range(9)]
+    frame = spark.createDataFrame(rows, "cik int, metric string, unit string, start timestamp_ntz, end timestamp_ntz, information_time timestamp_ntz, val_num double")
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    got = panel.epoch_features(frame.mapInArrow(run, frame.schema)).collect()
+    assert len(got) == 36 and seen.value == 36  # before: once a branch
+    assert {r.ttm for r in got if r.cik == 1 and r.metric == "revenue"} == {None, *(4.0 * k - 6 for k in range(3, 9))}

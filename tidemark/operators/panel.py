@@ -33,7 +33,9 @@ def epoch_features(observations: DataFrame) -> DataFrame:
     quarters of the ``REACH`` days before it only, so an epoch meets the revisions of those few, by a
     bucket of their ends, and never all revisions of its metric.
     """
-    facts = period_semantics(observations).filter(F.col("information_time").isNotNull())
+    read = ["cik", "metric", "unit", "start", "end", "information_time", "val_num"]
+    facts = written(observations.select(*read).filter(F.col("information_time").isNotNull()), "observations")  # three branches read them
+    facts = period_semantics(facts)
     group = ["cik", "metric", "epoch"]
     so_far = Window.partitionBy("cik", "metric").orderBy("information_time").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     # later ends first, then units, then starts (none before all); of one period the latest revision, then the larger value
@@ -56,18 +58,16 @@ def _quarter_growth(newest: DataFrame, quarters: DataFrame) -> DataFrame:
     revisions = Window.partitionBy(*keys, "start", "end").orderBy("information_time", F.col("val_num").asc_nulls_first())
     timed = quarters.select(*keys, "start", "end", "val_num", F.col("information_time").alias("_since"), F.lead("information_time").over(revisions).alias("_until"), bucket.alias("_bucket"))
     asked = newest.select("cik", "metric", "epoch", F.col("q.unit").alias("unit"), F.col("q.end").alias("end"))
-    # how many quarter rows of the unit an epoch knows
+    # how many quarter rows of the unit an epoch knows: counted before epochs meet revisions, so that only their own rows are shuffled for it
     steps = quarters.groupBy(*keys, F.col("information_time").alias("epoch")).agg(F.count(F.lit(1)).alias("_raw"))
-    steps = steps.unionByName(asked.select(*keys, "epoch", F.lit(0).cast("long").alias("_raw")))
+    steps = steps.withColumn("_asked", F.lit(False)).unionByName(asked.withColumns({"_raw": F.lit(0).cast("long"), "_asked": F.lit(True)}), allowMissingColumns=True)
     known = F.sum("_raw").over(Window.partitionBy(*keys).orderBy("epoch").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    counted = steps.withColumn("_raw", known).dropDuplicates([*keys, "epoch"])
-    both = asked.withColumn("_bucket", F.explode(F.array(bucket, bucket - 1))).withColumnRenamed("end", "_last")
+    counted = steps.withColumn("_raw", known).filter("_asked").drop("_asked")
+    both = counted.withColumn("_bucket", F.explode(F.array(bucket, bucket - 1))).withColumnRenamed("end", "_last")
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"t.{c}")) for c in (*keys, "_bucket")]
     met = both.alias("a").join(timed.alias("t"), same).filter("t._since <= a.epoch AND (t._until IS NULL OR a.epoch < t._until)")
-    near = met.filter(F.datediff("a._last", "t.end").between(0, REACH)).select(*(f"a.{c}" for c in keys), "a.epoch", "t.start", "t.end", "t.val_num")
-    exact = [F.col(f"n.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*keys, "epoch")]
-    raw = near.alias("n").join(counted.alias("c"), exact).select("n.*", "c._raw")
-    grown = growth_columns(raw, [*keys, "epoch"], "_raw")
+    near = met.filter(F.datediff("a._last", "t.end").between(0, REACH)).select(*(f"a.{c}" for c in keys), "a.epoch", "a._raw", "t.start", "t.end", "t.val_num")
+    grown = growth_columns(near, [*keys, "epoch"], "_raw")
     last = latest_per(grown, [*keys, "epoch"], [F.col("end").desc(), F.col("start").desc_nulls_first()])
     return last.select("cik", "metric", "epoch", "qoq_growth", "yoy_growth", "ttm")
 
