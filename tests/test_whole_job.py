@@ -52,3 +52,8 @@ def test_bootstrap_interval_has_the_width_of_the_mean(spark):
     for few in ([], [(2.0,)]):
         one = research.bootstrap_mean(spark.createDataFrame(few, "x double"), "x").first()
         assert one["n"] == len(few) and one["low"] is None and one["high"] is None
+
+
+def test_ages_shuffle_no_grid(spark):
+    plan = catalogue.QUERIES["observation_ages"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan  # before: a window over all rows of decisions and periods
