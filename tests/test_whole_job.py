@@ -57,3 +57,8 @@ def test_bootstrap_interval_has_the_width_of_the_mean(spark):
 def test_ages_shuffle_no_grid(spark):
     plan = catalogue.QUERIES["observation_ages"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan  # before: a window over all rows of decisions and periods
+
+
+def test_leakage_guard_shuffles_no_grid(spark):
+    plan = catalogue.QUERIES["leakage_guard"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
